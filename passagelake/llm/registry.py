@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .mixing import op8_mix
 from .simhash import op7_simhash
+from .tokens import op4_tokens
 
 QUERIES = {
+    "op4_tokens": op4_tokens,
     "op7_simhash": op7_simhash,
+    "op8_mix": op8_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mix": mixing.SQL,
+}
