@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from . import mixing
+from .decontaminate import op1_decontaminate
 from .mixing import op8_mix
+from .quality import op10_quality
 from .simhash import op7_simhash
 from .tokens import op4_tokens
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_tokens": op4_tokens,
     "op7_simhash": op7_simhash,
     "op8_mix": op8_mix,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
