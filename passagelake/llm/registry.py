@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing
 from .decontaminate import op1_decontaminate
 from .mixing import op8_mix
+from .chat import op3_chat
+from .winnow import op6_winnow
 from .quality import op10_quality
 from .simhash import op7_simhash
 from .tokens import op4_tokens
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_chat": op3_chat,
     "op4_tokens": op4_tokens,
+    "op6_winnow": op6_winnow,
     "op7_simhash": op7_simhash,
     "op8_mix": op8_mix,
     "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat": chat.SQL,
     "op8_mix": mixing.SQL,
 }
