@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from . import chat, mixing
+from .chat import op3_chat
 from .decontaminate import op1_decontaminate
+from .langid import op5_langid
 from .mixing import op8_mix
-from .chat import op3_chat
-from .winnow import op6_winnow
 from .quality import op10_quality
 from .simhash import op7_simhash
 from .tokens import op4_tokens
+from .winnow import op6_winnow
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_chat": op3_chat,
     "op4_tokens": op4_tokens,
+    "op5_langid": op5_langid,
     "op6_winnow": op6_winnow,
     "op7_simhash": op7_simhash,
     "op8_mix": op8_mix,
