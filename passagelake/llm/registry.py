@@ -8,6 +8,7 @@ from .decontaminate import op1_decontaminate
 from .langid import op5_langid
 from .mixing import op8_mix
 from .quality import op10_quality
+from .secretscan import op9_secrets
 from .simhash import op7_simhash
 from .tokens import op4_tokens
 from .winnow import op6_winnow
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_winnow": op6_winnow,
     "op7_simhash": op7_simhash,
     "op8_mix": op8_mix,
+    "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 
