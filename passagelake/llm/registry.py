@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, warc
 from .chat import op3_chat
 from .decontaminate import op1_decontaminate
 from .langid import op5_langid
@@ -11,10 +11,12 @@ from .quality import op10_quality
 from .secretscan import op9_secrets
 from .simhash import op7_simhash
 from .tokens import op4_tokens
+from .warc import op2_warc
 from .winnow import op6_winnow
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
     "op3_chat": op3_chat,
     "op4_tokens": op4_tokens,
     "op5_langid": op5_langid,
@@ -26,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.SQL,
     "op3_chat": chat.SQL,
     "op8_mix": mixing.SQL,
 }
