@@ -1,7 +1,16 @@
-"""The query catalogue: name -> (Spark callable, DuckDB SQL of the same rows)."""
+"""The query catalogue: name -> Spark callable, and name -> DuckDB SQL of the same rows."""
 
 from __future__ import annotations
 
+import importlib
+
+_MODULES = ("retrieval",)
+
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "hybrid_retrieve"
+
+for _name in _MODULES:
+    _module = importlib.import_module(f".{_name}", __package__)
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
