@@ -15,7 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,14 @@ END = 2
 BATCH = 128
 #: Distinct pieces whose ids a worker keeps; then it starts anew.
 CACHE = 1_000_000
-#: White space as the pre-tokenizer's \s has it. A piece is white space and what follows up to the next
-#: white space; no pre-token crosses such a boundary, so a text's ids are its pieces' ids in a row.
+#: White space as the pre-tokenizer's \s has it, letters that it surely takes as such, common marks.
 _SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_LETTER = "A-Za-z" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
+_MARK = r".,;:!?#$%&*|"
+#: A piece is white space and what follows up to the next white space, without the marks that end it after a
+#: letter; those are a piece too. No pre-token crosses such a boundary, so a text's ids are its pieces' ids
+#: in a row.
+_PIECE = re.compile(f"[{_SPACE}]*+[^{_SPACE}{_MARK}]++(?:(?=[{_SPACE}]|\\Z)|(?<=[{_LETTER}])(?=[{_MARK}]))|[{_MARK}]++(?=[{_SPACE}]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -97,11 +101,13 @@ class Encoder:
         if len(self.known) > CACHE:
             self.forget()
         pieces = [_PIECE.findall(t) if t else [] for t in texts]
-        fresh = set().union(*pieces) - self.known.keys()
-        if fresh:
-            self._learn(sorted(fresh))
-        get = self.known.__getitem__
-        flat = np.fromiter(map(get, chain.from_iterable(pieces)), np.int64, sum(map(len, pieces)))
+        every = list(chain.from_iterable(pieces))
+        flat = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(flat < 0)
+        if len(missing):
+            fresh = [every[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(fresh)))
+            flat[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
         lengths = self.starts[flat + 1] - self.starts[flat]
         before = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.starts[flat] - before[:-1], lengths) + np.arange(before[-1])]
