@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("retrieval",)
+_MODULES = ("retrieval", "chunks")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
