@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, range_parts, table
+from .common import materialize, partitions, table
 
 K = 5
 WINDOW = 16
@@ -68,32 +68,31 @@ def hashes(marks: Column) -> Column:
     return F.array_distinct(F.transform(marks, lambda m: m["hash"]))
 
 
-def _row_key(doc_id: Column, text: Column) -> Column:
-    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), F.xxhash64(text).cast("string"))
-
-
 def _order() -> list[Column]:
-    return [F.col("doc_id").desc_nulls_last(), F.col("key")]
+    return [F.col("doc_id").desc_nulls_last(), F.col("text_key")]
 
 
-def next_documents(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (key, next_key, half): the document after each in descending id order.
+def _buckets(narrow: DataFrame, many: int) -> Column:
+    """A bucket number that rises along descending ids, from boundaries at quantiles of the ids.
 
-    key tells rows with another id or text apart; equal rows share one and lie together, so only the
-    last of them has another document after it. After the last document comes the first. Ranges of
-    ids are ordered apart; where a range ends, the first row of the next range follows.
+    The boundaries, fewer than `many`, are found over all rows and searched in two steps, so a row
+    costs the root of their number. Rows without an id come after, dealt by ranges of their text's hash.
     """
-    narrow = docs.select("doc_id", _row_key(F.col("doc_id"), F.col("text")).alias("key"), F.floor(F.char_length("text") / 2).cast("int").alias("half"))
-    parted = range_parts(narrow, _order(), "winnow-order")
-    groups = parted.dropDuplicates(["_part", "key"])
-    own = groups.withColumn("next", F.lead("key").over(Window.partitionBy("_part").orderBy(*_order())))
-    own = own.withColumn("head", F.row_number().over(Window.partitionBy("_part").orderBy(*_order())) == 1)
-    own = materialize(own, "winnow-groups")
-    # A row a range: few.
-    heads = own.filter("head").select("_part", F.col("key").alias("first"))
-    parts = Window.orderBy("_part")
-    after = heads.select("_part", F.coalesce(F.lead("first").over(parts), F.first("first").over(parts)).alias("follows"))
-    return own.join(after, "_part").select("key", F.coalesce("next", "follows").alias("next_key"), "half")
+    shares = F.array(*[F.lit(i / many) for i in range(1, many)])
+    found = narrow.agg(F.percentile_approx("doc_id", shares, 20 * many).alias("cuts")).first()
+    cuts = sorted(set(found.cuts or [])) if many > 1 else []
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    less = lambda values: F.size(F.filter(values, lambda c: c < F.col("doc_id")))
+    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    rank = F.lit(0)
+    if groups:
+        whole = F.size(F.filter(array([g[-1] for g in groups]), lambda c: c < F.col("doc_id")))
+        inside = F.try_element_at(F.array(*[array(g) for g in groups]), whole + 1)
+        rank = whole * F.lit(step) + F.coalesce(less(inside), F.lit(0))
+        rank = F.least(rank, F.lit(len(cuts)))
+    nulls = F.lit(len(cuts) + 1) + F.floor((F.col("text_key") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(many))
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(F.lit(len(cuts)) - rank).cast("long")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -101,20 +100,31 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     -> (doc_id, text, edited, marks, edited_marks, next_hashes), a row for each row of docs. edited:
     the last half of the text's code points replaced by the first as many of the next document in
-    descending id order (null ids last; equal ids by text hash). A null text is empty. Rows equal in
-    id and text follow each other. Other columns are not read. An empty table gives no row.
+    descending id order (null ids last; equal ids by text hash; after the last comes the first). A null
+    text is empty. Rows equal in id and text follow each other. Other columns are not read. An empty
+    table gives no row.
+
+    Documents are dealt into buckets of neighbouring ids, so texts move once; where a bucket ends,
+    the first document of the next bucket follows, one a bucket.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = materialize(next_documents(rows), "winnow-next")
-    held = rows.select("doc_id", "text", winnow(F.col("text"), k, window).alias("marks")).withColumn("key", _row_key(F.col("doc_id"), F.col("text")))
-    held = held.repartition("key").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    asked = order.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "half")
-    given = held.filter("nth = 1").join(asked, "key").select(F.col("asker").alias("key"), "half", F.left("text", F.col("half")).alias("head"), hashes(F.col("marks")).alias("next_hashes"))
-    both = held.join(given, "key")
-    own = F.col("nth") > 1  # a repeat of the row after it
-    head = F.when(own, F.left("text", F.col("half"))).otherwise(F.col("head"))
-    edited = F.concat(F.left("text", F.char_length("text") - F.col("half")), head)
-    out = both.select("doc_id", "text", "marks", F.when(own, hashes(F.col("marks"))).otherwise(F.col("next_hashes")).alias("next_hashes"), edited.alias("edited"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    narrow = materialize(rows.select("doc_id", "text_key"), "winnow-ids")
+    bucket = _buckets(narrow, 4 * partitions(spark))
+    first = narrow.groupBy(bucket.alias("bucket")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "text_key", "doc_id")).alias("x")).orderBy("bucket").collect()  # a row a bucket
+    after = [(first[i - 1].bucket, r.x.doc_id, r.x.text_key) for i, r in enumerate(first)]  # the first follows the last
+    heads = spark.createDataFrame(after, "bucket long, i long, k long")
+    marked = lambda df: df.withColumn("marks", winnow(F.col("text"), k, window))
+    at_ends = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")))
+    at_ends = marked(at_ends.dropDuplicates(["bucket"])).select("bucket", F.col("text").alias("end_text"), hashes(F.col("marks")).alias("end_hashes"))
+    at_ends = materialize(at_ends, "winnow-bucket-ends")
+    w = Window.partitionBy("bucket").orderBy(*_order())
+    held = marked(rows.withColumn("bucket", bucket).repartition(partitions(spark), "bucket")).withColumn("own", hashes(F.col("marks")))
+    held = held.withColumn("next_text", F.lead("text").over(w)).withColumn("next_hashes", F.lead("own").over(w))
+    both = held.join(at_ends, "bucket")
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    head = F.left(F.coalesce("next_text", "end_text"), half)
+    out = both.select("doc_id", "text", "marks", F.coalesce("next_hashes", "end_hashes").alias("next_hashes"), F.concat(F.left("text", F.char_length("text") - half), head).alias("edited"))
     return out.withColumn("edited_marks", winnow(F.col("edited"), k, window))
 
 
