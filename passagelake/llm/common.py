@@ -2,61 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialize, scratch_path, scratch_root  # noqa: F401
+
 #: A word of the contracts: a run of anything but the ASCII white space 09-0D and 20.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches hold at most so many rows, so a batch of very long texts stays small.
 BATCH_ROWS = 1000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests, a local run) is one set below the driver's temporary
-    folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        if not held:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="passagelake-"))
-            held = spark.sparkContext.getCheckpointDir()
-        root = held
-    if not urlparse(root).scheme:
-        root = f"file://{os.path.abspath(root)}"
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/passagelake/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._passagelake_path = path  # for discard()
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and nothing will read again."""
-    path = getattr(df, "_passagelake_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
