@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("retrieval", "chunks")
+_MODULES = ("retrieval", "chunks", "maintenance")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
