@@ -61,12 +61,23 @@ def citations(value: Column) -> Column:
     text) and a page that is a whole number above 0; true is not a number here.
     """
     every = F.try_variant_get(value, "$.citations", "array<variant>")
-    get = lambda c, f, t: F.try_variant_get(c, f"$.{f}", t)
-    kind = lambda c, f: F.coalesce(F.schema_of_variant(get(c, f, "variant")), F.lit("VOID"))
-    unit_text = lambda c: get(c, "unit", "string")
-    good = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT<") & (kind(c, "source") == "STRING") & (F.trim(get(c, "source", "string")) != "") & (kind(c, "unit") != "VOID") & (kind(c, "page") == "BIGINT") & (get(c, "page", "bigint") >= 1), F.lit(False))
-    rows = F.transform(every, lambda c: F.struct(get(c, "source", "string").alias("source"), unit_text(c).alias("unit"), get(c, "page", "int").alias("page")))
-    return F.when(every.isNotNull() & (F.size(every) > 0) & F.forall(every, good), rows)
+    return F.when(every.isNotNull() & (F.size(every) > 0) & F.forall(every, good_citation), F.transform(every, citation))
+
+
+def _field(c: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(c, f"$.{name}", kind)
+
+
+def good_citation(c: Column) -> Column:
+    """Whether a variant is a whole citation."""
+    kind = lambda f: F.coalesce(F.schema_of_variant(_field(c, f, "variant")), F.lit("VOID"))
+    source = (kind("source") == "STRING") & (F.trim(_field(c, "source", "string")) != "")
+    page = (kind("page") == "BIGINT") & (_field(c, "page", "bigint") >= 1)
+    return F.coalesce(F.schema_of_variant(c).startswith("OBJECT<") & source & (kind("unit") != "VOID") & page, F.lit(False))
+
+
+def citation(c: Column) -> Column:
+    return F.struct(_field(c, "source", "string").alias("source"), _field(c, "unit", "string").alias("unit"), _field(c, "page", "int").alias("page"))
 
 
 def citation_keys(passages: DataFrame) -> DataFrame:

@@ -34,14 +34,23 @@ HEADING_LINE = r"^(#{1,6}) (.+?)\s*$"
 LIST_LINE = r"^\s*(?:-|\d+\.)\s|^[a-z]\.\s|^[a-z]\s(?=[A-Z])"
 LEVELS = (2, 3, 4, 5, 6)
 
-_unit = Window.partitionBy("path").orderBy("pos")
-_upto = _unit.rowsBetween(Window.unboundedPreceding, 0)
-_owner = Window.partitionBy("path", "owner").orderBy("pos")
-_owner_upto = _owner.rowsBetween(Window.unboundedPreceding, 0)
 
+def _over(*keys: str, upto: bool = False):
+    """A window over a unit's (or section's) lines in order; with upto, from the first line to this one."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    return w.rowsBetween(Window.unboundedPreceding, 0) if upto else w
 
-def _last(value: Column, where: Column, over=_upto) -> Column:
-    return F.last(F.when(where, value), ignorenulls=True).over(over)
+
+def _unit(upto: bool = False):
+    return _over("path", upto=upto)
+
+
+def _owner(upto: bool = False):
+    return _over("path", "owner", upto=upto)
+
+
+def _last(value: Column, where: Column) -> Column:
+    return F.last(F.when(where, value), ignorenulls=True).over(_unit(upto=True))
 
 
 def _blank(line: Column) -> Column:
@@ -70,7 +79,7 @@ def classified(units: DataFrame) -> DataFrame:
     mark = lambda p, g=1: F.nullif(F.regexp_extract("line", p, g), F.lit(""))
     rows = rows.withColumn("page_mark", mark(PAGE_LINE)).withColumn("type_mark", mark(TYPE_LINE))
     rows = rows.withColumn("level", F.length(mark(HEADING_LINE, 1))).withColumn("heading", mark(HEADING_LINE, 2))
-    rows = rows.withColumn("page", F.last("page_mark", ignorenulls=True).over(_upto))
+    rows = rows.withColumn("page", F.last("page_mark", ignorenulls=True).over(_unit(upto=True)))
     for k in LEVELS:
         rows = rows.withColumn(f"last_{k}", _last(F.col("pos"), F.col("level") == k))
     for k in LEVELS:
@@ -124,7 +133,7 @@ def body_lines(rows: DataFrame) -> DataFrame:
     """The lines under headings: (path, owner, pos, line, page, blank), without a section's leading blanks."""
     body = rows.filter("page_mark is null and type_mark is null and level is null and owner is not null")
     body = body.select("path", "owner", "pos", "line", "page", _blank(F.col("line")).alias("blank"))
-    return body.withColumn("began", F.max(~F.col("blank")).over(_owner_upto)).filter("began").drop("began")
+    return body.withColumn("began", F.max(~F.col("blank")).over(_owner(upto=True))).filter("began").drop("began")
 
 
 def pages_of(body: Column) -> Column:
@@ -144,24 +153,24 @@ def blocks(body: DataFrame) -> DataFrame:
     a paragraph and stays inside a list; a dash after an ended line begins a new list if a numbered line
     came since the last such dash.
     """
-    body = body.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(_owner_upto))
+    body = body.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(_owner(upto=True)))
     full = body.filter("not blank")
-    prev = F.rtrim(F.lag("line").over(_owner))
-    full = full.withColumn("ended", prev.rlike(r"[.!?]$")).withColumn("stopped", prev.rlike(r"[.!?:]$")).withColumn("gap", F.col("blanks") > F.lag("blanks").over(_owner))
+    prev = F.rtrim(F.lag("line").over(_owner()))
+    full = full.withColumn("ended", prev.rlike(r"[.!?]$")).withColumn("stopped", prev.rlike(r"[.!?:]$")).withColumn("gap", F.col("blanks") > F.lag("blanks").over(_owner()))
     full = full.withColumn("marker", F.col("line").rlike(LIST_LINE))
     runs_on = F.col("stopped").isNotNull() & (~F.col("stopped") | F.col("line").rlike(r"^\s*\p{Ll}"))
-    full = full.withColumn("kind", F.last(F.when(F.col("marker"), "list").when(runs_on, None).otherwise("para"), ignorenulls=True).over(_owner_upto))
-    full = full.withColumn("turn", F.coalesce(F.col("kind") != F.lag("kind").over(_owner), F.lit(True)))
-    full = full.withColumn("run", F.sum(F.col("turn").cast("int")).over(_owner_upto))
+    full = full.withColumn("kind", F.last(F.when(F.col("marker"), "list").when(runs_on, None).otherwise("para"), ignorenulls=True).over(_owner(upto=True)))
+    full = full.withColumn("turn", F.coalesce(F.col("kind") != F.lag("kind").over(_owner()), F.lit(True)))
+    full = full.withColumn("run", F.sum(F.col("turn").cast("int")).over(_owner(upto=True)))
     inside = Window.partitionBy("path", "owner", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     dash = (F.col("kind") == "list") & ~F.col("turn") & F.col("line").startswith("- ") & F.coalesce(F.col("ended"), F.lit(False))
     full = full.withColumn("dash", dash).withColumn("number", F.col("line").rlike(r"^\d+\.\s"))
     number, before = [F.coalesce(F.max(F.when(F.col(c), F.col("pos"))).over(inside), F.lit(-1)) for c in ("number", "dash")]
     fresh = F.col("turn") | ((F.col("kind") == "para") & F.coalesce(F.col("gap"), F.lit(False))) | (F.col("dash") & (number > before))
-    full = full.withColumn("block", F.sum(fresh.cast("int")).over(_owner_upto))
+    full = full.withColumn("block", F.sum(fresh.cast("int")).over(_owner(upto=True)))
     # A blank line belongs to the list block before it.
     every = body.join(full.select("path", "owner", "pos", "block", "kind"), ["path", "owner", "pos"], "left")
-    every = every.withColumn("block", F.last("block", ignorenulls=True).over(_owner_upto)).withColumn("kind", F.last("kind", ignorenulls=True).over(_owner_upto))
+    every = every.withColumn("block", F.last("block", ignorenulls=True).over(_owner(upto=True))).withColumn("kind", F.last("kind", ignorenulls=True).over(_owner(upto=True)))
     return every.filter("not blank or kind = 'list'").select("path", "owner", "pos", "line", "page", "blank", "block", "kind")
 
 
@@ -252,7 +261,7 @@ def violations(units: DataFrame, rows: DataFrame | None = None, nodes: DataFrame
         out.append(rule(front, "missing frontmatter key", F.col("meta").isNotNull() & F.try_element_at("meta", F.lit(key)).isNull(), F.lit(key), top))
     rows = classified(units) if rows is None else rows
     nodes = section_nodes(units, rows) if nodes is None else nodes
-    earlier = _unit.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _unit().rowsBetween(Window.unboundedPreceding, -1)
     body = (F.col("page_mark").isNull() & F.col("type_mark").isNull() & F.col("level").isNull()) & ~_blank(F.col("line"))
     rows = rows.withColumn("body_before", F.max(F.when(body, F.col("pos"))).over(earlier)).withColumn("open", F.max("owner").over(earlier))
     kinds = F.col("type_mark").isin(*CONTENT_TYPES)

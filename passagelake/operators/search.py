@@ -237,12 +237,12 @@ def rerank(candidates: DataFrame, queries: DataFrame, p: int = PARENTS, reranker
         w = Window.partitionBy("query_id").orderBy(F.col("overlap").desc(), F.col("rank"))
         return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= p)
     asked = candidates.join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
-    schema = candidates.schema
+    schema, columns = candidates.schema, candidates.columns
 
     def order(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank", kind="stable")
         places = [i for i in reranker.rerank(group["_query"].iloc[0], group["text"].tolist(), p) if 0 <= i < len(group)][:p]
-        return group.iloc[places].assign(rank=range(1, len(places) + 1))[candidates.columns]
+        return group.iloc[places].assign(rank=range(1, len(places) + 1))[columns]
 
     return asked.groupBy("query_id").applyInPandas(order, schema)  # a group: one query's candidates, at most n
 

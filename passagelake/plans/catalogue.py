@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("retrieval", "chunks", "maintenance")
+_MODULES = ("retrieval", "chunks", "maintenance", "layouts")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
