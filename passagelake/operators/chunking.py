@@ -58,7 +58,7 @@ def _blank(line: Column) -> Column:
 
 
 def frontmatter(units: DataFrame) -> DataFrame:
-    """units (path, content) -> with meta (map) and body; both null where there is no closed frontmatter."""
+    """units (path, content) -> (path, opened, meta, body); meta (a map) and body are null without closed frontmatter."""
     parts = F.split("content", "---\n", 3)
     good = F.col("content").startswith("---\n") & (F.size(parts) == 3)
     strip = lambda c: F.btrim(F.btrim(c), F.lit('"'))
@@ -67,7 +67,8 @@ def frontmatter(units: DataFrame) -> DataFrame:
     # A key given twice keeps its last value.
     keys = F.transform(entries, lambda e: e["col1"])
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["col1"]))
-    return units.select("path", F.when(good, F.map_from_entries(last)).alias("meta"), F.when(good, F.element_at(parts, 3)).alias("body"))
+    opened = F.coalesce(F.col("content").startswith("---\n"), F.lit(False)).alias("opened")
+    return units.select("path", opened, F.when(good, F.map_from_entries(last)).alias("meta"), F.when(good, F.element_at(parts, 3)).alias("body"))
 
 
 def classified(units: DataFrame) -> DataFrame:
@@ -248,37 +249,51 @@ def chunk_units(units: DataFrame, limit: int = LIMIT, strict: bool = True) -> Da
     )
 
 
+def _breaches(rows: DataFrame, pos: Column, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+    """The rules (name, where, detail) that each row breaks, in one pass."""
+    found = F.array_compact(F.array(*[F.when(where, F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail"))) for name, where, detail in rules]))
+    return rows.select("path", pos.alias("pos"), F.explode(found).alias("b")).select("path", "pos", "b.rule", "b.detail")
+
+
 def violations(units: DataFrame, rows: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """All breaches of a unit's structure: (path, pos, rule, detail)."""
-    front = frontmatter(units).join(units.select("path", "content"), "path")
-    rule = lambda df, name, where, detail, pos="pos": df.filter(where).select("path", F.col(pos).alias("pos") if isinstance(pos, str) else pos.alias("pos"), F.lit(name).alias("rule"), detail.cast("string").alias("detail"))
-    top = F.lit(-1)
-    out = [
-        rule(front, "no frontmatter", ~F.coalesce(F.col("content").startswith("---\n"), F.lit(False)), F.lit(""), top),
-        rule(front, "unterminated frontmatter", F.col("content").startswith("---\n") & F.col("meta").isNull(), F.lit(""), top),
-    ]
-    for key in FRONTMATTER:
-        out.append(rule(front, "missing frontmatter key", F.col("meta").isNotNull() & F.try_element_at("meta", F.lit(key)).isNull(), F.lit(key), top))
+    front = frontmatter(units)
+    nothing, has = F.lit(""), F.col("meta").isNotNull()
+    lacking = [("missing frontmatter key", has & F.try_element_at("meta", F.lit(k)).isNull(), F.lit(k)) for k in FRONTMATTER]
+    out = [_breaches(front, F.lit(-1), [("no frontmatter", ~F.col("opened"), nothing), ("unterminated frontmatter", F.col("opened") & ~has, nothing), *lacking])]
     rows = classified(units) if rows is None else rows
     nodes = section_nodes(units, rows) if nodes is None else nodes
     earlier = _unit().rowsBetween(Window.unboundedPreceding, -1)
-    body = (F.col("page_mark").isNull() & F.col("type_mark").isNull() & F.col("level").isNull()) & ~_blank(F.col("line"))
-    rows = rows.withColumn("body_before", F.max(F.when(body, F.col("pos"))).over(earlier)).withColumn("open", F.max("owner").over(earlier))
-    kinds = F.col("type_mark").isin(*CONTENT_TYPES)
-    out += [
-        rule(rows, "unknown content type", F.col("type_mark").isNotNull() & ~kinds, F.col("type_mark")),
-        rule(rows, "content type outside a section", F.col("type_mark").isNotNull() & F.col("owner").isNull(), F.col("type_mark")),
-        rule(rows, "content type after body", F.col("type_mark").isNotNull() & (F.col("body_before") > F.col("owner")), F.col("type_mark")),
-        rule(rows, "title below a section", (F.col("level") == 1) & F.col("open").isNotNull(), F.col("heading")),
-        rule(rows, "sub-heading without section", (F.col("level") > 2) & F.coalesce(*[F.when(F.col("level") > k, F.col(f"open_{k}")) for k in LEVELS]).isNull(), F.col("heading")),
-        rule(rows, "body before the first section", body & F.col("owner").isNull(), F.btrim("line")),
-    ]
+    typed, body = F.col("type_mark").isNotNull(), (F.col("page_mark").isNull() & F.col("type_mark").isNull() & F.col("level").isNull()) & ~_blank(F.col("line"))
+    lined = rows.withColumn("body_before", F.max(F.when(body, F.col("pos"))).over(earlier)).withColumn("open", F.max("owner").over(earlier))
+    outside = F.coalesce(*[F.when(F.col("level") > k, F.col(f"open_{k}")) for k in LEVELS]).isNull()
+    out.append(
+        _breaches(
+            lined,
+            F.col("pos"),
+            [
+                ("unknown content type", typed & ~F.col("type_mark").isin(*CONTENT_TYPES), F.col("type_mark")),
+                ("content type outside a section", typed & F.col("owner").isNull(), F.col("type_mark")),
+                ("content type after body", typed & (F.col("body_before") > F.col("owner")), F.col("type_mark")),
+                ("title below a section", (F.col("level") == 1) & F.col("open").isNotNull(), F.col("heading")),
+                ("sub-heading without section", (F.col("level") > 2) & outside, F.col("heading")),
+                ("body before the first section", body & F.col("owner").isNull(), F.btrim("line")),
+            ],
+        )
+    )
     texts = body_lines(rows).filter("not blank").select("path", "owner").distinct().withColumn("full", F.lit(True))
-    nodes = nodes.join(texts, ["path", "owner"], "left")
-    out += [
-        rule(nodes, "heading under an empty slug", F.col("under_empty"), F.col("heading"), "owner"),
-        rule(nodes, "no content type", F.col("content_type").isNull(), F.col("heading"), "owner"),
-        rule(nodes, "empty slug with body", (F.col("id_path") == "") & F.col("full"), F.col("heading"), "owner"),
-        rule(nodes.filter("id_path <> ''").groupBy("path", "id_path").agg(F.max("owner").alias("owner"), F.count("*").alias("n")), "repeated id", F.col("n") > 1, F.col("id_path"), "owner"),
-    ]
+    again = Window.partitionBy("path", "id_path")
+    held = nodes.join(texts, ["path", "owner"], "left").withColumn("n", F.count("*").over(again)).withColumn("last", F.max("owner").over(again))
+    out.append(
+        _breaches(
+            held,
+            F.col("owner"),
+            [
+                ("heading under an empty slug", F.col("under_empty"), F.col("heading")),
+                ("no content type", F.col("content_type").isNull(), F.col("heading")),
+                ("empty slug with body", (F.col("id_path") == "") & F.col("full"), F.col("heading")),
+                ("repeated id", (F.col("id_path") != "") & (F.col("n") > 1) & (F.col("owner") == F.col("last")), F.col("id_path")),
+            ],
+        )
+    )
     return reduce(lambda a, b: a.unionByName(b), out)
