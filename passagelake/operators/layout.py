@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import header_key, unit_number, unit_variant
+from ..scratch import materialize
 from . import vocabulary as V
 
 LINE_KEYS = ["source", "page_idx", "block_no", "line_no"]
@@ -337,11 +338,12 @@ def render_units(lines: DataFrame, boxes: DataFrame, wanted: DataFrame) -> DataF
 
     A unit with an unresolved page run or an unmapped section heading has an error; the others are rendered.
     """
-    runs = page_runs(footers(lines), wanted)
-    own = marked(unit_lines(lines, runs))
-    meta = metadata(own)
+    runs = materialize(page_runs(footers(lines), wanted), "layout-runs")
+    own = materialize(marked(unit_lines(lines, runs)), "layout-lines")
+    meta = materialize(metadata(own), "layout-units")
     regions, cells = table_regions(own, boxes)
-    place = reading_order(own, regions)
+    cells = materialize(cells, "layout-cells")
+    place = materialize(reading_order(own, materialize(regions, "layout-tables")), "layout-order")
     unit = own.select("source", "unit_id", "page_idx", "page").distinct()
     outside = content_blocks(own.join(place.filter("box_no is not null").select(*BLOCK), BLOCK, "left_anti"))
     found = block_elements(outside, ["unit_id", *BLOCK]).join(place.select(*BLOCK, "place"), BLOCK).join(unit.select("unit_id", "source", "page_idx", "page"), ["unit_id", "source", "page_idx"])
@@ -354,6 +356,7 @@ def render_units(lines: DataFrame, boxes: DataFrame, wanted: DataFrame) -> DataF
     marks = runs.filter("error is null").select("source", "unit_id", F.explode("pages").alias("p")).select("source", "unit_id", "p.page", F.lit(-1).cast("long").alias("place"), zero.alias("seq"), F.lit("marker").alias("kind"), F.col("p.label").alias("text"), F.lit(None).cast("string").alias("error"))
     title = meta.select("source", "unit_id", F.lit(0).alias("page"), F.lit(-2).cast("long").alias("place"), zero.alias("seq"), F.lit("h1").alias("kind"), F.concat(F.lit("# Unit "), "unit_id", F.lit(" — "), "unit_name").alias("text"), F.lit(None).cast("string").alias("error"))
     every = title.unionByName(marks).unionByName(plain).unionByName(tables)
+    every = materialize(every, "layout-elements")
     bad = every.filter("error is not null").groupBy("source", "unit_id").agg(F.min("error").alias("unmapped"))
     body = assemble(every, ["source", "unit_id"], ["page", "place", "seq"])
     done = meta.join(body, ["source", "unit_id"]).join(bad, ["source", "unit_id"], "left")
