@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import spread
+
 #: Channel width and parents kept; fusion and term-weight constants of the papers.
 CHILDREN, PARENTS = 70, 10
 FUSION = 60
@@ -81,7 +83,7 @@ def knn(vectors: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column
     Exact cosine over all rows for which `where` holds; the filter comes before the ranking. A null or
     zero vector, or one of another length than the query's, is no hit.
     """
-    rows = (vectors.filter(where) if where is not None else vectors).select("id", "embedding")
+    rows = spread((vectors.filter(where) if where is not None else vectors).select("id", "embedding"))
     out = None
     for block in _blocks(queries.select("query_id", "embedding").filter("embedding is not null"), "query_id"):
         asked = block["query_id"].to_numpy()
@@ -132,6 +134,7 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column |
     filters afterwards which can be hits. Scores are summed inside a task: postings are never shuffled.
     """
     rows = docs.withColumn("_hit", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)).select("id", "text", "_hit").filter("text is not null")
+    rows = spread(rows)
     out = None
     for block in _word_blocks(queries):
         terms = sorted({t for _, words in block for t in words})
