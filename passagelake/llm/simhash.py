@@ -7,6 +7,12 @@ shard's BK-tree goes, with the queries that can have a match in it, to one place
 sent where no query can match. A shard of more than SHARD fingerprints is dealt into parts by hash,
 a tree each, and each part's tree meets the queries of every part: that loses no pair and bounds
 both a tree and a task.
+
+dedup() has a measure and parameters of its own: exact Jaccard similarity of distinct five-word shingles,
+SIMILARITY or more. There fingerprints are some ten bits apart (12, deviation 3.1, for the shortest texts),
+where neither blocks of bits nor BK-trees cut anything, so its shards are MinHash bands: two texts at
+SIMILARITY share one of BANDS bands of ROWS values but for (1 - 0.8^5)^24 = 7e-5. Each text is first
+checked against its shard's pivot; then all pairs of a shard that the links found so far do not join.
 """
 
 from __future__ import annotations
@@ -29,28 +35,41 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of one tree at most.
 SHARD = 1024
+#: What dedup() takes for near-duplicates: Jaccard similarity of distinct shingles of so many words.
+SIMILARITY = 0.8
+NEAR_SHINGLE = 5
+BANDS, ROWS = 24, 5
+_MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of one text, unsigned; 0 for a null text or one without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each shingle of one text, in order; none for a null text or one without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(line[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, n)
+
+
+def _majority(h: np.ndarray) -> int:
+    n, ones = len(h), np.zeros(64, np.int64)
     for at in range(0, n, 65536):  # a very long text takes bounded memory
         part = h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of one text, unsigned; 0 for a null text or one without words."""
+    return _majority(shingle_hashes(text, shingle))
+
+
 @F.pandas_udf(T.LongType())
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
@@ -89,19 +108,11 @@ def hamming_links(codes: DataFrame, radius: int = RADIUS, shard: int = SHARD) ->
     dealt = rows.repartition("t", "k", "x", "y").sortWithinPartitions("t", "k", "x", "y", "fp")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
-        for batch in _and_end(batches):
-            now = batch if carry is None else carry if batch is None else pd.concat([carry, batch], ignore_index=True)
-            if now is None or not len(now):
-                continue
-            group = now.groupby(["t", "k", "x", "y"], sort=False).ngroup().to_numpy()
-            whole = np.ones(len(now), bool) if batch is None else group != group[-1]
-            carry = now[~whole].reset_index(drop=True)
-            if whole.any():
-                fp = now["fp"].to_numpy(np.int64)[whole]
-                root = spanning_links(fp.view(np.uint64), group[whole], now["tree"].to_numpy(bool)[whole], radius)
-                apart = root != np.arange(len(root))
-                yield pd.DataFrame({"a": fp[apart], "b": fp[root[apart]]})
+        for now, group in _groups(batches, ["t", "k", "x", "y"]):
+            fp = now["fp"].to_numpy(np.int64)
+            root = spanning_links(fp.view(np.uint64), group, now["tree"].to_numpy(bool), radius)
+            apart = root != np.arange(len(root))
+            yield pd.DataFrame({"a": fp[apart], "b": fp[root[apart]]})
 
     return dealt.mapInPandas(link, "a long, b long").distinct()
 
@@ -132,14 +143,141 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(of, "fp").select("doc_id", "text_key", "fp", "label", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each MinHash band of a set of shingle hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (_MULTIPLIERS[:, None] * h[None, at : at + 4096]).min(1))
+    rows = np.column_stack([np.arange(BANDS, dtype=np.uint64), least.reshape(BANDS, ROWS)])
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows), np.uint64, BANDS)
+
+
+@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        sets = [np.unique(shingle_hashes(t if isinstance(t, str) else None, NEAR_SHINGLE)) for t in texts]
+        node = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets), np.uint64, len(sets))
+        yield pd.DataFrame({"node": node.view(np.int64), "bands": [band_keys(h).view(np.int64) for h in sets]})
+
+
+@F.pandas_udf(T.BinaryType())
+def _shingle_set(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(shingle_hashes(t if isinstance(t, str) else None, NEAR_SHINGLE)).tobytes() for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.DoubleType())
+def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+    return pd.Series(out)
+
+
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (of left, of right) of sets with the Jaccard similarity or more, by products of incidence matrices."""
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    row, (_, column) = row[shared], np.unique(column[shared], return_inverse=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    wide = 2048
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        lo, hi = np.searchsorted(column, [at, at + wide])
+        part = np.zeros((len(sets), wide), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        both += part[left] @ part[right].T
+    whole = sizes[left][:, None] + sizes[right][None, :] - both
+    q, t = np.nonzero(both >= np.float64(similarity) * whole - 1e-9)
+    return left[q], right[t]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    met = pairs.join(one, "a").join(two, "b").withColumn("like", _jaccard("sa", "sb"))
+    return met.filter(F.col("like") >= similarity - 1e-12).select("a", "b")
+
+
+def _cross_links(members: DataFrame, similarity: float, shard: int) -> DataFrame:
+    """members (k, n, node, label, shingles) -> distinct (a, b): a shard's similar pairs with unlike labels."""
+    parts = F.ceil(F.col("n") / shard).cast("long")
+    dealt = members.withColumn("s", parts).withColumn("i", F.pmod(F.xxhash64("node", F.lit("part")), F.col("s")))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
+    rows = dealt.select("k", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("tree"), "node", "label", "shingles")
+    rows = rows.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "node")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for now, group in _groups(batches, ["k", "x", "y"]):
+            node, label, tree = now["node"].to_numpy(np.int64), now["label"].to_numpy(np.int64), now["tree"].to_numpy(bool)
+            sets = [np.frombuffer(x, np.uint64) for x in now["shingles"]]
+            for rows in np.split(np.arange(len(now)), np.flatnonzero(np.diff(group)) + 1):
+                left, right = np.arange(len(rows)), np.flatnonzero(tree[rows])
+                if not len(right) or (label[rows] == label[rows[0]]).all():
+                    continue
+                a, b = similar_pairs([sets[r] for r in rows], left, right, similarity)
+                a, b = rows[a], rows[b]
+                apart = label[a] != label[b]
+                links = pd.DataFrame({"a": label[a[apart]], "b": label[b[apart]]})
+                yield links.assign(a=links.max(axis=1), b=links.min(axis=1)).drop_duplicates()
+
+    return rows.mapInPandas(meet, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted batches, cut anew so that no group is parted: (rows, dense group numbers)."""
+    carry = None
+    for batch in _and_end(batches):
+        now = batch if carry is None else carry if batch is None else pd.concat([carry, batch], ignore_index=True)
+        if now is None or not len(now):
+            continue
+        group = now.groupby(by, sort=False).ngroup().to_numpy()
+        whole = np.ones(len(now), bool) if batch is None else group != group[-1]
+        carry = now[~whole].reset_index(drop=True)
+        if whole.any():
+            yield now[whole].reset_index(drop=True), group[whole]
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+    """docs -> (doc_id, text_key, label), a row for each row: texts linked by pairs of at least the similarity
+    have the same label. Texts with the same set of shingles are one node; null and wordless texts are such."""
+    small_batches(docs.sparkSession)
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), _sketches(text).alias("s"))
+    own = materialize(own.select("doc_id", "text_key", "s.node", "s.bands"), "near-sketches")
+    classes = materialize(own.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("bands").alias("bands")), "near-classes")
+    keyed = classes.select("node", F.explode("bands").alias("k"))
+    full = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    members = materialize(keyed.join(full, "k"), "near-members")
+    wanted = members.select("node").distinct().join(classes.select("node", "text_key"), "node")
+    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(wanted, "text_key")
+    texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    sets = materialize(texts.select("node", _shingle_set("text").alias("shingles")), "near-sets")
+    star = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    labels = materialize(components(_similar(star, sets, similarity), "near-components"), "near-labels")
+    wide = members.filter("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    wide = materialize(wide, "near-wide")
+    mixed = wide.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k")
+    more = _cross_links(wide.join(mixed, "k").join(sets, "node"), similarity, shard)
+    links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
+    labels = materialize(components(links, "near-components"), "near-labels")
+    return own.join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("label"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays.
 
+    Near-duplicates share at least `similarity` of their distinct five-word shingles (Jaccard).
     All columns of docs are kept, whatever their names. Of a component without any id the row with
     the smallest text_key stays; of rows that repeat an id and text, one stays (which of rows that
     differ only in other columns: the smallest by those columns' hash).
     """
-    of = simhash_components(docs, id_col, text_col, radius)
+    of = near_components(docs, id_col, text_col, similarity)
     best = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
     best = materialize(best.select(_row_key(F.col("best.doc_id"), F.col("best.text_key")).alias("key")), "simhash-kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(F.col(id_col), F.xxhash64(F.col(text_col))).alias("key"))

@@ -308,3 +308,31 @@ def test_targets_share_the_excess(spark):
     got = {r.source: r.target for r in mixing.targets(df).collect()}
     assert got == {"a": 20.0, "b": pytest.approx(295 * 2 / 3), "c": pytest.approx(295 / 3), None: 0.0} or sum(got.values()) == pytest.approx(315)
     assert all(t <= 2 * s for t, s in zip([got["a"], got["b"], got["c"]], [10, 100, 100]))
+
+
+def test_dedup_finds_all_pairs_at_the_similarity(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    texts = []
+    for n, m, times in ((9, 1, 10), (60, 1, 10), (100, 2, 10), (200, 2, 10), (200, 4, 10), (400, 4, 10), (1000, 8, 5)):
+        for _ in range(times):
+            base = [word() for _ in range(n)]
+            texts.append(base)
+            for _ in range(3):
+                texts.append([*base])
+                for p in rng.sample(range(n), m):
+                    texts[-1][p] = word()
+    texts += [["one", "line", "of", "six", "words", "again"] * 20 + [word() for _ in range(30)] for _ in range(3)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    label = list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 150
+    for _ in range(4):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for shard in (2, 1024):
+        assert len({(label[r.doc_id], r.label) for r in simhash.near_components(df, shard=shard).collect()}) == len(set(label))
+    assert {r.doc_id for r in simhash.dedup(df).collect()} == set(label)
