@@ -13,7 +13,11 @@ of the item) word edits of the item. Words compare in lower case and without ASC
 3. Bit sampling. A repetition compares SAMPLES positions of the embedding by hash. A window meets all
    items of its size with the same hash, not just those of its run. REPEATS repetitions, each with
    its own walk and positions, reach the target recall.
-4. Each pair (document, item) met is verified by exact edit distance of the item to the best run of
+4. Counting. The chance that a walk stays in step falls with length and edits, so sampling alone
+   misses long, much edited items. An edit spoils at most g of an item's n - g + 1 runs of g words, so
+   a match holds n - g + 1 - k g of them at least, within 2k places of one another's alignment. A window
+   with so many is met too: that loses no match, whatever the item's length.
+5. Each pair (document, item) met is verified by exact edit distance of the item to the best run of
    words around the window (Myers' bit-vector algorithm), so nothing wrong is reported.
 """
 
@@ -123,10 +127,11 @@ class Items:
                 self.ids.append(i)
                 self.words.append([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w])
                 self.edits.append(most_edits(len(w), similarity))
-        self.seeds = {}
+        self.seeds, least = {}, []
         rows: dict[int, list] = {}
         for t, (w, k) in enumerate(zip(self.words, self.edits)):
             g = min(SEED, -(-(len(w) - k) // (k + 1)))
+            least.append(len(w) - g + 1 - k * g)
             rows.setdefault(g, []).extend((self._gram(np.array(w[q : q + g])[None, :])[0], t, q) for q in range(len(w) - g + 1))
         for g, r in rows.items():
             r.sort()
@@ -136,6 +141,7 @@ class Items:
             near[(keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
             self.seeds[g] = keys, np.append(first, len(r)), np.array([x[1] for x in r]), np.array([x[2] for x in r]), near
         self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.spare, self.least = np.array(self.edits, np.int64), np.maximum(1, np.array(least, np.int64))
         self.buckets = []
         if len(self.sizes):
             wide = np.full((len(self.sizes), self.sizes.max()), -1)
@@ -157,13 +163,12 @@ class Items:
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, c].astype(np.uint64))
         return h
 
-    def windows(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start, size) of the item-sized windows around runs that an item shares.
+    def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item, begin) of each run that an item shares: where the item would start, and its document does.
 
-        words: ids of the vocabulary, 0 elsewhere; doc: which document each word is of. A window that
-        would begin before its document begins at the document's first word.
+        words: ids of the vocabulary, 0 elsewhere; doc: which document each word is of.
         """
-        found = []
+        found = [np.zeros((3, 0), np.int64)]
         for g, (keys, first, item, place, near) in self.seeds.items():
             if len(words) < g:
                 continue
@@ -182,22 +187,36 @@ class Items:
             n = first[slot + 1] - first[slot]
             row = np.repeat(first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
             begins = np.searchsorted(doc, doc[np.repeat(at, n)])
-            found.append(np.stack([np.maximum(np.repeat(at, n) - place[row], begins), self.sizes[item[row]]]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        start, size = np.unique(np.concatenate(found, axis=1), axis=1)
+            found.append(np.stack([np.repeat(at, n) - place[row], item[row], begins]))
+        start, item, begin = np.concatenate(found, axis=1)
+        return start, item, begin
+
+    def windows(self, start: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (start, size) of the item-sized windows around hits. A window that would begin
+        before its document begins at the document's first word."""
+        start, size = np.unique(np.stack([np.maximum(start, begin), self.sizes[item]]), axis=1)
         return start, size
 
+    def counted(self, start: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Distinct (start, item) of hits that begin as many of the item's hits, within 2k starts, as a match must hold."""
+        order = np.lexsort((start, begin, item))
+        start, item, begin = start[order], item[order], begin[order]
+        last = np.arange(len(start)) + self.least[item] - 1
+        there = np.minimum(last, len(start) - 1)
+        enough = (last < len(start)) & (item[there] == item) & (begin[there] == begin) & (start[there] - start <= 2 * self.spare[item])
+        return np.unique(np.stack([np.maximum(start, begin), item])[:, enough], axis=1)
+
     def meet(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start, item) of windows that share a bucket with an item."""
-        start, size = self.windows(words, doc)
+        """Distinct (start, item), by item, of windows that share a bucket or enough runs with an item."""
+        hits = self.hits(words, doc)
+        start, size = self.windows(*hits)
         if not len(start):
             return start, size
         ends = np.searchsorted(doc, doc[start], side="right")
         place = start[:, None] + np.arange(size.max())[None, :]
         inside = place < np.minimum(start + size, ends)[:, None]  # a window stops with its document
         hashes = self._sized(cgk_hashes(np.where(inside, words[np.minimum(place, len(words) - 1)], -1), size), size)
-        out = []
+        out = [self.counted(*hits)]
         for (keys, order), h in zip(self.buckets, hashes.T):
             lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
             n = hi - lo
@@ -205,8 +224,19 @@ class Items:
             n = n[hit]
             row = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
             out.append(np.stack([np.repeat(start[hit], n), order[row]]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pairs[0], pairs[1]
+        item, start = np.unique(np.concatenate(out, axis=1)[::-1], axis=1)
+        return start, item
+
+    def regions(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, from, to): what must be verified, where regions of an item overlap as one."""
+        start, item = self.meet(words, doc)
+        if not len(start):
+            return
+        k, n = self.spare[item], self.sizes[item]
+        lo = np.maximum(np.searchsorted(doc, doc[start]), start - k)
+        hi = np.minimum(np.searchsorted(doc, doc[start], side="right"), start + n + k)
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[start[1:]] != doc[start[:-1]]) | (lo[1:] > hi[:-1])]))
+        yield from zip(doc[start[new]].tolist(), item[new].tolist(), lo[new].tolist(), np.maximum.reduceat(hi, new).tolist())
 
     def search(self, texts: list) -> list[tuple[int, int, int, int]]:
         """-> (row, item, edits, end word) of the best match of each item in each text."""
@@ -217,16 +247,13 @@ class Items:
             if held and self.ids:
                 words = np.concatenate([w for _, w in held])
                 rows = np.repeat(np.array([r for r, _ in held]), [len(w) for _, w in held])
-                for s, t in zip(*self.meet(words, rows)):
-                    s, t = int(s), int(t)
+                for row, t, lo, hi in self.regions(words, rows):
                     k, n = self.edits[t], len(self.words[t])
-                    row = int(rows[s])
-                    first = int(np.searchsorted(rows, row))
-                    stop = int(np.searchsorted(rows, row, side="right"))
-                    lo, hi = max(first, s - k), min(stop, s + n + k)
+                    if best.get((row, t), (1, 0))[0] == 0:  # regions go forward: no better match, no earlier end
+                        continue
                     d, end = best_run(self.words[t], words[lo:hi].tolist())
                     if d <= k:
-                        best[row, t] = min(best.get((row, t), (n + 1, 0)), (d, lo - first + end))
+                        best[row, t] = min(best.get((row, t), (n + 1, 0)), (d, lo - int(np.searchsorted(rows, row)) + end))
             held.clear()
 
         for i, text in enumerate(texts):

@@ -336,3 +336,20 @@ def test_dedup_finds_all_pairs_at_the_similarity(spark):
     for shard in (2, 1024):
         assert len({(label[r.doc_id], r.label) for r in simhash.near_components(df, shard=shard).collect()}) == len(set(label))
     assert {r.doc_id for r in simhash.dedup(df).collect()} == set(label)
+
+
+@pytest.mark.parametrize("size", [50, 100, 200, 400, 800])
+def test_recall_of_long_items_at_the_bound(size):
+    import random
+
+    rng = random.Random(size)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(size)] for _ in range(10)]
+    block = decontaminate.Items(list(range(10)), [" ".join(w) for w in items])
+    for t in range(10):
+        w = [*items[t]]
+        for _ in range(block.edits[t]):
+            p, how = rng.randrange(len(w)), rng.random()
+            w[p : p + 1] = ["x"] if how < 0.34 else [w[p], "y"] if how < 0.67 else []
+        text = [f"w{rng.randrange(3000)}" for _ in range(300)] + w + ["right"] * 9
+        best = lowest_distance(items[t], text)
+        assert [x[2] for x in block.search(["w1 w2 w3", " ".join(text)]) if x[:2] == (1, t)] == [best]
