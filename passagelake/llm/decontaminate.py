@@ -1,7 +1,9 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact check.
 
 An item matches a document where some run of the document's words is within (1 - similarity) x (words
-of the item) word edits of the item. Words compare in lower case and without ASCII punctuation.
+of the item) word edits of the item. Words compare in lower case and without ASCII punctuation. Scripts
+that set no spaces between words (Chinese, Japanese, Thai, Lao, Khmer, Burmese and others) are cut into
+characters, each a word. An item of under five words allows no edit: it is looked up as it stands.
 
 1. Windows. k edits cut an item of n words into at most k + 1 pieces that appear unchanged, so any
    match holds a run of ceil((n - k) / (k + 1)) of the item's words. Each such run (of SEED words at
@@ -23,6 +25,7 @@ of the item) word edits of the item. Words compare in lower case and without ASC
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 SIMILARITY = 0.8
-#: Items of fewer words are no passages: they are not looked for.
-MIN_WORDS = 5
+#: Items of fewer words are not looked for.
+MIN_WORDS = 1
 SEED = 3
 SAMPLES = 3
 REPEATS = 24
@@ -44,10 +47,20 @@ BLOCK_WORDS = 1_000_000
 #: Words of the documents that are looked at together.
 CHUNK = 400_000
 _DROP = string.punctuation.encode()
+#: Characters of scripts without spaces between words, and the punctuation that goes with them.
+_UNSPACED = re.compile(
+    "([\u0e00-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u17db-\u17ff\u1950-\u19df\u1a20-\u1aad\u2e80-\u2fd5\u3005-\u3007\u3021-\u302f\u3031-\u3035\u3038-\u303c\u3041-\u309f\u30a1-\u30fa\u30fc-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\ua9e0-\ua9fe\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff])"
+)
+_STOPS = re.compile("[\u0f0b-\u0f14\u104a-\u104f\u17d4-\u17da\u3000-\u3003\u3008-\u3020\u3030\u303d\u30a0\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def normal_words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DROP).split()
+    text = (text or "").lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:  # only then can it hold such a script
+        text = _UNSPACED.sub(r" \1 ", _STOPS.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(None, _DROP).split()
 
 
 def most_edits(n: int, similarity: float) -> int:
@@ -123,7 +136,7 @@ class Items:
         self.ids, self.words, self.edits = [], [], []
         for i, t in zip(ids, texts):
             w = normal_words(t)
-            if len(w) >= min_words:
+            if len(w) >= max(1, min_words):
                 self.ids.append(i)
                 self.words.append([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w])
                 self.edits.append(most_edits(len(w), similarity))
@@ -273,7 +286,7 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t is not null").orderBy("i", "t").toLocalIterator()
     ids, texts, n = [], [], 0
     for r in rows:
-        w = len(r.t.split())
+        w = len(normal_words(r.t))
         if ids and n + w > block_words:
             yield ids, texts
             ids, texts, n = [], [], 0
@@ -300,7 +313,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """-> (doc_id, item_id, edits, similarity, end_word), a row for each document and item it holds.
 
     The best match counts: the fewest word edits, then the earliest end. Null or empty texts hold
-    nothing; null or too short items are not looked for; repeated items and documents give a row
+    nothing; null items, those without words and those under min_words are not looked for; repeated items and documents give a row
     each; a null id is returned as null. Other columns are not read. Empty tables give no row.
     """
     small_batches(docs.sparkSession)

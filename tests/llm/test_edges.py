@@ -152,3 +152,23 @@ def test_many_of_one_key(spark):
     base = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the very same words over again").otherwise(F.concat_ws(" ", F.sha1(F.col("id").cast("string")), F.md5(F.col("id").cast("string")), F.lit("tail"))).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"), F.lit(1).cast("long").alias("n_chars"))
     assert simhash.dedup(base).count() == 2001
     assert mixing.mix_counts(base).groupBy("source").agg((F.sum("taken") - F.floor(F.first("target"))).alias("d")).filter("d <> 0").count() == 0
+
+
+def test_decontamination_of_short_and_unspaced_items(spark):
+    passage = "今天天气很好我们一起去公园散步然后回家吃饭休息"
+    items = [(1, "Who was she?"), (2, "forty-two"), (3, passage), (4, "วันนี้อากาศดีมากเราไปเดินเล่นกัน"), (5, "?!"), (6, "吃饭。"), (7, "a b c d")]
+    rows = [
+        (1, "They asked: who was she, then?"),
+        (2, "they asked who was he, she"),
+        (3, "It is fortytwo."),
+        (4, "It is fortytwofold"),
+        (5, "前言。" + passage[:9] + "，" + passage[9:] + "！后记"),
+        (6, passage[:5] + "他" + passage[6:15] + passage[16:]),
+        (7, passage[:8] + passage[15:]),
+        (8, "เขาพูดว่าวันนี้อากาศดีมากเราไปเดินเล่นกันนะ"),
+        (9, "a b c"),
+        (10, "x a b c d a b c d"),
+    ]
+    got = {(r.doc_id, r.item_id): (r.edits, r.end_word) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (6, 3), (8, 4), (5, 6), (6, 6), (7, 6), (10, 7)}
+    assert got[6, 3][0] == 2 and got[5, 3][0] == 0 and got[10, 7] == (0, 5)
