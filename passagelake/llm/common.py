@@ -9,15 +9,16 @@ from ..scratch import discard, materialize, scratch_path, scratch_root  # noqa:
 
 #: A word of the contracts: a run of anything but the ASCII white space 09-0D and 20.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Arrow batches hold at most so many rows, so a batch of very long texts stays small.
-BATCH_ROWS = 1000
+#: Arrow batches hold at most so many rows and, but for a longer row, so many bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(key)).removesuffix("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:

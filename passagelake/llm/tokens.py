@@ -10,12 +10,14 @@ never read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,12 @@ LENGTH = 2048
 END = 2
 #: Rows of a record batch.
 BATCH = 128
-#: Distinct pieces whose ids a worker keeps; then it starts anew.
-CACHE = 1_000_000
+#: Bytes that the pieces known to one worker take, about.
+CACHE_BYTES = 64 << 20
+#: Bytes that a known piece takes beside its string: a place in a table, a number, its ids.
+PIECE_BYTES = 160
+#: Pieces that are encoded together, about; a longer text is encoded in parts.
+RUN = 1 << 17
 #: White space as the pre-tokenizer's \s has it, letters that it surely takes as such, common marks.
 _SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _LETTER = "A-Za-z" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))))
@@ -39,13 +45,90 @@ _MARK = r".,;:!?#$%&*|"
 #: letter; those are a piece too. No pre-token crosses such a boundary, so a text's ids are its pieces' ids
 #: in a row.
 _PIECE = re.compile(f"[{_SPACE}]*+[^{_SPACE}{_MARK}]++(?:(?=[{_SPACE}]|\\Z)|(?<=[{_LETTER}])(?=[{_MARK}]))|[{_MARK}]++(?=[{_SPACE}]|\\Z)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_PLAIN = re.compile(f" ?[{_LETTER}]+")
+#: The alphabet of byte-level tokenizers: printable Latin-1 stands for itself, other bytes for 256, 257, ... in turn.
+_BYTE = dict(zip([b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)], map(chr, range(256, 512))))
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Pieces(dict):
+    """piece -> its number; the ids of all pieces in one array. A new piece gets the next number and waits in `fresh`."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.ids, self.starts, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(0, np.int64)
+        self.done = self.used = self.bytes = 0
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the next pieces, by number."""
+        k, n = self.done + len(lengths), len(ids)
+        while self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while k + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used : self.used + n] = ids
+        self.starts[self.done + 1 : k + 1] = self.used + np.cumsum(lengths)
+        self.used, self.done = self.used + n, k
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """-> (the ids of pieces in a row, how many each has)."""
+        starts = self.starts[at]
+        lengths = self.starts[at + 1] - starts
+        starts[1:] -= np.cumsum(lengths)[:-1]
+        return self.ids[np.repeat(starts, lengths) + np.arange(lengths.sum())], lengths
+
+    def count(self, at: np.ndarray) -> None:
+        new = np.bincount(at, minlength=len(self))
+        new[: len(self.uses)] += self.uses
+        self.uses = new
+
+    def favourites(self) -> "_Pieces":
+        """The half that was used most."""
+        out = _Pieces()
+        at = np.sort(np.argsort(-self.uses, kind="stable")[: len(self) // 2])
+        every = list(self)
+        held = [every[i] for i in at.tolist()]
+        out.update(zip(held, range(len(held))))
+        out.add(*self.gather(at))
+        out.uses, out.bytes = self.uses[at] // 2, _size(held)
+        return out
+
+
+def _size(pieces: list[str]) -> int:
+    return sum(map(sys.getsizeof, pieces)) + PIECE_BYTES * len(pieces)
+
+
+def _runs(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+    """The texts' pieces in runs of about RUN, each with the places in it where a text ends."""
+    pieces, ends = [], []
+    for t in texts:
+        if t and len(t) > RUN:
+            for m in _PIECE.finditer(t):
+                pieces.append(m[0])
+                if len(pieces) >= RUN:
+                    yield pieces, ends
+                    pieces, ends = [], []
+        elif t:
+            pieces += _PIECE.findall(t)
+        ends.append(len(pieces))
+        if len(pieces) >= RUN:
+            yield pieces, ends
+            pieces, ends = [], []
+    if ends:
+        yield pieces, ends
+
+
 class Encoder:
-    """Encodes whole texts with the tokenizers library, each distinct piece once.
+    """Encodes whole texts with the tokenizers library.
 
-    Holds for byte-level tokenizers whose pre-tokenizer splits before white space and adds no prefix.
+    A byte-level tokenizer whose pre-tokenizer splits before white space and adds no prefix gets each
+    distinct piece once, as long as it is known: at CACHE_BYTES the half of the known pieces that was
+    used least is forgotten. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -53,11 +136,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
-        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not (t[1].lstrip or t[1].rstrip or t[1].single_word or t[1].normalized)]
-        self.parting_id, self.parting = (special[0][0], special[0][1].content) if special else (None, None)
-        self.forget()
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        split = plan.get("pre_tokenizer") or {}
+        added = [t for t in plan.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or _PIECE.findall(t["content"]) != [t["content"]]]
+        self.by_piece = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and plan.get("normalizer") is None and not added and not plan.get("truncation")
+        special = [t for t in plan.get("added_tokens", []) if t["special"]] if self.by_piece else []
+        self.parting_id, self.parting = (special[0]["id"], special[0]["content"]) if special else (None, None)
+        self.known = _Pieces()
 
     @staticmethod
     def at(path: str) -> "Encoder":
@@ -65,58 +152,61 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.starts = np.zeros(1 << 17, np.int64)
-        self.used = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces go to the library by the thousand, parted by a special token: it cuts the text before
-        anything else does, and its id, which no ordinary text gives, tells where a piece ends."""
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            if self.parting and not any(self.parting in p for p in part):
-                self.tokenizer.encode_special_tokens = False
-                whole = self.tokenizer.encode_batch_fast([self.parting.join(part)], add_special_tokens=False)[0]
-                self.tokenizer.encode_special_tokens = True
-                ids = np.asarray(whole.ids, np.uint32)
-                ends = np.append(np.flatnonzero(ids == self.parting_id), len(ids))
-                lengths, ids = np.diff(ends, prepend=-1) - 1, ids[ids != self.parting_id]
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A piece of plain letters is one pre-token, which the library's model takes as it is, in the alphabet
+        that stands for bytes. Others go to the library by the thousand, parted by a special token: it cuts
+        the text before anything else does, and its id, which no other text gives, tells where a piece ends."""
+        cut, each, others = self.tokenizer.model.tokenize, [], []
+        for p in pieces:
+            if not _PLAIN.fullmatch(p):
+                others.append(len(each))
+                each.append(())
+            elif p.isascii():
+                each.append([t.id for t in cut("\u0120" + p[1:] if p[0] == " " else p)])
             else:
-                each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                lengths, ids = np.array([len(x) for x in each]), np.array([x for e in each for x in e], np.uint32)
-            k, n = len(self.known), len(ids)
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while k + len(part) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.ids[self.used : self.used + n] = ids
-            self.starts[k + 1 : k + 1 + len(part)] = self.used + np.cumsum(lengths)
-            self.used += n
-            self.known.update(zip(part, range(k, k + len(part)), strict=True))
+                each.append([t.id for t in cut(p.encode().decode("latin-1").translate(_BYTE))])
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
+            for i, ids in zip(part, self._parted([pieces[i] for i in part])):
+                each[i] = ids
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _parted(self, pieces: list[str]) -> list[list[int]]:
+        if self.parting and not any(self.parting in p for p in pieces):
+            ids = self.tokenizer.encode_batch_fast([self.parting.join(pieces)], add_special_tokens=False)[0].ids
+            ends = [-1, *(i for i, x in enumerate(ids) if x == self.parting_id), len(ids)]
+            return [ids[i + 1 : j] for i, j in zip(ends, ends[1:])]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.known.bytes > CACHE_BYTES:
+            self.known = self.known.favourites()
+        known = self.known
+        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        if known.fresh:
+            known.add(*self._learn(known.fresh))
+            known.bytes += _size(known.fresh)
+            known.fresh = []
+        known.count(at)
+        return known.gather(at)
 
     def encode(self, texts: list[str | None], end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
         """-> (ids of all texts in a row, ids of each text), each text ended with `end`."""
-        if len(self.known) > CACHE:
-            self.forget()
-        pieces = [_PIECE.findall(t) if t else [] for t in texts]
-        every = list(chain.from_iterable(pieces))
-        flat = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.flatnonzero(flat < 0)
-        if len(missing):
-            fresh = [every[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(fresh)))
-            flat[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
-        lengths = self.starts[flat + 1] - self.starts[flat]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.ids[np.repeat(self.starts[flat] - before[:-1], lengths) + np.arange(before[-1])]
-        cuts = before[np.cumsum([len(ps) for ps in pieces], dtype=np.int64)] if pieces else np.zeros(0, np.int64)
-        counts = np.diff(cuts, prepend=0)
-        if end is not None:
-            ids = np.insert(ids, cuts, end)
-            counts = counts + 1
-        return ids.astype(np.uint32), counts
+        ids, counts, begun = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        if not self.by_piece:
+            for t in texts:
+                ids.append(np.asarray(self.tokenizer.encode(t or "", add_special_tokens=False).ids + ([] if end is None else [end]), np.uint32))
+            return np.concatenate(ids), np.array([len(x) for x in ids[1:]], np.int64)
+        for pieces, ends in _runs(texts):
+            got, lengths = self._ids(pieces)
+            cuts = np.concatenate([[0], np.cumsum(lengths)])[ends].astype(np.int64)
+            n = np.diff(cuts, prepend=-begun)
+            begun = len(got) - int(cuts[-1]) if len(cuts) else begun + len(got)
+            if end is not None:
+                got, n = np.insert(got, cuts, end), n + 1
+            ids.append(got)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 def _schema(length: int, dtype: pa.DataType) -> pa.Schema:
@@ -229,6 +319,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     dealt = placed.repartitionByRange(partitions(spark), "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # a worker that wrote before needs its pieces no more
         for batch in batches:
             for s in batch.to_pylist():
                 yield from _read_shard(s)
