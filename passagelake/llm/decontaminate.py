@@ -5,26 +5,29 @@ of the item) word edits of the item. Words compare in lower case and without ASC
 that set no spaces between words (Chinese, Japanese, Thai, Lao, Khmer, Burmese and others) are cut into
 characters, each a word. An item of under five words allows no edit: it is looked up as it stands.
 
-1. Windows. k edits cut an item of n words into at most k + 1 pieces that appear unchanged, so any
-   match holds a run of ceil((n - k) / (k + 1)) of the item's words. Each such run (of SEED words at
-   most) anchors the item-sized window that lies as the item would around it. Windows without a
-   run cannot match, so leaving them out loses nothing.
+1. Windows. k edits spoil at most k of k + 1 runs of an item's words that don't overlap, so any match holds
+   one of them. Of all such choices of runs of min(SEED, ceil((n - k) / (k + 1))) words the one that fewest
+   other items share is taken, so openings that thousands of items have in common are not looked for.
+   Each run found anchors the item-sized window that lies as the item would around it. Windows without
+   a run cannot match, so leaving them out loses nothing.
 2. CGK (Chakraborty, Goldenberg, Koucky, STOC 2016). A window is walked through for 3n steps; each
    step writes the word under the pointer, and a random bit of (repetition, step, word) says whether the
    pointer moves. Strings at a small edit distance get embeddings at a small Hamming distance.
-3. Bit sampling. A repetition compares SAMPLES positions of the embedding by hash. A window meets all
-   items of its size with the same hash, not just those of its run. REPEATS repetitions, each with
-   its own walk and positions, reach the target recall.
+3. Bit sampling. A repetition compares SAMPLES positions of the embedding by hash. A window meets the
+   item whose run anchored it if a repetition's hashes agree. REPEATS repetitions, each with its own
+   walk and positions, reach the target recall. An opening that many items share does not make them meet
+   one another's windows.
 4. Counting. The chance that a walk stays in step falls with length and edits, so sampling alone
    misses long, much edited items. An edit spoils at most g of an item's n - g + 1 runs of g words, so
-   a match holds n - g + 1 - k g of them at least, within 2k places of one another's alignment. A window
-   with so many is met too: that loses no match, whatever the item's length.
+   a match holds n - g + 1 - k g of them at least. An anchored item with so many around its window is
+   met too: that loses no match, whatever the item's length.
 5. Each pair (document, item) met is verified by exact edit distance of the item to the best run of
    words around the window (Myers' bit-vector algorithm), so nothing wrong is reported.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import string
 from collections.abc import Iterator
@@ -128,6 +131,31 @@ def best_run(item: list, region: list) -> tuple[int, int]:
     return best, end
 
 
+def _slices(n: np.ndarray, most: int = 1 << 21) -> Iterator[slice]:
+    """Consecutive slices of rows, of so many elements together at most; a larger row is a slice alone."""
+    upto, at = np.cumsum(n), 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, end)
+        at = end
+
+
+def rarest(cost: np.ndarray, width: int, many: int) -> list[int]:
+    """The starts of `many` runs of `width` that don't overlap and cost least together; cost: of the run at each place."""
+    best, chosen = np.zeros(len(cost) + width), []
+    for _ in range(many):  # best[i]: the least that so many runs cost inside the first i places; chosen: the last run's start
+        ends = best[: len(cost)] + cost
+        low = np.minimum.accumulate(ends)
+        at = np.maximum.accumulate(np.where(np.append(True, low[1:] < low[:-1]), np.arange(len(cost)), 0))
+        chosen.append(at)
+        best = np.concatenate([np.full(width, np.inf), low])
+    out, upto = [], len(cost)
+    for at in reversed(chosen):
+        out.append(int(at[upto - 1]))
+        upto = out[-1] - width + 1
+    return out[::-1]
+
+
 class Items:
     """A block of benchmark items, ready for search."""
 
@@ -140,34 +168,35 @@ class Items:
                 self.ids.append(i)
                 self.words.append([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w])
                 self.edits.append(most_edits(len(w), similarity))
-        self.seeds, least = {}, []
-        rows: dict[int, list] = {}
-        for t, (w, k) in enumerate(zip(self.words, self.edits)):
-            g = min(SEED, -(-(len(w) - k) // (k + 1)))
+        self.seeds, self.own, least = {}, {}, []
+        every: list[np.ndarray] = []
+        self.run = [min(SEED, -(-(len(w) - k) // (k + 1))) for w, k in zip(self.words, self.edits)]
+        for w, k, g in zip(self.words, self.edits, self.run):
             least.append(len(w) - g + 1 - k * g)
-            rows.setdefault(g, []).extend((self._gram(np.array(w[q : q + g])[None, :])[0], t, q) for q in range(len(w) - g + 1))
-        for g, r in rows.items():
-            r.sort()
+            every.append(self._gram(np.lib.stride_tricks.sliding_window_view(np.array(w), g)))
+        for g in sorted(set(self.run)):
+            own = [t for t, x in enumerate(self.run) if x == g]
+            keys, shared = np.unique(np.concatenate([np.unique(every[t]) for t in own]), return_counts=True)
+            self.own[g] = np.unique(np.concatenate([self._of_item(every[t], np.full(len(every[t]), t)) for t in own]))
+            place = {t: rarest(shared[np.searchsorted(keys, every[t])], g, self.edits[t] + 1) for t in own}
+            r = sorted((int(every[t][q]), t, q) for t in own for q in place[t])
             grams = np.array([x[0] for x in r], np.uint64)
             keys, first = np.unique(grams, return_index=True)
             near = np.zeros(1 << 18, bool)
             near[(keys & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
             self.seeds[g] = keys, np.append(first, len(r)), np.array([x[1] for x in r]), np.array([x[2] for x in r]), near
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.sizes, self.run = np.array([len(w) for w in self.words], np.int64), np.array(self.run, np.int64)
         self.spare, self.least = np.array(self.edits, np.int64), np.maximum(1, np.array(least, np.int64))
-        self.buckets = []
+        self.hashes = np.zeros((0, REPEATS), np.uint64)
         if len(self.sizes):
-            wide = np.full((len(self.sizes), self.sizes.max()), -1)
-            for i, w in enumerate(self.words):
-                wide[i, : len(w)] = w
-            hashes = self._sized(cgk_hashes(wide, self.sizes), self.sizes)
-            for h in hashes.T:
-                order = np.argsort(h, kind="stable")
-                self.buckets.append((h[order], order))
-
-    @staticmethod
-    def _sized(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return _mix(h + sizes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
+            order = np.argsort(self.sizes, kind="stable")
+            self.hashes = np.zeros((len(order), REPEATS), np.uint64)
+            for cut in _slices(self.sizes[order]):
+                own = order[cut]
+                wide = np.full((len(own), self.sizes[own].max()), -1)
+                for i, t in enumerate(own):
+                    wide[i, : len(self.words[t])] = self.words[t]
+                self.hashes[own] = cgk_hashes(wide, self.sizes[own])
 
     @staticmethod
     def _gram(rows: np.ndarray) -> np.ndarray:
@@ -204,39 +233,47 @@ class Items:
         start, item, begin = np.concatenate(found, axis=1)
         return start, item, begin
 
-    def windows(self, start: np.ndarray, item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start, size) of the item-sized windows around hits. A window that would begin
-        before its document begins at the document's first word."""
-        start, size = np.unique(np.stack([np.maximum(start, begin), self.sizes[item]]), axis=1)
-        return start, size
-
-    def counted(self, start: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Distinct (start, item) of hits that begin as many of the item's hits, within 2k starts, as a match must hold."""
-        order = np.lexsort((start, begin, item))
-        start, item, begin = start[order], item[order], begin[order]
-        last = np.arange(len(start)) + self.least[item] - 1
-        there = np.minimum(last, len(start) - 1)
-        enough = (last < len(start)) & (item[there] == item) & (begin[there] == begin) & (start[there] - start <= 2 * self.spare[item])
-        return np.unique(np.stack([np.maximum(start, begin), item])[:, enough], axis=1)
+    def counted(self, words: np.ndarray, doc: np.ndarray, start: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Distinct (start, item) of hits around which as many of the item's runs lie as a match must hold."""
+        item, start, begin = np.unique(np.stack([item, np.maximum(start, begin), begin]), axis=1)
+        end = np.minimum(start + self.sizes[item] + self.spare[item], np.searchsorted(doc, doc[start], side="right"))
+        lo = np.maximum(begin, start - self.spare[item])
+        enough = np.zeros(len(start), bool)
+        for g in self.seeds:
+            rows = np.flatnonzero(self.run[item] == g)
+            runs = self._gram(np.lib.stride_tricks.sliding_window_view(words, g)) if len(rows) else None
+            n = end[rows] - g + 1 - lo[rows]
+            for cut in _slices(n):
+                part, many = rows[cut], n[cut]
+                first = np.cumsum(many) - many
+                at = np.repeat(lo[part] - first, many) + np.arange(many.sum())
+                keys = self._of_item(runs[at], np.repeat(item[part], many))
+                slot = np.minimum(np.searchsorted(self.own[g], keys), len(self.own[g]) - 1)
+                enough[part] = np.add.reduceat(self.own[g][slot] == keys, first, dtype=np.int64) >= self.least[item[part]]
+        return np.stack([start, item])[:, enough]
+
+    @staticmethod
+    def _of_item(runs: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return _mix(runs + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def meet(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start, item), by item, of windows that share a bucket or enough runs with an item."""
-        hits = self.hits(words, doc)
-        start, size = self.windows(*hits)
+        """Distinct (start, item), by item, of windows that agree in a repetition or share enough runs with their item.
+        A window that would begin before its document begins at the document's first word."""
+        start, item, begin = self.hits(words, doc)
         if not len(start):
-            return start, size
-        ends = np.searchsorted(doc, doc[start], side="right")
-        place = start[:, None] + np.arange(size.max())[None, :]
-        inside = place < np.minimum(start + size, ends)[:, None]  # a window stops with its document
-        hashes = self._sized(cgk_hashes(np.where(inside, words[np.minimum(place, len(words) - 1)], -1), size), size)
-        out = [self.counted(*hits)]
-        for (keys, order), h in zip(self.buckets, hashes.T):
-            lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
-            n = hi - lo
-            hit = np.flatnonzero(n)
-            n = n[hit]
-            row = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
-            out.append(np.stack([np.repeat(start[hit], n), order[row]]))
+            return start, item
+        out = [self.counted(words, doc, start, item, begin)]
+        item, start = np.unique(np.stack([item, np.maximum(start, begin)]), axis=1)
+        (size, place), window = np.unique(np.stack([self.sizes[item], start]), axis=1, return_inverse=True)
+        ends = np.minimum(place + size, np.searchsorted(doc, doc[place], side="right"))  # a window stops with its document
+        hashes = np.empty((len(size), REPEATS), np.uint64)
+        for cut in _slices(size):
+            at = place[cut, None] + np.arange(size[cut].max())[None, :]
+            hashes[cut] = cgk_hashes(np.where(at < ends[cut, None], words[np.minimum(at, len(words) - 1)], -1), size[cut])
+        for at in range(0, len(item), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            alike = (hashes[window[some]] == self.hashes[item[some]]).any(1)
+            out.append(np.stack([start[some][alike], item[some][alike]]))
         item, start = np.unique(np.concatenate(out, axis=1)[::-1], axis=1)
         return start, item
 
@@ -297,14 +334,20 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield ids, texts
 
 
+_prepared: dict[str, "Items"] = {}
+
+
 def _scan(block: tuple[list, list], similarity: float, min_words: int):
-    """A function that searches a worker's texts; the items are prepared once a task."""
-    made = []
+    """A function that searches a worker's texts; a worker prepares a block of items once and keeps the last one."""
+    mark = hashlib.sha256(repr((block, similarity, min_words)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(texts: list) -> tuple[Items, list]:
-        if not made:
-            made.append(Items(*block, similarity, min_words))
-        return made[0], made[0].search(texts)
+        from passagelake.llm import decontaminate as home
+
+        if mark not in home._prepared:
+            home._prepared.clear()
+            home._prepared[mark] = Items(*block, similarity, min_words)
+        return home._prepared[mark], home._prepared[mark].search(texts)
 
     return run
 
