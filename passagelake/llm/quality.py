@@ -11,11 +11,8 @@ fifth, and of hashed word shapes. The model is a network with one hidden layer,
 
 from __future__ import annotations
 
-import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,69 +29,135 @@ UNLABELLED = 12000
 THRESHOLD = 0.3
 SHAPES = 64
 HIDDEN = 24
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words of a segment; a rest of under a quarter of it belongs to the segment before.
 SEGMENT = 200
-_shape_of: dict[str, int] = {}
-
-
-def _shape(word: str) -> int:
-    """A hash bucket of the word's shape: runs of upper and lower case, digits and marks."""
-    k = _shape_of.get(word)
-    if k is None:
-        out = []
-        for c in islice(word, 24):
-            cat = unicodedata.category(c)
-            out.append(cat[0] + cat[1] * (cat[0] == "L") if cat[0] in "LN" else c)
-        slim = [c for i, c in enumerate(out) if not i or c != out[i - 1]]
-        k = zlib.crc32("".join(slim).encode("utf-8", "surrogatepass")) % SHAPES
-        if len(_shape_of) > 300_000:
-            _shape_of.clear()
-        _shape_of[word] = k
-    return k
-
-
-def _shares(words: list[str]) -> np.ndarray:
-    """Shares of a run of words."""
-    n = len(words)
-    line = " ".join(words)
-    chars = max(1, len(line) - (n - 1))
-    alpha = sum(map(str.isalpha, line))
-    upper = sum(map(str.isupper, line))
-    digit = sum(map(str.isdigit, line))
-    distinct = len(set(words))
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    bare = sum(not any(map(str.isalnum, w)) for w in words)
-    caps = sum(w.isupper() and len(w) > 1 for w in words)
-    ended = sum(w[-1] in ".!?" for w in words)
-    commas = sum(w[-1] in ",;:" for w in words)
-    marks = chars - alpha - digit
-    return np.array([alpha / chars, upper / max(1, alpha), digit / chars, marks / chars, distinct / n, same / max(1, n - 1), bare / n, caps / n, ended / n, commas / n, min(chars / n, 30) / 10])
-
-
+#: Characters of a word that make its shape.
+SHAPE_CHARS = 24
+#: Code points of texts that are looked at together; a longer text is looked at alone.
+CHUNK = 1 << 18
 _PART = 11
 WIDTH = 2 * _PART + SHAPES + 2
+_ALPHA, _UPPER, _LOWER, _DIGIT, _ALNUM, _END, _COMMA, _SPACE = (1 << i for i in range(8))
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: its flags, and its class in a word's shape (a category for letters and numbers, else itself)."""
+    if not _tables:
+        flags, shape = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32) + 64
+        kinds = {k: i for i, k in enumerate(("Lu", "Ll", "Lt", "Lm", "Lo", "N"))}
+        for c in range(0x110000):
+            x = chr(c)
+            kind = unicodedata.category(x)
+            if kind[0] in "LN":
+                shape[c] = kinds[kind if kind[0] == "L" else "N"]
+            if kind[0] in "LNMSo" or c < 128:
+                flags[c] = _ALPHA * x.isalpha() | _UPPER * x.isupper() | _LOWER * (x.islower() or x.istitle() and not x.isupper()) | _DIGIT * x.isdigit() | _ALNUM * x.isalnum()
+        for x, f in ((".!?", _END), (",;:", _COMMA), (" \t\n\v\f\r", _SPACE)):
+            for c in x:
+                flags[ord(c)] |= f
+        _tables.append((flags, shape))
+    return _tables[0]
+
+
+#: Random odd factors of a hash by place.
+_FACTORS = np.random.default_rng(3).integers(0, 1 << 63, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def features(text: str | None) -> np.ndarray:
-    """The vector of one text, over all of it; zeros (but for the first) where there are no words."""
-    out = np.zeros(WIDTH)
-    words = _WORD.findall(text or "")
-    out[0] = 1.0 if not words else 0.0
-    if not words:
+def _factor(place: np.ndarray) -> np.ndarray:
+    return _FACTORS[place & 1023]
+
+
+def features(texts: list[str | None]) -> np.ndarray:
+    """A row for each text, over all of it; zeros (but for the first column) where there are no words.
+
+    Shares of letters, capitals, digits, marks, distinct words, repeats and so on in each segment of words: their
+    mean and spread over the text's segments; and the roots of the shares of hashed word shapes.
+    """
+    out, held, size = [], [], 0
+    for t in texts:
+        codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        if held and size + len(codes) > CHUNK:
+            out.append(_block(held))
+            held, size = [], 0
+        held.append(codes)
+        size += len(codes) + 1
+    if held:
+        out.append(_block(held))
+    return np.concatenate(out) if out else np.zeros((0, WIDTH))
+
+
+def _block(texts: list[np.ndarray]) -> np.ndarray:
+    every_flag, every_shape = _classes()
+    out = np.zeros((len(texts), WIDTH))
+    blank = np.array([32], np.uint32)
+    codes = np.concatenate([x for t in texts for x in (t, blank)])
+    flags = every_flag[codes]
+    inside = (flags & _SPACE) == 0
+    edge = np.diff(inside.view(np.int8), prepend=0)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # of words
+    text_ends = np.cumsum([len(t) + 1 for t in texts])
+    doc = np.searchsorted(text_ends, begin, side="right")
+    words = np.bincount(doc, minlength=len(texts))
+    out[:, 0] = words == 0
+    if not len(begin):
         return out
-    parts = [words[i : i + SEGMENT] for i in range(0, len(words), SEGMENT)]
-    if len(parts) > 1 and len(parts[-1]) < SEGMENT // 4:
-        tail = parts.pop()
-        parts[-1] = parts[-1] + tail
-    each = np.stack([_shares(p) for p in parts])
-    weight = np.array([len(p) for p in parts]) / len(words)
-    mean = weight @ each
-    spread = np.sqrt(np.maximum(weight @ each**2 - mean**2, 0))
-    out[1] = np.log1p(len(words)) / 10
-    out[2 : 2 + _PART] = mean
-    out[2 + _PART : 2 + 2 * _PART] = spread
-    shapes = np.bincount([_shape(w) for w in words], minlength=SHAPES) / len(words)
-    out[2 + 2 * _PART :] = np.sqrt(shapes)
+    out[:, 1] = np.log1p(words) / 10
+    long = end - begin
+    nth = np.arange(len(begin)) - np.repeat(np.cumsum(words) - words, words)  # in its text
+    parts = np.maximum(1, words // SEGMENT + (words % SEGMENT >= SEGMENT // 4))
+    part = np.minimum(nth // SEGMENT, parts[doc] - 1) + (np.cumsum(parts) - parts)[doc]
+    _, part = np.unique(part, return_inverse=True)  # texts without words have no segment
+    n = np.bincount(part).astype(float)
+
+
+    def by_word(f: int) -> np.ndarray:
+        upto = np.cumsum((flags & f) > 0, dtype=np.int32)
+        return upto[end - 1] - np.where(begin > 0, upto[begin - 1], 0)
+
+    by_part = lambda x: np.bincount(part, weights=x, minlength=len(n))
+    alpha, upper, digit, alnum = (by_word(f) for f in (_ALPHA, _UPPER, _DIGIT, _ALNUM))
+    last = flags[end - 1]
+    at = np.repeat(begin, long)
+    chars = np.concatenate([[0], np.cumsum(long)])
+    pos = np.arange(chars[-1]) - np.repeat(chars[:-1], long)  # of a character in its word
+    own = codes[at + pos]
+    word_hash = np.add.reduceat((own + np.uint32(1)) * _factor(pos), chars[:-1])
+    order = np.lexsort((word_hash, part))
+    new = np.ones(len(order), bool)
+    new[1:] = (word_hash[order][1:] != word_hash[order][:-1]) | (part[order][1:] != part[order][:-1])
+    same = np.zeros(len(begin))
+    same[1:] = (word_hash[1:] == word_hash[:-1]) & (part[1:] == part[:-1])
+    n_chars, n_alpha, n_digit = by_part(long), by_part(alpha), by_part(digit)
+    each = np.stack([
+        n_alpha / n_chars,
+        by_part(upper) / np.maximum(1, n_alpha),
+        n_digit / n_chars,
+        (n_chars - n_alpha - n_digit) / n_chars,
+        by_part(np.where(new, 1, 0)[np.argsort(order)]) / n,
+        by_part(same) / np.maximum(1, n - 1),
+        by_part(alnum == 0) / n,
+        by_part((upper > 0) & (by_word(_LOWER) == 0) & (long > 1)) / n,
+        by_part((last & _END) > 0) / n,
+        by_part((last & _COMMA) > 0) / n,
+        np.minimum(n_chars / n, 30) / 10,
+    ], 1)
+    of = doc[np.flatnonzero(np.diff(part, prepend=-1))]
+    weight = (n / words[of])[:, None]
+    mean, square = np.zeros((len(texts), _PART)), np.zeros((len(texts), _PART))
+    np.add.at(mean, of, weight * each)
+    np.add.at(square, of, weight * each**2)
+    out[:, 2 : 2 + _PART] = mean
+    out[:, 2 + _PART : 2 + 2 * _PART] = np.sqrt(np.maximum(square - mean**2, 0))
+    shape = every_shape[own]
+    keep = pos < SHAPE_CHARS
+    keep[1:] &= (pos[1:] == 0) | (shape[1:] != shape[:-1])
+    step = np.cumsum(keep) - 1
+    step -= np.repeat(step[chars[:-1]], long)
+    marks = np.where(keep, (shape + np.uint32(1)) * _factor(step), np.uint64(0))
+    bucket = (np.add.reduceat(marks, chars[:-1]) >> np.uint64(40)).astype(np.int64) % SHAPES
+    counts = np.bincount(doc * SHAPES + bucket, minlength=len(texts) * SHAPES).reshape(-1, SHAPES)
+    out[:, 2 + 2 * _PART :] = np.sqrt(counts / np.maximum(1, words)[:, None])
     return out
 
 
@@ -179,7 +242,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([features(t if isinstance(t, str) else None).astype(np.float32) for t in texts])
+        yield pd.Series(list(_features(texts)))
+
+
+def _features(texts: pd.Series) -> np.ndarray:
+    return features([t if isinstance(t, str) else None for t in texts]).astype(np.float32)
 
 
 def _drawn(rows: DataFrame, most: int, seed: str) -> np.ndarray:
@@ -219,8 +286,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            x = np.stack([features(t if isinstance(t, str) else None) for t in texts]) if len(texts) else np.zeros((0, WIDTH))
-            yield pd.Series(model.scores(x.astype(np.float32).astype(np.float64)))
+            yield pd.Series(model.scores(_features(texts).astype(np.float64)))
 
     return docs.withColumn("_score", score(F.col(text_col).cast("string")))
 
