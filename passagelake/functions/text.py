@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The analyzer's token pattern.
-TOKEN = r"[\p{L}\p{N}]+"
+#: The analyzer's token, after the word boundary rules of Unicode: letters, marks, digits and underscores, with
+#: a full stop, colon or apostrophe between two letters and a full stop, comma, semicolon or apostrophe between two digits.
+_LETTER, _DIGIT = r"[\p{L}\p{M}]", r"\p{Nd}"
+_UNIT = rf"{_LETTER}(?:[.:'’·]{_LETTER})*|{_DIGIT}(?:[.,;'’]{_DIGIT})*|\p{{N}}"
+TOKEN = rf"_*(?:{_UNIT})(?:{_UNIT}|_)*"
+#: White space, Unicode's too, inside a class.
+SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def tokens(text: Column) -> Column:
-    """The jargon analyzer: lower-cased runs of letters and digits; no stemming, no stop words."""
+    """The jargon analyzer: lower-cased words as a standard tokenizer has them; no stemming, no stop words."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
@@ -25,18 +30,22 @@ def lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at the ends, Unicode white space too."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at the ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{SPACE}]+$", "")
 
 
 def word_count(text: Column) -> Column:
     """White-space separated words."""
-    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
 
 
 def header_key(text: Column) -> Column:
     """A header for look-up: white space collapsed, upper case, without what comes before the first 0-9 or A-Z."""
-    return F.regexp_replace(F.upper(F.trim(F.regexp_replace(text, r"\s+", " "))), "^[^0-9A-Z]+", "")
+    return F.regexp_replace(F.upper(F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))), "^[^0-9A-Z]+", "")
 
 
 def unit_number(unit: Column) -> Column:

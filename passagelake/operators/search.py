@@ -7,15 +7,17 @@ A search keeps the best n of each query within each task, so what is shuffled is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..scratch import spread
+from ..functions.text import TOKEN, tokens
+from ..scratch import materialize, spread
 
 #: Channel width and parents kept; fusion and term-weight constants of the papers.
 CHILDREN, PARENTS = 70, 10
@@ -25,7 +27,9 @@ K1, B = 1.2, 0.75
 QUERY_BLOCK = 2000
 WORD_BLOCK = 20_000
 DIGITS = 6
-_TOKEN = regex.compile(r"[\p{L}\p{N}]+")
+#: Scores, and term counts, that are worked on at once in a task: rows are cut so that a table of them has no more.
+CELLS = 1 << 22
+_TOKEN = regex.compile(TOKEN)
 
 
 def analyze(text: str | None) -> list[str]:
@@ -72,6 +76,11 @@ def _top(held: dict, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, n
         held[q] = i[keep], s[keep]
 
 
+def _cuts(rows: int, width: int) -> Iterator[slice]:
+    step = max(1, CELLS // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
 def _emit(held: dict) -> pd.DataFrame:
     rows = [(q, i, s) for q, (ids, scores) in held.items() for i, s in zip(ids, scores)]
     return pd.DataFrame(rows, columns=["query_id", "id", "score"])
@@ -96,11 +105,12 @@ def knn(vectors: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column
                 length = b["embedding"].map(lambda e: -1 if e is None else len(e)).to_numpy()
                 for d, (mine, unit) in tables.items():
                     own = length == d
-                    if own.any():
-                        x = np.stack(b["embedding"][own].to_list()).astype(np.float64)
+                    ids, vectors = b["id"].to_numpy()[own], b["embedding"][own]
+                    for cut in _cuts(len(ids), max(d, len(unit))):
+                        x = np.stack(vectors.iloc[cut].to_list()).astype(np.float64)
                         with np.errstate(invalid="ignore", divide="ignore"):
                             s = np.round(_units(x) @ unit.T, DIGITS) + 0.0
-                        _top(held, asked[mine], b["id"].to_numpy()[own], np.where(np.isfinite(s), s, -np.inf), n)
+                        _top(held, asked[mine], ids[cut], np.where(np.isfinite(s), s, -np.inf), n)
             yield _emit(held)
 
         part = rows.mapInPandas(search, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double")
@@ -121,8 +131,6 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     Counts are taken within each document before they are shuffled, and again before the second
     shuffle, so a very common term is a row for each task.
     """
-    from ..functions.text import tokens
-
     each = docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
     return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
@@ -131,46 +139,46 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column |
     """docs (id, text, ...), queries (query_id, text) -> (query_id, id, score, rank).
 
     Distinct query terms, any of which suffices. Statistics come from all documents with a text; `where`
-    filters afterwards which can be hits. Scores are summed inside a task: postings are never shuffled.
+    filters afterwards which can be hits. Texts are cut into terms natively. Scores are summed inside a task: postings
+    are never shuffled. A block's statistics come to the driver as a row a term, WORD_BLOCK or so, and what a task
+    gets is a block's terms and, for each query, the places of its own.
     """
     rows = docs.withColumn("_hit", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)).select("id", "text", "_hit").filter("text is not null")
-    rows = spread(rows)
-    out = None
+    rows = spread(rows).select("id", "_hit", tokens(F.col("text")).alias("w"))
+    out, sizes = None, None
     for block in _word_blocks(queries):
-        terms = sorted({t for _, words in block for t in words})
-        place = {t: i for i, t in enumerate(terms)}
+        if sizes is None:
+            sizes = rows.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("size")).first()
+        terms = pd.Index(sorted({t for _, words in block for t in words}))
         asked = np.array([q for q, _ in block], dtype=object if isinstance(block[0][0], str) else None)
-        holds = np.zeros((len(terms), len(block)))
-        for j, (_, words) in enumerate(block):
-            holds[[place[t] for t in words], j] = 1
+        first = np.cumsum([0, *(len(words) for _, words in block)])[:-1]
+        places = terms.get_indexer([t for _, words in block for t in words])
 
-        def count(batches: Iterator[pd.DataFrame], place=place) -> Iterator[pd.DataFrame]:
-            df, size, docs_ = np.zeros(len(place), np.int64), 0, 0
+        def count(batches: Iterator[pd.DataFrame], terms=terms) -> Iterator[pd.DataFrame]:
+            df = np.zeros(len(terms), np.int64)
             for b in batches:
-                for text in b["text"]:
-                    words = analyze(text)
-                    size, docs_ = size + len(words), docs_ + 1
-                    df[[place[w] for w in set(words) if w in place]] += 1
-            yield pd.DataFrame({"df": [df.tobytes()], "size": [size], "n": [docs_]})
-
-        sums = rows.select("text").mapInPandas(count, "df binary, size long, n long").toPandas()  # a row a task
-        total = sum((np.frombuffer(x, np.int64) for x in sums["df"]), np.zeros(len(terms), np.int64))
-        many, size = int(sums["n"].sum()), int(sums["size"].sum())
-        mean = size / many if size else 1.0
-        weight = np.log(1 + (many - total + 0.5) / (total + 0.5))[:, None] * holds
-
-        def score(batches: Iterator[pd.DataFrame], place=place, weight=weight, mean=mean, asked=asked) -> Iterator[pd.DataFrame]:
+                at, row = _found(b["w"], terms)
+                df += np.bincount(np.unique(row * len(terms) + at) % len(terms), minlength=len(terms))
+            some = np.flatnonzero(df)
+            yield pd.DataFrame({"term": some, "df": df[some]})
+
+        held = rows.select("w").mapInPandas(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row a term
+        df = np.zeros(len(terms))
+        df[[r.term for r in held]] = [r.df for r in held]
+        idf = np.log(1 + (sizes.n - df + 0.5) / (df + 0.5))
+        mean = sizes["size"] / sizes.n if sizes["size"] else 1.0
+
+        def score(batches: Iterator[pd.DataFrame], terms=terms, places=places, first=first, idf=idf, mean=mean, asked=asked) -> Iterator[pd.DataFrame]:
             held: dict = {}
             for b in batches:
                 b = b[b["_hit"]]
-                for at in range(0, len(b), 256):
-                    part = b.iloc[at : at + 256]
-                    tf, length = np.zeros((len(part), len(place))), np.zeros((len(part), 1))
-                    for i, text in enumerate(part["text"]):
-                        words = analyze(text)
-                        length[i] = len(words)
-                        np.add.at(tf[i], [place[w] for w in words if w in place], 1)
-                    s = np.round((tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))) @ weight, DIGITS)
+                for cut in _cuts(len(b), len(places)):
+                    part = b.iloc[cut]
+                    at, row = _found(part["w"], terms)
+                    tf = np.bincount(row * len(terms) + at, minlength=len(part) * len(terms)).reshape(len(part), len(terms))
+                    length = part["w"].map(len).to_numpy()[:, None]
+                    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)) * idf
+                    s = np.round(np.add.reduceat(impact[:, places], first, axis=1), DIGITS)
                     _top(held, asked, part["id"].to_numpy(), np.where(s > 0, s, -np.inf), n)
             yield _emit(held)
 
@@ -181,6 +189,15 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column |
     return ranked(out, n)
 
 
+def _found(words: pd.Series, terms: pd.Index) -> tuple[np.ndarray, np.ndarray]:
+    """(term, row) of each occurrence of a term in rows of words."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = terms.get_indexer(np.concatenate(words.to_list()))
+    row = np.repeat(np.arange(len(words)), words.map(len))
+    return at[at >= 0], row[at >= 0]
+
+
 def _word_blocks(queries: DataFrame) -> Iterator[list]:
     held, words = [], 0
     for r in queries.select("query_id", "text").orderBy("query_id").toLocalIterator():
@@ -188,7 +205,8 @@ def _word_blocks(queries: DataFrame) -> Iterator[list]:
         if held and (words + len(own) > WORD_BLOCK or len(held) == QUERY_BLOCK):
             yield held
             held, words = [], 0
-        held.append((r["query_id"], own))
+        if own:
+            held.append((r["query_id"], own))
         words += len(own)
     if held and words:
         yield held
@@ -223,8 +241,6 @@ def fetch(ranks: DataFrame, parents: DataFrame) -> DataFrame:
 
 def overlap_scores(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """The offline reranker's score: distinct query terms that the parent text holds."""
-    from ..functions.text import tokens
-
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("_asked"))
     return candidates.join(asked, "query_id").withColumn("overlap", F.size(F.array_intersect("_asked", tokens(F.col("text")))).cast("long")).drop("_asked")
 
@@ -250,14 +266,41 @@ def rerank(candidates: DataFrame, queries: DataFrame, p: int = PARENTS, reranker
     return asked.groupBy("query_id").applyInPandas(order, schema)  # a group: one query's candidates, at most n
 
 
+def token_filter(kind: str | None = None, content_types: Sequence[str] | None = None) -> Column:
+    """The filter on kind and content type, both lower-cased on either side; what is not given does not filter."""
+    out = F.lit(True)
+    if kind is not None:
+        out = out & (F.lower("kind") == kind.lower())
+    if content_types is not None:
+        out = out & F.lower("content_type").isin([c.lower() for c in content_types])
+    return out
+
+
+def query_vectors(queries: DataFrame, embedder) -> DataFrame:
+    """queries (query_id, text) with `embedding`, each text embedded once, as a query, in batches on the executors."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            got = embedder.embed(texts.tolist(), "query")
+            if len(got) != len(texts):
+                raise ValueError(f"{len(texts)} queries gave {len(got)} vectors")
+            yield pd.Series(list(got))
+
+    return queries.withColumn("embedding", embed("text"))
+
+
 #: The retrieval steps, in order.
 STEPS = ("vector", "hybrid", "hybrid_rerank")
 
 
-def retrieve(step: str, vectors: DataFrame, texts: DataFrame, queries: DataFrame, parents: DataFrame, n: int = CHILDREN, p: int = PARENTS, where: Column | None = None, reranker=None) -> DataFrame:
-    """One retrieval step for all queries (query_id, embedding, text) -> parents with their columns and rank."""
+def retrieve(step: str, vectors: DataFrame, texts: DataFrame, queries: DataFrame, parents: DataFrame, n: int = CHILDREN, p: int = PARENTS, where: Column | None = None, reranker=None, embedder=None) -> DataFrame:
+    """One retrieval step for all queries (query_id, text, and embedding unless an embedder makes it) -> parents with
+    their columns and rank."""
     if step not in STEPS:
         raise ValueError(f"unknown retrieval step {step!r}")
+    if embedder is not None:
+        queries = materialize(query_vectors(queries, embedder), "query-vectors")
     hits = knn(vectors, queries, n, where)
     if step != "vector":
         hits = fuse(hits, bm25(texts, queries, n, where), n)

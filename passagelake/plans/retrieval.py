@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 from ..operators import search
 
 N, P = search.CHILDREN, search.PARENTS
@@ -109,7 +109,7 @@ QUERIES = {
     "hybrid_rerank": _step("hybrid_rerank"),
 }
 
-TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+TOKENS = f"regexp_extract_all(lower(text), '{TOKEN.replace(chr(39), 2 * chr(39))}')"
 
 
 def _knn_sql(queries: str, name: str, where: str = "true") -> str:
@@ -177,7 +177,7 @@ SELECT p.*, d.children, d.first_child FROM parents p JOIN dim d USING (parent_id
     "hybrid_retrieve": f"{_HYBRID} {_STEP_OUT}",
     "hybrid_rerank": f"""{_HYBRID}, ov AS (
   SELECT ex.query_id, ex.parent_id, ex.best_child, ex.rank AS was, sha256(d.text) AS text_sha256,
-         len(list_intersect(list_distinct(regexp_extract_all(lower(iv.text), '[\\p{{L}}\\p{{N}}]+')), list_distinct(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}]+')))) AS overlap
+         len(list_intersect(list_distinct({TOKENS.replace('text', 'iv.text')}), list_distinct({TOKENS.replace('text', 'd.text')}))) AS overlap
   FROM ex JOIN documents d ON d.doc_id = ex.parent_id JOIN iv USING (query_id)
 ), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, was) AS rank FROM ov)
 SELECT query_id, parent_id, best_child, rank, text_sha256 FROM rr WHERE rank <= 10""",
