@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import content_hash, lines, slug, word_count
+from ..functions.text import SPACE, content_hash, lines, rstrip, slug, word_count
 from ..scratch import materialize
 from .listsplit import LIMIT, split_list
 
@@ -54,7 +54,7 @@ def _last(value: Column, where: Column) -> Column:
 
 
 def _blank(line: Column) -> Column:
-    return ~line.rlike(r"(?U)\S")
+    return ~line.rlike(f"[^{SPACE}]")
 
 
 def frontmatter(units: DataFrame) -> DataFrame:
@@ -108,24 +108,22 @@ def section_nodes(units: DataFrame, rows: DataFrame) -> DataFrame:
     """A row a heading with id_path (empty for a heading without letters and digits), heading_path, content_type
     (its own, else the nearest around it) and the unit's metadata."""
     tree = heading_tree(rows)
-    packed = tree.groupBy("path").agg(F.collect_list(F.struct("pos", "level", "heading", "ancestors", "own_slug", "own_type")).alias("nodes"))
-    packed = packed.withColumn("by_pos", F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["pos"], F.struct(n["heading"], n["own_slug"], n["own_type"])))))
-    each = packed.select("path", "by_pos", F.explode("nodes").alias("n"))
-    at = lambda p: F.element_at("by_pos", p)
-    chain = F.concat(F.col("n.ancestors"), F.array("n.pos"))
-    meta = frontmatter(units).select("path", *[F.try_element_at("meta", F.lit(k)).alias(k) for k in FRONTMATTER])
-    each = each.withColumn("chain", F.transform(chain, at)).join(meta, "path")
+    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct("heading", "own_slug", "own_type")
+    around = F.array_compact(F.array(*[F.when(F.array_contains("ancestors", F.max(F.when(F.col("level") == k, F.col("pos"))).over(w)), F.last(F.when(F.col("level") == k, own), ignorenulls=True).over(w)) for k in LEVELS]))
+    each = tree.withColumn("around", around).withColumn("chain", F.concat("around", F.array(own)))
+    each = each.join(frontmatter(units).select("path", *[F.try_element_at("meta", F.lit(k)).alias(k) for k in FRONTMATTER]), "path")
     path = F.concat_ws(":", "source", "unit", F.array_join(F.transform("chain", lambda c: c["own_slug"]), ":"))
     kinds = F.filter(F.transform("chain", lambda c: c["own_type"]), lambda x: x.isNotNull())
     return each.select(
         "path",
-        F.col("n.pos").alias("owner"),
-        F.col("n.level").alias("level"),
-        F.col("n.heading").alias("heading"),
-        F.when(F.col("n.own_slug") == "", "").otherwise(path).alias("id_path"),
+        F.col("pos").alias("owner"),
+        "level",
+        "heading",
+        F.when(F.col("own_slug") == "", "").otherwise(path).alias("id_path"),
         F.transform("chain", lambda c: c["heading"]).alias("heading_path"),
         F.try_element_at(kinds, F.lit(-1)).alias("content_type"),
-        F.exists(F.transform("n.ancestors", at), lambda c: c["own_slug"] == "").alias("under_empty"),
+        F.exists("around", lambda c: c["own_slug"] == "").alias("under_empty"),
         *FRONTMATTER,
     )
 
@@ -156,7 +154,7 @@ def blocks(body: DataFrame) -> DataFrame:
     """
     body = body.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(_owner(upto=True)))
     full = body.filter("not blank")
-    prev = F.rtrim(F.lag("line").over(_owner()))
+    prev = rstrip(F.lag("line").over(_owner()))
     full = full.withColumn("ended", prev.rlike(r"[.!?]$")).withColumn("stopped", prev.rlike(r"[.!?:]$")).withColumn("gap", F.col("blanks") > F.lag("blanks").over(_owner()))
     full = full.withColumn("marker", F.col("line").rlike(LIST_LINE))
     runs_on = F.col("stopped").isNotNull() & (~F.col("stopped") | F.col("line").rlike(r"^\s*\p{Ll}"))
@@ -185,7 +183,7 @@ def children(lined: DataFrame, limit: int = LIMIT) -> DataFrame:
     each = lined.groupBy("path", "owner", "block", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "page", "blank"))).alias("body"))
     each = each.withColumn("body", F.transform("body", lambda x: F.struct(x["line"].alias("line"), x["page"].alias("page"), x["blank"].alias("blank"))))
     w = Window.partitionBy("path", "owner").orderBy("block")
-    intro = (F.col("kind") == "para") & F.rtrim(F.element_at("body", -1)["line"]).endswith(":")
+    intro = (F.col("kind") == "para") & rstrip(F.element_at("body", -1)["line"]).endswith(":")
     each = each.withColumn("intro", intro)
     each = each.withColumn("before", F.when((F.col("kind") == "list") & F.lag("intro").over(w), F.lag("body").over(w)))
     each = each.withColumn("joins", F.coalesce(F.col("intro") & (F.lead("kind").over(w) == "list"), F.lit(False))).filter("not joins")
@@ -216,12 +214,20 @@ def context_prefix() -> Column:
     return F.concat(name, F.lit(" Guide, Unit "), "unit", F.lit(" — "), "unit_name", F.lit(", revision "), "revision", F.lit(" > "), F.array_join("heading_path", " > "), F.lit(" ["), "content_type", F.lit("]"))
 
 
-def chunk_units(units: DataFrame, limit: int = LIMIT, strict: bool = True) -> DataFrame:
+def parents(body: DataFrame) -> DataFrame:
+    """body_lines -> (path, owner, text, pages): each section's text, if it has any."""
+    whole = body.groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "page", "blank"))).alias("body"))
+    return whole.select("path", "owner", _joined(F.col("body")).alias("text"), pages_of(F.col("body")).alias("pages")).filter("text <> ''")
+
+
+def chunk_units(units: DataFrame, limit: int = LIMIT, strict: bool = True, kinds: tuple[str, ...] = ("parent", "child")) -> DataFrame:
     """units (path, content) -> chunk records with path, owner and ordinal (0: the parent), by which they are in
-    document order. strict raises the first violation; else units with violations give no record.
+    document order. strict raises the first violation; else units with violations give no record. Only what
+    kinds name is made.
 
     Sections without text and headings without letters or digits give no record. An empty table gives none.
     """
+    units = materialize(units.select("path", "content"), "chunk-units")
     rows = materialize(classified(units), "chunk-lines")
     nodes = materialize(section_nodes(units, rows), "chunk-sections")
     bad = violations(units, rows, nodes)
@@ -233,10 +239,12 @@ def chunk_units(units: DataFrame, limit: int = LIMIT, strict: bool = True) -> Da
         nodes = nodes.join(materialize(bad.select("path").distinct(), "chunk-faulty"), "path", "left_anti")
     nodes = nodes.withColumn("prefix", context_prefix()).filter("id_path <> ''")
     body = body_lines(rows)
-    whole = body.groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "page", "blank"))).alias("body"))
-    own = whole.select("path", "owner", F.lit(0).alias("ordinal"), _joined(F.col("body")).alias("text"), pages_of(F.col("body")).alias("pages")).filter("text <> ''")
-    parts = children(blocks(body), limit).select("path", "owner", "ordinal", "text", "pages")
-    both = own.unionByName(parts).join(nodes, ["path", "owner"])
+    parts = []
+    if "parent" in kinds:
+        parts.append(parents(body).select("path", "owner", F.lit(0).alias("ordinal"), "text", "pages"))
+    if "child" in kinds:
+        parts.append(children(blocks(body), limit).select("path", "owner", "ordinal", "text", "pages"))
+    both = reduce(lambda a, b: a.unionByName(b), parts).join(nodes, ["path", "owner"])
     child = F.col("ordinal") > 0
     return both.select(
         "path", "owner", "ordinal",

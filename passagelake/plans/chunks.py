@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines, slug
 from ..operators import chunking
+from ..operators.listsplit import LIMIT
 from ..scratch import materialize
 from .retrieval import table
 
@@ -45,8 +46,8 @@ def units(spark, d) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(front, body).alias("content"))
 
 
-def _records(spark, d):
-    return chunking.chunk_units(units(spark, d), strict=False)
+def _records(spark, d, kinds=("parent", "child")):
+    return chunking.chunk_units(units(spark, d), strict=False, kinds=kinds)
 
 
 def line_explode(spark, d):
@@ -72,12 +73,12 @@ def slug_dedupe(spark, d):
 
 
 def chunk_parents(spark, d):
-    return _records(spark, d).filter("kind = 'parent'").select("id", "content_type", F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("pages", ",").alias("pages"), F.sha2("text", 256).alias("text_sha256"), "content_hash")
+    return _records(spark, d, ("parent",)).select("id", "content_type", F.array_join("heading_path", " > ").alias("heading_path"), F.array_join("pages", ",").alias("pages"), F.sha2("text", 256).alias("text_sha256"), "content_hash")
 
 
 def chunk_children(spark, d):
     lined = chunking.blocks(chunking.body_lines(chunking.classified(units(spark, d))))
-    return chunking.children(lined, limit=1 << 30).select("path", F.col("owner").cast("long"), F.col("ordinal").cast("long"), "kind", F.sha2("text", 256).alias("text_sha256"), F.array_join("pages", ",").alias("pages"))
+    return chunking.children(lined).select("path", F.col("owner").cast("long"), F.col("ordinal").cast("long"), "kind", F.sha2("text", 256).alias("text_sha256"), F.array_join("pages", ",").alias("pages"))
 
 
 def chunk_blocks(spark, d):
@@ -86,7 +87,8 @@ def chunk_blocks(spark, d):
 
 
 def chunk_records(spark, d):
-    return _records(spark, d).select("id", "kind", "parent_id", "content_hash", F.sha2("embedding_text", 256).alias("embedding_sha256"), F.size("pages").alias("n_pages"))
+    own = _records(spark, d)
+    return own.select("id", "kind", "parent_id", "content_hash", F.sha2("embedding_text", 256).alias("embedding_sha256"), F.array_join("pages", ",").alias("pages"))
 
 
 def list_split_500(spark, d):
@@ -184,7 +186,7 @@ _BODY = r""", bl AS (
 _BLOCKS = _BODY + r""", f1 AS (
   SELECT *, sum(blank::INT) OVER (PARTITION BY path, owner ORDER BY pos ROWS UNBOUNDED PRECEDING) AS blanks FROM bd
 ), f2 AS (
-  SELECT *, rtrim(lag(line) OVER w) AS prev, lag(blanks) OVER w AS blanks_before,
+  SELECT *, regexp_replace(lag(line) OVER w, '\s+$', '') AS prev, lag(blanks) OVER w AS blanks_before,
     regexp_matches(line, '^\s*(?:-|\d+\.)\s|^[a-z]\.\s|^[a-z]\s[A-Z]') AS marker FROM f1 WHERE NOT blank WINDOW w AS (PARTITION BY path, owner ORDER BY pos)
 ), f3 AS (
   SELECT *, last_value(CASE WHEN marker THEN 'list' WHEN prev IS NOT NULL AND (NOT regexp_matches(prev, '[.!?:]$') OR regexp_matches(line, '^\s*\p{Ll}')) THEN NULL ELSE 'para' END IGNORE NULLS)
@@ -205,20 +207,58 @@ _BLOCKS = _BODY + r""", f1 AS (
     FROM bd LEFT JOIN f7 USING (path, owner, pos) WINDOW w AS (PARTITION BY path, owner ORDER BY pos ROWS UNBOUNDED PRECEDING)) WHERE NOT blank OR kind = 'list'
 )"""
 _CHILDREN = _BLOCKS + r""", ag AS (
-  SELECT path, owner, block, kind, string_agg(line, chr(10) ORDER BY pos) AS raw, rtrim(last(line ORDER BY pos)) AS tail FROM fb GROUP BY ALL
+  SELECT path, owner, block, kind, string_agg(line, chr(10) ORDER BY pos) AS raw, regexp_replace(last(line ORDER BY pos), '\s+$', '') AS tail FROM fb GROUP BY ALL
 ), jo AS (
   SELECT *, lag(kind = 'para' AND ends_with(tail, ':')) OVER w AS was_intro, lag(raw) OVER w AS before, lag(block) OVER w AS before_block, lead(kind) OVER w AS next_kind FROM ag WINDOW w AS (PARTITION BY path, owner ORDER BY block)
-), ch AS (
-  SELECT path, owner, block, kind, CASE WHEN kind = 'list' AND was_intro THEN before_block END AS intro,
-    trim(CASE WHEN kind = 'list' AND was_intro THEN before || chr(10) || chr(10) || raw ELSE raw END, chr(10)) AS text,
-    row_number() OVER (PARTITION BY path, owner ORDER BY block) AS ordinal
+), kc AS (
+  SELECT path, owner, block, kind, CASE WHEN kind = 'list' AND was_intro THEN before_block END AS intro, CASE WHEN kind = 'list' AND was_intro THEN before END AS lead_in
   FROM jo WHERE NOT (kind = 'para' AND ends_with(tail, ':') AND coalesce(next_kind = 'list', false))
+), lw AS (
+  SELECT path, owner, block, pos, line, page, blank, len(regexp_extract_all(line, '\S+')) AS nw, regexp_matches(line, '^(?:-|\d+\.)\s') AS top,
+    regexp_matches(line, '^\s+(?:(?:-|\d+\.)\s|[a-z]\.\s|[a-z]\s[A-Z])') AS nested FROM fb WHERE kind = 'list'
+), @SPLIT@, pc AS (
+  SELECT kc.path, kc.owner, kc.block, 0 AS piece, kc.kind, kc.intro, kc.lead_in, fb.pos, fb.line, fb.page, fb.blank, fb.pos AS ord FROM kc JOIN fb USING (path, owner, block)
+  WHERE (kc.path, kc.owner, kc.block) NOT IN (SELECT (path, owner, block) FROM big)
+  UNION ALL SELECT kc.path, kc.owner, kc.block, sp.piece, kc.kind, CASE WHEN sp.piece = 1 THEN kc.intro END, CASE WHEN sp.piece = 1 THEN kc.lead_in END, sp.pos, sp.line, sp.page, sp.blank, sp.ord FROM kc JOIN sp USING (path, owner, block)
+), ch AS (
+  SELECT path, owner, block, piece, kind, any_value(intro) AS intro, trim(coalesce(any_value(lead_in) || chr(10) || chr(10), '') || string_agg(line, chr(10) ORDER BY ord), chr(10)) AS text,
+    row_number() OVER (PARTITION BY path, owner ORDER BY block, piece) AS ordinal
+  FROM pc GROUP BY path, owner, block, piece, kind
 ), pg AS (
-  SELECT path, owner, ordinal, string_agg(page, ',' ORDER BY pos) AS pages FROM (
-    SELECT ch.path, ch.owner, ch.ordinal, fb.pos, fb.page, lag(fb.page) OVER (PARTITION BY ch.path, ch.owner, ch.ordinal ORDER BY fb.pos) AS prev_page
-    FROM ch JOIN fb ON fb.path = ch.path AND fb.owner = ch.owner AND (fb.block = ch.block OR fb.block = ch.intro) WHERE NOT fb.blank AND fb.page IS NOT NULL)
+  SELECT path, owner, ordinal, string_agg(page, ',' ORDER BY part, ord) AS pages FROM (
+    SELECT *, lag(page) OVER (PARTITION BY path, owner, ordinal ORDER BY part, ord) AS prev_page FROM (
+      SELECT ch.path, ch.owner, ch.ordinal, 1 AS part, pc.ord, pc.page FROM ch JOIN pc USING (path, owner, block, piece) WHERE NOT pc.blank AND pc.page IS NOT NULL
+      UNION ALL SELECT ch.path, ch.owner, ch.ordinal, 0, fb.pos, fb.page FROM ch JOIN fb ON fb.path = ch.path AND fb.owner = ch.owner AND fb.block = ch.intro WHERE NOT fb.blank AND fb.page IS NOT NULL))
   WHERE prev_page IS NULL OR prev_page <> page GROUP BY ALL
 )"""
+
+def _split(lines: str) -> str:
+    """CTEs, the last called sp: the pieces (path, owner, block, piece from 1, pos, line, page, blank, ord) of the big blocks
+    of `lines`, a CTE (path, owner, block, pos, line, page, blank, nw, top, nested): a greedy packing of a segment's parts."""
+    block = "path, owner, block"
+    return f"""big AS (SELECT {block} FROM {lines} GROUP BY ALL HAVING sum(nw) > {LIMIT}),
+s1 AS (SELECT l.*, sum((top OR pos = first_pos)::INT) OVER (PARTITION BY {block} ORDER BY pos) AS item FROM (SELECT *, min(pos) OVER (PARTITION BY {block}) AS first_pos FROM {lines}) l JOIN big USING ({block})),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY {block}, item ORDER BY pos) AS rn, sum(nw) OVER (PARTITION BY {block}, item) > {LIMIT} AS large FROM s1),
+s3 AS (SELECT *, max(rn) OVER (PARTITION BY {block}, item) AS most, first_value(nw) OVER (PARTITION BY {block}, item ORDER BY pos) AS head_nw,
+  CASE WHEN rn > 1 THEN sum((nested OR rn = 2)::INT) OVER (PARTITION BY {block}, item, rn > 1 ORDER BY pos) END AS inner_, sum((large AND rn = 1)::INT) OVER (PARTITION BY {block} ORDER BY pos) AS larges FROM s2),
+s4 AS (SELECT *, sum(nw) OVER (PARTITION BY {block}, item, inner_) + head_nw > {LIMIT} AS over_, inner_ IS DISTINCT FROM lag(inner_) OVER (PARTITION BY {block}, item ORDER BY pos) AS opens FROM s3),
+s5 AS (SELECT *, large AND most > 1 AS cut, sum((over_ AND rn > 1 AND opens)::INT) OVER (PARTITION BY {block}, item ORDER BY pos) AS overs FROM s4),
+s6 AS (SELECT *, CASE WHEN NOT cut AND large THEN [item, 0, 0] WHEN NOT cut THEN [0, 0, larges] WHEN over_ THEN [item, 2, inner_] ELSE [item, 1, overs] END AS seg,
+  CASE WHEN NOT cut THEN item WHEN over_ THEN pos ELSE inner_ END AS part FROM s5 WHERE NOT (cut AND rn = 1)),
+s7 AS (SELECT {block}, seg, part, min(pos) AS at_, sum(nw) AS size, any_value(CASE WHEN cut THEN head_nw ELSE 0 END) AS head_nw, bool_or(cut) AS headed, bool_or(cut AND over_) AS keep, any_value(item) AS item FROM s6 GROUP BY {block}, seg, part),
+s8 AS (SELECT *, row_number() OVER (PARTITION BY {block}, seg ORDER BY at_) AS i, min(at_) OVER (PARTITION BY {block}, seg) AS seg_at FROM s7),
+pk AS (
+  SELECT {block}, seg, i, part, CASE WHEN keep AND head_nw + size > {LIMIT} THEN 1 ELSE 0 END AS p, CAST(head_nw + size AS BIGINT) AS total FROM s8 WHERE i = 1
+  UNION ALL SELECT s8.path, s8.owner, s8.block, s8.seg, s8.i, s8.part, pk.p + CASE WHEN pk.total + s8.size > {LIMIT} THEN 1 ELSE 0 END, CAST(CASE WHEN pk.total + s8.size > {LIMIT} THEN s8.head_nw ELSE pk.total END + s8.size AS BIGINT)
+  FROM pk JOIN s8 ON s8.path = pk.path AND s8.owner = pk.owner AND s8.block = pk.block AND s8.seg = pk.seg AND s8.i = pk.i + 1
+), pn AS (SELECT {block}, seg, any_value(item) AS item, any_value(seg_at) AS seg_at, bool_or(headed) AS headed, unnest(range(max(p) + 1)) AS p FROM pk JOIN s8 USING ({block}, seg, i) GROUP BY {block}, seg),
+pr AS (SELECT *, row_number() OVER (PARTITION BY {block} ORDER BY seg_at, p) AS piece FROM pn),
+sp AS (
+  SELECT pr.path, pr.owner, pr.block, pr.piece, s6.pos, s6.line, s6.page, s6.blank, s6.pos AS ord FROM pr JOIN pk USING ({block}, seg, p) JOIN s6 ON s6.path = pk.path AND s6.owner = pk.owner AND s6.block = pk.block AND s6.seg = pk.seg AND s6.part = pk.part
+  UNION ALL SELECT pr.path, pr.owner, pr.block, pr.piece, s3.pos, s3.line, s3.page, s3.blank, -1 FROM pr JOIN s3 USING ({block}, item) WHERE pr.headed AND s3.rn = 1
+)"""
+
+
 _VIOLATED = """, vio AS (
   SELECT path FROM nd WHERE under_empty OR content_type IS NULL
   UNION SELECT nd.path FROM nd JOIN bd ON bd.path = nd.path AND bd.owner = nd.pos WHERE nd.id_path = '' AND NOT bd.blank
@@ -233,7 +273,7 @@ ORACLES = {
     "slug_dedupe": f"WITH {_TREE} SELECT path, pos, slug, own_slug FROM ho",
     "heading_tree": f"WITH {_TREE} SELECT path, pos, level, id_path, heading_path, content_type FROM nd",
     "chunk_blocks": f"WITH {LINES}{_BLOCKS} SELECT path, owner, pos, CAST(block AS BIGINT) AS block, kind FROM fb",
-    "chunk_children": f"WITH {LINES}{_CHILDREN} SELECT ch.path, ch.owner, ch.ordinal, ch.kind, sha256(ch.text) AS text_sha256, coalesce(pg.pages, '') AS pages FROM ch LEFT JOIN pg USING (path, owner, ordinal)",
+    "chunk_children": f"WITH RECURSIVE {LINES}{_CHILDREN.replace('@SPLIT@', _split('lw'))} SELECT ch.path, ch.owner, ch.ordinal, ch.kind, sha256(ch.text) AS text_sha256, coalesce(pg.pages, '') AS pages FROM ch LEFT JOIN pg USING (path, owner, ordinal)",
     "chunk_parents": f"""WITH {_TREE}{_BODY}{_VIOLATED}, tx AS (
   SELECT path, owner, trim(string_agg(line, chr(10) ORDER BY pos), chr(10)) AS text FROM bd GROUP BY ALL
 ), pp AS (
@@ -242,4 +282,34 @@ ORACLES = {
 SELECT nd.id_path AS id, content_type, heading_path, coalesce(pp.pages, '') AS pages, sha256(tx.text) AS text_sha256, sha256({_PREFIX} || chr(10) || chr(10) || tx.text) AS content_hash
 FROM nd JOIN tx ON tx.path = nd.path AND tx.owner = nd.pos LEFT JOIN pp ON pp.path = nd.path AND pp.owner = nd.pos
 WHERE nd.id_path <> '' AND tx.text <> '' AND nd.path NOT IN (SELECT path FROM vio)""",
+    "chunk_violations": f"""WITH {_TREE}{_BODY}, fault AS (SELECT DISTINCT path, CAST(path AS BIGINT) % 6 AS n FROM cl), full_ AS (SELECT DISTINCT path, owner FROM bd WHERE NOT blank), br AS (
+  SELECT path, 'no frontmatter' AS rule FROM fault WHERE n = 0
+  UNION ALL SELECT path, 'missing frontmatter key' FROM fault WHERE n = 1
+  UNION ALL SELECT path, 'unknown content type' FROM cl JOIN fault USING (path) WHERE n = 2 AND type_mark IS NOT NULL
+  UNION ALL SELECT path, 'body before the first section' FROM fault WHERE n = 3
+  UNION ALL SELECT path, 'title below a section' FROM fault WHERE n = 4
+  UNION ALL SELECT path, 'heading under an empty slug' FROM nd JOIN fault USING (path) WHERE n > 0 AND under_empty
+  UNION ALL SELECT path, 'no content type' FROM nd JOIN fault USING (path) WHERE n > 0 AND content_type IS NULL
+  UNION ALL SELECT nd.path, 'empty slug with body' FROM nd JOIN fault USING (path) JOIN full_ ON full_.path = nd.path AND full_.owner = nd.pos WHERE n > 0 AND id_path = ''
+  UNION ALL SELECT path, 'repeated id' FROM (SELECT path, id_path FROM nd WHERE id_path <> '' GROUP BY ALL HAVING count(*) > 1) JOIN fault USING (path) WHERE n > 0
+) SELECT path, rule, count(*) AS n FROM br GROUP BY ALL""",
+    "list_split_500": f"""WITH RECURSIVE dl AS (
+  SELECT doc_id AS path, 0 AS owner, 0 AS block, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
+), lw AS (
+  SELECT path, owner, block, pos, '- ' || t AS line, '1-1' AS page, false AS blank, len(regexp_extract_all('- ' || t, '\S+')) AS nw, true AS top, false AS nested FROM dl
+), {_split('lw')}, al AS (
+  SELECT path, piece, line FROM sp UNION ALL SELECT path, 1, line FROM lw WHERE path NOT IN (SELECT path FROM big)
+)
+SELECT path AS doc_id, CAST(piece - 1 AS BIGINT) AS piece, count(*) AS n_lines, CAST(sum(len(regexp_extract_all(line, '\S+'))) AS BIGINT) AS n_words FROM al GROUP BY ALL""",
+    "chunk_records": f"""WITH RECURSIVE {_TREE}{_CHILDREN.replace('@SPLIT@', _split('lw'))}{_VIOLATED}, pt AS (
+  SELECT path, owner, trim(string_agg(line, chr(10) ORDER BY pos), chr(10)) AS text FROM bd GROUP BY ALL
+), pp AS (
+  SELECT path, owner, string_agg(page, ',' ORDER BY pos) AS pages FROM (SELECT *, lag(page) OVER (PARTITION BY path, owner ORDER BY pos) AS prev_page FROM bd WHERE NOT blank AND page IS NOT NULL) WHERE prev_page IS NULL OR prev_page <> page GROUP BY ALL
+), tx AS (
+  SELECT path, owner, 0 AS ordinal, text, coalesce(pages, '') AS pages FROM pt LEFT JOIN pp USING (path, owner) WHERE text <> ''
+  UNION ALL SELECT path, owner, ordinal, text, coalesce(pages, '') FROM ch LEFT JOIN pg USING (path, owner, ordinal)
+)
+SELECT nd.id_path || CASE WHEN ordinal > 0 THEN ':c' || ordinal ELSE '' END AS id, CASE WHEN ordinal > 0 THEN 'child' ELSE 'parent' END AS kind, CASE WHEN ordinal > 0 THEN nd.id_path END AS parent_id,
+  sha256({_PREFIX} || chr(10) || chr(10) || tx.text) AS content_hash, CASE WHEN ordinal > 0 THEN sha256({_PREFIX} || chr(10) || chr(10) || tx.text) END AS embedding_sha256, tx.pages
+FROM nd JOIN tx ON tx.path = nd.path AND tx.owner = nd.pos WHERE nd.id_path <> '' AND nd.path NOT IN (SELECT path FROM vio)""",
 }
