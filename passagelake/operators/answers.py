@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import materialize
+from .search import retrieve
+
 #: The answer that stands for every refusal.
 REFUSAL = "The passages do not support an answer."
 SYSTEM = "Answer only from the passages. Reply with one JSON object: grounded (true or false), answer, citations (source, unit, page). Cite every page used. If the passages do not answer, reply {\"grounded\": false}."
@@ -40,6 +43,24 @@ def completed(rows: DataFrame, completer, system: str = SYSTEM, prompt: str = "p
     return rows.withColumn(out, ask(F.col(prompt)))
 
 
+def completed_each(rows: DataFrame, completer, system: str = SYSTEM, prompt: str = "prompt") -> DataFrame:
+    """rows with `completion` and `error`: an item whose request fails has the error's text and no completion, and
+    stops no other."""
+
+    @F.pandas_udf(T.StructType([T.StructField("completion", T.StringType()), T.StructField("error", T.StringType())]))
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for p in b:
+                try:
+                    out.append((completer.complete(system, p), None))
+                except Exception as e:  # whatever the service raises is this item's outcome
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["completion", "error"])
+
+    return rows.withColumn("_r", ask(F.col(prompt))).select(*rows.columns, "_r.completion", "_r.error")
+
+
 def json_object(text: Column) -> Column:
     """The JSON object in a reply, with or without a code fence, as a variant; null for anything else."""
     bare = F.regexp_replace(F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"^```[A-Za-z]*\s*", ""), r"\s*```$", "")
@@ -115,3 +136,16 @@ def answer(questions: DataFrame, passages: DataFrame, completer) -> DataFrame:
     replies = completed(asked.filter("n_passages > 0"), completer)
     silent = asked.filter("n_passages = 0").withColumn("completion", F.lit(None).cast("string"))
     return decide(replies.unionByName(silent), passages)
+
+
+def retrieved_passages(step: str, questions: DataFrame, vectors: DataFrame, texts: DataFrame, parents: DataFrame, **how) -> DataFrame:
+    """questions (query_id, text, and embedding unless `embedder` is given) -> passages (query_id, rank, id and the
+    parents' columns), by one retrieval step; `how` goes to search.retrieve."""
+    found = retrieve(step, vectors, texts, questions, parents, **how)
+    return materialize(found.withColumnRenamed("parent_id", "id"), "answer-passages")
+
+
+def ask(step: str, questions: DataFrame, vectors: DataFrame, texts: DataFrame, parents: DataFrame, completer, **how) -> DataFrame:
+    """Retrieve, then answer: (query_id, grounded, answer, citations), a row a question."""
+    passages = retrieved_passages(step, questions, vectors, texts, parents, **how)
+    return answer(questions.select("query_id", F.col("text").alias("question")), passages, completer)

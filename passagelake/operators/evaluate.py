@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .answers import REFUSAL, completed, json_object
-from .search import STEPS
+from ..ports import NoTracer, Tracer
+from ..scratch import materialize
+from .answers import REFUSAL, answer, completed, json_object, passage_block, retrieved_passages
+from .search import PARENTS, STEPS
 
 UNREADABLE = "The verdict could not be read."
 METRICS = ("recall", "refusal", "faithful", "grounded", "correct")
@@ -58,6 +63,48 @@ def judged(facts: DataFrame, judge) -> DataFrame:
     return yes.unionByName(no.withColumn("faithful", none).withColumn("grounded_ok", none).withColumn("correct", none))
 
 
+def page_keys(passages: DataFrame) -> DataFrame:
+    """passages -> (item_id, rank, source, unit, page): the pages that each passage covers, of its own unit."""
+    each = passages.select(F.col("query_id").alias("item_id"), "rank", "source", "unit", F.explode("pages").alias("token"))
+    page = F.regexp_extract("token", r"^(.+)-(\d+)$", 2).try_cast("int")
+    return each.filter(F.regexp_extract("token", r"^(.+)-(\d+)$", 1) == F.col("unit")).select("item_id", "rank", "source", "unit", page.alias("page")).filter("page is not null")
+
+
+def score_step(step: str, items: DataFrame, gold: DataFrame, passages: DataFrame, answers: DataFrame, judge, k: int = PARENTS) -> DataFrame:
+    """One step's facts, a row an item: (step, item_id, recall, refusal, result_grounded, answer, faithful, grounded_ok, correct).
+
+    items (item_id, question, expected_behavior, expected_answer), gold (item_id, source, unit, page), passages and
+    answers as the step gave them. The judge sees the passages as the prompt had them and the citations as JSON.
+    """
+    recall = recall_at_k(page_keys(passages), gold, k)
+    shown = passages.select("query_id", "rank", passage_block(F.col("rank")).alias("block")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
+    shown = shown.select(F.col("query_id").alias("item_id"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("passages"))
+    got = answers.select(F.col("query_id").alias("item_id"), F.col("grounded").alias("result_grounded"), "answer", "citations")
+    facts = items.join(got, "item_id").join(shown, "item_id", "left").join(recall, "item_id", "left")
+    facts = facts.withColumn("refusal", refusal_score(F.col("result_grounded"), F.col("answer"), F.col("citations"), F.col("expected_behavior"))).withColumn("cited", F.to_json("citations"))
+    out = judged(facts, judge)
+    return out.select(F.lit(step).alias("step"), "item_id", "recall", "refusal", "result_grounded", "answer", "faithful", "grounded_ok", "correct")
+
+
+def ablation(items: DataFrame, gold: DataFrame, queries: DataFrame, vectors: DataFrame, texts: DataFrame, parents: DataFrame, completer, judge, steps: tuple[str, ...] = STEPS, k: int = PARENTS, tracer: Tracer | None = None, on_item: Callable[[Row], None] | None = None, **how) -> DataFrame:
+    """The curve over retrieval steps: each step retrieves, answers and is scored over all items.
+
+    queries (query_id, text, embedding): an item's id and question. on_item is called with each item's facts as a step
+    ends, through an iterator on the driver; the tracer hears of each step's start and gets its scores at its end.
+    """
+    tracer, facts = tracer or NoTracer(), []
+    for step in steps:
+        tracer.start(step)
+        passages = retrieved_passages(step, queries, vectors, texts, parents, **how)
+        answers = materialize(answer(queries.select("query_id", F.col("text").alias("question")), passages, completer), "ablation-answers")
+        facts.append(materialize(score_step(step, items, gold, passages, answers, judge, k), "ablation-facts"))
+        tracer.end(step, long_metrics(facts[-1].withColumnRenamed("grounded_ok", "grounded")))
+        if on_item:
+            for row in facts[-1].toLocalIterator():
+                on_item(row)
+    return curve(reduce(lambda a, b: a.unionByName(b), facts))
+
+
 def curve(facts: DataFrame) -> DataFrame:
     """facts (step, recall, refusal, faithful, grounded_ok, correct) -> a row a step, in order: recall is 0.0 where no
     item has gold, the others are null where nothing was scored."""

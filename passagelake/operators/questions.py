@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from ..scratch import materialize
+from ..sources.files import append_run, read_run
+from .answers import completed_each, decide, prompts
 
 #: What a line of a question section can be.
 CHOICE = r"^[A-Z]\.\s"
@@ -20,9 +23,15 @@ def unit_of(content: Column, path: Column) -> Column:
     return F.coalesce(own, F.nullif(stem, F.lit("")), F.lit("0"))
 
 
-def sections(units: DataFrame, content_type: str = "self_check") -> DataFrame:
-    """units (path, content) -> the lines of their sections of a type: (unit, path, pos, line). A section begins
-    after its type mark and ends at the next mark or second-level heading."""
+def source_of(content: Column) -> Column:
+    """The source that a unit's frontmatter names, empty if none."""
+    return F.regexp_extract(content, r'(?m)^source:\s*"?([^"\n]+?)"?\s*$', 1)
+
+
+def sections(units: DataFrame, content_type: str = "self_check", source: str | None = None) -> DataFrame:
+    """units (path, content) -> the lines of their sections of a type: (unit, path, pos, line), of all units or those of
+    a source. A section begins after its type mark and ends at the next mark or second-level heading."""
+    units = units if source is None else units.filter(source_of(F.col("content")) == source)
     rows = units.select(unit_of(F.col("content"), F.col("path")).alias("unit"), "path", F.posexplode(lines(F.col("content"))).alias("pos", "line"))
     mark = F.regexp_extract("line", r"^<!-- content_type: (\S+) -->\s*$", 1)
     rows = rows.withColumn("turn", F.when(mark != "", mark).when(F.col("line").startswith("## "), ""))
@@ -64,6 +73,35 @@ def remaining(items: DataFrame, done: DataFrame) -> DataFrame:
     return items.join(done.filter("answer is not null").select("id").distinct(), "id", "left_anti")
 
 
+def run_batch(items: DataFrame, passages: DataFrame, completer, path: str) -> DataFrame:
+    """Answer the items (id, question) that the run at `path` has no answer to, and append their results to it.
+
+    -> the run's counts so far. A row a result: (id, grounded, answer, citations, error); an item whose request fails has
+    its error and no answer, so the next call tries it again. Results are written as tasks end, whole or not at all.
+    """
+    done = read_run(items.sparkSession, path)
+    todo = items if done is None else remaining(items, done)
+    asked = prompts(todo.select(F.col("id").alias("query_id"), "question"), passages)
+    replies = completed_each(asked.filter("n_passages > 0"), completer)
+    none = F.lit(None).cast("string")
+    replies = materialize(replies.unionByName(asked.filter("n_passages = 0").withColumn("completion", none).withColumn("error", none)), "run-replies")
+    made = decide(replies, passages).join(replies.select("query_id", "error"), "query_id")
+    ok = F.col("error").isNull()
+    append_run(made.select(F.col("query_id").alias("id"), F.when(ok, F.col("grounded")).alias("grounded"), F.when(ok, F.col("answer")).alias("answer"), F.when(ok, F.col("citations")).alias("citations"), "error"), path)
+    return run_counts(latest(read_run(items.sparkSession, path)))
+
+
+def latest(results: DataFrame) -> DataFrame:
+    """A row an item: its answer if a run has one, else its last error."""
+    keep = F.max_by(F.struct(*[c for c in results.columns if c != "id"]), F.struct(F.col("answer").isNotNull(), "error"))
+    return results.groupBy("id").agg(keep.alias("r")).select("id", "r.*")
+
+
+def payload(results: DataFrame) -> DataFrame:
+    """results -> (id, payload): what a caller is sent, as JSON, with nulls: an error, or answer, ground and citations."""
+    return results.select("id", F.to_json(F.struct("id", "grounded", "answer", "citations", "error"), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def run_counts(results: DataFrame) -> DataFrame:
     """One row: answers with ground, refusals, failures (rows with an error)."""
     return results.agg(F.count_if(F.col("error").isNull() & F.col("grounded")).alias("grounded"), F.count_if(F.col("error").isNull() & ~F.col("grounded")).alias("refused"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("total"))

@@ -8,9 +8,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from typing import Protocol
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
 
@@ -33,6 +36,37 @@ class Completer(Protocol):
     def complete(self, system: str, user: str) -> str: ...
 
 
+class Tracer(Protocol):
+    """Hears of an evaluation's steps; scores come as a table (step, item_id, metric, value)."""
+
+    def start(self, step: str) -> None: ...
+
+    def end(self, step: str, scores: DataFrame) -> None: ...
+
+
+class NoTracer:
+    """Hears and does nothing."""
+
+    def start(self, step: str) -> None:
+        pass
+
+    def end(self, step: str, scores: DataFrame) -> None:
+        pass
+
+
+class TableTracer:
+    """Appends each step's scores to a table at a path, as the executors have them, with the seconds the step took."""
+
+    def __init__(self, path: str):
+        self.path, self.began = path, {}
+
+    def start(self, step: str) -> None:
+        self.began[step] = time.time()
+
+    def end(self, step: str, scores: DataFrame) -> None:
+        scores.withColumn("seconds", F.lit(time.time() - self.began.pop(step))).write.mode("append").parquet(self.path)
+
+
 class HashEmbedder:
     """Signed feature hashing of words, scaled to unit length."""
 

@@ -65,6 +65,25 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return each.select("pos", need("id").alias("id"), need("question").alias("question"), need("expected_behavior").alias("expected_behavior"), F.coalesce(text("expected_answer"), F.lit("")).alias("expected_answer"), checked.alias("citations"), *[text(k).alias(k) for k in ("category", "content_type", "difficulty")], terms.alias("verified_absent_terms"), F.try_variant_get("i", "$.choices", "array<string>").alias("choices"))
 
 
+def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
+    """KEY=VALUE lines of a small file: blank lines, comments and lines without = are left out, quotes around a value go,
+    a key given twice keeps its last value."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)  # Spark's readers pass over hidden files
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    out = {}
+    for line in text.splitlines():
+        key, is_pair, value = line.strip().partition("=")
+        if is_pair and not key.startswith("#"):
+            value = value.strip()
+            quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+            out[key.removeprefix("export ").strip()] = value[1:-1] if quoted else value
+    return out
+
+
 def first_items(items: DataFrame, n: int) -> DataFrame:
     """The first n items of a file: the limit is the feature."""
     return items.orderBy("pos").limit(n)

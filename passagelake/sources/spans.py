@@ -43,3 +43,19 @@ def extracted(files: DataFrame, extractor: Extractor, source: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["source", "page_idx", "block_no", "line_no", "span_no", "text", "size", "bold", "font", "x0", "y0", "x1", "y1"])
 
     return files.select("content").mapInPandas(read, "source string, page_idx int, block_no int, line_no int, span_no int, text string, size double, bold boolean, font string, x0 double, y0 double, x1 double, y1 double")
+
+
+def extracted_boxes(files: DataFrame, extractor: Extractor, source: str) -> DataFrame:
+    """files (path, content: binary) -> the ruled boxes of their pages (source, page_idx, box_no, x0, y0, x1, y1), by an
+    extractor port, whose boxes are (page_idx, x0, y0, x1, y1); a box without extent is none."""
+
+    def read(batches):
+        import pandas as pd
+
+        for b in batches:
+            for content in b["content"]:
+                rows = [(source, p, i, *box) for i, (p, *box) in enumerate(extractor.boxes(content))]
+                yield pd.DataFrame(rows, columns=["source", "page_idx", "box_no", "x0", "y0", "x1", "y1"])
+
+    found = files.select("content").mapInPandas(read, "source string, page_idx int, box_no int, x0 double, y0 double, x1 double, y1 double")
+    return found.filter("x1 > x0 and y1 > y0")
