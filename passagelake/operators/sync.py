@@ -1,13 +1,15 @@
 """Incremental maintenance of the chunk index: plan by content hash, embed what changed, write a new version.
 
-An index is a folder of versions; the newest complete one counts. A version is written whole under a
-new name and only then named current, so a failed embedding or a lost driver leaves the index as it was.
+An index is a folder of versions: a base, which is whole, and deltas, which hold the documents written and the
+ids touched since. A version counts once its last table is complete, so a failed embedding or a lost driver
+leaves the index as it was. A sync writes what changed; after DELTAS deltas a new base is written.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from ..scratch import materialize
 #: Texts of one embedding request at most.
 REQUEST = 128
 #: Columns that only children have.
+#: Deltas after which an index is written whole again.
+DELTAS = 8
 CHILD_ONLY = ("parent_id", "embedding_text", "embedding")
 
 
@@ -79,15 +83,35 @@ class Index:
     def _fs(self):
         return self._file("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[tuple[int, bool]]:
+        """(number, whether it is a base) of the complete versions, in order."""
+        fs, out = self._fs(), []
+        if fs.exists(self._file("versions")):
+            for s in fs.listStatus(self._file("versions")):
+                n = s.getPath().getName()
+                base = fs.exists(self._file(f"versions/{n}/base/_SUCCESS"))
+                if base or fs.exists(self._file(f"versions/{n}/touched/_SUCCESS")):
+                    out.append((int(n), base))
+        return sorted(out)
+
     def version(self) -> int:
-        fs = self._fs()
-        if not fs.exists(self._file("versions")):
-            return 0
-        return max([int(s.getPath().getName()) for s in fs.listStatus(self._file("versions")) if fs.exists(self._file(f"versions/{s.getPath().getName()}/_SUCCESS"))], default=0)
+        return max([v for v, _ in self._versions()], default=0)
 
     def read(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/versions/{v:08d}") if v else None
+        """The documents: of each id those of the last version that touched it."""
+        known = self._versions()
+        if not known:
+            return None
+        whole = max([v for v, base in known if base], default=0)
+        deltas = [v for v, _ in known if v > whole]
+        at = lambda v, t: self.spark.read.parquet(f"{self.path}/versions/{v:08d}/{t}")
+        parts = ([at(whole, "base").withColumn("_v", F.lit(0))] if whole else []) + [at(v, "documents").withColumn("_v", F.lit(v)) for v in deltas]
+        rows = reduce(lambda a, b: a.unionByName(b), parts)
+        if not deltas:
+            return rows.drop("_v")
+        touched = reduce(lambda a, b: a.unionByName(b), [at(v, "touched").withColumn("_t", F.lit(v)) for v in deltas])
+        last = touched.groupBy("id").agg(F.max("_t").alias("_t"))
+        return rows.join(last, "id", "left").filter("_t is null or _t = _v").select([c for c in parts[0].columns if c != "_v"])
 
     def hashes(self) -> DataFrame:
         """{id: content_hash}, two columns of the table; empty where there is no version."""
@@ -98,8 +122,22 @@ class Index:
         """Point look-ups by a table of ids."""
         return self.read().join(ids.select("id").distinct(), "id", "left_semi").select("id", *columns)
 
-    def write(self, documents: DataFrame) -> None:
-        documents.write.parquet(f"{self.path}/versions/{self.version() + 1:08d}")
+    def write(self, documents: DataFrame, touched: DataFrame) -> None:
+        """Add a delta: documents, and the ids (id) that they replace or that are gone. The first version, and the one
+        after DELTAS deltas, is a base; versions that no reader of the last base needs are deleted."""
+        known = self._versions()
+        bases = [v for v, base in known if base]
+        folder = f"{self.path}/versions/{self.version() + 1:08d}"
+        if not known:
+            documents.write.parquet(f"{folder}/base")
+            return
+        documents.write.parquet(f"{folder}/documents")
+        touched.select("id").distinct().write.parquet(f"{folder}/touched")
+        if len([v for v, _ in known if v > max(bases, default=0)]) + 1 >= DELTAS:
+            self.read().write.parquet(f"{self.path}/versions/{self.version() + 1:08d}/base")
+            for v, _ in known:
+                if v < max(bases, default=0):
+                    self._fs().delete(self._file(f"versions/{v:08d}"), True)
 
     def definitions(self) -> dict[str, dict]:
         fs = self._fs()
@@ -140,10 +178,7 @@ def apply_plan(records: DataFrame, index: Index, plan: DataFrame, embedder) -> D
     vectors = materialize(embedded(fresh.filter("kind = 'child'"), embedder), "sync-embedded")
     parents = fresh.filter("kind <> 'child'").withColumn("embedding", F.lit(None).cast("array<float>"))
     written = to_documents(vectors.unionByName(parents))
-    held = index.read()
-    if held is not None:
-        written = held.join(plan.select("id"), "id", "left_anti").unionByName(written)
-    index.write(written)
+    index.write(written, plan)
     return report(plan).crossJoin(vectors.agg(F.count("*").alias("embedded")))  # a row each
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests, a local run) a folder of its own."""
+    """spark.checkpoint.dir of the session; only where it is unset, and the master is local, a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.getCheckpointDir():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="passagelake-"))
         root = spark.sparkContext.getCheckpointDir()
     if not urlparse(root).scheme:
