@@ -33,7 +33,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # the default codec holds buffers off the heap until a collection
     out = spark.read.schema(df.schema).parquet(path)
     out._passagelake_path = path  # for discard()
     return out
