@@ -26,12 +26,15 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialize, partitions, scratch_path, small_batches, table
 
 REVISIT = 100
 BLOCK_LINES = 200
 LEVEL = 3
+#: Records of a file with no more bytes between them are read at once, up to so many bytes.
+GAP, READ = 64 << 10, 8 << 20
 #: The pages have no capture time; records carry this one.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -212,6 +215,20 @@ class Ranges:
     def record(self, file: str, offset: int, length: int) -> dict:
         return parse(zlib.decompress(self.read(file, offset, length), 31))
 
+    def records(self, captures: list[list]) -> Iterator[tuple[list, dict]]:
+        """Captures with their records, by file and place; what lies close together is read at once."""
+        held: list[list] = []
+        for c in [*sorted(captures, key=lambda x: (x[2], x[3])), None]:
+            near = held and c and c[2] == held[0][2] and c[3] - (held[-1][3] + held[-1][4]) <= GAP and c[3] + c[4] - held[0][3] <= READ
+            if held and not near:
+                start = held[0][3]
+                raw = self.read(held[0][2], start, held[-1][3] + held[-1][4] - start)
+                for x in held:
+                    yield x, parse(zlib.decompress(raw[x[3] - start : x[3] - start + x[4]], 31))
+                held = []
+            if c:
+                held.append(c)
+
 
 class CaptureIndex:
     """Look-ups by URL. parts: the rows of build_index, few, in order; directories are read when first needed."""
@@ -230,31 +247,68 @@ class CaptureIndex:
             self.directories[i] = [r["first"] for r in rows], rows
         return self.directories[i]
 
-    def captures(self, url: str) -> list[list]:
-        """The captures of a URL, [key, page_id, file, offset, length, type] each, by page id."""
-        key, out = url_key(url), []
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(path, offset, length) of the blocks that can hold a key, by two binary searches."""
         i = max(0, bisect_left(self.firsts, key) - 1)
         while i < len(self.parts) and (self.firsts[i] <= key):
             firsts, rows = self._directory(i)
             j = max(0, bisect_left(firsts, key) - 1)
             while j < len(rows) and firsts[j] <= key:
-                lines = self.ranges.lines(self.parts[i]["blocks_path"], rows[j]["offset"], rows[j]["length"])
-                keys = [x[0] for x in lines]
-                out += lines[bisect_left(keys, key) : bisect_right(keys, key)]
+                yield self.parts[i]["blocks_path"], rows[j]["offset"], rows[j]["length"]
                 j += 1
             i += 1
-        return out
+
+    def captures(self, url: str) -> list[list]:
+        """The captures of a URL, [key, page_id, file, offset, length, type] each, by page id."""
+        key = url_key(url)
+        return [x for block in self.blocks(key) for x in with_key(self.ranges.lines(*block), key)]
 
     def records(self, url: str) -> list[dict]:
         return [self.ranges.record(*c[2:5]) for c in self.captures(url)]
 
 
-def read_archives(parts: DataFrame) -> DataFrame:
-    """All records, read back through the index: (page_id, key, type, refers_to, payload_bytes, payload_digest).
+def with_key(lines: list[list], key: str) -> list[list]:
+    """The lines of a block that have a key, by binary search."""
+    first = lambda x: x[0]
+    return lines[bisect_left(lines, key, key=first) : bisect_right(lines, key, key=first)]
 
-    A response's figures come from its payload; a revisit's from the payload of the response it refers to.
+
+@F.pandas_udf(T.StringType())
+def _url_key(urls: pd.Series) -> pd.Series:
+    return pd.Series([url_key(u if isinstance(u, str) else None) for u in urls], dtype=object)
+
+
+def looked_up(urls: DataFrame, parts: DataFrame, url_col: str = "url") -> DataFrame:
+    """The records of all captures of the URLs, each capture once, whatever URLs repeat: (page_id, key, type, refers_to,
+    payload_bytes, payload_digest). A null URL has the empty key; a URL without a capture gives no row.
+
+    Keys are dealt by range, so a task's look-ups share directories and neighbouring blocks. A block found is a
+    row, dealt anew, so the captures of one URL, however many, are read by many tasks. The index's parts, a row for
+    each shuffle partition at most, go to every task; directories are read where they are needed.
     """
-    spark = parts.sparkSession
+    n = partitions(parts.sparkSession)
+    known = [r.asDict() for r in parts.collect()]
+    keys = urls.select(_url_key(F.col(url_col).cast("string")).alias("key")).distinct()
+    dealt = keys.repartitionByRange(n, "key").sortWithinPartitions("key")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = CaptureIndex(known)
+        for b in batches:
+            out: list[tuple] = []
+            for key in b["key"]:
+                for block in index.blocks(key):
+                    if out and out[-1][:3] == block:
+                        out[-1][3].append(key)
+                    else:
+                        out.append((*block, [key]))
+            yield pd.DataFrame(out, columns=["path", "offset", "length", "keys"])
+
+    blocks = dealt.mapInPandas(find, "path string, offset long, length long, keys array<string>")
+    return _records(blocks.repartition(n, "path", "offset"))
+
+
+def read_archives(parts: DataFrame) -> DataFrame:
+    """All records, read back through the whole index, with the columns of looked_up()."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,23 +316,32 @@ def read_archives(parts: DataFrame) -> DataFrame:
                 fs, path = pafs.FileSystem.from_uri(p["directory_path"])
                 with fs.open_input_file(path) as f:
                     d = pa.ipc.open_file(f).read_all().to_pandas()
-                d["path"] = p["blocks_path"]
-                yield d[["path", "offset", "length"]]
+                d["path"], d["keys"] = p["blocks_path"], None
+                yield d[["path", "offset", "length", "keys"]]
 
-    n = partitions(spark)
-    blocks = parts.repartitionByRange(n, "part").mapInPandas(entries, "path string, offset long, length long")
+    n = partitions(parts.sparkSession)
+    blocks = parts.repartitionByRange(n, "part").mapInPandas(entries, "path string, offset long, length long, keys array<string>")
+    return _records(blocks)
+
+
+def _records(blocks: DataFrame) -> DataFrame:
+    """blocks (path, offset, length, keys; null keys: all) -> the records of their captures.
+
+    A response's figures come from its payload; a revisit's from the payload of the response it refers to.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranges = Ranges()
         for b in batches:
-            for path, offset, length in zip(b["path"], b["offset"], b["length"]):
+            for path, offset, length, keys in zip(b["path"], b["offset"], b["length"], b["keys"]):
+                lines = ranges.lines(path, offset, length)
+                wanted = lines if keys is None else [x for k in keys for x in with_key(lines, k)]
                 out = []
-                for key, _, file, at, size, _ in sorted(ranges.lines(path, offset, length), key=lambda x: (x[2], x[3])):
-                    r = ranges.record(file, at, size)
+                for capture, r in ranges.records(wanted):
                     page = _ID.fullmatch(r["warc-record-id"])[1]
                     refers = _ID.fullmatch(r["warc-refers-to"])[1] if r["warc-type"] == "revisit" else None
                     own = refers is None
-                    out.append((None if page == "none" else int(page), key, r["warc-type"], None if own else int(refers), len(r["payload"]) if own else None, hashlib.sha256(r["payload"]).hexdigest() if own else r["warc-payload-digest"].removeprefix("sha256:")))
+                    out.append((None if page == "none" else int(page), capture[0], r["warc-type"], None if own else int(refers), len(r["payload"]) if own else None, hashlib.sha256(r["payload"]).hexdigest() if own else r["warc-payload-digest"].removeprefix("sha256:")))
                 frame = pd.DataFrame(out, columns=["page_id", "key", "type", "refers_to", "bytes", "digest"])
                 yield frame.astype({"page_id": "Int64", "refers_to": "Int64", "bytes": "Int64"})
 
@@ -292,10 +355,11 @@ def read_archives(parts: DataFrame) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "warc")
-    captures = write_archives(table(spark, sf_dir, "pages"), root)
+    pages = table(spark, sf_dir, "pages")
+    captures = write_archives(pages, root)
     parts = build_index(captures, f"{root}/index")
     discard(captures)
-    return read_archives(parts).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+    return looked_up(pages, parts).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
 SQL = f"""
