@@ -43,25 +43,28 @@ def _unescape_role(role: Column) -> Column:
 
 
 def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """turns -> (conv_id, example, last, text, loss_start, loss_end), a row an example.
+    """turns -> (conv_id, alone, example, last, text, loss_start, loss_end), a row an example.
 
     loss_start and loss_end: code points of text under the loss mask, end exclusive; null where
     nothing is. example counts from 1 in each conversation; last marks its last one.
     Turns go by number (null first), equal numbers by role and text; null roles and texts are empty
-    and all rows are kept, repeated ones too. Rows without a conv_id make one conversation. Other
-    columns are not read. An empty table gives no example.
+    and all rows are kept, repeated ones too. A row without a conv_id is a conversation of its own, numbered
+    by `alone` (null elsewhere), so such rows are never gathered; other rows are gathered by conversation, as each
+    example holds all turns before its own. Other columns are not read. An empty table gives no example.
     """
-    own = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    whole = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    own = turns.select(F.col(conv_col).alias("conv_id"), alone.alias("alone"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = own.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     written = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit(SHUT)).alias("mark"), escape(t["text"]).alias("body"), (t["role"] == TRAINED).alias("trained")))
-    whole = whole.select("conv_id", written.alias("turns"), F.size("turns").alias("n"))
+    whole = whole.select("conv_id", "alone", written.alias("turns"), F.size("turns").alias("n"))
     whole = whole.withColumn("at", F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: F.element_at("turns", i)["trained"] | (i == F.col("n"))))
-    each = whole.select("conv_id", "turns", F.size("at").alias("of"), F.posexplode("at").alias("nth", "i"))
+    each = whole.select("conv_id", "alone", "turns", F.size("at").alias("of"), F.posexplode("at").alias("nth", "i"))
     line = lambda t: F.concat(t["mark"], t["body"], F.lit(END))
     each = each.withColumn("before", F.array_join(F.transform(F.slice("turns", 1, F.col("i") - 1), line), "")).withColumn("t", F.element_at("turns", F.col("i")))
     start = F.when(F.col("t.trained"), F.char_length("before") + F.char_length("t.mark")).cast("long")
     return each.select(
         "conv_id",
+        "alone",
         (F.col("nth") + 1).alias("example"),
         (F.col("nth") + 1 == F.col("of")).alias("last"),
         F.concat(F.col("before"), line(F.col("t"))).alias("text"),
@@ -86,8 +89,8 @@ def read_turns(text: Column) -> Column:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Examples -> (conv_id, turns, loss_text, formatted_chars), a row a conversation."""
     loss = F.when(F.col("loss_start").isNotNull(), unescape(F.substring("text", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))))
-    slim = formatted.select("conv_id", "example", loss.alias("loss"), F.when(F.col("last"), F.col("text")).alias("text"), F.char_length("text").cast("long").alias("chars"))
-    got = slim.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.max("text").alias("text"), F.sum("chars").alias("formatted_chars"))
+    slim = formatted.select("conv_id", "alone", "example", loss.alias("loss"), F.when(F.col("last"), F.col("text")).alias("text"), F.char_length("text").cast("long").alias("chars"))
+    got = slim.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.max("text").alias("text"), F.sum("chars").alias("formatted_chars"))
     return got.select("conv_id", read_turns(F.col("text")).alias("turns"), F.array_join(F.transform("losses", lambda x: x["loss"]), "").alias("loss_text"), "formatted_chars")
 
 
@@ -109,21 +112,21 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH c AS (
-  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), n AS (
-  SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id) AS n,
+  SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id, alone) AS n,
          2 + length(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '|', '%7C'), chr(10), '%0A')) + 3
            + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 8 AS chars
-  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  FROM c WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)
 ), p AS (
-  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY nth) AS upto FROM n
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id, alone ORDER BY nth) AS upto FROM n
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(coalesce(sum(upto) FILTER (WHERE role = 'assistant' OR nth = n), 0) AS BIGINT) AS formatted_chars
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, alone
 """
