@@ -171,9 +171,8 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     df, n = _document_frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
     key = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40))
-    limit = F.lit(0)
-    for lang in languages:
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / sizes[lang]) * (1 << 40)))).otherwise(limit)
+    shares = F.map_from_arrays(F.lit(languages or [""]), F.lit([int(min(1.0, per_language / sizes[x]) * (1 << 40)) for x in languages] or [0]))
+    limit = F.element_at(shares, F.col("lang")).cast("long")
     got = rows.withColumn("key", key).filter(F.col("key") < limit).withColumn("g", _grams("text")).select("key", "lang", "g.at", "g.n").filter("at is not null").toPandas()
     got = got.sort_values("key", kind="stable")
     place = {lang: i for i, lang in enumerate(languages)}
@@ -182,7 +181,8 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score appended. Text alone decides: null or without a letter gives `und`, 0."""
+    """docs with lang_pred and score appended; columns of docs that have these names give way, others stay.
+    Text alone decides: null or without a letter gives `und`, 0."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
@@ -190,8 +190,9 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame([model.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_p", predict(F.col(text_col).cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_p.lang_pred"), F.col("_p.score"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    out = docs.select(F.struct(*own).alias("row"), predict(F.col(f"`{text_col}`").cast("string")).alias("said"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("lang_pred", "score")], "said.lang_pred", "said.score")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
