@@ -20,7 +20,7 @@ ROWS = [
     (7, "123 456 !!", "en", "c", 10),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["row", "key", "nth", "size", "fp", "label", "bucket", "_part", "_score", "target", "p", "part", "marks"]
+CLASH = ["row", "key", "nth", "size", "fp", "label", "bucket", "_part", "_score", "target", "p", "part", "marks", "_p", "lang_pred", "score", "said", "node", "bands", "s", "place"]
 
 
 @pytest.fixture(scope="module")
@@ -113,6 +113,10 @@ def test_quality(spark, docs):
 def test_secrets(spark, docs):
     got = secretscan.find_secrets(docs)
     assert got.count() == len(ROWS) and not any(r.spans for r in got.collect())
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    more = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit(f"{LONG} token = '{key}' and {key}{key} {'x1' * 40000}")))
+    spans = [r.base for r in secretscan.find_secrets(more).collect() if r.doc_id == 99]
+    assert len(spans) == 2 and spans[0] == spans[1] and [s.kind for s in spans[0]] == ["assign", "hex", "hex"]
     assert secretscan.find_secrets(docs.limit(0)).count() == 0
 
 
@@ -124,6 +128,16 @@ def test_winnowing(spark, docs):
     assert winnow.compared(docs.limit(0)).count() == 0
 
 
+def test_winnowing_of_hot_ids(spark):
+    """One id with most rows, rows without an id, and equal rows: each row is there once and follows its order."""
+    rows = [(7, f"text number {i % 40} of many words in a row here") for i in range(120)] + [(None, "no id")] * 30 + [(i, f"plain {i}") for i in range(10)]
+    got = winnow.compared(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    first = [r for r in got if r.doc_id == 9][0]
+    assert all(r.edited == r.text[: len(r.text) - len(r.text) // 2] + first.text[: len(r.text) // 2] for r in got if r.doc_id is None)
+    assert winnow.compared(spark.createDataFrame([(None, "a b"), (None, "c")], "doc_id long, text string")).count() == 2
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, turns string, n string, at string, example string"
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (1, 1, "assistant", None), (None, 0, "user", "x"), (2, 0, "assistant", "y"), (3, 0, "system", "only")]
@@ -131,18 +145,23 @@ def test_chat(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.examples(df)).collect()}
     assert [(t.role, t.text) for t in got[1].turns] == [("", ""), ("user", "a"), ("user", "a"), ("assistant", "")]
     assert got[2].loss_text == "y" and got[3].loss_text == "" and len(got[None].turns) == 1
+    alone = chat.read_back(chat.examples(spark.createDataFrame([(None, i % 2, "assistant", f"t{i % 3}") for i in range(30)], "conv_id long, turn long, role string, text string"))).collect()
+    assert len(alone) == 30 and all(len(r.turns) == 1 for r in alone)
+    long = chat.read_back(chat.examples(spark.createDataFrame([(1, 0, "user", LONG), (1, 1, "assistant", LONG + "<|end|>\n")], "conv_id long, turn long, role string, text string"))).first()
+    assert long.loss_text == LONG + "<|end|>\n" and [t.text for t in long.turns] == [LONG, LONG + "<|end|>\n"]
     assert chat.examples(df.limit(0)).count() == 0
 
 
 def test_warc(spark):
     z = "z" * 150
-    rows = [(3, "http://a.example/x", z), (1, "http://b.example/x", z), (1, "http://b.example/x", z), (None, None, z), (7, "http://b.example/x", "short"), (8, "line\nbreak", "short"), (9, None, None), (10, "", "")]
+    rows = [(3, "http://a.example/x", z), (1, "http://b.example/x", z), (1, "http://b.example/x", z), (None, None, z), (7, "http://b.example/x", "short"), (8, "line\nbreak", "short"), (9, None, None), (10, "", ""), (11, "http://long.example/", LONG), (12, "http://long.example/", LONG)]
     df = spark.createDataFrame([(*r, "c", "c") for r in rows], "page_id long, url string, html string, digest string, first string")
     root = warc.scratch_path(spark, "warc-edges")
     got = warc.read_archives(warc.build_index(warc.write_archives(df, root), f"{root}/index")).collect()
     assert len(got) == len(rows)
     assert {(r.page_id, r.type, r.refers_to) for r in got if r.payload_bytes == 150} == {(1, "response", None), (3, "revisit", 1), (None, "revisit", 1)}
     assert {r.type for r in got if r.payload_bytes < 100} == {"response"}
+    assert {(r.page_id, r.type) for r in got if r.payload_bytes == len(LONG)} == {(11, "response"), (12, "revisit")}
     none = warc.write_archives(df.limit(0), f"{root}/none")
     assert none.count() == 0 and warc.read_archives(warc.build_index(none, f"{root}/none/index")).count() == 0
 

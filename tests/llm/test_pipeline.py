@@ -6,6 +6,23 @@ from passagelake.llm import decontaminate, mixing
 FOLDER = "/root/testdata/sf0.001"
 
 
+def kept(docs):
+    """The smallest id of each group of texts that five-word shingles' similarities of 0.8 or more link."""
+    ids, sets = docs.doc_id.tolist(), []
+    for t in docs.text:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    like = lambda a, b: not a and not b or len(a & b) >= 0.8 * len(a | b)
+    links = [(i, j) for i in range(len(ids)) for j in range(i) if like(sets[i], sets[j])]
+    label = list(ids)
+    while True:
+        was = list(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == was:
+            return set(label)
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, seen = docs.columns, {}
@@ -23,8 +40,7 @@ def test_stages(spark, tmp_path):
     known = [d for d in before.doc_id if d in labels.index]
     assert sum((d in gone) == (labels[d] == 0) for d in known) >= 0.9 * len(known)
     before, after = seen["near_duplicates"]
-    assert set(after.doc_id) <= set(before.doc_id) and after.text.nunique() == before.text.nunique() - (before.text.nunique() - after.text.nunique())
-    assert not after.text.duplicated().any()
+    assert sorted(after.doc_id) == sorted(kept(before))
     before, after = seen["decontamination"]
     items = [" ".join(t.split()) for t in spark.read.parquet(f"{FOLDER}/benchmark.parquet").toPandas().text]
     held = {d for d, t in zip(before.doc_id, before.text) if any(i in " ".join(t.split()) for i in items)}
