@@ -123,7 +123,7 @@ def long_metrics(facts: DataFrame, keys: tuple[str, ...] = ("step", "item_id"))
 def progress_line() -> Column:
     """A line a result: two digits for numbers, ticks for booleans, a dash for null."""
     tick = lambda c: F.when(F.col(c).isNull(), "—").when(F.col(c).cast("boolean"), "✓").otherwise("✗")
-    return F.concat_ws(" ", "step", F.col("item_id").cast("string"), F.coalesce(F.format_string("%.2f", F.col("recall")), F.lit("—")), *[tick(m) for m in METRICS[1:]])
+    return F.concat_ws(" ", "step", F.col("item_id").cast("string"), F.when(F.col("recall").isNull(), "—").otherwise(F.format_string("%.2f", F.col("recall"))), *[tick(m) for m in METRICS[1:]])
 
 
 def report_json(points: DataFrame, items: int, k: int) -> DataFrame:

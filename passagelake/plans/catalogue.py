@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("retrieval", "chunks", "maintenance", "layouts", "booklets", "seams")
+_MODULES = ("retrieval", "chunks", "maintenance", "layouts", "booklets", "seams", "artifacts")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

@@ -32,7 +32,7 @@ def block_elements(spark, d):
 def banner_name(spark, d):
     """Large lines that run through a unit's pages; twenty pages make a unit, the lang its name."""
     lines = _lines(spark, d)
-    own = lines.withColumn("unit_id", F.floor(F.col("page_idx") / 20).cast("string")).withColumn("page", F.col("page_idx")).withColumn("bold", F.lit(False)).withColumn("text", F.substring("text", 1, 2)).withColumn("size", F.when(F.col("size") > 11, 14.0).otherwise(F.col("size")))
+    own = lines.withColumn("unit_id", F.floor(F.col("page_idx") / 20).cast("string")).withColumn("page", F.col("page_idx")).withColumn("bold", F.lit(False)).withColumn("size", F.when(F.col("size") > 11, 14.0).otherwise(F.col("size")))
     return layout.banners(own).select("unit_id", "banner")
 
 
@@ -123,7 +123,7 @@ ORACLES = {
 )
 SELECT page_id, CAST(run AS BIGINT) AS run, CASE WHEN fw = 'section' THEN 'section' WHEN sub THEN 'subheading' WHEN fw = 'marker' THEN fm ELSE 'paragraph' END AS kind,
   sha256(CASE WHEN fw = 'section' THEN '## ' || raw || chr(10) || '<!-- content_type: unknown -->' WHEN sub THEN '### ' || raw ELSE body END) AS text_sha256 FROM e""",
-    "banner_name": f"""WITH {_LINES}, c AS (SELECT CAST(page_id // 20 AS VARCHAR) AS unit_id, page_id, block_no, trim(left(text, 2)) AS banner FROM li WHERE size > 11),
+    "banner_name": f"""WITH {_LINES}, c AS (SELECT CAST(page_id // 20 AS VARCHAR) AS unit_id, page_id, block_no, trim(text) AS banner FROM li WHERE size > 11),
 n AS (SELECT unit_id, banner, count(DISTINCT page_id) AS n, min(page_id * 100000 + block_no) AS first_at FROM c GROUP BY ALL HAVING count(DISTINCT page_id) >= 2)
 SELECT unit_id, banner FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY n DESC, first_at) AS k FROM n) WHERE k = 1""",
     "reading_order": f"WITH {_LINES}, p AS (SELECT page_id, block_no, round_even((block_no // 2) * 20.5, 0) AS y, round_even((block_no % 2) * -30.0 + 60.5, 0) AS x FROM li) SELECT page_id, block_no, y::DOUBLE AS y, x::DOUBLE AS x, row_number() OVER (PARTITION BY page_id ORDER BY y, x, block_no) AS place FROM p",
