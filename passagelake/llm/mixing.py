@@ -35,7 +35,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
     Sources in code-point order, null last, take `weights` in turn. Sorted by cap over weight, the
     sources that reach their cap come first, so sums before and after a source tell the level at
-    which the rest share. The windows see a row a source.
+    which the rest share. The windows see a row a source, all
+    sources in one task: some millions of them at most.
     """
     w = Window.orderBy(F.col("source").isNull(), F.col("source"))
     cycle = F.array(*[F.lit(float(x)) for x in weights])

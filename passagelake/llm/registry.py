@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, warc
+from . import chat, mixing, simhash, warc, winnow
 from .chat import op3_chat
 from .decontaminate import op1_decontaminate
 from .langid import op5_langid
@@ -30,5 +30,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_warc": warc.SQL,
     "op3_chat": chat.SQL,
+    "op6_winnow": winnow.SQL,
+    "op7_simhash": simhash.SQL,
     "op8_mix": mixing.SQL,
 }

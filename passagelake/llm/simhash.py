@@ -6,13 +6,16 @@ sub-block) is a table; a shard is the set of distinct fingerprints that agree on
 shard's BK-tree goes, with the queries that can have a match in it, to one place, so a tree is never
 sent where no query can match. A shard of more than SHARD fingerprints is dealt into parts by hash,
 a tree each, and each part's tree meets the queries of every part: that loses no pair and bounds
-both a tree and a task.
-
-dedup() has a measure and parameters of its own: exact Jaccard similarity of distinct five-word shingles,
-SIMILARITY or more. There fingerprints are some ten bits apart (12, deviation 3.1, for the shortest texts),
-where neither blocks of bits nor BK-trees cut anything, so its shards are MinHash bands: two texts at
-SIMILARITY share one of BANDS bands of ROWS values but for (1 - 0.8^5)^24 = 7e-5. Each text is first
-checked against its shard's pivot; then all pairs of a shard that the links found so far do not join.
+both a tree and a task. A shard of n fingerprints is so dealt n / SHARD times; that matters only where very many
+distinct fingerprints agree on a table's 28 bits or so.
+
+dedup() looks for exact Jaccard similarity of distinct five-word shingles, SIMILARITY or more. Fingerprints
+of such texts are some ten bits apart (12, deviation 3.1, for the shortest texts), so it searches its trees
+with NEAR_RADIUS, which loses 3e-5 of them. Blocks of bits can't shard at that radius (each would have to be
+two bits), so its shards are MinHash bands: two texts at SIMILARITY share one of BANDS bands of ROWS values but
+for (1 - 0.8^5)^24 = 7e-5. In each shard every fingerprint first meets the root of the shard's BK-tree; where
+the links found so far leave a shard apart, all its fingerprints search the whole tree. Each pair within the
+radius is checked by its exact similarity before it is a link.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bktree import spanning_links
-from .common import materialize, small_batches, table
+from .bktree import Forest, spanning_links
+from .common import discard, materialize, small_batches, table
 from .components import components
+from .sqlhash import hashed
 
 RADIUS = 3
 SHINGLE = 3
@@ -38,6 +42,7 @@ SHARD = 1024
 #: What dedup() takes for near-duplicates: Jaccard similarity of distinct shingles of so many words.
 SIMILARITY = 0.8
 NEAR_SHINGLE = 5
+NEAR_RADIUS = 24
 BANDS, ROWS = 24, 5
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -140,6 +145,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = materialize(joined, "simhash-joined")
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     of = materialize(joined.join(least, "label").select("fp", "label", "component_id"), "simhash-of")
+    for table_ in (classes, labels, joined):
+        discard(table_)
     return own.join(of, "fp").select("doc_id", "text_key", "fp", "label", "component_id")
 
 
@@ -152,12 +159,13 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows), np.uint64, BANDS)
 
 
-@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         sets = [np.unique(shingle_hashes(t if isinstance(t, str) else None, NEAR_SHINGLE)) for t in texts]
         node = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets), np.uint64, len(sets))
-        yield pd.DataFrame({"node": node.view(np.int64), "bands": [band_keys(h).view(np.int64) for h in sets]})
+        fp = np.fromiter(map(_majority, sets), np.uint64, len(sets))
+        yield pd.DataFrame({"node": node.view(np.int64), "fp": fp.view(np.int64), "bands": [band_keys(h).view(np.int64) for h in sets]})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -175,6 +183,17 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def within(queries: np.ndarray, nodes: np.ndarray, radius: int) -> np.ndarray:
+    """Which nodes lie within the radius of which queries, by a search of the nodes' BK-tree."""
+    codes, at = np.unique(nodes, return_inverse=True)
+    forest = Forest(codes, np.zeros(len(codes), np.int64))
+    asked, row = np.unique(queries, return_inverse=True)
+    out = np.zeros((len(asked), len(codes)), bool)
+    for q, n in forest.search(asked, np.zeros(len(asked), np.int64), radius):
+        out[q, n] = True
+    return out[row][:, at]
+
+
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (of left, of right) of sets with the Jaccard similarity or more, by products of incidence matrices."""
     sizes = np.array([len(s) for s in sets])
@@ -205,25 +224,28 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _cross_links(members: DataFrame, similarity: float, shard: int) -> DataFrame:
-    """members (k, n, node, label, shingles) -> distinct (a, b): a shard's similar pairs with unlike labels."""
+    """members (k, n, node, fp, label, shingles) -> distinct (a, b): a shard's similar pairs with unlike labels."""
     parts = F.ceil(F.col("n") / shard).cast("long")
     dealt = members.withColumn("s", parts).withColumn("i", F.pmod(F.xxhash64("node", F.lit("part")), F.col("s")))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-    rows = dealt.select("k", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("tree"), "node", "label", "shingles")
+    rows = dealt.select("k", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("tree"), "node", "fp", "label", "shingles")
     rows = rows.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "node")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for now, group in _groups(batches, ["k", "x", "y"]):
-            node, label, tree = now["node"].to_numpy(np.int64), now["label"].to_numpy(np.int64), now["tree"].to_numpy(bool)
+            fp, label, tree = now["fp"].to_numpy(np.int64).view(np.uint64), now["label"].to_numpy(np.int64), now["tree"].to_numpy(bool)
             sets = [np.frombuffer(x, np.uint64) for x in now["shingles"]]
             for rows in np.split(np.arange(len(now)), np.flatnonzero(np.diff(group)) + 1):
-                left, right = np.arange(len(rows)), np.flatnonzero(tree[rows])
+                right = np.flatnonzero(tree[rows])
                 if not len(right) or (label[rows] == label[rows[0]]).all():
                     continue
-                a, b = similar_pairs([sets[r] for r in rows], left, right, similarity)
-                a, b = rows[a], rows[b]
-                apart = label[a] != label[b]
-                links = pd.DataFrame({"a": label[a[apart]], "b": label[b[apart]]})
+                near = within(fp[rows], fp[rows[right]], NEAR_RADIUS) & (label[rows][:, None] != label[rows[right]][None])
+                left, far = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(left):
+                    continue
+                a, b = similar_pairs([sets[r] for r in rows], left, right[far], similarity)
+                met = near[a, np.searchsorted(right, b)]
+                links = pd.DataFrame({"a": label[rows[a[met]]], "b": label[rows[b[met]]]})
                 yield links.assign(a=links.max(axis=1), b=links.min(axis=1)).drop_duplicates()
 
     return rows.mapInPandas(meet, "a long, b long").distinct()
@@ -249,23 +271,26 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     text = F.col(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), _sketches(text).alias("s"))
-    own = materialize(own.select("doc_id", "text_key", "s.node", "s.bands"), "near-sketches")
-    classes = materialize(own.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("bands").alias("bands")), "near-classes")
-    keyed = classes.select("node", F.explode("bands").alias("k"))
-    full = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    own = materialize(own.select("doc_id", "text_key", "s.node", "s.fp", "s.bands"), "near-sketches")
+    classes = materialize(own.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-classes")
+    keyed = classes.select("node", "fp", F.explode("bands").alias("k"))
+    full = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("root")).filter("n > 1")
     members = materialize(keyed.join(full, "k"), "near-members")
     wanted = members.select("node").distinct().join(classes.select("node", "text_key"), "node")
     texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(wanted, "text_key")
     texts = texts.groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(texts.select("node", _shingle_set("text").alias("shingles")), "near-sets")
-    star = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    near_root = F.bit_count(F.col("fp").bitwiseXOR(F.col("root.fp"))) <= NEAR_RADIUS
+    star = members.filter((F.col("node") != F.col("root.node")) & near_root).select(F.col("node").alias("a"), F.col("root.node").alias("b")).distinct()
     labels = materialize(components(_similar(star, sets, similarity), "near-components"), "near-labels")
-    wide = members.filter("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    wide = members.filter("n > 2").drop("root").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     wide = materialize(wide, "near-wide")
     mixed = wide.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k")
     more = _cross_links(wide.join(mixed, "k").join(sets, "node"), similarity, shard)
     links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
     labels = materialize(components(links, "near-components"), "near-labels")
+    for table_ in (classes, members, sets, wide):
+        discard(table_)
     return own.join(labels, "node", "left").select("doc_id", "text_key", F.coalesce("label", "node").alias("label"))
 
 
@@ -293,3 +318,24 @@ def _row_key(doc_id: Column, text_key: Column) -> Column:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = simhash_components(table(spark, sf_dir, "documents"))
     return of.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_, CAST(doc_id AS BIGINT) AS doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT row_, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+                      ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) END) AS t
+  FROM d
+), u AS (SELECT DISTINCT t FROM g), {hashed("z", "u", "t", str(SEED)).strip()}, f AS (
+  SELECT row_, {" + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UBIGINT ELSE 0 END" for b in range(64))} AS fp
+  FROM g JOIN z USING (t) GROUP BY row_
+), o AS (SELECT doc_id, coalesce(CAST(fp AS UBIGINT), 0::UBIGINT) AS fp FROM d LEFT JOIN f USING (row_)),
+p AS (SELECT DISTINCT fp FROM o),
+l AS (SELECT x.fp AS a, y.fp AS b FROM p x JOIN p y ON bit_count(CAST(xor(x.fp, y.fp) AS HUGEINT)) <= {RADIUS}),
+reach AS (SELECT fp AS a, fp AS b FROM p UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a AS fp, min(o.doc_id) AS component_id FROM reach JOIN o ON o.fp = reach.b GROUP BY reach.a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM o JOIN c USING (fp)
+"""
