@@ -38,7 +38,7 @@ GAP, READ = 64 << 10, 8 << 20
 #: The pages have no capture time; records carry this one.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ID = re.compile(r"<urn:page:(-?\d+|none)>")
+_ID = re.compile(r"<urn:page:(-?\d+|none):[0-9a-f]{20}>")
 
 
 def url_key(url: str | None) -> str:
@@ -56,8 +56,9 @@ def url_key(url: str | None) -> str:
     return f"{where}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def _page_urn(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _page_urn(page_id: int | None, digest: str) -> str:
+    """A record's name: only rows equal in id and payload share one. A revisit's response has the revisit's digest."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest[:20]}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -67,14 +68,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_page_urn(page_id)}",
+        f"WARC-Record-ID: {_page_urn(page_id, digest)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~-._' + chr(39))}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_page_urn(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_page_urn(refers_to, digest)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import discard, materialize, partitions, table
 from .sqlhash import hashed
 
 K = 5
@@ -134,11 +134,12 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     bucket = _bucket(sorted(found.cuts or []))
     first = F.min(F.struct(F.bitwise_not("doc_id").alias("down"), "text_key", "doc_id"))
     heads = narrow.filter("doc_id is not null").groupBy(bucket.alias("bucket")).agg(first.alias("x")).orderBy("bucket").collect()  # a row a bucket
+    discard(narrow)
     if not heads:
         return rows.withColumn("marks", winnow(F.col("text"), k, window)).select("doc_id", "text", F.col("text").alias("edited"), "marks", F.col("marks").alias("edited_marks"), hashes(F.col("marks")).alias("next_hashes"))
     after = [(h.bucket, *heads[(i + 1) % len(heads)].x[1:]) for i, h in enumerate(heads)] + [(-1, *heads[0].x[1:])]
     ends = spark.createDataFrame(after, "bucket int, k long, i long")
-    texts = rows.join(ends.select("i", "k").distinct(), (F.col("doc_id") == F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["i", "k"])
+    texts = rows.join(F.broadcast(ends.select("i", "k").distinct()), (F.col("doc_id") == F.col("i")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["i", "k"])
     at_ends = ends.join(texts.select("i", "k", F.col("text").alias("end_text")), ["i", "k"])
     at_ends = materialize(at_ends.select("bucket", "end_text", hashes(winnow(F.col("end_text"), k, window)).alias("end_hashes")), "winnow-bucket-ends")
     size = at_ends.agg(F.sum(F.octet_length("end_text") + 8 * F.size("end_hashes") + 64)).first()[0]
