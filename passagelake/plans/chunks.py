@@ -293,7 +293,7 @@ WHERE nd.id_path <> '' AND tx.text <> '' AND nd.path NOT IN (SELECT path FROM vi
   UNION ALL SELECT nd.path, 'empty slug with body' FROM nd JOIN fault USING (path) JOIN full_ ON full_.path = nd.path AND full_.owner = nd.pos WHERE n > 0 AND id_path = ''
   UNION ALL SELECT path, 'repeated id' FROM (SELECT path, id_path FROM nd WHERE id_path <> '' GROUP BY ALL HAVING count(*) > 1) JOIN fault USING (path) WHERE n > 0
 ) SELECT path, rule, count(*) AS n FROM br GROUP BY ALL""",
-    "list_split_500": f"""WITH RECURSIVE dl AS (
+    "list_split_500": rf"""WITH RECURSIVE dl AS (
   SELECT doc_id AS path, 0 AS owner, 0 AS block, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
 ), lw AS (
   SELECT path, owner, block, pos, '- ' || t AS line, '1-1' AS page, false AS blank, len(regexp_extract_all('- ' || t, '\S+')) AS nw, true AS top, false AS nested FROM dl
