@@ -23,25 +23,29 @@ class Forest:
         n = len(codes)
         self.codes = codes
         groups = int(group.max()) + 1 if n else 0
-        #: children[node, d]: the child at distance d, or -1.
-        self.children = np.full((n, BITS + 1), -1, np.int32)
         self.roots = np.full(groups, -1, np.int64)
+        #: The edge of each node to its parent; a node's children are kids[first[node]:first[node + 1]].
+        self.edge = np.zeros(n, np.int64)
+        above = np.full(n, -1, np.int64)
         first = np.unique(group, return_index=True)[1] if n else np.zeros(0, np.int64)
         if n:
             self.roots[group[first]] = first
+        child = np.full((n, BITS + 1), -1, np.int32)
         placed = np.zeros(n, bool)
         placed[first] = True
         left = np.flatnonzero(~placed)
         parent = self.roots[group[left]] if n else left
         while len(left):
             d = distance(codes[left], codes[parent])
-            slot = parent * (BITS + 1) + d
-            _, at = np.unique(slot, return_index=True)
-            self.children[parent[at], d[at]] = left[at]
+            _, at = np.unique(parent * (BITS + 1) + d, return_index=True)
+            child[parent[at], d[at]] = left[at]
+            above[left[at]], self.edge[left[at]] = parent[at], d[at]
             rest = np.ones(len(left), bool)
             rest[at] = False
-            parent = self.children[parent, d][rest].astype(np.int64)
+            parent = child[parent, d][rest].astype(np.int64)
             left = left[rest]
+        self.kids = np.argsort(above, kind="stable")[int((above < 0).sum()) :]
+        self.first = np.searchsorted(above[self.kids], np.arange(n + 1))
 
     def search(self, codes: np.ndarray, group: np.ndarray, radius: int):
         """Yields arrays (query, node) of the pairs at most `radius` apart."""
@@ -51,15 +55,10 @@ class Forest:
             d = distance(codes[query], self.codes[node])
             near = d <= radius
             yield query[near], node[near]
-            next_q, next_n = [], []
-            for e in range(-radius, radius + 1):
-                edge = d + e
-                ok = (edge >= 0) & (edge <= BITS)
-                child = self.children[node[ok], edge[ok]]
-                there = child >= 0
-                next_q.append(query[ok][there])
-                next_n.append(child[there].astype(np.int64))
-            query, node = np.concatenate(next_q), np.concatenate(next_n)
+            many = self.first[node + 1] - self.first[node]
+            child = self.kids[np.repeat(self.first[node] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            follow = np.abs(self.edge[child] - np.repeat(d, many)) <= radius
+            query, node = np.repeat(query, many)[follow], child[follow]
 
 
 def spanning_links(codes: np.ndarray, group: np.ndarray, tree: np.ndarray, radius: int, block: int = 1024):

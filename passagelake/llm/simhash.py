@@ -44,6 +44,8 @@ SIMILARITY = 0.8
 NEAR_SHINGLE = 5
 NEAR_RADIUS = 24
 BANDS, ROWS = 24, 5
+#: Bytes of row keys up to which they are sent to all tasks.
+BROADCAST = 64 << 20
 _MULTIPLIERS = np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -300,15 +302,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     Near-duplicates share at least `similarity` of their distinct five-word shingles (Jaccard).
     All columns of docs are kept, whatever their names. Of a component without any id the row with
     the smallest text_key stays; of rows that repeat an id and text, one stays (which of rows that
-    differ only in other columns: the smallest by those columns' hash).
+    differ only in other columns: the smallest by those columns' hash). Texts are moved only if the keys of the
+    rows that go, or of repeated rows, take over BROADCAST bytes.
     """
-    of = near_components(docs, id_col, text_col, similarity)
+    of = materialize(near_components(docs, id_col, text_col, similarity), "near-rows")
     best = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"))
-    best = materialize(best.select(_row_key(F.col("best.doc_id"), F.col("best.text_key")).alias("key")), "simhash-kept")
+    best = best.select(_row_key(F.col("best.doc_id"), F.col("best.text_key")).alias("key"), F.lit(True).alias("kept"))
+    each = of.groupBy(_row_key(F.col("doc_id"), F.col("text_key")).alias("key")).agg(F.count("*").alias("n")).join(best, "key", "left")
+    flagged = each.withColumn("once", F.coalesce("kept", F.lit(False))).filter("not once or n > 1").select("key", "once")
+    flagged = materialize(flagged, "near-flags")
+    discard(of)
+    size = flagged.agg(F.sum(F.octet_length("key") + 64), F.max("once")).first()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(F.col(id_col), F.xxhash64(F.col(text_col))).alias("key"))
+    rows = rows.join(F.broadcast(flagged) if (size[0] or 0) <= BROADCAST else flagged, "key", "left")
+    out = rows.filter("once is null").select("row.*")
+    if not size[1]:
+        return out
     w = Window.partitionBy("key").orderBy(F.xxhash64("row"))
-    hit = rows.join(best, "key", "left_semi")
-    return hit.withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("row.*")
+    again = rows.filter("once").withColumn("nth", F.row_number().over(w)).filter("nth = 1")
+    return out.union(again.select("row.*"))
 
 
 def _row_key(doc_id: Column, text_key: Column) -> Column:
