@@ -26,8 +26,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A row's place in the hash-random order; rows without an id are told apart by their texts."""
+    none = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), none)))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -57,12 +59,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """-> (rows, plan): rows (doc_id, source, size, key) of all docs; plan, a row a source:
     source, source_size, target, epochs, cut_key, cut_size, cut_words.
 
-    Null texts have size 0; the null source is a source of its own, last in order; a null id has a
-    key like any other. Rows that repeat an id and a size lie together in the order; if the cut
+    Null texts have size 0; the null source is a source of its own, last in order; a row with
+    a null id takes its key from its text. Rows that repeat an id (or, without one, a text) and a size lie together in the order; if the cut
     falls among them, each takes an equal part of the words left (rounded down). A source of
     size 0 has target 0. An empty table gives an empty plan. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _key(F.col(id_col), seed).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _key(F.col(id_col), F.col(text_col), seed).alias("key"))
     parted = range_parts(rows, [F.col("source").isNull(), F.col("source"), F.col("key"), F.col("size")], "mix-rows")
     by_part = materialize(parted.groupBy("source", "_part").agg(F.sum("size").alias("words")), "mix-parts")
     sizes = by_part.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -108,7 +110,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     size 0: they stay as often as whole epochs take them, and once if they lie before the cut.
     """
     _, plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **how)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _key(F.col(id_col), seed).alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _key(F.col(id_col), F.col(text_col), seed).alias("key"))
     joined = rows.alias("r").join(plan.alias("p"), same_alias("r", "p"))
     size, last = F.col("r.size"), _last_epoch(F.col("r.key"), F.col("r.size"))
     whole = F.col("p.cut_key").isNotNull() & ((F.col("r.key") < F.col("p.cut_key")) | ((F.col("r.key") == F.col("p.cut_key")) & (size < F.col("p.cut_size"))))
@@ -136,7 +138,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

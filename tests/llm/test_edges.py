@@ -173,6 +173,16 @@ def test_many_of_one_key(spark):
     assert mixing.mix_counts(base).groupBy("source").agg((F.sum("taken") - F.floor(F.first("target"))).alias("d")).filter("d <> 0").count() == 0
 
 
+def test_rows_without_an_id_have_keys_of_their_own(spark):
+    """Equal sizes, no ids: the ranges part the rows, and the cut takes one row in part, not all of them."""
+    base = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.md5(F.col("id").cast("string")), F.lit(" x")).alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    rows, _ = mixing.mix_plan(base)
+    assert rows.select("key").distinct().count() == 1000
+    counts = mixing.mix_counts(base)
+    assert counts.groupBy("source").agg((F.sum("taken") - F.floor(F.first("target"))).alias("d")).filter("d <> 0").count() == 0
+    assert counts.filter("taken % size <> 0").count() <= 2
+
+
 def test_decontamination_of_short_and_unspaced_items(spark):
     passage = "今天天气很好我们一起去公园散步然后回家吃饭休息"
     items = [(1, "Who was she?"), (2, "forty-two"), (3, passage), (4, "วันนี้อากาศดีมากเราไปเดินเล่นกัน"), (5, "?!"), (6, "吃饭。"), (7, "a b c d")]
