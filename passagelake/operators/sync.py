@@ -20,9 +20,9 @@ from ..scratch import materialize
 
 #: Texts of one embedding request at most.
 REQUEST = 128
-#: Columns that only children have.
 #: Deltas after which an index is written whole again.
 DELTAS = 8
+#: Columns that only children have.
 CHILD_ONLY = ("parent_id", "embedding_text", "embedding")
 
 
@@ -124,17 +124,18 @@ class Index:
 
     def write(self, documents: DataFrame, touched: DataFrame) -> None:
         """Add a delta: documents, and the ids (id) that they replace or that are gone. The first version, and the one
-        after DELTAS deltas, is a base; versions that no reader of the last base needs are deleted."""
+        after DELTAS deltas, is a base; versions that no reader of the last base needs are deleted. What a write that
+        failed has left of its version is replaced."""
         known = self._versions()
         bases = [v for v, base in known if base]
         folder = f"{self.path}/versions/{self.version() + 1:08d}"
         if not known:
-            documents.write.parquet(f"{folder}/base")
+            documents.write.mode("overwrite").parquet(f"{folder}/base")
             return
-        documents.write.parquet(f"{folder}/documents")
-        touched.select("id").distinct().write.parquet(f"{folder}/touched")
+        documents.write.mode("overwrite").parquet(f"{folder}/documents")
+        touched.select("id").distinct().write.mode("overwrite").parquet(f"{folder}/touched")
         if len([v for v, _ in known if v > max(bases, default=0)]) + 1 >= DELTAS:
-            self.read().write.parquet(f"{self.path}/versions/{self.version() + 1:08d}/base")
+            self.read().write.mode("overwrite").parquet(f"{self.path}/versions/{self.version() + 1:08d}/base")
             for v, _ in known:
                 if v < max(bases, default=0):
                     self._fs().delete(self._file(f"versions/{v:08d}"), True)
@@ -170,15 +171,16 @@ def canonical(kind: str, definition: dict) -> str:
 
 
 def apply_plan(records: DataFrame, index: Index, plan: DataFrame, embedder) -> DataFrame:
-    """Carry a plan out: embed inserted and updated children, write the new version; returns one row of counts
-    (inserted, updated, deleted, embedded)."""
+    """Carry a plan out: embed inserted and updated children, write the new version, unless nothing changes; returns
+    one row of counts (inserted, updated, deleted, embedded)."""
     spark = index.spark
     plan = materialize(plan, "sync-plan")
     fresh = records.join(plan.filter("action <> 'delete'").select("id"), "id", "left_semi")
     vectors = materialize(embedded(fresh.filter("kind = 'child'"), embedder), "sync-embedded")
     parents = fresh.filter("kind <> 'child'").withColumn("embedding", F.lit(None).cast("array<float>"))
     written = to_documents(vectors.unionByName(parents))
-    index.write(written, plan)
+    if not plan.isEmpty():
+        index.write(written, plan)
     return report(plan).crossJoin(vectors.agg(F.count("*").alias("embedded")))  # a row each
 
 

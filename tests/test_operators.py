@@ -26,7 +26,7 @@ def test_ingest_converges_and_a_failed_embedder_changes_nothing(spark, tmp_path)
     got = sync.ingest(rows, index, HashEmbedder(4), DEFINITIONS).first()
     assert (got.inserted, got.updated, got.deleted, got.embedded) == (2, 0, 0, 1)
     got = sync.ingest(rows, index, HashEmbedder(4), DEFINITIONS).first()
-    assert (got.inserted, got.updated, got.deleted, got.embedded) == (0, 0, 0, 0)
+    assert (got.inserted, got.updated, got.deleted, got.embedded) == (0, 0, 0, 0) and index.version() == 1
     docs = {r.id: r for r in index.read().collect()}
     assert len(docs["p:c1"].embedding) == 4 and docs["p"].embedding is None and docs["p"].parent_id is None
 
@@ -44,6 +44,16 @@ def test_ingest_converges_and_a_failed_embedder_changes_nothing(spark, tmp_path)
         index.ensure("chunks_vector", "vector", vector_definition(3))
 
 
+def test_a_sync_replaces_what_a_failed_write_left(spark, tmp_path):
+    index = sync.Index(spark, f"file://{tmp_path}/i")
+    rows = spark.createDataFrame([("p", "parent", "1", None, None, 0)], RECORD)
+    for left, fresh, version in (("00000001/base", "1", 1), ("00000002/documents", "2", 2)):
+        rows.write.parquet(f"{tmp_path}/i/versions/{left}")
+        (tmp_path / "i" / "versions" / left / "_SUCCESS").unlink()
+        sync.ingest(rows.withColumn("content_hash", F.lit(fresh)), index, HashEmbedder(4))
+        assert index.version() == version and [r.content_hash for r in index.hashes().collect()] == [fresh]
+
+
 def test_definitions_compare_without_order():
     a = {"fields": [{"type": "filter", "path": "x"}, {"type": "vector", "path": "e", "similarity": "cosine", "numDimensions": 3}]}
     b = {"fields": list(reversed(a["fields"]))}
