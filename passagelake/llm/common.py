@@ -53,8 +53,3 @@ def before(totals: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """Whether crc32(doc_id as text) mod `mod` is `rest`; a null id is in no held-out fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
-
-
-def sample_key(seed: str, doc_id: Column, text: Column) -> Column:
-    """A reproducible hash-random order of the rows of a bounded sample."""
-    return F.xxhash64(F.lit(seed), doc_id, text)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 SIMILARITY = 0.8
-#: Items of fewer words are not looked for.
+#: Items of fewer words are not looked for: by default only those without any.
 MIN_WORDS = 1
 SEED = 3
 SAMPLES = 3

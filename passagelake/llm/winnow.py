@@ -124,7 +124,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     Ids are dealt in order into a bucket for each shuffle partition, of equally many rows, so texts move once; where
     a bucket ends, the first document of the next bucket follows, one a bucket. Rows without an id are
-    dealt evenly, whatever their text. All rows of one id share a bucket.
+    dealt evenly, whatever their text.
     """
     spark = docs.sparkSession
     many = partitions(spark)
