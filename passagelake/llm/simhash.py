@@ -14,7 +14,8 @@ of such texts are some ten bits apart (12, deviation 3.1, for the shortest texts
 with NEAR_RADIUS, which loses 3e-5 of them. Blocks of bits can't shard at that radius (each would have to be
 two bits), so its shards are MinHash bands: two texts at SIMILARITY share one of BANDS bands of ROWS values but
 for (1 - 0.8^5)^24 = 7e-5. In each shard every fingerprint first meets the root of the shard's BK-tree; where
-the links found so far leave a shard apart, all its fingerprints search the whole tree. Each pair within the
+the links found so far leave a shard apart, all its fingerprints search the whole tree, in parts of SHARD
+fingerprints or PART_SHINGLES shingles, so that very long texts fill a task no more than short ones. Each pair within the
 radius is checked by its exact similarity before it is a link.
 """
 
@@ -39,6 +40,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of one tree at most.
 SHARD = 1024
+#: Shingles of one tree's texts at most, in expectation, where the texts' sets go with their fingerprints.
+PART_SHINGLES = 1 << 21
 #: What dedup() takes for near-duplicates: Jaccard similarity of distinct shingles of so many words.
 SIMILARITY = 0.8
 NEAR_SHINGLE = 5
@@ -161,13 +164,13 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in rows), np.uint64, BANDS)
 
 
-@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         sets = [np.unique(shingle_hashes(t if isinstance(t, str) else None, NEAR_SHINGLE)) for t in texts]
         node = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets), np.uint64, len(sets))
         fp = np.fromiter(map(_majority, sets), np.uint64, len(sets))
-        yield pd.DataFrame({"node": node.view(np.int64), "fp": fp.view(np.int64), "bands": [band_keys(h).view(np.int64) for h in sets]})
+        yield pd.DataFrame({"node": node.view(np.int64), "fp": fp.view(np.int64), "size": [len(h) for h in sets], "bands": [band_keys(h).view(np.int64) for h in sets]})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -198,6 +201,8 @@ def within(queries: np.ndarray, nodes: np.ndarray, radius: int) -> np.ndarray:
 
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (of left, of right) of sets with the Jaccard similarity or more, by products of incidence matrices."""
+    used, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    sets, of_left, of_right = [sets[i] for i in used], place[: len(left)], place[len(left) :]
     sizes = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
     _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -211,8 +216,8 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s
         lo, hi = np.searchsorted(column, [at, at + wide])
         part = np.zeros((len(sets), wide), np.float32)
         part[row[lo:hi], column[lo:hi] - at] = 1
-        both += part[left] @ part[right].T
-    whole = sizes[left][:, None] + sizes[right][None, :] - both
+        both += part[of_left] @ part[of_right].T
+    whole = sizes[of_left][:, None] + sizes[of_right][None, :] - both
     q, t = np.nonzero(both >= np.float64(similarity) * whole - 1e-9)
     return left[q], right[t]
 
@@ -225,10 +230,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.filter(F.col("like") >= similarity - 1e-12).select("a", "b")
 
 
-def _cross_links(members: DataFrame, similarity: float, shard: int) -> DataFrame:
-    """members (k, n, node, fp, label, shingles) -> distinct (a, b): a shard's similar pairs with unlike labels."""
-    parts = F.ceil(F.col("n") / shard).cast("long")
-    dealt = members.withColumn("s", parts).withColumn("i", F.pmod(F.xxhash64("node", F.lit("part")), F.col("s")))
+def _cross_links(members: DataFrame, similarity: float) -> DataFrame:
+    """members (k, s, node, fp, label, shingles) -> distinct (a, b): a shard's similar pairs with unlike labels.
+    s: into how many parts the shard is dealt."""
+    dealt = members.withColumn("i", F.pmod(F.xxhash64("node", F.lit("part")), F.col("s")))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
     rows = dealt.select("k", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("tree"), "node", "fp", "label", "shingles")
     rows = rows.repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "node")
@@ -267,17 +272,18 @@ def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd
             yield now[whole].reset_index(drop=True), group[whole]
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shard: int = SHARD, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """docs -> (doc_id, text_key, label), a row for each row: texts linked by pairs of at least the similarity
     have the same label. Texts with the same set of shingles are one node; null and wordless texts are such."""
     small_batches(docs.sparkSession)
     text = F.col(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), _sketches(text).alias("s"))
-    own = materialize(own.select("doc_id", "text_key", "s.node", "s.fp", "s.bands"), "near-sketches")
-    classes = materialize(own.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-classes")
-    keyed = classes.select("node", "fp", F.explode("bands").alias("k"))
-    full = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("root")).filter("n > 1")
-    members = materialize(keyed.join(full, "k"), "near-members")
+    own = materialize(own.select("doc_id", "text_key", "s.node", "s.fp", "s.size", "s.bands"), "near-sketches")
+    classes = materialize(own.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "near-classes")
+    keyed = classes.select("node", "fp", "size", F.explode("bands").alias("k"))
+    parts = F.greatest(F.ceil(F.count("*") / shard), F.ceil(F.sum("size") / part_shingles)).cast("long")
+    full = keyed.groupBy("k").agg(F.count("*").alias("n"), parts.alias("s"), F.min(F.struct("node", "fp")).alias("root")).filter("n > 1")
+    members = materialize(keyed.drop("size").join(full, "k"), "near-members")
     wanted = members.select("node").distinct().join(classes.select("node", "text_key"), "node")
     texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(wanted, "text_key")
     texts = texts.groupBy("node").agg(F.min("text").alias("text"))
@@ -288,7 +294,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wide = members.filter("n > 2").drop("root").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     wide = materialize(wide, "near-wide")
     mixed = wide.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k")
-    more = _cross_links(wide.join(mixed, "k").join(sets, "node"), similarity, shard)
+    more = _cross_links(wide.join(mixed, "k").join(sets, "node"), similarity)
     links = labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
     labels = materialize(components(links, "near-components"), "near-labels")
     for table_ in (classes, members, sets, wide):

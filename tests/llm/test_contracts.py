@@ -504,8 +504,8 @@ def test_dedup_finds_all_pairs_at_the_similarity(spark):
         for i, j in pairs:
             label[i] = label[j] = min(label[i], label[j])
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    for shard in (2, 1024):
-        assert len({(label[r.doc_id], r.label) for r in simhash.near_components(df, shard=shard).collect()}) == len(set(label))
+    for most in ({"shard": 2}, {"part_shingles": 150}, {}):
+        assert len({(label[r.doc_id], r.label) for r in simhash.near_components(df, **most).collect()}) == len(set(label))
     assert {r.doc_id for r in simhash.dedup(df).collect()} == set(label)
 
 
