@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, simhash, warc, winnow
+from . import chat, importance, mixing, simhash, warc, winnow
 from .chat import op3_chat
 from .decontaminate import op1_decontaminate
+from .importance import op12_importance
 from .langid import op5_langid
 from .mixing import op8_mix
 from .quality import op10_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op12_importance": op12_importance,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op6_winnow": winnow.SQL,
     "op7_simhash": simhash.SQL,
     "op8_mix": mixing.SQL,
+    "op12_importance": importance.SQL,
 }
