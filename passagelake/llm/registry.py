@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, importance, mixing, simhash, warc, winnow
+from . import chat, collocations, importance, mixing, simhash, warc, winnow
 from .chat import op3_chat
+from .collocations import op13_collocations
 from .decontaminate import op1_decontaminate
 from .importance import op12_importance
 from .langid import op5_langid
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
     "op12_importance": op12_importance,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op7_simhash": simhash.SQL,
     "op8_mix": mixing.SQL,
     "op12_importance": importance.SQL,
+    "op13_collocations": collocations.SQL,
 }
