@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, collocations, importance, mixing, simhash, warc, winnow
+from . import chat, collocations, importance, jaccard, mixing, simhash, warc, winnow
 from .chat import op3_chat
 from .collocations import op13_collocations
 from .decontaminate import op1_decontaminate
 from .importance import op12_importance
+from .jaccard import op11_jaccard
 from .langid import op5_langid
 from .mixing import op8_mix
 from .quality import op10_quality
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_jaccard": op11_jaccard,
     "op12_importance": op12_importance,
     "op13_collocations": op13_collocations,
 }
@@ -37,6 +39,7 @@ ORACLES: dict[str, str] = {
     "op6_winnow": winnow.SQL,
     "op7_simhash": simhash.SQL,
     "op8_mix": mixing.SQL,
+    "op11_jaccard": jaccard.SQL,
     "op12_importance": importance.SQL,
     "op13_collocations": collocations.SQL,
 }
