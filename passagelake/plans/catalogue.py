@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("retrieval", "chunks", "maintenance", "layouts", "booklets", "seams", "artifacts")
+_MODULES = ("retrieval", "chunks", "maintenance", "layouts", "booklets", "seams", "artifacts", "indexes")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
