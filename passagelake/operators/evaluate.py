@@ -90,21 +90,32 @@ def ablation(items: DataFrame, gold: DataFrame, queries: DataFrame, vectors: Dat
     """The curve over retrieval steps: each step retrieves, answers and is scored over all items.
 
     queries (query_id, text, embedding): an item's id and question. on_item is called with each item's facts as a step
-    ends, through an iterator on the driver; the tracer hears of each step's start and gets its scores at its end.
+    ends, through an iterator on the driver; the tracer hears of each step's start and gets its scores at its end: of a step
+    that fails, an empty table, before the error goes on.
     """
     tracer, facts = tracer or NoTracer(), []
+    scores = None
     for step in steps:
         tracer.start(step)
-        passages = retrieved_passages(step, queries, vectors, texts, parents, **how)
-        answers = materialize(answer(queries.select("query_id", F.col("text").alias("question")), passages, completer), "ablation-answers")
-        facts.append(materialize(score_step(step, items, gold, passages, answers, judge, k), "ablation-facts"))
-        tracer.end(step, long_metrics(facts[-1].withColumnRenamed("grounded_ok", "grounded")))
+        try:
+            passages = retrieved_passages(step, queries, vectors, texts, parents, **how)
+            answers = materialize(answer(queries.select("query_id", F.col("text").alias("question")), passages, completer), "ablation-answers")
+            facts.append(materialize(score_step(step, items, gold, passages, answers, judge, k), "ablation-facts"))
+            scores = long_metrics(facts[-1].withColumnRenamed("grounded_ok", "grounded"))
+        finally:
+            tracer.end(step, scores if scores is not None else _no_scores(items))
+            scores = None
         if on_item:
             for row in facts[-1].toLocalIterator():
                 on_item(row)
     return curve(reduce(lambda a, b: a.unionByName(b), facts))
 
 
+def _no_scores(items: DataFrame) -> DataFrame:
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.sparkSession.createDataFrame([], f"step string, item_id {kind}, metric string, value double")
+
+
 def curve(facts: DataFrame) -> DataFrame:
     """facts (step, recall, refusal, faithful, grounded_ok, correct) -> a row a step, in order: recall is 0.0 where no
     item has gold, the others are null where nothing was scored."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from ..scratch import materialize
+from ..scratch import materialize, scratch_path
 from ..sources.files import append_run, read_run
 from .answers import completed_each, decide, prompts
 
@@ -14,6 +14,8 @@ from .answers import completed_each, decide, prompts
 CHOICE = r"^[A-Z]\.\s"
 PART = r"^[a-z]\.\s"
 START = r"^(?:\d+\.\s+|-\s+|Q\d+[.:]?\s+)"
+#: Items of a block of a run, in expectation: what is lost at most if the run is killed.
+RUN_BLOCK = 2000
 
 
 def unit_of(content: Column, path: Column) -> Column:
@@ -73,22 +75,38 @@ def remaining(items: DataFrame, done: DataFrame) -> DataFrame:
     return items.join(done.filter("answer is not null").select("id").distinct(), "id", "left_anti")
 
 
-def run_batch(items: DataFrame, passages: DataFrame, completer, path: str) -> DataFrame:
+def run_batch(items: DataFrame, passages: DataFrame, completer, path: str, block: int = RUN_BLOCK) -> DataFrame:
     """Answer the items (id, question) that the run at `path` has no answer to, and append their results to it.
 
     -> the run's counts so far. A row a result: (id, grounded, answer, citations, error); an item whose request fails has
-    its error and no answer, so the next call tries it again. Results are written as tasks end, whole or not at all.
+    its error and no answer, so the next call tries it again. Items are dealt by hash into blocks of `block` or so; a block's results are
+    committed before the next is asked, whole or not at all. A run that is killed keeps the blocks that it finished, and the next call asks
+    for the others only. Prompts and passages are written by block once, so a block reads its own alone.
     """
-    done = read_run(items.sparkSession, path)
+    spark = items.sparkSession
+    done = read_run(spark, path)
     todo = items if done is None else remaining(items, done)
-    asked = prompts(todo.select(F.col("id").alias("query_id"), "question"), passages)
+    many = max(1, -(-todo.count() // block))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(many)).cast("int").alias("block")
+    folder = scratch_path(spark, "run-blocks")
+    ours = passages.join(todo.select(F.col("id").alias("query_id")), "query_id", "left_semi")
+    tables = {"prompts": prompts(todo.select(F.col("id").alias("query_id"), "question"), ours).select("*", of), "passages": ours.select("*", of)}
+    for name, rows in tables.items():
+        rows.write.partitionBy("block").parquet(f"{folder}/{name}")
+    for b in range(many):
+        asked, shown = (spark.read.schema(rows.schema).parquet(f"{folder}/{name}").filter(F.col("block") == b).drop("block") for name, rows in tables.items())
+        append_run(_answered(asked, shown, completer), path)
+    return run_counts(latest(read_run(spark, path)))
+
+
+def _answered(asked: DataFrame, passages: DataFrame, completer) -> DataFrame:
+    """Prompts (query_id, prompt, n_passages) -> results. Each prompt is asked once: replies are written before they are judged."""
     replies = completed_each(asked.filter("n_passages > 0"), completer)
     none = F.lit(None).cast("string")
     replies = materialize(replies.unionByName(asked.filter("n_passages = 0").withColumn("completion", none).withColumn("error", none)), "run-replies")
     made = decide(replies, passages).join(replies.select("query_id", "error"), "query_id")
     ok = F.col("error").isNull()
-    append_run(made.select(F.col("query_id").alias("id"), F.when(ok, F.col("grounded")).alias("grounded"), F.when(ok, F.col("answer")).alias("answer"), F.when(ok, F.col("citations")).alias("citations"), "error"), path)
-    return run_counts(latest(read_run(items.sparkSession, path)))
+    return made.select(F.col("query_id").alias("id"), F.when(ok, F.col("grounded")).alias("grounded"), F.when(ok, F.col("answer")).alias("answer"), F.when(ok, F.col("citations")).alias("citations"), "error")
 
 
 def latest(results: DataFrame) -> DataFrame:

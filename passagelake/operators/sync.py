@@ -3,6 +3,9 @@
 An index is a folder of versions: a base, which is whole, and deltas, which hold the documents written and the
 ids touched since. A version counts once its last table is complete, so a failed embedding or a lost driver
 leaves the index as it was. A sync writes what changed; after DELTAS deltas a new base is written.
+
+Documents and touched ids lie in folders by the id's hash, sorted by id, with Bloom filters on the id. A look-up names the folders, and the
+ids if they are few, in each scan's filter, so of every version only the asked ids' folders and row groups are read.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +25,8 @@ from ..scratch import materialize
 REQUEST = 128
 #: Deltas after which an index is written whole again.
 DELTAS = 8
+#: Folders of ids in each version, and ids up to which a look-up names them one by one.
+BUCKETS, NAMED = 32, 1000
 #: Columns that only children have.
 CHILD_ONLY = ("parent_id", "embedding_text", "embedding")
 
@@ -97,14 +102,28 @@ class Index:
     def version(self) -> int:
         return max([v for v, _ in self._versions()], default=0)
 
-    def read(self) -> DataFrame | None:
-        """The documents: of each id those of the last version that touched it."""
+    @staticmethod
+    def _bucket() -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+
+    def _put(self, rows: DataFrame, path: str) -> None:
+        """rows in folders by the id's hash; a table without rows keeps its columns in one file."""
+        rows = rows.withColumn("_b", self._bucket())
+        out = rows.repartition("_b").sortWithinPartitions("_b", "id").write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true")
+        (out if rows.isEmpty() else out.partitionBy("_b")).parquet(path)
+
+    def read(self, where: Column | None = None) -> DataFrame | None:
+        """The documents: of each id those of the last version that touched it. where is over id and `_b` and goes to each scan."""
         known = self._versions()
         if not known:
             return None
         whole = max([v for v, base in known if base], default=0)
         deltas = [v for v, _ in known if v > whole]
-        at = lambda v, t: self.spark.read.parquet(f"{self.path}/versions/{v:08d}/{t}")
+
+        def at(v: int, t: str) -> DataFrame:
+            rows = self.spark.read.parquet(f"{self.path}/versions/{v:08d}/{t}")
+            return (rows if where is None else rows.filter(where)).drop("_b")
+
         parts = ([at(whole, "base").withColumn("_v", F.lit(0))] if whole else []) + [at(v, "documents").withColumn("_v", F.lit(v)) for v in deltas]
         rows = reduce(lambda a, b: a.unionByName(b), parts)
         if not deltas:
@@ -119,8 +138,16 @@ class Index:
         return held.select("id", "content_hash") if held is not None else self.spark.createDataFrame([], "id string, content_hash string")
 
     def lookup(self, ids: DataFrame, columns: list[str]) -> DataFrame:
-        """Point look-ups by a table of ids."""
-        return self.read().join(ids.select("id").distinct(), "id", "left_semi").select("id", *columns)
+        """Point look-ups by a table of ids (repeated and absent ids are no matter): only their folders are read, and with
+        NAMED ids or fewer only row groups that may hold one."""
+        wanted = ids.select("id").filter("id is not null").distinct()
+        few = wanted.limit(NAMED + 1).collect()
+        if len(few) <= NAMED:
+            named = [r.id for r in few]
+            buckets = self.spark.createDataFrame(few, wanted.schema).select(self._bucket().alias("b")).distinct().collect() if few else []
+            return self.read(F.col("_b").isin([r.b for r in buckets]) & F.col("id").isin(named)).select("id", *columns)
+        buckets = wanted.select(self._bucket().alias("b")).distinct().collect()  # BUCKETS at most
+        return self.read(F.col("_b").isin([r.b for r in buckets])).join(wanted, "id", "left_semi").select("id", *columns)
 
     def write(self, documents: DataFrame, touched: DataFrame) -> None:
         """Add a delta: documents, and the ids (id) that they replace or that are gone. The first version, and the one
@@ -130,12 +157,12 @@ class Index:
         bases = [v for v, base in known if base]
         folder = f"{self.path}/versions/{self.version() + 1:08d}"
         if not known:
-            documents.write.mode("overwrite").parquet(f"{folder}/base")
+            self._put(documents, f"{folder}/base")
             return
-        documents.write.mode("overwrite").parquet(f"{folder}/documents")
-        touched.select("id").distinct().write.mode("overwrite").parquet(f"{folder}/touched")
+        self._put(documents, f"{folder}/documents")
+        self._put(touched.select("id").distinct(), f"{folder}/touched")
         if len([v for v, _ in known if v > max(bases, default=0)]) + 1 >= DELTAS:
-            self.read().write.mode("overwrite").parquet(f"{self.path}/versions/{self.version() + 1:08d}/base")
+            self._put(self.read(), f"{self.path}/versions/{self.version() + 1:08d}/base")
             for v, _ in known:
                 if v < max(bases, default=0):
                     self._fs().delete(self._file(f"versions/{v:08d}"), True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
@@ -75,7 +73,7 @@ def golden_items(spark, d):
 
 
 def json_lines(spark, d):
-    """Regions and nations as JSON lines, with nulls, read back as text."""
+    """Nations as JSON lines, with nulls, read back as text."""
     n = table(spark, d, "nation")
     rows = n.select(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name")).alias("name"), F.array(F.col("n_regionkey"), F.lit(7)).alias("keys"))
     path = scratch_path(spark, "lines")
@@ -101,18 +99,25 @@ def progress_lines(spark, d):
 
 
 def index_definitions(spark, d):
-    """Registering the search definitions: new, again, in another order, and with another length."""
+    """Search definitions of every third label's vectors, their length read from the table: new, again, in another order, with the
+    next label's number added to the length, without a definition; and the text definition, new and again."""
     index, out = Index(spark, scratch_path(spark, "definitions")), []
-    turned = vector_definition()
-    turned["fields"] = turned["fields"][::-1]
-    for label, name, kind, definition in [("new", n, k, x) for n, (k, x) in DEFINITIONS.items()] + [("again", n, k, x) for n, (k, x) in DEFINITIONS.items()] + [("turned", "chunks_vector", "vector", turned), ("other", "chunks_vector", "vector", vector_definition(64)), ("none", "chunks_search", "search", None)]:
+    lengths = table(spark, d, "embeddings").filter("label % 3 = 0").groupBy("label").agg(F.max(F.size("embedding")).alias("n")).orderBy("label").collect()  # a row a label
+    kind, text = DEFINITIONS["chunks_search"]
+    asked = [("new", "chunks_search", kind, text), ("again", "chunks_search", kind, text), ("none", "chunks_search", kind, None)]
+    for r in lengths:
+        own, turned = vector_definition(r.n), vector_definition(r.n)
+        turned["fields"] = turned["fields"][::-1]
+        asked += [(step, f"vectors_{r.label}", "vector", x) for step, x in (("new", own), ("again", own), ("turned", turned), ("other", vector_definition(r.n + r.label + 1)))]
+    for step, name, kind, definition in asked:
         try:
             outcome = "made" if index.ensure(name, kind, definition) else "kept"
         except ValueError:
             outcome = "refused"
-        out.append((label, name, outcome))
-    fields = json.dumps(sorted(f["path"] for f in index.definitions()["chunks_vector"]["definition"]["fields"]))
-    return spark.createDataFrame([*out, ("fields", "chunks_vector", fields)], "step string, name string, outcome string")
+        out.append((step, name, outcome))
+    held = index.definitions()
+    out += [("length", n, str(x["definition"]["fields"][0]["numDimensions"])) for n, x in held.items() if x["kind"] == "vector"]
+    return spark.createDataFrame(out, "step string, name string, outcome string")
 
 
 def index_lookup(spark, d):
@@ -139,7 +144,6 @@ _WORDS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 _FACTS = """fa AS (
   SELECT s.step, s.n, item_id, CAST((item_id + s.n) % 2 AS DOUBLE) AS recall, item_id % 2 = 0 AS refusal, CASE WHEN s.n > 0 THEN item_id % 2 = 1 END AS faithful FROM benchmark, (VALUES ('vector', 0), ('hybrid', 1), ('hybrid_rerank', 2)) s(step, n)
 )"""
-_FIELDS = json.dumps(sorted(f["path"] for f in vector_definition()["fields"]))
 
 ORACLES = {
     "plain_markdown": "SELECT doc_id, sha256(p) AS plain_sha256, length(p) AS chars FROM (SELECT doc_id, ' ' || chr(10) || coalesce(text, '') || chr(10) || ' end' AS p FROM documents)",
@@ -158,8 +162,9 @@ FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos FROM benchmark)
     "report_json": f"""WITH {_FACTS}, c AS (SELECT step, n, avg(recall) AS recall, avg(refusal::INT) AS refusal, avg(faithful::INT) AS faithful FROM fa GROUP BY step, n)
 SELECT '{{"items":40,"k":10,"points":[' || string_agg('{{"step":"' || step || '","recall":' || recall || ',"refusal":' || refusal || ',"faithful":' || coalesce(CAST(faithful AS VARCHAR), 'null') || ',"grounded":null,"correct":1.0}}', ',' ORDER BY n) || ']}}' AS report FROM c""",
     "progress_lines": f"WITH {_FACTS} SELECT step || ' ' || item_id || ' ' || CASE WHEN item_id % 5 > 0 THEN printf('%.2f', recall) ELSE '—' END || CASE WHEN refusal THEN ' ✓' ELSE ' ✗' END || CASE WHEN faithful IS NULL THEN ' —' WHEN faithful THEN ' ✓' ELSE ' ✗' END || ' — ✓' AS line FROM fa",
-    "index_definitions": f"""SELECT * FROM (VALUES ('new', 'chunks_vector', 'made'), ('new', 'chunks_search', 'made'), ('again', 'chunks_vector', 'kept'), ('again', 'chunks_search', 'kept'), ('turned', 'chunks_vector', 'kept'),
-  ('other', 'chunks_vector', 'refused'), ('none', 'chunks_search', 'refused'), ('fields', 'chunks_vector', '{_FIELDS}')) t(step, name, outcome)""",
+    "index_definitions": """SELECT * FROM (VALUES ('new', 'chunks_search', 'made'), ('again', 'chunks_search', 'kept'), ('none', 'chunks_search', 'refused')) t(step, name, outcome)
+UNION ALL SELECT s.step, 'vectors_' || label, s.outcome FROM (SELECT DISTINCT label FROM embeddings WHERE label % 3 = 0), (VALUES ('new', 'made'), ('again', 'kept'), ('turned', 'kept'), ('other', 'refused')) s(step, outcome)
+UNION ALL SELECT 'length', 'vectors_' || label, CAST(max(len(embedding)) AS VARCHAR) FROM embeddings WHERE label % 3 = 0 GROUP BY label""",
     "index_lookup": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE sha256(coalesce(text, '')) END AS content_hash FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0",
     "rerank_port": f"""{R._HYBRID}, ov AS (
   SELECT ex.query_id, ex.parent_id, ex.rank AS was, len(list_intersect({_WORDS.format('iv.text')}, {_WORDS.format('d.text')})) AS overlap FROM ex JOIN documents d ON d.doc_id = ex.parent_id JOIN iv USING (query_id)

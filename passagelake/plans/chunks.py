@@ -91,15 +91,26 @@ def chunk_records(spark, d):
     return own.select("id", "kind", "parent_id", "content_hash", F.sha2("embedding_text", 256).alias("embedding_sha256"), F.array_join("pages", ",").alias("pages"))
 
 
-def list_split_500(spark, d):
-    """Every document as one list, a line an item, split at the word limit."""
+def _split_pieces(spark, d, line):
+    """Every document as one list, split at the word limit; line(text, i): what its line i (from 0) becomes."""
     docs = table(spark, d, "documents").filter("text is not null")
-    entry = lambda x: F.struct(F.concat(F.lit("- "), x).alias("line"), F.lit("1-1").alias("page"), F.lit(False).alias("blank"))
+    entry = lambda x, i: F.struct(line(x, i).alias("line"), F.lit("1-1").alias("page"), F.lit(False).alias("blank"))
     each = docs.select("doc_id", F.posexplode(chunking._split_udf(chunking.LIMIT)(F.transform(lines(F.col("text")), entry))).alias("piece", "body"))
     words = F.aggregate("body", F.lit(0).cast("long"), lambda a, x: a + chunking.word_count(x["line"]))
     return each.select("doc_id", F.col("piece").cast("long"), F.size("body").cast("long").alias("n_lines"), words.alias("n_words"))
 
 
+def list_split_500(spark, d):
+    """A line an item."""
+    return _split_pieces(spark, d, lambda x, i: F.concat(F.lit("- "), x))
+
+
+def list_split_nested(spark, d):
+    """Items of 90 lines with nested items of 45 and plain lines between them: in long texts both are over the limit, so items
+    are packed from nested ones, and those from lines, each with its head."""
+    return _split_pieces(spark, d, lambda x, i: F.concat(F.when(i % 90 == 0, "- ").when(i % 45 == 1, "  - ").otherwise("    "), x))
+
+
 def _faulty(spark, d):
     """Units with a fault by their number."""
     own = units(spark, d)
@@ -126,6 +137,7 @@ QUERIES = {
     "chunk_children": chunk_children,
     "chunk_records": chunk_records,
     "list_split_500": list_split_500,
+    "list_split_nested": list_split_nested,
     "chunk_violations": chunk_violations,
 }
 
@@ -259,6 +271,17 @@ sp AS (
 )"""
 
 
+def _split_sql(mark: str, top: str, nested: str) -> str:
+    return rf"""WITH RECURSIVE dl AS (
+  SELECT doc_id AS path, 0 AS owner, 0 AS block, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL
+), lw AS (
+  SELECT path, owner, block, i + 1 AS pos, {mark} || t AS line, '1-1' AS page, false AS blank, len(regexp_extract_all({mark} || t, '\S+')) AS nw, {top} AS top, {nested} AS nested FROM dl
+), {_split('lw')}, al AS (
+  SELECT path, piece, line FROM sp UNION ALL SELECT path, 1, line FROM lw WHERE path NOT IN (SELECT path FROM big)
+)
+SELECT path AS doc_id, CAST(piece - 1 AS BIGINT) AS piece, count(*) AS n_lines, CAST(sum(len(regexp_extract_all(line, '\S+'))) AS BIGINT) AS n_words FROM al GROUP BY ALL"""
+
+
 _VIOLATED = """, vio AS (
   SELECT path FROM nd WHERE under_empty OR content_type IS NULL
   UNION SELECT nd.path FROM nd JOIN bd ON bd.path = nd.path AND bd.owner = nd.pos WHERE nd.id_path = '' AND NOT bd.blank
@@ -293,14 +316,8 @@ WHERE nd.id_path <> '' AND tx.text <> '' AND nd.path NOT IN (SELECT path FROM vi
   UNION ALL SELECT nd.path, 'empty slug with body' FROM nd JOIN fault USING (path) JOIN full_ ON full_.path = nd.path AND full_.owner = nd.pos WHERE n > 0 AND id_path = ''
   UNION ALL SELECT path, 'repeated id' FROM (SELECT path, id_path FROM nd WHERE id_path <> '' GROUP BY ALL HAVING count(*) > 1) JOIN fault USING (path) WHERE n > 0
 ) SELECT path, rule, count(*) AS n FROM br GROUP BY ALL""",
-    "list_split_500": rf"""WITH RECURSIVE dl AS (
-  SELECT doc_id AS path, 0 AS owner, 0 AS block, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS t, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL
-), lw AS (
-  SELECT path, owner, block, pos, '- ' || t AS line, '1-1' AS page, false AS blank, len(regexp_extract_all('- ' || t, '\S+')) AS nw, true AS top, false AS nested FROM dl
-), {_split('lw')}, al AS (
-  SELECT path, piece, line FROM sp UNION ALL SELECT path, 1, line FROM lw WHERE path NOT IN (SELECT path FROM big)
-)
-SELECT path AS doc_id, CAST(piece - 1 AS BIGINT) AS piece, count(*) AS n_lines, CAST(sum(len(regexp_extract_all(line, '\S+'))) AS BIGINT) AS n_words FROM al GROUP BY ALL""",
+    "list_split_500": _split_sql("'- '", "true", "false"),
+    "list_split_nested": _split_sql("CASE WHEN i % 90 = 0 THEN '- ' WHEN i % 45 = 1 THEN '  - ' ELSE '    ' END", "i % 90 = 0", "i % 90 <> 0 AND i % 45 = 1"),
     "chunk_records": f"""WITH RECURSIVE {_TREE}{_CHILDREN.replace('@SPLIT@', _split('lw'))}{_VIOLATED}, pt AS (
   SELECT path, owner, trim(string_agg(line, chr(10) ORDER BY pos), chr(10)) AS text FROM bd GROUP BY ALL
 ), pp AS (

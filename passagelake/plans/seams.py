@@ -32,7 +32,7 @@ class ParityCompleter(QuotingCompleter):
 
 
 class FailingCompleter(ParityCompleter):
-    """Fails on questions that hold a question mark or a z, as a service may."""
+    """Fails on questions that hold a z, as a service may."""
 
     def complete(self, system: str, user: str) -> str:
         if "z" in user.partition("\n\nQuestion: ")[2]:
