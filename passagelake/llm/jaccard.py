@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .collocations import CHUNK, chunks, tree_sum
+from .collocations import CHUNK, chunks, tree_sum, unpacked
 from .common import discard, materialize, small_batches, table
 from .components import components
 from .perfecthash import mix
@@ -47,10 +48,12 @@ SEED = 42
 SLOTS = 1 << 20
 #: Sets of a bucket that one task compares with as many others.
 PART = 1024
-#: Bits of a sketch.
+#: Bits of a small set's sketch, and of a larger one's fold: a power of two.
 BITS = 1024
 #: What reading an entry of an inverted list costs, in subsets written.
 READ = 0.05
+#: Rows of an inverted list or of subsets that a task hands on at once, and pairs that it compares at once.
+ENTRIES = 1 << 17
 #: Words whose hash a worker remembers.
 KNOWN = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -65,18 +68,25 @@ class _Words(dict):
         return h
 
 
-def shingle_set(text: bytes | None, of: dict, shingle: int = SHINGLE) -> np.ndarray:
-    """The hashes of a text's distinct shingles, sorted; a text of fewer words is one shingle, one without words none."""
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
-    width = min(shingle, len(words))
-    n = len(words) - width + 1
-    out = np.full(n, width, np.uint64)
-    for c in range(width):
-        out = mix(out * _STEP + h[c : c + n])
-    return np.unique(out)
+def shingle_sets(texts: list[bytes | None], of: dict, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The hashes of each text's distinct shingles, sorted; a text of fewer words is one shingle, one without words none."""
+    each = [(t or b"").translate(_LOWER).split() for t in texts]
+    h = np.fromiter(map(of.__getitem__, chain.from_iterable(each)), np.uint64, sum(map(len, each)))
+    factors = mix(np.arange(1, shingle + 1, dtype=np.uint64)) | np.uint64(1)
+    rolled = np.zeros(max(0, len(h) - shingle + 1), np.uint64)
+    for c in range(shingle):
+        rolled += factors[c] * h[c : c + len(rolled)]
+    rolled = mix(rolled)
+    out, at = [], 0
+    for words in each:
+        n = len(words)
+        if n >= shingle:
+            s = np.sort(rolled[at : at + n - shingle + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
+        else:
+            out.append(mix((factors[:n] * h[at : at + n]).sum(keepdims=True, dtype=np.uint64), n) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def slot(elements: np.ndarray) -> np.ndarray:
@@ -87,8 +97,8 @@ def signature(elements: np.ndarray, counts: np.ndarray, percent: int, k: int) ->
     """The rarest elements of a set, of which any set that links with it holds k among its own."""
     n = len(elements)
     least = -(-percent * n // 100)
-    order = np.lexsort((elements, counts[slot(elements)]))
-    return elements[order[: min(n, n - least + k)]]
+    rare = counts[slot(elements)].astype(np.uint64) << np.uint64(32) | elements & np.uint64(0xFFFFFFFF)
+    return elements[np.argsort(rare, kind="stable")[: min(n, n - least + k)]]  # elements come sorted: ties are the same everywhere
 
 
 def subsets(elements: np.ndarray) -> np.ndarray:
@@ -101,10 +111,24 @@ def subsets(elements: np.ndarray) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    flips = np.bincount((mix(elements, 7) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    bits = max(BITS, 1 << (2 * max(1, len(elements)) - 1).bit_length())
+    flips = np.bincount((mix(elements, 7) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes, size: int = BITS // 8) -> bytes:
+    """A sketch as one of fewer bits, what the smaller one of the same set would be."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The bits in which two sketches differ, at the size of the smaller."""
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = folded(a, size), folded(b, size)
+    return int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum(dtype=np.int64))
+
+
 def largest(c: int) -> int:
     """The largest size of a class."""
     return max(1, math.ceil(2 ** ((c + 1) / 6)) - 1)
@@ -130,7 +154,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.
     """Each batch, whose last column is the text, with its texts' sets."""
     of = _Words()
     for b in batches:
-        yield b, [shingle_set(t.as_py(), of, shingle) for t in b.column(b.num_columns - 1)]
+        yield b, shingle_sets(b.column(b.num_columns - 1).to_pylist(), of, shingle)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -185,15 +209,13 @@ def _bits(sketches) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: by sizes and sketches first, then by the sets themselves."""
+def _linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link: by sizes and sketches first, then, where those allow it, by the sets themselves."""
 
     @F.pandas_udf("boolean")
     def may(na: pd.Series, nb: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        differ = np.bitwise_count(_bits(a) ^ _bits(b)).sum(1, dtype=np.int64)
-        return pd.Series(may_link(na.to_numpy(), nb.to_numpy(), differ, percent))
+        differ = np.array([differing(x, y) for x, y in zip(a, b)], np.int64)
+        return pd.Series(may_link(na.to_numpy(), nb.to_numpy(), differ, percent), dtype=bool)
 
     @F.pandas_udf("boolean")
     def links(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -204,15 +226,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    of = {c: sets.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab"}
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _sets(batches, shingle):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
+
+    of = {c: known.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("wide").alias(f"k{c}")) for c in "ab"}
     some = pairs.join(of["a"], "a").join(of["b"], "b").filter(may("na", "nb", "ka", "kb")).select("a", "b")
     some = materialize(some, "jaccard-candidates")
+    wanted = some.select(F.col("a").alias("node")).union(some.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(_of_nodes(docs, known.join(wanted, "node")).select("node", F.col("text").cast("binary")).mapInArrow(make, "node long, elements binary").dropDuplicates(["node"]), "jaccard-sets")
     of = {c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"s{c}")) for c in "ab"}
-    out = materialize(some.join(of["a"], "a").join(of["b"], "b").filter(links("sa", "sb")).select("a", "b"), "jaccard-links")
+    first = of["a"].join(_few(some), "a")  # a set goes to its partners' place, those to one place each
+    out = materialize(first.join(of["b"].join(_few(some.select("b").distinct()), "b", "left_semi"), "b").filter(links("sa", "sb")).select("a", "b"), "jaccard-links")
     discard(some)
+    discard(sets)
     return out
 
 
+def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the rows that stand for these nodes (node, i, k: id and text key); repeated rows repeat."""
+    nodes = materialize(nodes.select("node", "i", "k"), "jaccard-nodes")
+    return docs.join(_few(nodes), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))).select("node", "text")
+
+
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (key, node) of buckets with more than one component, with `label`."""
     labelled = members.select("key", "node").join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -221,13 +257,13 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(labelled.join(_few(mixed), "key"), "jaccard-apart")
 
 
-def _met(members: DataFrame, sets: DataFrame, percent: int, nearest: bool, part: int) -> DataFrame:
+def _met(members: DataFrame, known: DataFrame, percent: int, nearest: bool, part: int) -> DataFrame:
     """members (key, node, label, many) -> distinct (a, b) of a bucket's sets of different components that may link.
 
     nearest: for each set only the one whose sketch is most alike. A bucket of more than `part` sets is dealt into
     parts, and each pair of parts is met in one place: only sizes and sketches go there.
     """
-    wide = members.join(sets.select("node", "size", "sketch"), "node").withColumn("parts", F.ceil(F.col("many") / part).cast("long"))
+    wide = members.join(known.select("node", "size", "sketch"), "node").withColumn("parts", F.ceil(F.col("many") / part).cast("long"))
     dealt = wide.withColumn("i", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = dealt.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), "node", "size", "sketch", "label")
@@ -235,28 +271,59 @@ def _met(members: DataFrame, sets: DataFrame, percent: int, nearest: bool, part:
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for now, group in _groups(batches, ["key", "x", "y"]):
-            node, size, label, left, x, y = (now[c].to_numpy() for c in ("node", "size", "label", "left", "x", "y"))
-            bits = _bits(now["sketch"])
-            for rows in np.split(np.arange(len(now)), np.flatnonzero(np.diff(group)) + 1):
-                if (label[rows] == label[rows[0]]).all():
-                    continue
-                one, two = rows[left[rows]], rows if x[rows[0]] == y[rows[0]] else rows[~left[rows]]
-                for at in range(0, len(one) if len(two) else 0, 64):
-                    a = one[at : at + 64]
-                    differ = np.bitwise_count(bits[a][:, None] ^ bits[two][None]).sum(2, dtype=np.int64)
-                    ok = may_link(size[a][:, None], size[two][None], differ, percent) & (label[a][:, None] != label[two][None])
-                    if nearest:
-                        best = np.zeros_like(ok)
-                        best[np.arange(len(a)), np.where(ok, differ, 1 << 30).argmin(1)] = True
-                        ok &= best
-                    i, j = np.nonzero(ok)
-                    if len(i):
-                        pair = np.sort(np.stack([node[a[i]], node[two[j]]], axis=1), axis=1)
-                        yield pd.DataFrame({"a": pair[:, 1], "b": pair[:, 0]}).drop_duplicates()
+            label, left = now["label"].to_numpy(), now["left"].to_numpy()
+            _, node = np.unique(now["node"].to_numpy(), return_inverse=True)
+            first = np.zeros(node.max() + 1, np.int64)
+            first[node] = np.arange(len(node))  # a row of each node
+            same = now["x"].to_numpy() == now["y"].to_numpy()
+            bits, size, name = _bits(now["sketch"].iloc[first].to_list()), now["size"].to_numpy()[first], now["node"].to_numpy()[first]
+            seen, best = np.zeros(0, np.uint64), {}
+            for i, j in _crossed(group, left, same):
+                apart = label[i] != label[j]
+                a, b = node[i[apart]].astype(np.uint64), node[j[apart]].astype(np.uint64)
+                pair = np.unique(np.maximum(a, b) << np.uint64(32) | np.minimum(a, b))  # met in many buckets, compared once
+                pair = pair[~np.isin(pair, seen)]
+                seen = np.concatenate([seen, pair]) if len(seen) < 1 << 20 else pair
+                a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+                ok = may_link(size[a], size[b], differ, percent)
+                a, b, differ = a[ok], b[ok], differ[ok]
+                if nearest:
+                    for x, y in ((a, b), (b, a)):
+                        order = np.lexsort((differ, x))
+                        one, at = np.unique(x[order], return_index=True)
+                        for o, d, z in zip(one.tolist(), differ[order][at].tolist(), y[order][at].tolist()):
+                            best[o] = min(best.get(o, (1 << 30, 0)), (d, z))
+                elif len(a):
+                    yield _named(name[a], name[b])
+            if best:
+                yield _named(name[list(best)], name[[z for _, z in best.values()]])
 
     return rows.mapInPandas(meet, "a long, b long").distinct()
 
 
+def _named(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def _crossed(group: np.ndarray, left: np.ndarray, same: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows that meet in each group, some ENTRIES at a time: all of a group of one part (same), else left rows with the others.
+
+    group: dense numbers, rising. Each row is paired with the rows of its group that come after it, in blocks of rows.
+    """
+    ends = np.searchsorted(group, group, side="right")
+    many = ends - np.arange(len(group)) - 1
+    upto, at = np.cumsum(many), 0
+    while at < len(group):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + ENTRIES, side="right")))
+        n = many[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        met = same[i] | (left[i] != left[j])
+        yield i[met], j[met]
+        at = end
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, part: int = PART, light: int | None = None) -> DataFrame:
     """docs -> (doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -275,7 +342,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = sized.filter("chunk is null").select("doc_id", "text_key", "node", "size")
     counted = np.zeros(SLOTS, np.int64)  # of a fixed size
     for r in tree_sum(sized.filter("chunk is not null").select("chunk", "at", "n"), CHUNK).collect():
-        counted[r.chunk * CHUNK + np.frombuffer(bytes(r.at), np.uint16).astype(np.int64)] = np.frombuffer(bytes(r.n), np.int64)
+        at, n = unpacked(bytes(r.at), bytes(r.n))
+        counted[r.chunk * CHUNK + at] = n
     counts = spark.sparkContext.broadcast(np.minimum(counted, np.iinfo(np.uint32).max).astype(np.uint32))
     full = own.filter("size > 0")
     if light is None:
@@ -284,33 +352,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = -(-percent * (light + 1) // 100)  # of a set that links with a heavy one
+        held, size = [], 0
         for _, sets in _sets(batches, shingle):
             for s in sets:
-                keys = []
-                if 0 < len(s) <= light:
-                    keys.append(mix(subsets(signature(s, counts.value, percent, 2)), 1))
+                keys = [mix(subsets(signature(s, counts.value, percent, 2)), 1)] if 0 < len(s) <= light else []
                 if len(s) >= max(1, least):
                     keys.append(mix(signature(s, counts.value, percent, 1), 2))
-                if keys:
-                    key = np.concatenate(keys).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), node_of(s)))], ["key", "node"])
-
-    entries = _read(_firsts(docs, full)).mapInArrow(keyed, "key long, node long")
+                held += [(k.view(np.int64), node_of(s)) for k in keys]
+                size += sum(map(len, keys))
+                if size >= ENTRIES:
+                    yield flat(held)
+                    held, size = [], 0
+        if held:
+            yield flat(held)
+
+    def flat(held: list) -> pa.RecordBatch:
+        nodes = np.repeat(np.array([n for _, n in held], np.int64), [len(k) for k, _ in held])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in held])), pa.array(nodes)], ["key", "node"])
+
+    entries = materialize(_read(_firsts(docs, full)).mapInArrow(keyed, "key long, node long"), "jaccard-entries")
     buckets = entries.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("top")).filter("root <> top").select("key", "root")
     buckets = materialize(buckets, "jaccard-buckets")
     members = materialize(entries.join(buckets, "key").select("key", "node", "root"), "jaccard-members")
     discard(buckets)
-    sets = _member_sets(docs, full, members, shingle)
+    discard(entries)
+    known = _sketched(docs, full, members, shingle)
     pairs = members.filter("node <> root").groupBy("node").agg(F.min("root").alias("b")).select(F.col("node").alias("a"), "b")
-    links = _linked(pairs, sets, percent)
+    links = _linked(pairs, known, docs, percent, shingle)
     labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
     for nearest in (True, False):
         was, members = members, _apart(members, labels)
         discard(was)
-        more = _linked(_met(members, sets, percent, nearest, part), sets, percent)
+        more = _linked(_met(members, known, percent, nearest, part), known, docs, percent, shingle)
         links = links.union(more)
         labels = materialize(components(links, "jaccard-components"), "jaccard-labels")
-    discard(sets)
+    discard(known)
     joined = full.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("doc_id", "size", "label")
     joined = materialize(joined, "jaccard-labelled")
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -318,21 +394,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.union(own.filter("size = 0").select("doc_id", "size", "doc_id"))
 
 
-def _member_sets(docs: DataFrame, own: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """(node, size, sketch, elements) of the nodes that lie in a bucket with others; a node's set is made from one of its texts."""
-    nodes = members.select("node").distinct().join(own.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("best")), "node")
-    nodes = materialize(nodes.select(F.col("best.doc_id").alias("i"), F.col("best.text_key").alias("k")), "jaccard-nodes")
-    texts = docs.join(_few(nodes), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
+def _sketched(docs: DataFrame, own: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(node, size, sketch, wide, i, k) of the nodes that lie in a bucket with others; i, k: id and text key of a row of the node."""
+    best = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    nodes = materialize(members.select("node").distinct().join(best, "node").select("node", F.col("best.doc_id").alias("i"), F.col("best.text_key").alias("k")), "jaccard-nodes")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, shingle):
-            for at in range(0, len(sets), 64):
-                some = sets[at : at + 64]
-                each = [node_of(s) for s in some], [len(s) for s in some], [sketch(s) for s in some], [s.tobytes() for s in some]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(each, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "size", "sketch", "elements"])
+        for b, sets in _sets(batches, shingle):
+            wide = [sketch(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([folded(w) for w in wide], pa.binary()), pa.array(wide, pa.binary())], ["node", "size", "sketch", "wide"])
 
-    out = _read(texts).mapInArrow(make, "node long, size long, sketch binary, elements binary")
-    return materialize(out.dropDuplicates(["node"]), "jaccard-sets")
+    made = _of_nodes(docs, nodes).select("node", F.col("text").cast("binary")).mapInArrow(make, "node long, size long, sketch binary, wide binary")
+    return materialize(made.dropDuplicates(["node"]).join(nodes, "node"), "jaccard-sketches")
 
 
 def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
