@@ -228,24 +228,58 @@ def block_boxes(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return lines.groupBy(*(keys or BLOCK)).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def _level(extent: Column) -> Column:
+    """The power of two that is no smaller than an extent: cells of that size lie under it in two places at most."""
+    return F.greatest(F.lit(4), F.ceil(F.log2(F.greatest(extent, F.lit(1e-9))))).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _cells(low: Column, high: Column, level: Column) -> Column:
+    return F.explode(F.array_distinct(F.array(_cell(low, level), _cell(high, level))))
+
+
 def outermost(boxes: DataFrame, page: list[str], tolerance: float = 1.0) -> DataFrame:
     """boxes (page..., box_no, x0, y0, x1, y1) that no other, unequal box of the page holds, within a tolerance. Two
-    unequal boxes within it of each other remove each other."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    same = lambda op: [F.col(f"a.{c}") == F.col(f"b.{c}") for c in op]
-    on = same(page)[0]
-    for c in same(page)[1:]:
-        on = on & c
-    t = F.lit(tolerance)
-    equal = (F.col("a.x0") == F.col("b.x0")) & (F.col("a.y0") == F.col("b.y0")) & (F.col("a.x1") == F.col("b.x1")) & (F.col("a.y1") == F.col("b.y1"))
-    holds = (F.col("b.x0") <= F.col("a.x0") + t) & (F.col("b.y0") <= F.col("a.y0") + t) & (F.col("b.x1") >= F.col("a.x1") - t) & (F.col("b.y1") >= F.col("a.y1") - t)
-    return a.join(b, on & ~equal & holds, "left_anti")
+    unequal boxes within it of each other remove each other.
+
+    A box that holds another holds its middle, within the tolerance. So boxes are laid on grids, each on that of its own width and height, where
+    it covers four cells at most, and a middle is looked up in its one cell of each grid that its page has.
+    """
+    t, size = F.lit(tolerance), ("x0", "y0", "x1", "y1")
+    outer = boxes.select(*page, *[F.col(c).alias(f"_{c}") for c in size])
+    outer = outer.withColumn("_lx", _level(F.col("_x1") - F.col("_x0") + 2 * t)).withColumn("_ly", _level(F.col("_y1") - F.col("_y0") + 2 * t)).filter("_lx is not null and _ly is not null")
+    grids = outer.select(*page, "_lx", "_ly").distinct()
+    outer = outer.withColumn("_ix", _cells(F.col("_x0") - t, F.col("_x1") + t, F.col("_lx"))).withColumn("_iy", _cells(F.col("_y0") - t, F.col("_y1") + t, F.col("_ly")))
+    inner = boxes.select(*page, "box_no", *size).join(grids, page)
+    inner = inner.withColumn("_ix", _cell((F.col("x0") + F.col("x1")) / 2, F.col("_lx"))).withColumn("_iy", _cell((F.col("y0") + F.col("y1")) / 2, F.col("_ly")))
+    keys = [*page, "_lx", "_ly", "_ix", "_iy"]
+    a, b = inner.alias("a"), outer.alias("b")
+    on = F.lit(True)
+    for c in keys:
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    equal = F.lit(True)
+    for c in size:
+        equal = equal & (F.col(f"a.{c}") == F.col(f"b._{c}"))
+    holds = (F.col("b._x0") <= F.col("a.x0") + t) & (F.col("b._y0") <= F.col("a.y0") + t) & (F.col("b._x1") >= F.col("a.x1") - t) & (F.col("b._y1") >= F.col("a.y1") - t)
+    held = a.join(b, on & ~equal & holds, "left_semi").select(*page, "box_no").distinct()
+    return boxes.join(held, [*page, "box_no"], "left_anti")
 
 
 def in_band(blocks: DataFrame, bands: DataFrame, page: list[str], tolerance: float = 1.0) -> DataFrame:
-    """Blocks (page..., block_no, y0, y1) whose middle lies in a band (page..., box_no, top, bottom)."""
-    middle = (F.col("y0") + F.col("y1")) / 2
-    return blocks.withColumn("_middle", middle).join(bands, page).filter((F.col("_middle") >= F.col("top") - tolerance) & (F.col("_middle") <= F.col("bottom") + tolerance)).drop("_middle")
+    """Blocks (page..., block_no, y0, y1) whose middle lies in a band (page..., box_no, top, bottom).
+
+    Bands are laid on grids by their height, where each covers two cells at most; a middle has one cell in each grid of its page.
+    """
+    t = F.lit(tolerance)
+    laid = bands.withColumn("_level", _level(F.col("bottom") - F.col("top") + 2 * t)).filter("_level is not null")
+    grids = laid.select(*page, "_level").distinct()
+    laid = laid.withColumn("_cell", _cells(F.col("top") - t, F.col("bottom") + t, F.col("_level")))
+    placed = blocks.withColumn("_middle", (F.col("y0") + F.col("y1")) / 2).join(grids, page).withColumn("_cell", _cell(F.col("_middle"), F.col("_level")))
+    inside = (F.col("_middle") >= F.col("top") - t) & (F.col("_middle") <= F.col("bottom") + t)
+    return placed.join(laid, [*page, "_level", "_cell"]).filter(inside).drop("_middle", "_level", "_cell")
 
 
 def table_regions(lines: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,11 @@ def layout_lines(spark, d):
     return _lines(spark, d).select(F.col("page_idx").alias("page_id"), F.col("block_no").cast("long"), F.sha2("text", 256).alias("text_sha256"), "size", "bold", "x0", "y0")
 
 
+def element_boxes(spark, d):
+    """Boxes of a page's lists, navigation, blocks and tables."""
+    return html.element_boxes(table(spark, d, "pages")).select(F.col("page_idx").alias("page_id"), F.col("box_no").cast("long"), "tag", F.col("depth").cast("long"), "x0", "y0", "x1", "y1")
+
+
 def chrome_filter(spark, d):
     return layout.content_blocks(layout.marked(_lines(spark, d))).select(F.col("page_idx").alias("page_id"), F.col("block_no").cast("long"), "marker", "section", "subheading")
 
@@ -85,6 +90,7 @@ def page_runs(spark, d):
 
 QUERIES = {
     "layout_lines": layout_lines,
+    "element_boxes": element_boxes,
     "chrome_filter": chrome_filter,
     "block_elements": block_elements,
     "banner_name": banner_name,
@@ -95,21 +101,48 @@ QUERIES = {
     "page_runs": page_runs,
 }
 
-_LINES = r"""m AS (
-  SELECT page_id, unnest(regexp_extract_all(html, '<(?:h1|b|p|li|footer)>[^<]*')) AS m, generate_subscripts(regexp_extract_all(html, '<(?:h1|b|p|li|footer)>[^<]*'), 1) - 1 AS block_no FROM pages
-), l AS (
-  SELECT page_id, block_no, regexp_extract(m, '^<([a-z0-9]+)>', 1) AS tag,
-    trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(m, '^<[a-z0-9]+>', ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM m
+_BLOCK_LIST = ", ".join(f"'{t}'" for t in html.BLOCKS)
+_VISIBLE = "html"
+for _pattern in html.HIDDEN:
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '{_pattern}', '', 'g')"
+_NESTED = [f"sum(CASE WHEN tag = '{t}' THEN CASE WHEN closes THEN -1 ELSE 1 END ELSE 0 END) OVER w AS {t}_" for t in html.INSIDE]
+_FULL = r"FILTER (WHERE regexp_matches(m, '\S'))"
+#: The tokens of a page, with the counts that tell lines and nesting.
+_TOKENS = f"""tk AS (
+  SELECT page_id, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all({_VISIBLE}, '{html.TOKEN}') AS ms FROM pages)
+), tg AS (
+  SELECT page_id, pos, m, mk, CASE WHEN mk THEN lower(regexp_extract(m, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) ELSE '' END AS tag, mk AND starts_with(m, '</') AS closes FROM (SELECT *, regexp_matches(m, '^<[/!?A-Za-z]') AS mk FROM tk)
+), td AS (
+  SELECT *, sum((tag IN ({_BLOCK_LIST}))::INT) OVER w AS line, {", ".join(_NESTED)} FROM tg WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), te AS (
+  SELECT *, sum(CASE WHEN tag IN ('b', 'strong') THEN CASE WHEN closes THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY page_id, line ORDER BY pos ROWS UNBOUNDED PRECEDING) > 0 AS bold,
+    {", ".join(f"{t}_ > least(0, min({t}_) OVER v) AS in_{t}" for t in html.INSIDE)} FROM td WINDOW v AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), tx AS (
+  SELECT page_id, line, min(pos) AS first_, string_agg(m, '' ORDER BY pos) AS raw, bool_and(bold) {_FULL} AS b, {", ".join(f"bool_or(in_{t}) {_FULL} AS {t}" for t in html.INSIDE)} FROM te WHERE NOT mk GROUP BY page_id, line
+)"""
+_TEXT = "raw"
+for _code, _char in html.ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_code}', '{_char.replace(chr(39), 2 * chr(39))}')"
+_LINES = _TOKENS + r""", l AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY line) - 1 AS block_no, first_, CASE WHEN h1 THEN 'h1' WHEN li THEN 'li' WHEN footer THEN 'footer' WHEN b THEN 'b' ELSE 'p' END AS tag, text FROM (
+    SELECT *, trim(regexp_replace(@TEXT@, '\s+', ' ', 'g')) AS text FROM tx) WHERE text <> ''
 ), li AS (
   SELECT page_id, block_no, tag, text, CASE tag WHEN 'h1' THEN 16.0::DOUBLE WHEN 'b' THEN 12.0::DOUBLE WHEN 'footer' THEN 8.0::DOUBLE ELSE 10.0::DOUBLE END AS size, tag IN ('h1', 'b') AS bold,
-    CASE tag WHEN 'li' THEN 60.0::DOUBLE ELSE 40.0::DOUBLE END AS x0, block_no * 20.0::DOUBLE AS y0,
+    CASE tag WHEN 'li' THEN 60.0::DOUBLE ELSE 40.0::DOUBLE END AS x0, block_no * 20.0::DOUBLE AS y0, first_,
     CASE WHEN tag = 'li' OR regexp_matches(text, '^[•●]( |$)') THEN 'bullet' WHEN text = 'o' THEN 'subbullet' WHEN regexp_matches(text, '^\d{1,2}\.$') THEN 'ordered' END AS marker FROM l WHERE text <> ''
-)"""
+)""".replace("@TEXT@", _TEXT)
 _BODY = r"regexp_replace(text, '^(?:•(?: |$))?(?:●(?: |$))?(?:o(?: |$))?', '')"
 _BOX = "b AS (SELECT p_partkey // 40 AS page_idx, p_partkey AS box_no, (p_partkey * 37 % 200)::DOUBLE AS x0, (p_partkey * 53 % 300)::DOUBLE AS y0, (p_partkey * 37 % 200 + p_size * 7)::DOUBLE AS x1, (p_partkey * 53 % 300 + p_partkey % 11 * 20 + 5)::DOUBLE AS y1 FROM part)"
 
 ORACLES = {
     "layout_lines": f"WITH {_LINES} SELECT page_id, block_no, sha256(text) AS text_sha256, size, bold, x0, y0 FROM li",
+    "element_boxes": f"""WITH {_LINES}, eo AS (
+  SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY pos ROWS UNBOUNDED PRECEDING) + closes::INT AS depth FROM tg WHERE tag IN ('table', 'ul', 'ol', 'nav', 'div')
+), es AS (SELECT *, min(CASE WHEN closes THEN pos END) OVER (PARTITION BY page_id, tag, depth ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS end_ FROM eo),
+bx AS (
+  SELECT es.page_id, es.pos, es.tag, es.depth, min(li.x0) AS x0, min(li.y0) AS y0, max(li.x0 + length(li.text) * 5.0::DOUBLE) AS x1, max(li.y0 + 12.0::DOUBLE) AS y1
+  FROM es JOIN li ON li.page_id = es.page_id AND li.first_ > es.pos AND (es.end_ IS NULL OR li.first_ < es.end_) WHERE NOT es.closes GROUP BY ALL
+) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS box_no, tag, CAST(depth AS BIGINT) AS depth, x0, y0, x1, y1 FROM bx""",
     "chrome_filter": f"WITH {_LINES} SELECT page_id, block_no, marker, tag = 'h1' AS section, tag = 'b' AS subheading FROM li WHERE size > 8.5 AND NOT (marker IS NULL AND regexp_matches(text, '^Unit\\s+\\d+\\s*[A-Z]?\\s*([-–].*)?$'))",
     "block_elements": f"""WITH {_LINES}, k AS (
   SELECT *, CASE WHEN marker IS NOT NULL THEN 'marker' WHEN tag = 'h1' THEN 'section' WHEN tag = 'b' THEN 'sub' ELSE 'plain' END AS what FROM li WHERE size > 8.5
