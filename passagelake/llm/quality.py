@@ -31,8 +31,6 @@ SHAPES = 64
 HIDDEN = 24
 #: Words of a segment; a rest of under a quarter of it belongs to the segment before.
 SEGMENT = 200
-#: Characters of a word that make its shape.
-SHAPE_CHARS = 24
 #: Code points of texts that are looked at together; a longer text is looked at alone.
 CHUNK = 1 << 18
 _PART = 11
@@ -150,8 +148,8 @@ def _block(texts: list[np.ndarray]) -> np.ndarray:
     out[:, 2 : 2 + _PART] = mean
     out[:, 2 + _PART : 2 + 2 * _PART] = np.sqrt(np.maximum(square - mean**2, 0))
     shape = every_shape[own]
-    keep = pos < SHAPE_CHARS
-    keep[1:] &= (pos[1:] == 0) | (shape[1:] != shape[:-1])
+    keep = np.ones(len(pos), bool)
+    keep[1:] = (pos[1:] == 0) | (shape[1:] != shape[:-1])
     step = np.cumsum(keep) - 1
     step -= np.repeat(step[chars[:-1]], long)
     marks = np.where(keep, (shape + np.uint32(1)) * _factor(step), np.uint64(0))

@@ -359,6 +359,41 @@ def planted(n, seed=8):
     return texts, keys
 
 
+def test_recall_of_each_kind_of_secret():
+    import random
+    import string
+
+    rng = random.Random(5)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    every = lower + upper + digits
+    kinds = {
+        "eight characters": (0.65, lambda: pick(every, 8)),
+        "twelve characters": (0.9, lambda: pick(every, 12)),
+        "sixteen of hex": (0.9, lambda: pick("0123456789abcdef", 16)),
+        "with marks": (0.9, lambda: pick(every + "!#$%^&*", 16)),
+        "small letters": (0.9, lambda: pick(lower, 32)),
+        "capitals": (0.9, lambda: pick(upper, 20)),
+        "digits": (0.9, lambda: pick(digits, 16)),
+        "word, year, mark": (0.8, lambda: rng.choice(["tiger", "summer", "coffee", "london", "monkey"]).title() + str(rng.randrange(1950, 2030)) + rng.choice("!#$%&*")),
+        "two parts": (0.9, lambda: f"eyJ{pick(every + '-_', 40)}.{pick(every + '-_', 60)}"),
+    }
+    keys = [secretscan.window(f"password={t}", 9, 9 + len(t)) for t in (pick(every, 16) for _ in range(100))]
+    net = secretscan.fit(keys, [])
+    for name, (least, make) in kinds.items():
+        hit = 0
+        for i in range(200):
+            key = make()
+            text = ("the value is {} and then", "login {}", "use {} for the server, please")[i % 3].format(key)
+            at = text.index(key)
+            near = [(s, e) for s, e in secretscan.candidates(text) if s < at + len(key) and e > at]
+            hit += any(net.scores(secretscan.windows(text, s, e)).max() >= net.threshold for s, e in near)
+        assert hit >= least * 200, name
+    plain = "https://www.example.org/path/to/page 2024-01-05T12:00:00 user@example.com Figure12 COVID-19 version2.3.4 README.md MacBookPro AT&T yes!! wow!!! 100% rock'n'roll word### OUSHED!! internationalization".split()
+    wrong = [t for t in plain for s, e in secretscan.candidates(t) if net.scores(secretscan.windows(t, s, e)).max() >= net.threshold]
+    assert len(wrong) <= 2, wrong
+
+
 def test_secrets_that_the_patterns_miss(spark):
     texts, keys = planted(1600)
     got = {r.doc_id: r.spans for r in secretscan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -474,6 +509,35 @@ def test_recall_at_the_bound():
     assert hit >= 285
 
 
+@pytest.mark.parametrize("size", [10, 14, 20, 60, 200, 600, 800])
+def test_recall_of_bit_sampling_alone(size):
+    import random
+
+    rng = random.Random(size)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    share = [1 / (i + 1) for i in range(4000)]
+    draw = lambda n: rng.choices(vocabulary, share, k=n)
+    items = [draw(size) for _ in range(100)]
+    texts = []
+    for w in items:
+        w = [*w]
+        for _ in range(decontaminate.most_edits(size, 0.8)):
+            p, how = rng.randrange(len(w)), rng.random()
+            w[p : p + 1] = [rng.choice(vocabulary)] if how < 0.34 else [w[p], rng.choice(vocabulary)] if how < 0.67 else []
+        texts.append(" ".join(draw(40) + w + draw(40)))
+    found = {x[:2] for x in decontaminate.Items(list(range(100)), [" ".join(w) for w in items], backstop=False).search(texts)}
+    assert sum((t, t) in found for t in range(100)) >= 95
+
+
+def test_bit_sampling_passes_few_other_windows():
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{int(x)}" for x in rng.zipf(1.3, n)]
+    block = decontaminate.Items(list(range(60)), [" ".join(words(40)) for _ in range(60)])
+    ids = np.array([block.vocabulary.get(w.encode(), 0) for w in words(60_000)], np.int64)
+    met = block.hits(ids, np.repeat(np.arange(150), 400))[3]
+    assert len(met) > 100 and met.mean() < 0.5
+
+
 def test_targets_share_the_excess(spark):
     df = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
