@@ -10,15 +10,15 @@ characters, each a word. An item of under five words allows no edit: it is looke
    other items share is taken, so openings that thousands of items have in common are not looked for.
    Each run found anchors the item-sized window that lies as the item would around it. Windows without
    a run cannot match, so leaving them out loses nothing.
-2. CGK (Chakraborty, Goldenberg, Koucky, STOC 2016). A window is walked through for 3n steps; each
-   step writes the word under the pointer, and a random bit of (repetition, step, word) says whether the
-   pointer moves. Strings at a small edit distance get embeddings at a small Hamming distance.
-3. Bit sampling. A repetition compares SAMPLES positions of the embedding by hash. A window meets the
-   item whose run anchored it if a repetition's hashes agree. REPEATS repetitions, each with its own
-   walk and positions, reach the target recall. An opening that many items share does not make them meet
-   one another's windows.
-4. Counting. The chance that a walk stays in step falls with length and edits, so sampling alone
-   misses long, much edited items. An edit spoils at most g of an item's n - g + 1 runs of g words, so
+2. CGK (Chakraborty, Goldenberg, Koucky, STOC 2016). From the run outwards, to either end of the window or for SIDE words, the words
+   are walked through; each step writes the word under the pointer, and a random bit of (repetition, step, word) says whether the
+   pointer moves. Strings at a small edit distance get embeddings at a small Hamming distance. The chance that a walk stays in step falls with
+   length, so the sides of a long item's windows are short, and each of its runs has its own: a match of a
+   long item holds many runs, any of which may make it meet.
+3. Bit sampling. A repetition hashes SAMPLES positions of a side's embedding. A window meets its item if a
+   repetition's hash agrees on either side of a run. REPEATS repetitions, each with its own walk and positions, with the runs
+   reach the target recall: the tests measure 0.95 or more of matches at the bound of edits, for 10 to 800 words, by this alone.
+4. Counting, for what sampling has missed. An edit spoils at most g of an item's n - g + 1 runs of g words, so
    a match holds n - g + 1 - k g of them at least. An anchored item with so many around its window is
    met too: that loses no match, whatever the item's length.
 5. Each pair (document, item) met is verified by exact edit distance of the item to the best run of
@@ -45,6 +45,8 @@ MIN_WORDS = 1
 SEED = 3
 SAMPLES = 3
 REPEATS = 24
+#: Words on either side of a run that are walked through at most.
+SIDE = 16
 #: Words of the items that one pass over the documents takes; more items take more passes.
 BLOCK_WORDS = 1_000_000
 #: Words of the documents that are looked at together.
@@ -79,7 +81,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def cgk_hashes(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bit-sampling hashes of all repetitions, an array (window, repetition).
 
-    windows: a row each, of ids, with -1 past its end; sizes: the item size that each stands for.
+    windows: a row each, of ids, with -1 past its end; sizes: how many words of the item each stands for.
     Positions are drawn, for each size, from the first 2n of the embedding's 3n: the walk is then past
     the window's end as often as not, and later positions tell windows apart no more.
     """
@@ -110,6 +112,14 @@ def _walk(windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def outwards(words: np.ndarray, start: np.ndarray, step: int, size: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Rows of size words from start, forward (step 1) or backward (-1), -1 past the size and past the limit (exclusive)."""
+    ahead = np.arange(SIDE)[None, :]
+    at = start[:, None] + step * ahead
+    inside = (ahead < size[:, None]) & (at < limit[:, None] if step > 0 else at > limit[:, None])
+    return np.where(inside, words[np.clip(at, 0, len(words) - 1)], -1)
+
+
 def best_run(item: list, region: list) -> tuple[int, int]:
     """The least edit distance of item to a run of region, and the first end (exclusive) of such a run."""
     n, peq = len(item), {}
@@ -159,7 +169,8 @@ def rarest(cost: np.ndarray, width: int, many: int) -> list[int]:
 class Items:
     """A block of benchmark items, ready for search."""
 
-    def __init__(self, ids: list, texts: list, similarity: float = SIMILARITY, min_words: int = MIN_WORDS):
+    def __init__(self, ids: list, texts: list, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, backstop: bool = True):
+        self.backstop = backstop
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.words, self.edits = [], [], []
         for i, t in zip(ids, texts):
@@ -187,16 +198,16 @@ class Items:
             self.seeds[g] = keys, np.append(first, len(r)), np.array([x[1] for x in r]), np.array([x[2] for x in r]), near
         self.sizes, self.run = np.array([len(w) for w in self.words], np.int64), np.array(self.run, np.int64)
         self.spare, self.least = np.array(self.edits, np.int64), np.maximum(1, np.array(least, np.int64))
-        self.hashes = np.zeros((0, REPEATS), np.uint64)
-        if len(self.sizes):
-            order = np.argsort(self.sizes, kind="stable")
-            self.hashes = np.zeros((len(order), REPEATS), np.uint64)
-            for cut in _slices(self.sizes[order]):
-                own = order[cut]
-                wide = np.full((len(own), self.sizes[own].max()), -1)
-                for i, t in enumerate(own):
-                    wide[i, : len(self.words[t])] = self.words[t]
-                self.hashes[own] = cgk_hashes(wide, self.sizes[own])
+        flat = np.array([x for w in self.words for x in w] or [0], np.int64)
+        begin = np.cumsum(self.sizes) - self.sizes
+        self.sides: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for g, (_, _, item, place, _) in self.seeds.items():  # of each run, to the right and to the left: the words walked through, and the hashes
+            right, left = np.minimum(self.sizes[item] - place - g, SIDE), np.minimum(place, SIDE)
+            at = begin[item] + place
+            self.sides[g] = [
+                (right, cgk_hashes(outwards(flat, at + g, 1, right, begin[item] + self.sizes[item]), right)),
+                (left, cgk_hashes(outwards(flat, at - 1, -1, left, begin[item] - 1), left)),
+            ]
 
     @staticmethod
     def _gram(rows: np.ndarray) -> np.ndarray:
@@ -205,12 +216,13 @@ class Items:
             h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, c].astype(np.uint64))
         return h
 
-    def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, item, begin) of each run that an item shares: where the item would start, and its document does.
+    def hits(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, item, begin, met) of each run that an item shares: where the item would start, where its document does, and
+        whether a repetition's hashes agree on a side of the run.
 
         words: ids of the vocabulary, 0 elsewhere; doc: which document each word is of.
         """
-        found = [np.zeros((3, 0), np.int64)]
+        found = [np.zeros((4, 0), np.int64)]
         for g, (keys, first, item, place, near) in self.seeds.items():
             if len(words) < g:
                 continue
@@ -228,10 +240,24 @@ class Items:
             at, slot = at[same], slot[same]
             n = first[slot + 1] - first[slot]
             row = np.repeat(first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
-            begins = np.searchsorted(doc, doc[np.repeat(at, n)])
-            found.append(np.stack([np.repeat(at, n) - place[row], item[row], begins]))
-        start, item, begin = np.concatenate(found, axis=1)
-        return start, item, begin
+            at = np.repeat(at, n)
+            begins, ends = np.searchsorted(doc, doc[at]), np.searchsorted(doc, doc[at], side="right")
+            found.append(np.stack([at - place[row], item[row], begins, self._alike(g, words, at, row, begins, ends)]))
+        return tuple(np.concatenate(found, axis=1))
+
+    def _alike(self, g: int, words: np.ndarray, at: np.ndarray, row: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether a repetition's hashes agree to the right or left of each run; where neither side has two words, the exact check decides."""
+        (right, right_hashes), (left, left_hashes) = self.sides[g]
+        out = (right[row] < 2) & (left[row] < 2)
+        for size, own, start, step, limit in ((right, right_hashes, at + g, 1, ends), (left, left_hashes, at - 1, -1, begins - 1)):
+            some = np.flatnonzero(size[row] >= 2)
+            for cut in (some[i : i + (1 << 15)] for i in range(0, len(some), 1 << 15)):
+                (place, many), window = np.unique(np.stack([start[cut], size[row[cut]]]), axis=1, return_inverse=True)
+                edge = np.empty(len(place), np.int64)
+                edge[window] = limit[cut]
+                hashes = cgk_hashes(outwards(words, place, step, many, edge), many)
+                out[cut] |= (hashes[window] == own[row[cut]]).any(1)
+        return out
 
     def counted(self, words: np.ndarray, doc: np.ndarray, start: np.ndarray, item: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Distinct (start, item) of hits around which as many of the item's runs lie as a match must hold."""
@@ -257,23 +283,13 @@ class Items:
         return _mix(runs + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def meet(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (start, item), by item, of windows that agree in a repetition or share enough runs with their item.
+        """Distinct (start, item), by item, of windows that agree in a repetition or, of the others, share enough runs with their item.
         A window that would begin before its document begins at the document's first word."""
-        start, item, begin = self.hits(words, doc)
-        if not len(start):
-            return start, item
-        out = [self.counted(words, doc, start, item, begin)]
-        item, start = np.unique(np.stack([item, np.maximum(start, begin)]), axis=1)
-        (size, place), window = np.unique(np.stack([self.sizes[item], start]), axis=1, return_inverse=True)
-        ends = np.minimum(place + size, np.searchsorted(doc, doc[place], side="right"))  # a window stops with its document
-        hashes = np.empty((len(size), REPEATS), np.uint64)
-        for cut in _slices(size):
-            at = place[cut, None] + np.arange(size[cut].max())[None, :]
-            hashes[cut] = cgk_hashes(np.where(at < ends[cut, None], words[np.minimum(at, len(words) - 1)], -1), size[cut])
-        for at in range(0, len(item), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            alike = (hashes[window[some]] == self.hashes[item[some]]).any(1)
-            out.append(np.stack([start[some][alike], item[some][alike]]))
+        start, item, begin, met = self.hits(words, doc)
+        met = met.astype(bool)
+        out = [np.stack([np.maximum(start, begin), item])[:, met]]
+        if self.backstop and not met.all():
+            out.append(self.counted(words, doc, start[~met], item[~met], begin[~met]))
         item, start = np.unique(np.concatenate(out, axis=1)[::-1], axis=1)
         return start, item
 
