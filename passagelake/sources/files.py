@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import posixpath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import unit_number, unit_variant
 from ..operators.answers import citation, good_citation
+from ..scratch import materialize
+from .tree import read_tree, write_tree
 
 
-def read_markdown_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every unit-*.md below root -> (path, content)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "unit-*.md").option("recursiveFileLookup", True).load(root)
-    return files.select("path", F.decode("content", "UTF-8").alias("content"))
+def read_markdown_tree(spark: SparkSession, root: str, sources: list[str] | None = None) -> DataFrame:
+    """Every unit-*.md below root, or below some sources' folders, -> (path, content)."""
+    return read_tree(spark, root, sources).select("path", "content")
 
 
 def unit_file(source, unit_id):
@@ -24,24 +23,11 @@ def unit_file(source, unit_id):
 
 
 def write_markdown_tree(units: DataFrame, root: str) -> DataFrame:
-    """units (source, unit_id, content, error) -> the report (source, unit_id, path, error); files are written by the
-    executors, byte for byte, under a name that a rerun overwrites."""
-    rows = units.select("source", "unit_id", unit_file(F.col("source"), F.col("unit_id")).alias("path"), "content", "error")
-
-    def write(batches):
-        import pyarrow.fs as pafs
-
-        fs, base = pafs.FileSystem.from_uri(root)
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                if content is not None:
-                    fs.create_dir(posixpath.join(base, posixpath.dirname(path)), recursive=True)
-                    with fs.open_output_stream(posixpath.join(base, path)) as f:
-                        f.write(content.encode("utf-8"))
-            b["path"] = b["path"].where(b["content"].notna(), None)
-            yield b[["source", "unit_id", "path", "error"]]
-
-    return rows.mapInPandas(write, "source string, unit_id string, path string, error string")
+    """units (source, unit_id, content, error) -> the report (source, unit_id, path, error); the files of all units with content are
+    written by the executors, byte for byte, and committed together, under names that a rerun replaces."""
+    held = materialize(units.select("source", "unit_id", unit_file(F.col("source"), F.col("unit_id")).alias("path"), "content", "error"), "units")
+    write_tree(held.filter("content is not null"), root)
+    return held.select("source", "unit_id", F.when(F.col("content").isNotNull(), F.col("path")).alias("path"), "error")
 
 
 def report(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
