@@ -128,23 +128,25 @@ def _units(x: np.ndarray) -> np.ndarray:
 def term_statistics(docs: DataFrame) -> DataFrame:
     """docs (id, text) -> (term, df, tf): documents and occurrences of each term, over all documents.
 
-    Counts are taken within each document before they are shuffled, and again before the second
-    shuffle, so a very common term is a row for each task.
+    A document's terms are sorted within its row, so one that differs from the term before it is a new one: both counts are
+    combined in each task, and what is shuffled is a row a term and task.
     """
-    each = docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    held = spread(docs).select(F.array_sort(tokens(F.col("text"))).alias("w"))
+    each = held.select(F.explode(F.arrays_zip("w", F.concat(F.array(F.lit(None).cast("string")), "w").alias("before"))).alias("t")).select(F.col("t.w").alias("term"), F.col("t.before").alias("before"))
+    return each.filter("term is not null").groupBy("term").agg(F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"), F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column | None = None) -> DataFrame:
     """docs (id, text, ...), queries (query_id, text) -> (query_id, id, score, rank).
 
     Distinct query terms, any of which suffices. Statistics come from all documents with a text; `where`
-    filters afterwards which can be hits. Texts are cut into terms natively. Scores are summed inside a task: postings
-    are never shuffled. A block's statistics come to the driver as a row a term, WORD_BLOCK or so, and what a task
-    gets is a block's terms and, for each query, the places of its own.
+    filters afterwards which can be hits. Texts are cut into terms natively, once, into a table that all blocks of queries
+    read. Scores are summed inside a task: postings are never shuffled. A block's statistics come to the driver as a row a term,
+    WORD_BLOCK or so, and what a task gets is a block's terms and, for each query, the places of its own. For many queries over one
+    corpus, textindex.TextIndex reads the queries' own terms only.
     """
     rows = docs.withColumn("_hit", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)).select("id", "text", "_hit").filter("text is not null")
-    rows = spread(rows).select("id", "_hit", tokens(F.col("text")).alias("w"))
+    rows = materialize(spread(rows).select("id", "_hit", tokens(F.col("text")).alias("w")), "bm25-terms")
     out, sizes = None, None
     for block in _word_blocks(queries):
         if sizes is None:
@@ -154,15 +156,8 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column |
         first = np.cumsum([0, *(len(words) for _, words in block)])[:-1]
         places = terms.get_indexer([t for _, words in block for t in words])
 
-        def count(batches: Iterator[pd.DataFrame], terms=terms) -> Iterator[pd.DataFrame]:
-            df = np.zeros(len(terms), np.int64)
-            for b in batches:
-                at, row = _found(b["w"], terms)
-                df += np.bincount(np.unique(row * len(terms) + at) % len(terms), minlength=len(terms))
-            some = np.flatnonzero(df)
-            yield pd.DataFrame({"term": some, "df": df[some]})
-
-        held = rows.select("w").mapInPandas(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row a term
+        wanted = queries.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "w string, term int")  # WORD_BLOCK rows or so
+        held = rows.select(F.explode(F.array_distinct("w")).alias("w")).join(F.broadcast(wanted), "w").groupBy("term").agg(F.count("*").alias("df")).collect()  # a row a term
         df = np.zeros(len(terms))
         df[[r.term for r in held]] = [r.df for r in held]
         idf = np.log(1 + (sizes.n - df + 0.5) / (df + 0.5))
