@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..ports import NoTracer, Tracer
@@ -90,17 +89,20 @@ def ablation(items: DataFrame, gold: DataFrame, queries: DataFrame, vectors: Dat
     """The curve over retrieval steps: each step retrieves, answers and is scored over all items.
 
     queries (query_id, text, embedding): an item's id and question. on_item is called with each item's facts as a step
-    ends, through an iterator on the driver; the tracer hears of each step's start and gets its scores at its end: of a step
+    ends, through an iterator on the driver. A step's sums are observed while its facts are written, so the curve takes no further pass; the tracer hears of each step's start and gets its scores at its end: of a step
     that fails, an empty table, before the error goes on.
     """
-    tracer, facts = tracer or NoTracer(), []
+    tracer, facts, points = tracer or NoTracer(), [], []
     scores = None
     for step in steps:
         tracer.start(step)
         try:
             passages = retrieved_passages(step, queries, vectors, texts, parents, **how)
             answers = materialize(answer(queries.select("query_id", F.col("text").alias("question")), passages, completer), "ablation-answers")
-            facts.append(materialize(score_step(step, items, gold, passages, answers, judge, k), "ablation-facts"))
+            seen = Observation(f"scores-{step}")
+            held = score_step(step, items, gold, passages, answers, judge, k).observe(seen, *_sums())
+            facts.append(materialize(held, "ablation-facts"))
+            points.append(_point(step, seen.get))
             scores = long_metrics(facts[-1].withColumnRenamed("grounded_ok", "grounded"))
         finally:
             tracer.end(step, scores if scores is not None else _no_scores(items))
@@ -108,7 +110,22 @@ def ablation(items: DataFrame, gold: DataFrame, queries: DataFrame, vectors: Dat
         if on_item:
             for row in facts[-1].toLocalIterator():
                 on_item(row)
-    return curve(reduce(lambda a, b: a.unionByName(b), facts))
+    return items.sparkSession.createDataFrame(points, "step string, recall double, refusal double, faithful double, grounded double, correct double, pos int")
+
+
+#: The facts' columns of the curve's metrics.
+_SCORED = ("recall", "refusal", "faithful", "grounded_ok", "correct")
+
+
+def _sums() -> list[Column]:
+    """What is observed of a step's facts as they are written: each metric's sum, and how many items have it."""
+    return [c for m in _SCORED for c in (F.sum(F.col(m).cast("double")).alias(f"sum_{m}"), F.count(m).alias(f"n_{m}"))]
+
+
+def _point(step: str, seen: dict) -> tuple:
+    """A step's row of the curve, from what was observed."""
+    mean = [seen[f"sum_{m}"] / seen[f"n_{m}"] if seen[f"n_{m}"] else 0.0 if m == "recall" else None for m in _SCORED]
+    return (step, *mean, STEPS.index(step) + 1)
 
 
 def _no_scores(items: DataFrame) -> DataFrame:

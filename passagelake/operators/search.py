@@ -251,14 +251,39 @@ def rerank(candidates: DataFrame, queries: DataFrame, p: int = PARENTS, reranker
         w = Window.partitionBy("query_id").orderBy(F.col("overlap").desc(), F.col("rank"))
         return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= p)
     asked = candidates.join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
-    schema, columns = candidates.schema, candidates.columns
+    return rerank_function(reranker, p)(asked.asTable())
 
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank", kind="stable")
-        places = [i for i in reranker.rerank(group["_query"].iloc[0], group["text"].tolist(), p) if 0 <= i < len(group)][:p]
-        return group.iloc[places].assign(rank=range(1, len(places) + 1))[columns]
 
-    return asked.groupBy("query_id").applyInPandas(order, schema)  # a group: one query's candidates, at most n
+def rerank_function(reranker, p: int = PARENTS):
+    """A table function over rows (query_id, rank, text, _query, ...): of each query's rows the reranker's best p, with a new
+    rank and without _query. It asks for its rows by query, in order of rank; a query has as many as a channel's width.
+
+    SQL calls it once it is registered (spark.udtf.register): SELECT * FROM name(TABLE(candidates)).
+    """
+
+    class Rerank:
+        @staticmethod
+        def analyze(rows):
+            from pyspark.sql import types as T
+            from pyspark.sql.udtf import AnalyzeResult, OrderingColumn, PartitioningColumn
+
+            fields = [T.StructField(f.name, T.LongType()) if f.name == "rank" else f for f in rows.dataType.fields if f.name != "_query"]
+            return AnalyzeResult(schema=T.StructType(fields), partitionBy=[PartitioningColumn("query_id")], orderBy=[OrderingColumn("rank")])
+
+        def __init__(self):
+            self.rows = []
+
+        def eval(self, row):
+            self.rows.append(row)
+
+        def terminate(self):
+            if self.rows:
+                places = [i for i in reranker.rerank(self.rows[0]["_query"], [r["text"] for r in self.rows], p) if 0 <= i < len(self.rows)][:p]
+                for rank, i in enumerate(places, 1):
+                    r = self.rows[i].asDict()
+                    yield tuple(rank if c == "rank" else v for c, v in r.items() if c != "_query")
+
+    return F.udtf(Rerank)
 
 
 def token_filter(kind: str | None = None, content_types: Sequence[str] | None = None) -> Column:

@@ -138,7 +138,16 @@ def rerank_port(spark, d):
     return out.select("query_id", "parent_id", "rank")
 
 
-QUERIES = {q.__name__: q for q in (plain_markdown, unit_from_path, section_lines, verdict_parse, golden_items, json_lines, report_json, progress_lines, index_definitions, index_lookup, rerank_port)}
+def rerank_sql(spark, d):
+    """The reranker called in SQL, as a table function over the hybrid channel's parents."""
+    items = R._item_vectors(spark, d)
+    found = search.retrieve("hybrid", R._children(spark, d), R._texts(spark, d), items, R._texts(spark, d), p=search.CHILDREN)
+    found.join(items.select("query_id", F.col("text").alias("_query")), "query_id").createOrReplaceTempView("rerank_candidates")
+    spark.udtf.register("rerank_passages", search.rerank_function(OverlapReranker()))
+    return spark.sql("SELECT query_id, parent_id, rank FROM rerank_passages(TABLE(rerank_candidates))")
+
+
+QUERIES = {q.__name__: q for q in (plain_markdown, unit_from_path, section_lines, verdict_parse, golden_items, json_lines, report_json, progress_lines, index_definitions, index_lookup, rerank_port, rerank_sql)}
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 _FACTS = """fa AS (
@@ -170,3 +179,4 @@ UNION ALL SELECT 'length', 'vectors_' || label, CAST(max(len(embedding)) AS VARC
   SELECT ex.query_id, ex.parent_id, ex.rank AS was, len(list_intersect({_WORDS.format('iv.text')}, {_WORDS.format('d.text')})) AS overlap FROM ex JOIN documents d ON d.doc_id = ex.parent_id JOIN iv USING (query_id)
 ), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, was) AS rank FROM ov) SELECT query_id, parent_id, rank FROM rr WHERE rank <= {R.P}""",
 }
+ORACLES["rerank_sql"] = ORACLES["rerank_port"]
