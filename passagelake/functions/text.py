@@ -14,9 +14,14 @@ TOKEN = rf"_*(?:{_UNIT})(?:{_UNIT}|_)*"
 SPACE = r"\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
+#: Ideographs and hiragana, inside a class: each is a word of its own. Katakana, hangul and Thai stay in runs.
+SINGLE = "\u2e80-\u2fdf\u3005\u3007\u3021-\u3029\u3038-\u303b\u3041-\u309f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+
+
 def tokens(text: Column) -> Column:
     """The jargon analyzer: lower-cased words as a standard tokenizer has them; no stemming, no stop words."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    apart = F.when(text.rlike(f"[{SINGLE}]"), F.regexp_replace(text, f"([{SINGLE}])", " $1 ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(apart), F.lit(TOKEN), F.lit(0))
 
 
 def slug(heading: Column) -> Column:

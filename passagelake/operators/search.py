@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import TOKEN, tokens
+from ..functions.text import SINGLE, TOKEN, tokens
 from ..scratch import materialize, spread
 
 #: Channel width and parents kept; fusion and term-weight constants of the papers.
@@ -29,11 +29,11 @@ WORD_BLOCK = 20_000
 DIGITS = 6
 #: Scores, and term counts, that are worked on at once in a task: rows are cut so that a table of them has no more.
 CELLS = 1 << 22
-_TOKEN = regex.compile(TOKEN)
+_TOKEN, _SINGLE = regex.compile(TOKEN), regex.compile(f"([{SINGLE}])")
 
 
 def analyze(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    return _TOKEN.findall(_SINGLE.sub(r" \1 ", text or "").lower())
 
 
 def ranked(hits: DataFrame, n: int, by: str = "score", query: str = "query_id", item: str = "id") -> DataFrame:

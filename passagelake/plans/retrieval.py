@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, tokens
+from ..functions.text import SINGLE, TOKEN, tokens
 from ..operators import search
 
 N, P = search.CHILDREN, search.PARENTS
@@ -60,6 +60,13 @@ def tokenize_jargon(spark, d):
     return _texts(spark, d).select(F.col("id").alias("doc_id"), F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_terms"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
 
 
+def tokenize_unspaced(spark, d):
+    """Words of texts in which some letters are ideographs, hiragana or katakana: the first two stand alone, the third runs on."""
+    mixed = _texts(spark, d).withColumn("text", F.translate("text", "aeou", "語あカー"))
+    t = tokens(F.col("text"))
+    return mixed.select(F.col("id").alias("doc_id"), F.size(t).cast("long").alias("n_tokens"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
+
+
 def term_stats(spark, d):
     return search.term_statistics(_texts(spark, d))
 
@@ -101,6 +108,7 @@ QUERIES = {
     "expand_parents": expand_parents,
     "parent_fetch": parent_fetch,
     "tokenize_jargon": tokenize_jargon,
+    "tokenize_unspaced": tokenize_unspaced,
     "term_stats": term_stats,
     "bm25_topk": bm25_topk,
     "rrf_fusion": rrf_fusion,
@@ -170,6 +178,8 @@ ORACLES = {
     "parent_fetch": f"""{_EXPAND}, dim AS (SELECT CAST(label AS BIGINT) AS parent_id, count(*) AS children, min(vec_id) AS first_child FROM embeddings WHERE label <> 3 GROUP BY ALL)
 SELECT p.*, d.children, d.first_child FROM parents p JOIN dim d USING (parent_id) WHERE p.rank <= {P}""",
     "tokenize_jargon": f"SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({TOKENS})) AS BIGINT) AS n_terms, sha256(array_to_string({TOKENS}, ' ')) AS tokens_sha256 FROM documents",
+    "tokenize_unspaced": f"""WITH m AS (SELECT doc_id, regexp_replace(translate(text, 'aeou', '語あカー'), '([{SINGLE}])', ' \\1 ', 'g') AS text FROM documents)
+SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS n_tokens, sha256(array_to_string({TOKENS}, ' ')) AS tokens_sha256 FROM m""",
     "term_stats": f"WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS tf FROM c GROUP BY term",
     "bm25_topk": f"WITH {_ITEMS}, {_bm25_sql('items')} SELECT * FROM bm",
     "rrf_fusion": f"WITH {_ITEMS}, {_ITEM_VECTORS}, {_knn_sql('iv', 'vec')}, {_bm25_sql('items')}, {_fuse_sql('vec', 'bm')} SELECT * FROM fused",
