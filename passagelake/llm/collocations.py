@@ -41,10 +41,11 @@ SLOTS = 1 << 22
 BLOCK = 4_000_000
 #: Slots of a block of counts that is moved as one row.
 CHUNK = 1 << 14
-#: Distinct words that a task counts before it hands them on, and words whose hash it remembers.
-KNOWN = 500_000
-#: Streams are cut, between texts, at so many words.
-STREAM = 1 << 21
+#: Distinct words that a task counts before it hands them on, and words of a language whose key it remembers.
+KNOWN = 60_000
+#: Streams are cut, between texts, at so many words; a task lists so many windows before it drops the repeated ones.
+STREAM = 1 << 16
+LISTED = 1 << 19
 #: Small letters; ends of pieces become line ends, tabs spaces.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x0A if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 
@@ -74,7 +75,9 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 held.setdefault(lang, Counter()).update(pieces(text.as_py()))
-            if sum(map(len, held.values())) > KNOWN:
+                if len(held[lang]) > KNOWN:
+                    yield from out(held)
+            if sum(map(len, held.values())) > 4 * KNOWN:
                 yield from out(held)
         yield from out(held)
 
@@ -114,7 +117,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tree_sum(arrays: DataFrame, width: int) -> DataFrame:
-    """(chunk, at: packed uint16, n: packed int64) rows of any number of arrays -> one such row a chunk.
+    """(chunk, at: packed uint16, n: packed, of the least width that holds them) rows of any number of arrays -> one such row a chunk.
 
     Two levels: salted, then by chunk. A task adds rows as they come, into one array a chunk.
     """
@@ -128,7 +131,8 @@ def tree_sum(arrays: DataFrame, width: int) -> DataFrame:
                     if now is not None:
                         yield _chunk(now, total)
                     now, total = chunk.as_py(), np.zeros(width, np.int64)
-                total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.int64)
+                at, n = unpacked(at.as_py(), n.as_py())
+                total[at] += n
         if now is not None:
             yield _chunk(now, total)
 
@@ -140,7 +144,14 @@ def tree_sum(arrays: DataFrame, width: int) -> DataFrame:
 
 def _chunk(chunk: int, total: np.ndarray) -> pa.RecordBatch:
     at = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([total[at].astype(np.int64).tobytes()], pa.binary())], ["chunk", "at", "n"])
+    n = total[at].astype(np.min_scalar_type(int(total.max())))
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["chunk", "at", "n"])
+
+
+def unpacked(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The places in a chunk, and their counts."""
+    at = np.frombuffer(at, np.uint16).astype(np.int64)
+    return at, np.frombuffer(n, f"u{len(n) // max(1, len(at)) or 1}").astype(np.int64)
 
 
 def chunks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -154,11 +165,10 @@ def _counted(streams: DataFrame, slots, size: int) -> DataFrame:
     """The tree-summed counts of the slots (size of them) that slots(words, prev) gives for each stream."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for b in batches:
             for words, prev in zip(b.column(0), b.column(1)):
-                found = slots(np.frombuffer(words.as_py(), np.uint32), np.frombuffer(prev.as_py(), np.uint32))
-                total += np.bincount(found, minlength=size)
+                np.add.at(total, slots(np.frombuffer(words.as_py(), np.uint32), np.frombuffer(prev.as_py(), np.uint32)), np.uint32(1))
         yield from chunks(total)
 
     return tree_sum(streams.mapInArrow(count, "chunk int, at binary, n binary"), CHUNK)
@@ -222,6 +232,8 @@ def _cut(batches: Iterator[pa.RecordBatch], known: dict[str, _Keys]) -> Iterator
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             if lang not in known:
+                if len(known) >= 16:
+                    known.clear()
                 known[lang] = _Keys(lang)
             of, each = known[lang], pieces(text.as_py())
             keys = np.fromiter(map(of.__getitem__, each), np.uint64, len(each))
@@ -262,6 +274,12 @@ class _Keys(dict):
         return key
 
 
+def _once(keys: list[np.ndarray], suffixes: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each key once; equal keys have equal suffixes."""
+    key, at = np.unique(np.concatenate(keys), return_index=True)
+    return [key], [np.concatenate(suffixes)[at]]
+
+
 def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """-> (phrases of m words that occur `least` times or more: id, pre, suffix, a; streams with their numbers as prev)."""
     spark = streams.sparkSession
@@ -273,8 +291,8 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, at, n in zip(*(b.column(c) for c in ("chunk", "at", "n"))):
-                at = np.frombuffer(at.as_py(), np.uint16)[np.frombuffer(n.as_py(), np.int64) >= least]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int32()), pa.array([at.tobytes()], pa.binary())], ["chunk", "at"])
+                at, n = unpacked(at.as_py(), n.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int32()), pa.array([at[n >= least].astype(np.uint16).tobytes()], pa.binary())], ["chunk", "at"])
 
     heavy = np.zeros(slots, bool)  # of a fixed size, whatever the corpus
     for r in _counted(streams, hashed, slots).mapInArrow(reached, "chunk int, at binary").collect():
@@ -283,12 +301,28 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = np.unpackbits(flags.value).astype(bool)
+        keys, suffixes, size = [], [], 0
         for b in batches:
             for words, prev in zip(b.column(0), b.column(1)):
                 _, key, last = windows(np.frombuffer(words.as_py(), np.uint32), np.frombuffer(prev.as_py(), np.uint32), m)
                 some = heavy[(mix(key) >> shift).astype(np.int64)]
                 key, at = np.unique(key[some], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(last[some][at].astype(np.int64))], ["key", "suffix"])
+                keys.append(key)
+                suffixes.append(last[some][at])
+                size += len(key)
+                if size >= LISTED:
+                    keys, suffixes = _once(keys, suffixes)
+                    size = len(keys[0])
+                    if size >= LISTED // 2:
+                        yield from pairs(keys[0], suffixes[0])
+                        keys, suffixes, size = [], [], 0
+        if keys:
+            keys, suffixes = _once(keys, suffixes)
+            yield from pairs(keys[0], suffixes[0])
+
+    def pairs(key: np.ndarray, suffix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 16)].view(np.int64)), pa.array(suffix[at : at + (1 << 16)].astype(np.int64))], ["key", "suffix"])
 
     candidates = materialize(streams.mapInArrow(listed, "key long, suffix long").groupBy("key").agg(F.max("suffix").alias("suffix")), "collocation-candidates")
     found = None
@@ -302,8 +336,8 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
         def frequent(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for chunk, at, n in zip(*(b.column(c) for c in ("chunk", "at", "n"))):
-                    at, n = np.frombuffer(at.as_py(), np.uint16).astype(np.int64) + chunk.as_py() * CHUNK, np.frombuffer(n.as_py(), np.int64)
-                    at, n = at[n >= least], n[n >= least]
+                    at, n = unpacked(at.as_py(), n.as_py())
+                    at, n = at[n >= least] + chunk.as_py() * CHUNK, n[n >= least]
                     yield pa.RecordBatch.from_arrays([pa.array(sent.value.keys[at].view(np.int64)), pa.array(n)], ["key", "a"])
 
         part = materialize(_counted(streams, of, mph.size).mapInArrow(frequent, "key long, a long"), "collocation-counts")
