@@ -74,9 +74,11 @@ def frontmatter(units: DataFrame) -> DataFrame:
 def classified(units: DataFrame) -> DataFrame:
     """A row a line: (path, pos, line, page_mark, type_mark, level, heading, page, owner, open_2..open_6).
 
+    Whole units are dealt by path before they are cut into lines, so what follows within units or sections moves no line.
+
     owner: the position of the nearest heading above (its own for a heading), null above the first section.
     """
-    rows = frontmatter(units).filter("body is not null").select("path", F.posexplode(lines(F.col("body"))).alias("pos", "line"))
+    rows = frontmatter(units).filter("body is not null").repartition("path").select("path", F.posexplode(lines(F.col("body"))).alias("pos", "line"))
     mark = lambda p, g=1: F.nullif(F.regexp_extract("line", p, g), F.lit(""))
     rows = rows.withColumn("page_mark", mark(PAGE_LINE)).withColumn("type_mark", mark(TYPE_LINE))
     rows = rows.withColumn("level", F.length(mark(HEADING_LINE, 1))).withColumn("heading", mark(HEADING_LINE, 2))
@@ -152,25 +154,24 @@ def blocks(body: DataFrame) -> DataFrame:
     a paragraph and stays inside a list; a dash after an ended line begins a new list if a numbered line
     came since the last such dash.
     """
-    body = body.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(_owner(upto=True)))
-    full = body.filter("not blank")
-    prev = rstrip(F.lag("line").over(_owner()))
-    full = full.withColumn("ended", prev.rlike(r"[.!?]$")).withColumn("stopped", prev.rlike(r"[.!?:]$")).withColumn("gap", F.col("blanks") > F.lag("blanks").over(_owner()))
-    full = full.withColumn("marker", F.col("line").rlike(LIST_LINE))
+    before, upto = _owner().rowsBetween(Window.unboundedPreceding, -1), _owner(upto=True)
+    full = ~F.col("blank")
+    last = lambda c, w: F.last(F.when(full, c), ignorenulls=True).over(w)  # noqa: E731  of the lines that aren't blank
+    body = body.withColumn("blanks", F.sum(F.col("blank").cast("int")).over(upto))
+    body = body.withColumn("prev", rstrip(last(F.col("line"), before))).withColumn("gap", F.col("blanks") > last(F.col("blanks"), before))
+    body = body.withColumn("stopped", F.col("prev").rlike(r"[.!?:]$"))
     runs_on = F.col("stopped").isNotNull() & (~F.col("stopped") | F.col("line").rlike(r"^\s*\p{Ll}"))
-    full = full.withColumn("kind", F.last(F.when(F.col("marker"), "list").when(runs_on, None).otherwise("para"), ignorenulls=True).over(_owner(upto=True)))
-    full = full.withColumn("turn", F.coalesce(F.col("kind") != F.lag("kind").over(_owner()), F.lit(True)))
-    full = full.withColumn("run", F.sum(F.col("turn").cast("int")).over(_owner(upto=True)))
+    body = body.withColumn("own", F.when(full, F.when(F.col("line").rlike(LIST_LINE), "list").when(~runs_on, "para"))).withColumn("kind", F.last("own", ignorenulls=True).over(upto))
+    body = body.withColumn("turn", full & F.coalesce(F.col("kind") != last(F.col("kind"), before), F.lit(True)))
+    body = body.withColumn("run", F.sum(F.col("turn").cast("int")).over(upto))
     inside = Window.partitionBy("path", "owner", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    dash = (F.col("kind") == "list") & ~F.col("turn") & F.col("line").startswith("- ") & F.coalesce(F.col("ended"), F.lit(False))
-    full = full.withColumn("dash", dash).withColumn("number", F.col("line").rlike(r"^\d+\.\s"))
-    number, before = [F.coalesce(F.max(F.when(F.col(c), F.col("pos"))).over(inside), F.lit(-1)) for c in ("number", "dash")]
-    fresh = F.col("turn") | ((F.col("kind") == "para") & F.coalesce(F.col("gap"), F.lit(False))) | (F.col("dash") & (number > before))
-    full = full.withColumn("block", F.sum(fresh.cast("int")).over(_owner(upto=True)))
+    dash = full & (F.col("kind") == "list") & ~F.col("turn") & F.col("line").startswith("- ") & F.coalesce(F.col("prev").rlike(r"[.!?]$"), F.lit(False))
+    body = body.withColumn("dash", dash).withColumn("number", full & F.col("line").rlike(r"^\d+\.\s"))
+    number, earlier = [F.coalesce(F.max(F.when(F.col(c), F.col("pos"))).over(inside), F.lit(-1)) for c in ("number", "dash")]
+    fresh = F.col("turn") | (full & (F.col("kind") == "para") & F.coalesce(F.col("gap"), F.lit(False))) | (F.col("dash") & (number > earlier))
     # A blank line belongs to the list block before it.
-    every = body.join(full.select("path", "owner", "pos", "block", "kind"), ["path", "owner", "pos"], "left")
-    every = every.withColumn("block", F.last("block", ignorenulls=True).over(_owner(upto=True))).withColumn("kind", F.last("kind", ignorenulls=True).over(_owner(upto=True)))
-    return every.filter("not blank or kind = 'list'").select("path", "owner", "pos", "line", "page", "blank", "block", "kind")
+    body = body.withColumn("block", F.sum(fresh.cast("int")).over(upto))
+    return body.filter("not blank or kind = 'list'").select("path", "owner", "pos", "line", "page", "blank", "block", "kind")
 
 
 _LINE = T.StructType([T.StructField("line", T.StringType()), T.StructField("page", T.StringType()), T.StructField("blank", T.BooleanType())])
@@ -238,7 +239,7 @@ def chunk_units(units: DataFrame, limit: int = LIMIT, strict: bool = True, kinds
     else:
         nodes = nodes.join(materialize(bad.select("path").distinct(), "chunk-faulty"), "path", "left_anti")
     nodes = nodes.withColumn("prefix", context_prefix()).filter("id_path <> ''")
-    body = body_lines(rows)
+    body = body_lines(rows.repartition("path"))
     parts = []
     if "parent" in kinds:
         parts.append(parents(body).select("path", "owner", F.lit(0).alias("ordinal"), "text", "pages"))
