@@ -1,8 +1,9 @@
 """Mixing sources to target weights: hash-random order, prefix sums by range, an exact cut a source.
 
-Every row gets a hash-random key. A range exchange on (source, key) deals the rows evenly, however
+Every row gets a hash-random key. Rows are counted by (source, key, size), so rows that repeat one another are one group however many
+they are. A range exchange on (source, key) deals the groups evenly, however
 large one source is; sums of words by (part, source) give each part's offset, so only the one part a
-source in which the budget ends is looked at row by row. The outcome is a plan with a row a source
+source in which the budget ends is looked at group by group. The outcome is a plan with a row a source
 (epochs, the key at which the last epoch is cut, the words left for the row at the cut), which any
 reader of the documents applies to its rows alone: texts are never moved.
 """
@@ -65,8 +66,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     size 0 has target 0. An empty table gives an empty plan. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _key(F.col(id_col), F.col(text_col), seed).alias("key"))
-    parted = range_parts(rows, [F.col("source").isNull(), F.col("source"), F.col("key"), F.col("size")], "mix-rows")
-    by_part = materialize(parted.groupBy("source", "_part").agg(F.sum("size").alias("words")), "mix-parts")
+    rows = materialize(rows, "mix-rows")
+    groups = rows.groupBy("source", "key", "size").agg(F.count("*").alias("n"))
+    parted = range_parts(groups, [F.col("source").isNull(), F.col("source"), F.col("key"), F.col("size")], "mix-groups")
+    by_part = materialize(parted.groupBy("source", "_part").agg(F.sum(F.col("size") * F.col("n")).alias("words")), "mix-parts")
     sizes = by_part.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = targets(sizes, weights, share, cap)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -74,14 +77,13 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ends = before(by_part, ["source"], "words", "offset").alias("o")
     cut = ends.join(plan.alias("p"), F.col("o.source").eqNullSafe(F.col("p.source"))).filter("rest > 0 and offset <= rest and rest < offset + words")
     cut = materialize(cut.select("o.source", "o._part", "o.offset", "p.rest"), "mix-cut-parts")
-    inside = parted.alias("r").join(cut.alias("c"), same_alias("r", "c") & (F.col("r._part") == F.col("c._part"))).select("r.source", "r.key", "r.size", "c.offset", "c.rest")
-    groups = inside.groupBy("source", "key", "size", "offset", "rest").agg(F.count("*").alias("n"))
+    inside = parted.alias("r").join(cut.alias("c"), same_alias("r", "c") & (F.col("r._part") == F.col("c._part"))).select("r.source", "r.key", "r.size", "r.n", "c.offset", "c.rest")
     run = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    groups = groups.withColumn("upto", F.col("offset") + F.sum(F.col("size") * F.col("n")).over(run)).filter("upto > rest")
+    groups = inside.withColumn("upto", F.col("offset") + F.sum(F.col("size") * F.col("n")).over(run)).filter("upto > rest")
     at = groups.groupBy("source").agg(F.min(F.struct("key", "size", "n", "upto", "rest")).alias("x"))
     at = at.select("source", F.col("x.key").alias("cut_key"), F.col("x.size").alias("cut_size"), F.floor((F.col("x.rest") - (F.col("x.upto") - F.col("x.size") * F.col("x.n"))) / F.col("x.n")).cast("long").alias("cut_words"))
     full = plan.alias("p").join(at.alias("a"), same_alias("p", "a"), "left")
-    return parted.drop("_part"), materialize(full.select("p.source", "p.source_size", "p.target", "p.epochs", "a.cut_key", "a.cut_size", "a.cut_words"), "mix-plan")
+    return rows, materialize(full.select("p.source", "p.source_size", "p.target", "p.epochs", "a.cut_key", "a.cut_size", "a.cut_words"), "mix-plan")
 
 
 def same_alias(a: str, b: str) -> Column:

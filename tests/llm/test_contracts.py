@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from passagelake.llm import chat, decontaminate, langid, mixing, quality, registry, secretscan, simhash, tokens, warc, winnow
 
@@ -538,6 +539,18 @@ def test_bit_sampling_passes_few_other_windows():
     assert len(met) > 100 and met.mean() < 0.5
 
 
+def test_repeated_rows_are_one_group(spark):
+    """A hundred thousand rows without id and text, and as many copies of one text, among others."""
+    hot = spark.range(200_000).selectExpr("cast(null as long) as doc_id", "case when id % 2 = 0 then 'one two three' end as text", "'a' as source")
+    other = spark.range(3000).selectExpr("id as doc_id", "concat('w', id, ' x') as text", "case when id % 3 = 0 then 'a' else 'b' end as source")
+    rows, plan = mixing.mix_plan(hot.unionByName(other))
+    parted = [f for f in plan.sparkSession.read.parquet(rows._passagelake_path).groupBy("source", "key", "size").count().collect()]
+    assert len(parted) == 3002 and rows.count() == 203_000
+    got = mixing.mix_counts(hot.unionByName(other)).groupBy("source").agg(F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") > 2 * F.col("size")).alias("over")).collect()
+    for r in got:
+        assert r.size == r.source_size and not r.over and abs(r.taken - r.target) <= 100_000  # the copies at the cut share evenly, rounded down
+
+
 def test_targets_share_the_excess(spark):
     df = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
