@@ -64,6 +64,11 @@ def mine(rows: DataFrame) -> DataFrame:
     return whole.select(F.format_string("self_check-%s-%s-%02d", "source", "unit", "n").alias("id"), "source", "unit", "path", "n", "question")
 
 
+def collected(units: DataFrame, source: str = "pilot", content_type: str = "self_check") -> DataFrame:
+    """units (path, content) -> the questions of a source's sections of a type, over all its units: ids are self_check-source-unit-nn."""
+    return mine(sections(units, content_type, source).withColumn("source", F.lit(source)))
+
+
 def turn_sections(conversations: DataFrame) -> DataFrame:
     """User turns as section lines; a turn's first line begins a question."""
     rows = conversations.filter("role = 'user'").select(F.col("conv_id").cast("string").alias("unit"), "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("j", "line"))

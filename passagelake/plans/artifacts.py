@@ -40,6 +40,13 @@ def section_lines(spark, d):
     return found.select("unit", F.length("line").cast("long").alias("chars"), word_count(F.col("line")).alias("words")).groupBy("unit").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.sum("words").alias("words"))
 
 
+def questions_collected(spark, d):
+    """The questions of one source's units, begun by numbers and dashes, in one call."""
+    own = table(spark, d, "documents").filter("text is not null").agg(F.min("source")).first()[0]
+    found = questions.collected(chunks.units(spark, d), own)
+    return found.select("id", "unit", F.col("n").cast("long"), F.sha2("question", 256).alias("question_sha256"))
+
+
 def _replies(spark, d):
     """A judge's replies by the item's number: good ones, in a fence or not, and wrong ones."""
     i = F.col("item_id")
@@ -147,7 +154,7 @@ def rerank_sql(spark, d):
     return spark.sql("SELECT query_id, parent_id, rank FROM rerank_passages(TABLE(rerank_candidates))")
 
 
-QUERIES = {q.__name__: q for q in (plain_markdown, unit_from_path, section_lines, verdict_parse, golden_items, json_lines, report_json, progress_lines, index_definitions, index_lookup, rerank_port, rerank_sql)}
+QUERIES = {q.__name__: q for q in (plain_markdown, unit_from_path, section_lines, questions_collected, verdict_parse, golden_items, json_lines, report_json, progress_lines, index_definitions, index_lookup, rerank_port, rerank_sql)}
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 _FACTS = """fa AS (
@@ -179,4 +186,14 @@ UNION ALL SELECT 'length', 'vectors_' || label, CAST(max(len(embedding)) AS VARC
   SELECT ex.query_id, ex.parent_id, ex.rank AS was, len(list_intersect({_WORDS.format('iv.text')}, {_WORDS.format('d.text')})) AS overlap FROM ex JOIN documents d ON d.doc_id = ex.parent_id JOIN iv USING (query_id)
 ), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, was) AS rank FROM ov) SELECT query_id, parent_id, rank FROM rr WHERE rank <= {R.P}""",
 }
+_START = questions.START
+ORACLES["questions_collected"] = rf"""WITH {chunks.LINES}, ta AS (
+  SELECT path, source, pos, line, CASE WHEN type_mark IS NOT NULL THEN type_mark WHEN starts_with(line, '## ') THEN '' END AS turn FROM ln
+), tb AS (SELECT *, last_value(turn IGNORE NULLS) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS kind FROM ta),
+tc AS (SELECT path, source, pos, trim(line) AS x FROM tb WHERE kind = 'self_check' AND turn IS NULL AND source = (SELECT min(source) FROM documents WHERE text IS NOT NULL)),
+tq AS (SELECT *, regexp_matches(x, '{_START}') AND NOT regexp_matches(x, '^[a-z]\.\s') AS b FROM tc WHERE x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '<!--') AND NOT regexp_matches(x, '^[A-Z]\.\s')),
+tr AS (SELECT *, sum(b::INT) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS q FROM tq),
+ts AS (SELECT path, source, q, trim(regexp_replace(string_agg(CASE WHEN b THEN regexp_replace(x, '{_START}', '') ELSE x END, ' ' ORDER BY pos), '\s+', ' ', 'g')) AS question FROM tr WHERE q > 0 GROUP BY ALL),
+tn AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY q) AS n FROM ts WHERE question <> '')
+SELECT 'self_check-' || source || '-' || path || '-' || CASE WHEN n < 10 THEN '0' || n ELSE '' || n END AS id, path AS unit, n, sha256(question) AS question_sha256 FROM tn"""
 ORACLES["rerank_sql"] = ORACLES["rerank_port"]
