@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; each result is
 written as Parquet and read again as the next stage's docs. All but the last return the columns of
-documents.
+documents, and others that docs may have, whatever their names.
+
+Nulls may stand in any column. A text of any length is used whole. A row without a text counts as one without words: it is scored like
+any other, is a near-duplicate of other wordless rows, holds no benchmark item, has size 0 in the mix and one token, the end
+mark. Rows without an id, and repeated rows, are rows like others; of repeated ones near_duplicates keeps one. An empty table gives an empty table.
 """
 
 from __future__ import annotations
