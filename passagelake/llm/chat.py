@@ -50,7 +50,7 @@ def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     Turns go by number (null first), equal numbers by role and text; null roles and texts are empty
     and all rows are kept, repeated ones too. A row without a conv_id is a conversation of its own, numbered
     by `alone` (null elsewhere), so such rows are never gathered; other rows are gathered by conversation, as each
-    example holds all turns before its own. Other columns are not read. An empty table gives no example.
+    example holds all turns before its own: a very long text stands whole in each later example. Other columns are not read. An empty table gives no example.
     """
     alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
     own = turns.select(F.col(conv_col).alias("conv_id"), alone.alias("alone"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

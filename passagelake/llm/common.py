@@ -14,7 +14,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session already asks for smaller ones."""
+    """Keep Arrow batches small, unless the session already asks for smaller ones. The session keeps these settings, as jobs that
+    read what an operator returns run after it."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(str(spark.conf.get(key)).removesuffix("b"))
         if now > most or now <= 0:

@@ -182,7 +182,8 @@ def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score appended; columns of docs that have these names give way, others stay.
-    Text alone decides: null or without a letter gives `und`, 0."""
+    Text alone decides: null or without a letter gives `und`, 0. A very long text's n-grams are counted over all of it, in one task. Rows
+    that repeat are predicted each; an empty table gives an empty one."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

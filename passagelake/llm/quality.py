@@ -278,7 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with _score appended; a null text is scored as an empty one."""
+    """docs with _score appended; a null text is scored as an empty one. A very long text's features are taken over all of
+    it, as a block alone; rows that repeat are scored each; an empty table gives an empty one."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.DoubleType())
