@@ -4,7 +4,7 @@
 2. Streams. Texts become packed streams of 32-bit word numbers, once: a word's number is its slot in a minimal perfect
    hash over the frequent words, whose stored key tells other words; those and the ends of pieces are 0.
 3. Candidates of m words are windows whose first m - 1 and last m - 1 words are both frequent, as no phrase is more
-   frequent than its parts. They are hashed to SLOTS counters, and only windows whose counter comes to the least count
+   frequent than its parts. They are hashed HASHES times to SLOTS counters, and only windows all of whose counters come to the least count
    are listed (Park, Chen and Yu, SIGMOD 1995): a counter is never below the count of a window in it, so none is lost.
 4. Counts. A perfect hash over the candidates is sent to all tasks with the candidates' keys (exact: the first
    m - 1 words' number and the last word's). A task counts its windows' slots by np.bincount; the arrays are
@@ -36,8 +36,8 @@ LEAST = 100
 #: A candidate inside a longer one goes where percent * f(longer) >= INSIDE * f(candidate).
 INSIDE = 100
 TOP = 2000
-#: Counters of the hashed pass, a power of two: 16 MB in a task.
-SLOTS = 1 << 22
+#: Counters of a hash in the hashed pass, a power of two, and hashes: 48 MB in a task.
+SLOTS, HASHES = 1 << 22, 3
 BLOCK = 4_000_000
 #: Slots of a block of counts that is moved as one row.
 CHUNK = 1 << 14
@@ -285,8 +285,11 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
     spark = streams.sparkSession
     shift = np.uint64(64 - (slots.bit_length() - 1))
 
+    def places(key: np.ndarray) -> list[np.ndarray]:
+        return [(mix(key, h) >> shift).astype(np.int64) + h * slots for h in range(HASHES)]
+
     def hashed(words: np.ndarray, prev: np.ndarray) -> np.ndarray:
-        return (mix(windows(words, prev, m)[1]) >> shift).astype(np.int64)
+        return np.concatenate(places(windows(words, prev, m)[1]))
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,8 +297,8 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
                 at, n = unpacked(at.as_py(), n.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int32()), pa.array([at[n >= least].astype(np.uint16).tobytes()], pa.binary())], ["chunk", "at"])
 
-    heavy = np.zeros(slots, bool)  # of a fixed size, whatever the corpus
-    for r in _counted(streams, hashed, slots).mapInArrow(reached, "chunk int, at binary").collect():
+    heavy = np.zeros(HASHES * slots, bool)  # of a fixed size, whatever the corpus
+    for r in _counted(streams, hashed, HASHES * slots).mapInArrow(reached, "chunk int, at binary").collect():
         heavy[r.chunk * CHUNK + np.frombuffer(bytes(r.at), np.uint16).astype(np.int64)] = True
     flags = spark.sparkContext.broadcast(np.packbits(heavy))
 
@@ -305,7 +308,7 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
         for b in batches:
             for words, prev in zip(b.column(0), b.column(1)):
                 _, key, last = windows(np.frombuffer(words.as_py(), np.uint32), np.frombuffer(prev.as_py(), np.uint32), m)
-                some = heavy[(mix(key) >> shift).astype(np.int64)]
+                some = np.logical_and.reduce([heavy[at] for at in places(key)])
                 key, at = np.unique(key[some], return_index=True)
                 keys.append(key)
                 suffixes.append(last[some][at])
