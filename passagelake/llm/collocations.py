@@ -46,6 +46,8 @@ KNOWN = 60_000
 #: Streams are cut, between texts, at so many words; a task lists so many windows before it drops the repeated ones.
 STREAM = 1 << 16
 LISTED = 1 << 19
+#: Shares of the keys of listed windows: a task hands on one packed array for each.
+DEALT = 1024
 #: Small letters; ends of pieces become line ends, tabs spaces.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x0A if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
 
@@ -324,10 +326,38 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
             yield from pairs(keys[0], suffixes[0])
 
     def pairs(key: np.ndarray, suffix: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[at : at + (1 << 16)].view(np.int64)), pa.array(suffix[at : at + (1 << 16)].astype(np.int64))], ["key", "suffix"])
+        """The windows as packed arrays, one for each of DEALT shares of the keys."""
+        share = (mix(key, 99) % np.uint64(DEALT)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        key, suffix, share = key[order], suffix[order].astype(np.uint32), share[order]
+        cuts = np.flatnonzero(np.append(True, share[1:] != share[:-1])) if len(share) else np.zeros(0, np.int64)
+        each = list(zip(cuts, [*cuts[1:], len(share)]))
+        columns = pa.array(share[cuts].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in each], pa.binary()), pa.array([suffix[i:j].tobytes() for i, j in each], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns), ["share", "keys", "suffixes"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each window of a share once; a share's arrays come together."""
+        now, keys, suffixes = None, [], []
+
+        def out() -> pa.RecordBatch:
+            key, suffix = _once(keys, suffixes)
+            return pa.RecordBatch.from_arrays([pa.array(key[0].view(np.int64)), pa.array(suffix[0].astype(np.int64))], ["key", "suffix"])
 
-    candidates = materialize(streams.mapInArrow(listed, "key long, suffix long").groupBy("key").agg(F.max("suffix").alias("suffix")), "collocation-candidates")
+        for b in batches:
+            for share, key, suffix in zip(*(b.column(c) for c in ("share", "keys", "suffixes"))):
+                if share.as_py() != now:
+                    if keys:
+                        yield out()
+                    now, keys, suffixes = share.as_py(), [], []
+                keys.append(np.frombuffer(key.as_py(), np.uint64))
+                suffixes.append(np.frombuffer(suffix.as_py(), np.uint32))
+                if len(keys) >= 64:
+                    keys, suffixes = _once(keys, suffixes)
+        if keys:
+            yield out()
+
+    packed = streams.mapInArrow(listed, "share int, keys binary, suffixes binary").repartition(partitions(spark), "share").sortWithinPartitions("share")
+    candidates = materialize(packed.mapInArrow(merged, "key long, suffix long"), "collocation-candidates")
     found = None
     for _, mph in key_blocks(candidates.select("key"), block):
         sent = spark.sparkContext.broadcast(mph)
