@@ -4,7 +4,10 @@ Training takes a bounded sample by hash of the id (SAMPLE rows a list at most, i
 a map with a partial sum a task and list. How many lists a search must probe is measured on the sample: of ASKED of its vectors,
 the nearest neighbours' lists are ranked by their centroids' nearness, and the share of lists that holds TARGET of the neighbours is kept. A search
 probes that many lists of each query, or more until they hold max(10 n, 50) candidates, reads those lists' folders only and scores each row
-exactly. Vectors without structure need most lists; clustered ones few.
+exactly. A share measured on all says nothing of one query, so then each query is made sure of: from the angle between a list's
+centroid and its farthest row follows a score that no row of the list exceeds, and the lists that may still hold one of a query's
+first RECALL n hits are probed too. So every query has RECALL of its true hits at least. Vectors without structure need most lists;
+clustered ones few.
 
 Writes add segments, as in textindex: rows by list, and the dead rows of earlier segments.
 """
@@ -27,6 +30,8 @@ SAMPLE, STEPS = 64, 8
 #: Numbers in all centroids together at most: 32 MB.
 CENTROIDS = 1 << 22
 ASKED, TARGET = 200, 0.97
+#: The share of each query's true hits that a search finds at least, in per cent.
+RECALL = 90
 
 
 def _shares(rows: DataFrame, most: int) -> DataFrame:
@@ -45,10 +50,11 @@ def _near(units: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 class VectorIndex(Segments):
-    """Tables of a segment: lists (list, id, embedding), places (bucket, id, list), dead (of, list, id). Vectors that are null,
+    """Tables of a segment: lists (list, id, embedding), places (bucket, id, list), dead (of, list, id), reach (list, least: the
+    least cosine between the list's centroid and a row). Vectors that are null,
     zero, not finite or of another length than the centroids' are not indexed, as no search can hit them."""
 
-    TABLES = {"lists": "id {id}, embedding array<double>, list int", "places": "id {id}, place int, bucket int", "dead": "of long, list int, id {id}"}
+    TABLES = {"lists": "id {id}, embedding array<double>, list int", "places": "id {id}, place int, bucket int", "dead": "of long, list int, id {id}", "reach": "list int, least double"}
 
     def train(self, vectors: DataFrame, lists: int | None = None, n: int = CHILDREN) -> None:
         """Fit centroids and the share of lists to probe for n neighbours, and write them. lists: by default the root of the number of rows."""
@@ -85,7 +91,7 @@ class VectorIndex(Segments):
                 np.add.at(total, near, units)
                 many += np.bincount(near, minlength=len(centers))
             some = np.flatnonzero(many)
-            yield pd.DataFrame({"list": some, "total": list(total[some])})
+            yield pd.DataFrame({"list": some, "total": pd.Series(list(total[some]), dtype=object)})
 
         def merge(rows: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"list": rows["list"].iloc[:1], "total": [np.sum(rows["total"].to_list(), axis=0)]})
@@ -149,6 +155,13 @@ class VectorIndex(Segments):
             self.merge(due)
 
     def _put(self, rows: DataFrame, number: int) -> None:
+        centers, _ = self.centroids()
+
+        @F.pandas_udf("double")
+        def cosine(lists: pd.Series, vectors: pd.Series) -> pd.Series:
+            return pd.Series((_matrix(vectors) * centers[lists.to_numpy()]).sum(1) if len(lists) else [], dtype=float)
+
+        rows.groupBy("list").agg(F.min(cosine("list", "embedding")).alias("least")).coalesce(1).write.mode("overwrite").parquet(self.at(number, "reach"))
         rows.hint("rebalance", "list").sortWithinPartitions("list", "id").write.mode("overwrite").partitionBy("list").parquet(self.at(number, "lists"))
         places = rows.select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket"), "id", F.col("list").alias("place"))
         places.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(self.at(number, "places"))
@@ -179,26 +192,53 @@ class VectorIndex(Segments):
     def search(self, queries: DataFrame, n: int = CHILDREN, allowed: DataFrame | None = None, probes: int | None = None) -> DataFrame:
         """queries (query_id, embedding) -> (query_id, id, score, rank), scores and ties as in search.knn.
 
-        allowed (id): the rows that can be hits; they are what the candidates of a query are counted by.
+        allowed (id): the rows that can be hits; they are what the candidates of a query are counted by. probes: lists to probe of each query,
+        or more until there are candidates; then no query is made sure of.
         A block of queries is answered and written before the next is read.
         """
         centers, least = self.centroids()
-        least = probes or least
-        live = self.live()
         kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id "
-        none = self.spark.createDataFrame([], f"{kind}long, score double")
-        if not live:
-            return ranked(none, n)
+        if not self.live():
+            return ranked(self.spark.createDataFrame([], f"{kind}long, score double"), n)
         rows = self.rows() if allowed is None else self.rows().join(allowed.select("id").distinct(), "id", "left_semi")
         held = rows.groupBy("list").count().collect()  # a row a list
         sizes = np.zeros(len(centers), np.int64)
         sizes[[r.list for r in held]] = [r["count"] for r in held]
         schema = f"{kind}{rows.schema['id'].dataType.simpleString()}, score double"
-        path = None
-        for block in _blocks(self._asked(queries, centers.shape[1]), "query_id"):
+        asked, path = self._asked(queries, centers.shape[1]), scratch_path(self.spark, "ivf-hits")
+        self.spark.createDataFrame([], schema).write.parquet(path)
+        few = lambda units: self._chosen(units, centers, sizes, max(10 * n, 50), probes or least)
+        self._probe(asked, lambda block, units: few(units), allowed, n, path, schema)
+        if probes is None:
+            sure = -(-RECALL * n // 100)
+            floor = ranked(self.spark.read.schema(schema).parquet(path), sure).filter(F.col("rank") == sure).select("query_id", F.col("score").alias("floor"))
+            asked = materialize(asked.join(floor, "query_id", "left"), "ivf-floors")
+            angles = np.arccos(np.clip(self._reach(len(centers)), -1, 1))
+
+            def rest(block: pd.DataFrame, units: np.ndarray) -> np.ndarray:
+                """The other lists whose best possible score comes to the last hit that a query must be sure of."""
+                best = np.cos(np.maximum(np.arccos(np.clip(units @ centers.T, -1, 1)) - angles, 0))
+                reached = best + 2 * 10.0**-DIGITS >= block["floor"].astype(float).fillna(-2.0).to_numpy()[:, None]
+                return reached & (sizes > 0) & ~few(units)
+
+            self._probe(asked, rest, allowed, n, path, schema)
+        return ranked(self.spark.read.schema(schema).parquet(path), n)
+
+    def _reach(self, lists: int) -> np.ndarray:
+        """Each list's least cosine, over all live segments; rows that have died since may only make it less."""
+        out = np.ones(lists)
+        for r in self.read("reach").groupBy("list").agg(F.min("least").alias("least")).collect():  # a row a list
+            out[r.list] = r.least
+        return out
+
+    def _probe(self, queries: DataFrame, choose, allowed: DataFrame | None, n: int, path: str, schema: str) -> None:
+        """Append to the path the best n rows of each query (query_id, embedding, ...) among the lists that choose(block, units) names."""
+        for block in _blocks(queries, "query_id"):
             asked, units = block["query_id"].to_numpy(), _matrix(block["embedding"])
-            chosen = self._chosen(units, centers, sizes, max(10 * n, 50), least)
+            chosen = choose(block, units)
             lists = np.flatnonzero(chosen.any(0)).tolist()
+            if not lists:
+                continue
             there = self.rows(lists) if allowed is None else self.rows(lists).join(allowed.select("id").distinct(), "id", "left_semi")
 
             def search(batches: Iterator[pd.DataFrame], asked=asked, units=units, chosen=chosen) -> Iterator[pd.DataFrame]:
@@ -212,9 +252,7 @@ class VectorIndex(Segments):
                             _top(held, asked[mine], part["id"].to_numpy(), s, n)
                 yield _emit(held)
 
-            path = path or scratch_path(self.spark, "ivf-hits")
             there.mapInPandas(search, schema).write.mode("append").parquet(path)
-        return ranked(self.spark.read.schema(schema).parquet(path) if path else none, n)
 
     def _asked(self, queries: DataFrame, width: int) -> DataFrame:
         sound = self._sound(queries.select(F.col("query_id").alias("id"), "embedding"))

@@ -124,6 +124,21 @@ def test_ivf_recall_and_pruned_scan(spark):
     assert index.search(none, 10).count() == 0
 
 
+def test_ivf_is_sure_of_each_query(spark):
+    """Centroids of clustered vectors, rows without structure: what was measured in training does not hold for them."""
+    r = np.random.default_rng(5)
+    index = VectorIndex(spark, scratch_path(spark, "v"))
+    index.train(clustered(spark), n=10)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(3000, 16)))], "id long, embedding array<double>")
+    index.write(rows.filter("id % 2 = 0"))
+    index.write(rows.filter("id % 2 = 1"))
+    asked = rows.filter("id % 60 = 0").select(F.col("id").alias("query_id"), "embedding")
+    exact, found = ({(q, i) for q, _, i, _ in hits(df)} for df in (search.knn(rows, asked, 10), index.search(asked, 10)))
+    assert len(found) == len(exact)
+    for q in {q for q, _ in exact}:
+        assert len([x for x in exact & found if x[0] == q]) >= 9
+
+
 def test_ivf_segments(spark):
     vectors = clustered(spark, 600)
     index = VectorIndex(spark, scratch_path(spark, "v"))
