@@ -5,23 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialize, scratch_path, scratch_root  # noqa: F401
+from ..scratch import BATCH_BYTES, BATCH_ROWS, discard, materialize, scratch_path, scratch_root, small_batches  # noqa: F401
 
 #: A word of the contracts: a run of anything but the ASCII white space 09-0D and 20.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Arrow batches hold at most so many rows and, but for a longer row, so many bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session already asks for smaller ones. The session keeps these settings, as jobs that
-    read what an operator returns run after it."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(str(spark.conf.get(key)).removesuffix("b"))
-        if now > most or now <= 0:
-            spark.conf.set(key, str(most))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
