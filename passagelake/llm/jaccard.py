@@ -13,7 +13,8 @@ elements, the first |A| - c + k elements of A and those of B share k. With the r
   counts below. Sums by size class tell the boundary at which both together are least; the driver sees a row a class.
 
 Rarity is read off SLOTS counters of hashed elements, of a fixed size whatever the corpus: an order need not be exact, only the same
-everywhere. Equal sets are one node. A subset or a list is a bucket. First a node meets the least node of all its buckets. Where the links
+everywhere. Equal sets are one node. A subset or a list is a bucket. Entries (bucket, node) are moved once, packed by shares of the keys,
+and where they arrive those that are alone in their bucket, most of them, go. First a node meets the least node of all its buckets. Where the links
 found leave a bucket apart, each set then meets its most alike set of another component, and at last all sets of different
 components that may link meet, in parts of PART sets. So no link that joins two components is lost, and a bucket of copies
 does not give all its pairs. May link: their sizes allow it, and so does a sketch of 1,024 bits in which each element flips
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collocations import CHUNK, chunks, tree_sum, unpacked
-from .common import discard, materialize, small_batches, table
+from .common import discard, materialize, partitions, small_batches, table
 from .components import components
 from .perfecthash import mix
 from .simhash import BROADCAST, _groups
@@ -54,6 +55,8 @@ BITS = 1024
 READ = 0.05
 #: Rows of an inverted list or of subsets that a task hands on at once, and pairs that it compares at once.
 ENTRIES = 1 << 17
+#: Shares of the keys: the entries of a share are sorted in one place, some 270,000 of 6 GB of texts.
+DEALT = 1024
 #: Words whose hash a worker remembers.
 KNOWN = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -367,15 +370,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield flat(held)
 
     def flat(held: list) -> pa.RecordBatch:
-        nodes = np.repeat(np.array([n for _, n in held], np.int64), [len(k) for k, _ in held])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in held])), pa.array(nodes)], ["key", "node"])
-
-    entries = materialize(_read(_firsts(docs, full)).mapInArrow(keyed, "key long, node long"), "jaccard-entries")
-    buckets = entries.groupBy("key").agg(F.min("node").alias("root"), F.max("node").alias("top")).filter("root <> top").select("key", "root")
-    buckets = materialize(buckets, "jaccard-buckets")
-    members = materialize(entries.join(buckets, "key").select("key", "node", "root"), "jaccard-members")
-    discard(buckets)
-    discard(entries)
+        """The entries as packed arrays, a row for each share of the keys."""
+        key = np.concatenate([k for k, _ in held])
+        node = np.repeat(np.array([n for _, n in held], np.int64), [len(k) for k, _ in held])
+        share = (key.view(np.uint64) % np.uint64(DEALT)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        key, node, share = key[order], node[order], share[order]
+        first = np.flatnonzero(np.append(True, share[1:] != share[:-1]))
+        each = list(zip(first, [*first[1:], len(share)]))
+        return pa.RecordBatch.from_arrays([pa.array(share[first], pa.int32()), pa.array([key[i:j].tobytes() for i, j in each], pa.binary()), pa.array([node[i:j].tobytes() for i, j in each], pa.binary())], ["share", "keys", "nodes"])
+
+    entries = _read(_firsts(docs, full)).mapInArrow(keyed, "share int, keys binary, nodes binary")
+    dealt = entries.repartition(partitions(spark), "share").sortWithinPartitions("share")
+    members = materialize(dealt.mapInArrow(_shared, "key long, node long, root long"), "jaccard-members")
     known = _sketched(docs, full, members, shingle)
     pairs = members.filter("node <> root").groupBy("node").agg(F.min("root").alias("b")).select(F.col("node").alias("a"), "b")
     links = _linked(pairs, known, docs, percent, shingle)
@@ -394,6 +401,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.union(own.filter("size = 0").select("doc_id", "size", "doc_id"))
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed entries, sorted by share -> (key, node, root) of the buckets with more than one node; root is a bucket's least."""
+    now, keys, nodes = None, [], []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.diff(np.append(first, len(key)))
+        root, top = node[first], node[first + many - 1]
+        some = np.repeat(root != top, many)
+        columns = key[some], node[some], np.repeat(root, many)[some]
+        for at in range(0, len(columns[0]), ENTRIES):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ENTRIES]) for c in columns], ["key", "node", "root"])
+
+    for b in batches:
+        for share, key, node in zip(*(b.column(c) for c in ("share", "keys", "nodes"))):
+            if share.as_py() != now:
+                if keys:
+                    yield from out()
+                now, keys, nodes = share.as_py(), [], []
+            keys.append(np.frombuffer(key.as_py(), np.int64))
+            nodes.append(np.frombuffer(node.as_py(), np.int64))
+    if keys:
+        yield from out()
+
+
 def _sketched(docs: DataFrame, own: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     """(node, size, sketch, wide, i, k) of the nodes that lie in a bucket with others; i, k: id and text key of a row of the node."""
     best = own.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))

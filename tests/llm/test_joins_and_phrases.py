@@ -207,3 +207,19 @@ def test_collocations_odd_rows(spark):
     got = sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in collocations.collocations(docs, least=2).collect())
     assert got == brute_collocations([(r[1], r[2]) for r in ODD], 5, 2, 100, 2000)
     assert collocations.collocations(docs.limit(0)).count() == 0
+
+
+def test_jaccard_entries_alone_in_their_bucket_go():
+    """Packed entries over several batches: a bucket's rows come together with its least node, single ones and repeated ones go."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    key, node = r.integers(0, 400, 900), r.integers(0, 30, 900)
+    rows = [(s, key[(key % 4 == s) & at], node[(key % 4 == s) & at]) for s in range(4) for at in (np.arange(900) % 2 == 0, np.arange(900) % 2 == 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in some], pa.int32()), pa.array([k.tobytes() for _, k, _ in some], pa.binary()), pa.array([n.tobytes() for _, _, n in some], pa.binary())], ["share", "keys", "nodes"]) for some in (rows[:3], rows[3:])]
+    got = sorted(x for b in jaccard._shared(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns)))
+    held = defaultdict(list)
+    for k, n in zip(key.tolist(), node.tolist()):
+        held[k].append(n)
+    assert got == sorted((k, n, min(ns)) for k, ns in held.items() if len(set(ns)) > 1 for n in ns)
+    assert list(jaccard._shared(iter([]))) == []
