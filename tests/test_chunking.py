@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from passagelake.operators import chunking
 from passagelake.operators.listsplit import split_list
@@ -93,3 +94,15 @@ def test_split_prefers_items_then_nested_items():
     line = lambda mark, n: (mark + "w " * (n - 1), mark, n)
     entries = [line("- ", 4), line("- ", 4), line("- ", 4), line("- ", 2), line("  - ", 5), line("  - ", 5)]
     assert [[e[2] for e in p] for p in split_list(entries, 9)] == [[4, 4], [4], [2, 5], [2, 5]]
+
+
+def test_lists_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        rows = spark.range(3).select(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(F.lit("- a b").alias("line"), F.lit("1").alias("page"), F.lit(False).alias("blank"))).alias("body"))
+        got = [len(r.p) for r in rows.select(chunking.split_pieces("body", 6).alias("p")).collect()]
+        assert got == [2, 2, 2] and int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, was)
