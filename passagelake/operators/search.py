@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SINGLE, TOKEN, tokens
-from ..scratch import materialize, spread
+from ..scratch import materialize, small_batches, spread
 
 #: Channel width and parents kept; fusion and term-weight constants of the papers.
 CHILDREN, PARENTS = 70, 10
@@ -92,6 +92,7 @@ def knn(vectors: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column
     Exact cosine over all rows for which `where` holds; the filter comes before the ranking. A null or
     zero vector, or one of another length than the query's, is no hit.
     """
+    small_batches(vectors.sparkSession)
     rows = spread((vectors.filter(where) if where is not None else vectors).select("id", "embedding"))
     out = None
     for block in _blocks(queries.select("query_id", "embedding").filter("embedding is not null"), "query_id"):
@@ -145,6 +146,7 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column |
     WORD_BLOCK or so, and what a task gets is a block's terms and, for each query, the places of its own. For many queries over one
     corpus, textindex.TextIndex reads the queries' own terms only.
     """
+    small_batches(docs.sparkSession)
     rows = docs.withColumn("_hit", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)).select("id", "text", "_hit").filter("text is not null")
     rows = materialize(spread(rows).select("id", "_hit", tokens(F.col("text")).alias("w")), "bm25-terms")
     out, sizes = None, None

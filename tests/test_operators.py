@@ -214,3 +214,17 @@ def test_turns_keep_all_their_lines(spark):
     rows = spark.createDataFrame([(c, t, "assistant" if x == "said" else "user", x) for c, t, x in turns], "conv_id long, turn long, role string, text string")
     got = {(r.unit, r.n): r.question for r in questions.mine(questions.turn_sections(rows)).collect()}
     assert got == {("1", 1): "Why? Y. Because. # Not a heading <!-- nor this -->", ("1", 2): "a. First more", ("2", 1): "A. Only this", ("3", 1): "- 1. dash"}
+
+
+def test_searches_take_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "a b"), (2, [0.0, 1.0], "b")], "id long, embedding array<double>, text string")
+    asked = rows.withColumnRenamed("id", "query_id")
+    try:
+        for find in (search.knn, search.bm25):
+            spark.conf.set(key, "10000")
+            assert {r.id for r in find(rows, asked.filter("query_id = 1"), 1).collect()} == {1}
+            assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, was)
