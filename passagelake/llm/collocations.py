@@ -4,8 +4,10 @@
 2. Streams. Texts become packed streams of 32-bit word numbers, once: a word's number is its slot in a minimal perfect
    hash over the frequent words, whose stored key tells other words; those and the ends of pieces are 0.
 3. Candidates of m words are windows whose first m - 1 and last m - 1 words are both frequent, as no phrase is more
-   frequent than its parts. They are hashed HASHES times to SLOTS counters, and only windows all of whose counters come to the least count
-   are listed (Park, Chen and Yu, SIGMOD 1995): a counter is never below the count of a window in it, so none is lost.
+   frequent than its parts. They are hashed HASHES times to counters, and only windows all of whose counters come to the least count
+   are listed (Park, Chen and Yu, SIGMOD 1995): a counter is never below the count of a window in it, so none is lost. There are
+   SLOTS counters a hash, and more for more windows, so that they never fill. What a task holds of them is of a fixed size: beyond
+   DENSE counters it hands on those that some windows met, and they are summed by block.
 4. Counts. A perfect hash over the candidates is sent to all tasks with the candidates' keys (exact: the first
    m - 1 words' number and the last word's). A task counts its windows' slots by np.bincount; the arrays are
    summed in a tree, by blocks of CHUNK slots, so no task holds more than a few blocks of a few arrays.
@@ -36,15 +38,18 @@ LEAST = 100
 #: A candidate inside a longer one goes where percent * f(longer) >= INSIDE * f(candidate).
 INSIDE = 100
 TOP = 2000
-#: Counters of a hash in the hashed pass, a power of two, and hashes: 48 MB in a task.
+#: Counters of a hash in the hashed pass at least, a power of two, and hashes: 48 MB in a task.
 SLOTS, HASHES = 1 << 22, 3
+#: Counters that a task holds as an array; of more it holds the places that windows met, MET at most.
+DENSE, MET = SLOTS * HASHES, 1 << 21
 BLOCK = 4_000_000
 #: Slots of a block of counts that is moved as one row.
 CHUNK = 1 << 14
 #: Distinct words that a task counts before it hands them on, and words of a language whose key it remembers.
 KNOWN = 60_000
-#: Streams are cut, between texts, at so many words; a task lists so many windows before it drops the repeated ones.
-STREAM = 1 << 16
+#: A task looks at so many words of the streams at once. A stored row has some ROW words, as Spark reads thousands of rows at a time.
+STREAM, ROW = 1 << 16, 1 << 10
+#: A task lists so many windows before it drops the repeated ones.
 LISTED = 1 << 19
 #: Shares of the keys of listed windows: a task hands on one packed array for each.
 DEALT = 1024
@@ -118,10 +123,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.int64).tobytes()], pa.binary())], ["keys"])
 
 
-def tree_sum(arrays: DataFrame, width: int) -> DataFrame:
+def tree_sum(arrays: DataFrame, width: int, levels: int = 2) -> DataFrame:
     """(chunk, at: packed uint16, n: packed, of the least width that holds them) rows of any number of arrays -> one such row a chunk.
 
-    Two levels: salted, then by chunk. A task adds rows as they come, into one array a chunk.
+    Two levels: salted, then by chunk; one for arrays of so many chunks that few rows meet. A task adds rows as they come, into one array a chunk.
     """
     spread = max(2, math.isqrt(max(4, arrays.sparkSession.sparkContext.defaultParallelism)))
 
@@ -139,6 +144,8 @@ def tree_sum(arrays: DataFrame, width: int) -> DataFrame:
             yield _chunk(now, total)
 
     n = partitions(arrays.sparkSession)
+    if levels == 1:
+        return arrays.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, at binary, n binary")
     salted = arrays.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
     once = salted.repartition(n, "chunk", "salt").sortWithinPartitions("chunk").select("chunk", "at", "n").mapInArrow(add, "chunk int, at binary, n binary")
     return once.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, at binary, n binary")
@@ -168,14 +175,60 @@ def _counted(streams: DataFrame, slots, size: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
-        for b in batches:
-            for words, prev in zip(b.column(0), b.column(1)):
-                np.add.at(total, slots(np.frombuffer(words.as_py(), np.uint32), np.frombuffer(prev.as_py(), np.uint32)), np.uint32(1))
+        for (words, prev), _ in _grouped(batches):
+            np.add.at(total, slots(words, prev), np.uint32(1))
         yield from chunks(total)
 
     return tree_sum(streams.mapInArrow(count, "chunk int, at binary, n binary"), CHUNK)
 
 
+def _met(streams: DataFrame, slots) -> DataFrame:
+    """The same for any number of slots: a task holds MET places, not an array of all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for (words, prev), _ in _grouped(batches):
+            held.append(slots(words, prev).astype(np.uint32))
+            size += len(held[-1])
+            if size >= MET:
+                yield from out(held)
+                held, size = [], 0
+        yield from out(held)
+
+    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+        if len(at):
+            new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            at, n = at[new], np.diff(np.append(new, len(at)))
+            chunk = at // CHUNK
+            cuts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+            most = np.maximum.reduceat(n, cuts)
+            inside, each = (at % CHUNK).astype(np.uint16), list(zip(cuts, [*cuts[1:], len(at)], most))
+            counts = pa.array([n[i:j].astype(np.min_scalar_type(int(top))).tobytes() for i, j, top in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[cuts].astype(np.int32)), pa.array([inside[i:j].tobytes() for i, j, _ in each], pa.binary()), counts], ["chunk", "at", "n"])
+
+    return tree_sum(streams.mapInArrow(count, "chunk int, at binary, n binary"), CHUNK, levels=1)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """(the columns of some rows of streams, joined, of STREAM words or so; the rows' lengths). Rows end where no window does."""
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        start, total, sizes = 0, 0, [len(x) // 4 for x in columns[0]]
+        for i, n in enumerate(sizes, 1):
+            total += n
+            if total >= STREAM or i == len(sizes):
+                yield [np.frombuffer(b"".join(c[start:i]), np.uint32) for c in columns], sizes[start:i]
+                start, total = i, 0
+
+
+def counters(total: int, least: int, slots: int) -> int:
+    """Counters of a hash for so many windows: `slots`, doubled until their mean stays below two fifths of the least count."""
+    while total > slots * max(1, 2 * least // 5) and HASHES * slots < 1 << 31:
+        slots *= 2
+    return slots
+
+
 def windows(words: np.ndarray, prev: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, key, last part's number) of the windows of m words whose first and last m - 1 words are frequent.
 
@@ -209,15 +262,18 @@ def encoded(docs: DataFrame, vocabulary: DataFrame, text_col: str, lang_col: str
             known: dict[str, _Keys] = {}
             for keys in _cut(batches, known):
                 words = numbers(keys)
-                kept = np.append(True, (words[1:] > 0) | (words[:-1] > 0)) if single else np.ones(len(words), bool)
-                yield _binary(names, words[kept], words[kept], keys)
+                if single:
+                    words = words[np.append(True, (words[1:] > 0) | (words[:-1] > 0))]
+                ends = np.append(np.flatnonzero((words if single else keys) == 0) + 1, len(words))
+                cuts = np.unique(np.append(ends[np.searchsorted(ends, np.arange(ROW, len(words), ROW))], len(words)))
+                yield _binary(names, np.diff(cuts, prepend=0), words, words, keys)
 
         def more(batches: Iterator[pa.RecordBatch], numbers=numbers) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for words, keys in zip(b.column(0), b.column(2)):
                     keys = np.frombuffer(keys.as_py(), np.uint64)
                     words = np.maximum(np.frombuffer(words.as_py(), np.uint32), numbers(keys))
-                    yield _binary(names, words, words, keys)
+                    yield _binary(names, [len(words)], words, words, keys)
 
         was, rows = out, _rows(docs, text_col, lang_col) if out is None else out
         out = materialize(rows.mapInArrow(first if was is None else more, schema), "collocation-words")
@@ -225,7 +281,14 @@ def encoded(docs: DataFrame, vocabulary: DataFrame, text_col: str, lang_col: str
             discard(was)
         part = _with_id(vocabulary, sent, offset)
         numbered = part if numbered is None else numbered.union(part)
-    return numbered, out.select("words", "prev")
+    return numbered, _streams(out, "prev")
+
+
+def _streams(written: DataFrame, prev: str) -> DataFrame:
+    """The written table's words and numbers, still to be discarded by its path."""
+    out = written.select("words", F.col(prev).alias("prev"))
+    out._passagelake_path = written._passagelake_path
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch], known: dict[str, _Keys]) -> Iterator[np.ndarray]:
@@ -259,8 +322,10 @@ def _with_id(rows: DataFrame, sent, offset: int) -> DataFrame:
     return rows.withColumn("id", number("key")).filter("id > 0")
 
 
-def _binary(names: list[str], *each: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in each[: len(names)]], names)
+def _binary(names: list[str], sizes: list[int], *each: np.ndarray) -> pa.RecordBatch:
+    """Rows of so many words each."""
+    ends = np.cumsum(sizes)
+    return pa.RecordBatch.from_arrays([pa.array([x[i - n : i].tobytes() for i, n in zip(ends, sizes)], pa.binary()) for x in each[: len(names)]], names)
 
 
 class _Keys(dict):
@@ -282,16 +347,18 @@ def _once(keys: list[np.ndarray], suffixes: list[np.ndarray]) -> tuple[list[np.n
     return [key], [np.concatenate(suffixes)[at]]
 
 
-def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """-> (phrases of m words that occur `least` times or more: id, pre, suffix, a; streams with their numbers as prev)."""
+def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int = BLOCK, last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """-> (phrases of m words that occur `least` times or more: id, pre, suffix, a; streams with their numbers as prev). Streams that
+    were read are discarded. The last level's phrases have no numbers and no streams."""
     spark = streams.sparkSession
     shift = np.uint64(64 - (slots.bit_length() - 1))
 
-    def places(key: np.ndarray) -> list[np.ndarray]:
-        return [(mix(key, h) >> shift).astype(np.int64) + h * slots for h in range(HASHES)]
+    def place(key: np.ndarray, h: int) -> np.ndarray:
+        return (mix(key, h) >> shift).astype(np.int64) + h * slots
 
     def hashed(words: np.ndarray, prev: np.ndarray) -> np.ndarray:
-        return np.concatenate(places(windows(words, prev, m)[1]))
+        key = windows(words, prev, m)[1]
+        return np.concatenate([place(key, h) for h in range(HASHES)])
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,28 +366,33 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
                 at, n = unpacked(at.as_py(), n.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int32()), pa.array([at[n >= least].astype(np.uint16).tobytes()], pa.binary())], ["chunk", "at"])
 
-    heavy = np.zeros(HASHES * slots, bool)  # of a fixed size, whatever the corpus
-    for r in _counted(streams, hashed, HASHES * slots).mapInArrow(reached, "chunk int, at binary").collect():
-        heavy[r.chunk * CHUNK + np.frombuffer(bytes(r.at), np.uint16).astype(np.int64)] = True
-    flags = spark.sparkContext.broadcast(np.packbits(heavy))
+    heavy = np.zeros(-(-HASHES * slots // CHUNK) * (CHUNK // 8), np.uint8)  # a bit a counter
+    met = _counted(streams, hashed, HASHES * slots) if HASHES * slots <= DENSE else _met(streams, hashed)
+    for r in met.mapInArrow(reached, "chunk int, at binary").collect():
+        one = np.zeros(CHUNK, bool)
+        one[np.frombuffer(bytes(r.at), np.uint16)] = True
+        heavy[r.chunk * (CHUNK // 8) : (r.chunk + 1) * (CHUNK // 8)] = np.packbits(one, bitorder="little")
+    flags = spark.sparkContext.broadcast(heavy)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = np.unpackbits(flags.value).astype(bool)
+        heavy = flags.value
         keys, suffixes, size = [], [], 0
-        for b in batches:
-            for words, prev in zip(b.column(0), b.column(1)):
-                _, key, last = windows(np.frombuffer(words.as_py(), np.uint32), np.frombuffer(prev.as_py(), np.uint32), m)
-                some = np.logical_and.reduce([heavy[at] for at in places(key)])
-                key, at = np.unique(key[some], return_index=True)
-                keys.append(key)
-                suffixes.append(last[some][at])
-                size += len(key)
-                if size >= LISTED:
-                    keys, suffixes = _once(keys, suffixes)
-                    size = len(keys[0])
-                    if size >= LISTED // 2:
-                        yield from pairs(keys[0], suffixes[0])
-                        keys, suffixes, size = [], [], 0
+        for (words, prev), _ in _grouped(batches):
+            _, key, last = windows(words, prev, m)
+            for h in range(HASHES):
+                at = place(key, h)
+                some = (heavy[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                key, last = key[some], last[some]
+            key, at = np.unique(key, return_index=True)
+            keys.append(key)
+            suffixes.append(last[at])
+            size += len(key)
+            if size >= LISTED:
+                keys, suffixes = _once(keys, suffixes)
+                size = len(keys[0])
+                if size >= LISTED // 2:
+                    yield from pairs(keys[0], suffixes[0])
+                    keys, suffixes, size = [], [], 0
         if keys:
             keys, suffixes = _once(keys, suffixes)
             yield from pairs(keys[0], suffixes[0])
@@ -376,26 +448,29 @@ def level(streams: DataFrame, m: int, least: int, slots: int = SLOTS, block: int
         part = materialize(_counted(streams, of, mph.size).mapInArrow(frequent, "key long, a long"), "collocation-counts")
         found = part if found is None else found.union(part)
     phrases = materialize(found.join(candidates, "key").select("key", "suffix", "a"), "collocation-phrases")
-    marked, numbered = streams.withColumn("next", F.lit(None).cast("binary")), None
+    low = F.lit((1 << 32) - 1)
+    parts = F.shiftrightunsigned("key", 32).alias("pre"), F.col("key").bitwiseAND(low).alias("word"), "suffix", "a"
+    if last:
+        discard(streams)
+        return phrases.select(F.lit(0).cast("long").alias("id"), *parts), None
+    marked, numbered = streams, None
     for offset, mph in key_blocks(phrases.select("key"), block):
         sent = spark.sparkContext.broadcast(mph)
 
         def mark(batches: Iterator[pa.RecordBatch], sent=sent, offset=offset) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for words, prev, now in zip(b.column(0), b.column(1), b.column(2)):
-                    words, prev = np.frombuffer(words.as_py(), np.uint32), np.frombuffer(prev.as_py(), np.uint32)
-                    out = np.zeros(len(words), np.uint32) if now.as_py() is None else np.frombuffer(now.as_py(), np.uint32).copy()
-                    at, key, _ = windows(words, prev, m)
-                    slot = sent.value.slots(key)
-                    out[at[slot >= 0]] = (slot[slot >= 0] + 1 + offset).astype(np.uint32)
-                    yield _binary(["words", "prev", "next"], words, prev, out)
-
-        marked = materialize(marked.mapInArrow(mark, "words binary, prev binary, next binary"), "collocation-streams")
+            for (words, prev, *now), sizes in _grouped(batches):
+                out = now[0].copy() if now else np.zeros(len(words), np.uint32)
+                at, key, _ = windows(words, prev, m)
+                slot = sent.value.slots(key)
+                out[at[slot >= 0]] = (slot[slot >= 0] + 1 + offset).astype(np.uint32)
+                yield _binary(["words", "prev", "next"], sizes, words, prev, out)
+
+        was, marked = marked, materialize(marked.mapInArrow(mark, "words binary, prev binary, next binary"), "collocation-streams")
+        discard(was)
         part = _with_id(phrases, sent, offset)
         numbered = part if numbered is None else numbered.union(part)
-    low = F.lit((1 << 32) - 1)
-    numbered = materialize(numbered.select("id", F.shiftrightunsigned("key", 32).alias("pre"), F.col("key").bitwiseAND(low).alias("word"), "suffix", "a"), "collocation-level")
-    return numbered, marked.select("words", F.col("next").alias("prev"))
+    numbered = materialize(numbered.select("id", *parts), "collocation-level")
+    return numbered, _streams(marked, "next")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, slots: int = SLOTS, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
@@ -418,8 +493,11 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     word = F.col("word").cast("string")
     below = materialize(words.select("id", "lang", word.alias("phrase"), word.alias("end"), F.col("n").alias("a"), none.alias("ls"), none.alias("rs")), "collocation-phrases-1")
     levels = []
+    shorter = vocabulary.select(F.col("n").alias("a"))
     for m in range(2, longest + 1):
-        phrases, streams = level(streams, m, least, slots, block)
+        total = shorter.agg(F.sum("a")).first()[0] or 0  # no fewer than there are windows
+        phrases, streams = level(streams, m, least, counters(total, least, slots), block, m == longest)
+        shorter = phrases.select("a")
         first = below.select(F.col("id").alias("pre"), "lang", "phrase", F.concat("ls", F.array("a")).alias("ls"))
         last = below.select(F.col("id").alias("suffix"), "end", F.concat("rs", F.array("a")).alias("rs"))
         now = phrases.join(first, "pre").join(last, "suffix")

@@ -202,6 +202,35 @@ def test_collocations(spark, least, inside, top, block, longest, slots):
     assert sorted(tuple(x) for x in got.collect()) == brute_collocations(rows, longest, least, inside, top)
 
 
+def test_collocations_by_counters_that_no_task_holds(spark, monkeypatch):
+    """Beyond DENSE counters tasks hand on the places that windows met: the same phrases, whatever is held at once."""
+    monkeypatch.setattr(collocations, "DENSE", 0)
+    rows = [(t, "en") for t in texts(8, 90)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = collocations.collocations(docs, least=3, longest=3, slots=1 << 14)
+    assert sorted(tuple(x) for x in got.collect()) == brute_collocations(rows, 3, 3, 100, 2000)
+
+
+def test_collocation_counters_never_fill():
+    """The mean of a counter stays below two fifths of the least count, however many windows there are."""
+    for windows in (0, 10**6, 10**8, 10**9, 10**10):
+        slots = collocations.counters(windows, 100, collocations.SLOTS)
+        assert slots >= collocations.SLOTS and slots & (slots - 1) == 0 and windows <= 40 * slots
+    assert collocations.counters(10**6, 100, collocations.SLOTS) == collocations.SLOTS
+
+
+def test_collocation_streams_are_stored_in_short_rows(spark):
+    """Spark reads thousands of rows of a stored table at once: a row holds ROW words or so, also of one very long text."""
+    long = " ".join(f"w{i % 50}" + ("," if i % 7 == 0 else "") for i in range(40_000))
+    docs = spark.createDataFrame([(long, "en")] + [("w1 w2 w3 w4.", "en")] * 400, "text string, lang string").coalesce(1)
+    vocabulary = collocations.word_counts(docs).filter("n >= 3")
+    key = spark.createDataFrame([(r.lang, bytes(r.word), r.n, int(np.uint64(collocations.word_key(r.lang, bytes(r.word))).view(np.int64))) for r in vocabulary.collect()], "lang string, word binary, n long, key long")
+    for block in (1 << 20, 30):
+        _, streams = collocations.encoded(docs, key, "text", "lang", block)
+        sizes = [len(r.words) // 4 for r in streams.collect()]
+        assert len(sizes) > 40 and max(sizes) <= 2 * collocations.ROW
+
+
 def test_collocations_odd_rows(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
     got = sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in collocations.collocations(docs, least=2).collect())
