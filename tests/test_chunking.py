@@ -106,3 +106,26 @@ def test_lists_go_to_python_in_small_batches(spark):
         assert got == [2, 2, 2] and int(spark.conf.get(key)) <= 1000
     finally:
         spark.conf.set(key, was)
+
+
+def test_children_are_made_on_one_path(spark):
+    """Lists over the limit and all else come of one reading of the lines; a union would group them twice."""
+    lined = spark.createDataFrame([("p", 1, i, f"- w{i} " + "x " * 300, "1", False, 1 + i // 4, "list" if i < 4 else "para") for i in range(6)], "path string, owner int, pos int, line string, page string, blank boolean, block int, kind string")
+    got = chunking.children(lined)
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r.ordinal, r.kind, r.text.count("- w")) for r in got.collect())
+    assert rows == [(1, "list", 1), (2, "list", 1), (3, "list", 1), (4, "list", 1), (5, "para", 2)]
+
+
+def test_shortcuts_of_line_patterns_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from passagelake.functions import text as t
+
+    odd = ["", " ", "a", "a ", "a ", " ", "é", "é ", "a\r\n", "a\rb\r", "\n", "a\n\n", "\r", "x　\t", "a~", "a\x7f", "a\x00"]
+    odd += ["- a", "  - a", "1. a", "12. a", "1.a", "a. b", "a B", "a b", "ab. c", "\t2. x", "-a", "", "\x0b- a", "١. a"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "i int, s string").repartition(2)
+    full = F.split(F.regexp_replace(F.regexp_replace("s", r"\r\n?", "\n"), r"\n\z", ""), "\n")
+    begin = F.substring("s", 1, 2).rlike(chunking.LIST_BEGIN) & F.col("s").rlike(chunking.LIST_LINE)
+    got = rows.select("s", (t.lines(F.col("s")) == full).alias("lines"), (t.rstrip(F.col("s")) == F.regexp_replace("s", f"[{t.SPACE}]+$", "")).alias("rstrip"), (begin == F.col("s").rlike(chunking.LIST_LINE)).alias("list"))
+    assert [tuple(r) for r in got.filter("not (lines and rstrip and list)").collect()] == []
