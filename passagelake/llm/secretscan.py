@@ -5,22 +5,26 @@ adds the spans (kind `model`) that it takes for secrets. A candidate is a token
 semicolons) that a base finding does not touch and whose characters are not those of a plain word: see `worth`. A token longer than a
 window is looked at in windows that overlap by half; the greatest score counts.
 
-It is trained, in numpy, on labelled findings: the values that base patterns find against candidates they
-leave, with EXAMPLES made-up ones of each kind, so there is a network whatever the texts hold. Candidates left pass as
+It is trained on all labelled findings of the table: the values that base patterns find against candidates they
+leave. Each distinct window is learned from, none is drawn. They are dealt by hash into shards of some SHARD; in a round each shard makes a pass
+of Adam over its rows, in its task, and the weights are averaged by rows. A shard adds EXAMPLES made-up ones of each kind (each shard
+others), so their share is the same at any size and there is a network whatever the texts hold. Candidates left pass as
 harmless, though a secret that no pattern finds is among them; so those that a first network, taught without them, takes
-for secrets are left out. In half of the rows the context is blanked, so that a token counts for itself. Scores are calibrated on a part that was
-not trained on. Of the thresholds that keep RECALL of that part's findings the most precise is taken, the lowest
-of equals: recall is the constraint, precision the aim.
+for secrets are left out. In half of the rows the context is blanked, so that a token counts for itself. A quarter of the
+windows, by hash, is not trained on: all of it, each window as often as it occurs, calibrates the scores. Of the thresholds that keep RECALL of its
+findings the most precise is taken, the lowest of equals: recall is the constraint, precision the aim.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import random
 import re
 import string
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,10 +54,16 @@ CANDIDATE_LEAST, WORDLIKE_LEAST = 8, 12
 _TAIL = re.compile(r"(?:[.:?-]|([^A-Za-z0-9=])\1+|(?<![0-9])!)+$")
 #: Least lengths of candidates with a digit, a letter and a mark, with two marks, and of digits, capitals or small letters alone.
 MARKED_LEAST, MARKS_LEAST, DIGITS_LEAST, UPPER_LEAST, LOWER_LEAST = 6, 8, 13, 16, 20
-#: Labelled findings, and as many other candidates, that a fit takes at most (in expectation; by hash).
-SAMPLE = 3000
-#: Made-up findings, and as many harmless tokens, that a fit takes besides.
+#: Distinct windows of a shard, as expected. Shards, and what follows from them, depend on the table alone.
+SHARD = 6000
+#: Made-up findings, and as many harmless tokens, that each shard takes besides.
 EXAMPLES = 2000
+#: Rounds over all rows, and shards whose weights are averaged in one task.
+ROUNDS, FAN = 6, 64
+#: Of every so many windows one is kept to calibrate.
+KEPT = 4
+#: Steps of a logit by which rows are counted for the threshold, and the greatest logit told apart.
+STEPS, MOST = 1024, 32
 #: Score of a first network from which a candidate is no sure example of a harmless token.
 DOUBT = 0.9
 LEFT, HEAD, TAIL, RIGHT = 24, 32, 16, 12
@@ -166,24 +176,42 @@ class Network:
     def scores(self, windows: list[str]) -> np.ndarray:
         return _sigmoid(self.logits(_codes(windows)) * self.scale + self.shift) if windows else np.zeros(0)
 
-    def train(self, codes: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 3e-3, seed: int = 0) -> None:
-        """Adam on the logistic loss. In half of the rows the context is blanked, so that the token counts too."""
-        rng = np.random.default_rng(seed)
-        m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
-        t = 0
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), batch):
-                rows = order[at : at + batch]
-                x = codes[rows].copy()
-                blank = rng.random(len(rows)) < 0.5
-                x[blank, :LEFT] = 0
-                x[blank, LENGTH - RIGHT :] = 0
-                t += 1
-                for k, g in self._gradient(x, y[rows]).items():
-                    a, b = m[k]
-                    a[:], b[:] = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
-                    self.p[k] -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+    def train(self, codes: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> None:
+        state = self.begun()
+        for i in range(rounds):
+            state = self.taught(state, codes, y, np.random.default_rng((seed, i)))
+
+    def begun(self) -> np.ndarray:
+        """The state of a training: weights, both moments, steps, in one row of numbers."""
+        flat = np.concatenate([v.reshape(-1) for v in self.p.values()])
+        return np.concatenate([flat, np.zeros(2 * len(flat) + 1)])
+
+    def load(self, state: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = state[at : at + v.size].reshape(v.shape).copy()
+            at += v.size
+
+    def taught(self, state: np.ndarray, codes: np.ndarray, y: np.ndarray, rng: np.random.Generator, batch: int = 64, rate: float = 3e-3) -> np.ndarray:
+        """A pass of Adam on the logistic loss. In half of the rows the context is blanked, so that the token counts too."""
+        self.load(state)
+        first, second = np.split(state[:-1], 3)[1:]
+        t = float(state[-1])
+        first, second = first.copy(), second.copy()
+        order = rng.permutation(len(y))
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            x = codes[rows].copy()
+            blank = rng.random(len(rows)) < 0.5
+            x[blank, :LEFT] = 0
+            x[blank, LENGTH - RIGHT :] = 0
+            t += 1
+            gradient = self._gradient(x, y[rows])
+            g = np.concatenate([gradient[k].reshape(-1) for k in self.p])
+            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+            step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+            self.load(np.concatenate([v.reshape(-1) for v in self.p.values()]) - step)
+        return np.concatenate([*(v.reshape(-1) for v in self.p.values()), first, second, [t]])
 
     def _gradient(self, x: np.ndarray, y: np.ndarray) -> dict:
         p, n = self.p, len(x)
@@ -200,34 +228,46 @@ class Network:
         dh[i, rest[outside.argmax(1)], j] += dp[:, 2 * f :]
         dh *= h > 0
         dcols = (dh @ p["k"].T).reshape(n, h.shape[1], self.WIDE, self.EMBED)
-        de = np.zeros_like(p["e"])
+        dx = np.zeros((n, LENGTH, self.EMBED))
         for w in range(self.WIDE):
-            np.add.at(de, x[:, w : w + h.shape[1]], dcols[:, :, w])
+            dx[:, w : w + h.shape[1]] += dcols[:, :, w]
+        de = (x.reshape(-1) == np.arange(len(p["e"]))[:, None]).astype(float) @ dx.reshape(-1, self.EMBED)
         return {"v": pooled.T @ d, "c": np.array([d.sum()]), "k": np.einsum("npc,npf->cf", cols, dh), "b": dh.sum((0, 1)), "e": de}
 
-    def calibrate(self, codes: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, then the threshold: of those that keep RECALL of the findings the most precise, the lowest
-        of equals. Every row counts twice, with its context and without."""
+    def counted(self, codes: np.ndarray, y: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        """(at, y, n): how many rows have a logit of `at` steps, rounded down. Every row counts twice, with its context and without."""
         bare = codes.copy()
         bare[:, :LEFT] = 0
         bare[:, LENGTH - RIGHT :] = 0
-        z, y = self.logits(np.concatenate([codes, bare])), np.concatenate([y, y])
-        soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        z = self.logits(np.concatenate([codes, bare]))
+        at = np.floor(np.clip(z, -MOST, MOST) * STEPS).astype(np.int64)
+        return pd.DataFrame({"at": at, "y": np.tile(y, 2).astype(np.int64), "n": np.tile(n, 2).astype(np.int64)}).groupby(["at", "y"], as_index=False).sum()
+
+    def calibrate(self, codes: np.ndarray, y: np.ndarray) -> None:
+        self.settle(self.counted(codes, y, np.ones(len(y))))
+
+    def settle(self, counts: pd.DataFrame) -> None:
+        """Platt scaling over counted rows, then the threshold: of those that keep RECALL of the findings the most precise, the
+        lowest of equals."""
+        counts = counts.sort_values(["at", "y"])
+        z, y, n = counts["at"].to_numpy() / STEPS, counts["y"].to_numpy(float), counts["n"].to_numpy(float)
+        yes, no = (n * y).sum(), (n * (1 - y)).sum()
+        soft = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
             q = _sigmoid(a * z + b)
-            w = np.maximum(q * (1 - q), 1e-6)
-            g = np.array([((q - soft) * z).sum() + 1e-3 * (a - 1), (q - soft).sum()])
+            w = n * np.maximum(q * (1 - q), 1e-6)
+            d = n * (q - soft)
+            g = np.array([(d * z).sum() + 1e-3 * (a - 1), d.sum()])
             hess = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(hess, g)
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
         self.scale, self.shift = max(float(a), 1e-3), float(b)
-        score = _sigmoid(self.scale * z + self.shift)
-        cuts = np.unique(score[y > 0])
-        found = np.array([(score[y > 0] >= c).mean() for c in cuts])
-        right = np.array([(y[score >= c]).mean() for c in cuts])
-        able = found >= RECALL  # the lowest cut keeps all
-        self.threshold = float(cuts[able & (right == right[able].max())].min())
+        cuts, where = np.unique(z, return_inverse=True)
+        above = lambda v: np.bincount(where, v, len(cuts))[::-1].cumsum()[::-1]
+        found, right = above(n * y) / yes, above(n * y) / above(n)
+        able = (found >= RECALL) & (np.bincount(where, n * y, len(cuts)) > 0)
+        self.threshold = float(_sigmoid(self.scale * cuts[able & (right == right[able].max())].min() + self.shift))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -289,22 +329,133 @@ def made_up(n: int = EXAMPLES, seed: int = 11) -> tuple[list[str], list[str]]:
     return tuple([window(t, 0, len(t)) for t in (kinds[i % len(kinds)]() for i in range(n))] for kinds in (keys, plain))
 
 
+@functools.lru_cache(maxsize=4)
+def _examples(shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, y) of a shard's made-up ones, findings first."""
+    keys, plain = made_up(seed=11 + shard)
+    return _codes([*keys, *plain]), np.repeat([1.0, 0.0], [len(keys), len(plain)])
+
+
+def _part(shard: int, rows: pd.DataFrame, kept: bool | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, y, n) of a shard's rows (w, y, n, kept) with its made-up ones; kept or not kept ones only, unless None."""
+    rows = rows[rows["w"].notna()].sort_values(["w", "y"])
+    codes, y = _examples(shard)
+    own = np.random.default_rng(shard).random(len(y)) < 1 / KEPT  # of every kind some
+    if kept is not None:
+        rows = rows[rows["kept"].astype(bool) == kept]
+        codes, y = codes[own == kept], y[own == kept]
+    windows = _codes(rows["w"].tolist()) if len(rows) else codes[:0]
+    return np.concatenate([windows, codes]), np.concatenate([rows["y"].to_numpy(float), y]), np.concatenate([rows["n"].to_numpy(float), np.ones(len(y))])
+
+
+def _averaged(states: list[np.ndarray], weights: list[float]) -> np.ndarray:
+    """The average by rows, in the order given; the last number, the steps made, is the greatest."""
+    out = sum(w * s for s, w in zip(states, weights)) / sum(weights)
+    out[-1] = max(s[-1] for s in states)
+    return out
+
+
+def _passed(shard: int, rows: pd.DataFrame, state: np.ndarray, turn: int, kept: bool | None) -> tuple[np.ndarray, int]:
+    """A shard's pass over its rows in a round: its new state, and its rows."""
+    codes, y, _ = _part(shard, rows, kept)
+    return Network().taught(state, codes, y, np.random.default_rng((shard, turn))), len(y)
+
+
+class Shards:
+    """The distinct windows of a table in shards (shard, w, y, n, kept); a row without a window stands for each shard, so none is missed."""
+
+    def __init__(self, windows: DataFrame):
+        """windows: (w, y), a row an occurrence."""
+        spark = windows.sparkSession
+        each = materialize(windows.groupBy("w", "y").agg(F.count("*").alias("n")), "secret-windows")
+        self.many = max(1, math.ceil(each.count() / SHARD))
+        key = F.xxhash64(F.lit("secrets"), "w")
+        dealt = each.select(F.pmod(key, F.lit(self.many)).alias("shard"), "w", "y", "n", (F.pmod(F.xxhash64(F.lit("kept"), "w"), F.lit(KEPT)) == 0).alias("kept"))
+        none = spark.range(self.many).select(F.col("id").alias("shard"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("int").alias("y"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("kept"))
+        self.rows = dealt.unionByName(none)
+
+    def _each(self, job: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        return self.rows.repartition(self.many, "shard").groupBy("shard").applyInPandas(lambda key, rows: job(int(key[0]), rows), schema)
+
+    def round(self, state: np.ndarray, turn: int, kept: bool | None) -> np.ndarray:
+        schema = "shard long, state array<double>, n long"
+
+        def learn(shard: int, rows: pd.DataFrame) -> pd.DataFrame:
+            new, n = _passed(shard, rows, state, turn, kept)
+            return pd.DataFrame({"shard": [shard], "state": [new.tolist()], "n": [n]})
+
+        def merge(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
+            some = some.sort_values("shard")
+            one = _averaged([np.array(s) for s in some["state"]], some["n"].tolist())
+            return pd.DataFrame({"shard": [int(key[0])], "state": [one.tolist()], "n": [int(some["n"].sum())]})
+
+        states, many = self._each(learn, schema), self.many
+        while many > 1:
+            states, many = states.groupBy(F.floor(F.col("shard") / FAN).alias("shard_")).applyInPandas(merge, schema), math.ceil(many / FAN)
+        return np.array(states.first()["state"])  # one row
+
+    def without(self, doubtful: Network) -> None:
+        """Leaves out others that a network takes for secrets at DOUBT or more."""
+
+        def sure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                other = (b["w"].notna() & (b["y"] == 0)).to_numpy()
+                ok = np.ones(len(b), bool)
+                if other.any():
+                    ok[other] = _sigmoid(doubtful.logits(_codes(b["w"][other].tolist()))) < DOUBT
+                yield b[ok]
+
+        self.rows = materialize(self.rows.mapInPandas(sure, self.rows.schema), "secret-examples")
+
+    def counts(self, net: Network) -> pd.DataFrame:
+        """At most a row a step of a logit and label, whatever the table's size."""
+        got = self._each(lambda shard, rows: net.counted(*_part(shard, rows, True)), "at long, y long, n long")
+        return got.groupBy("at", "y").agg(F.sum("n").alias("n")).toPandas()
+
+
+class _AtHand(Shards):
+    """Windows at hand as one shard, without Spark."""
+
+    def __init__(self, findings: list[str], others: list[str]):
+        windows = [*findings, *others]
+        kept = np.arange(len(windows)) % KEPT == 0
+        self.rows = pd.DataFrame({"w": pd.Series(windows, dtype=object), "y": np.repeat([1, 0], [len(findings), len(others)]), "n": 1, "kept": kept})
+
+    def round(self, state: np.ndarray, turn: int, kept: bool | None) -> np.ndarray:
+        return _passed(0, self.rows, state, turn, kept)[0]
+
+    def without(self, doubtful: Network) -> None:
+        ok = (self.rows["y"] == 1).to_numpy()
+        if not ok.all():
+            ok[~ok] = _sigmoid(doubtful.logits(_codes(self.rows["w"][~ok].tolist()))) < DOUBT
+        self.rows = self.rows[ok]
+
+    def counts(self, net: Network) -> pd.DataFrame:
+        return net.counted(*_part(0, self.rows, True))
+
+
 def fit(findings: list[str], others: list[str]) -> Network:
-    """findings, others: windows. The made-up ones are taught besides; every fourth of all is kept to calibrate.
-    Others that a first network, taught without them, takes for secrets at DOUBT or more are not taught as harmless."""
-    keys, plain = made_up()
+    """A network of windows at hand."""
+    return fitted(_AtHand(findings, others))
+
+
+def fitted(shards: Shards) -> Network:
+    """The first network is taught the findings and the made-up ones alone; the second all but those others that the first doubts."""
     first = Network()
-    codes = _codes([*findings, *keys, *plain])
-    first.train(codes, np.repeat([1.0, 0.0], [len(findings) + EXAMPLES, EXAMPLES]))
-    if others:
-        sure = _sigmoid(first.logits(_codes(others))) < DOUBT
-        others = [w for w, ok in zip(others, sure) if ok]
-    codes = _codes([*findings, *keys, *others, *plain])
-    y = np.repeat([1.0, 0.0], [len(findings) + EXAMPLES, len(others) + EXAMPLES])
-    kept = np.arange(len(y)) % 4 == 0
+    state = first.begun()
+    every = shards.rows
+    shards.rows = every[every["y"] == 1] if isinstance(every, pd.DataFrame) else every.filter("w is null or y = 1")
+    for turn in range(ROUNDS):
+        state = shards.round(state, turn, None)
+    first.load(state)
+    shards.rows = every
+    shards.without(first)
     net = Network()
-    net.train(codes[~kept], y[~kept])
-    net.calibrate(codes[kept], y[kept])
+    state = net.begun()
+    for turn in range(ROUNDS):
+        state = shards.round(state, turn, False)
+    net.load(state)
+    net.settle(shards.counts(net))
     return net
 
 
@@ -334,15 +485,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInPandas(look, _SCHEMA)
 
 
-def _drawn(windows: DataFrame, most: int) -> list[str]:
-    n = windows.count()
-    key = F.pmod(F.xxhash64(F.lit("secrets"), "doc_id", "w"), F.lit(1 << 40))
-    if n > most:
-        windows = windows.filter(key < F.lit(int(most / n * (1 << 40))))
-    got = windows.withColumn("key", key).orderBy("key", "w").select("w").toPandas()
-    return got["w"].tolist()
-
-
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (doc_id, base, spans): arrays of structs (s, e, kind), a row for each row of docs.
 
@@ -350,7 +492,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one task; repeated rows give a row each; a null id is returned as null. Other columns are not read. An empty table gives no row.
     """
     seen = materialize(scan(docs, id_col, text_col), "secret-candidates")
-    net = fit(_drawn(seen.select("doc_id", F.explode("found").alias("w")), SAMPLE), _drawn(seen.select("doc_id", F.explode(F.flatten("wide.windows")).alias("w")), SAMPLE))
+    labelled = lambda column, y: seen.select(F.explode(column).alias("w"), F.lit(y).alias("y"))
+    net = fitted(Shards(labelled(F.col("found"), 1).unionByName(labelled(F.flatten("wide.windows"), 0))))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -420,6 +420,21 @@ def test_the_threshold_keeps_the_recall():
     assert (score[np.concatenate([y, y]) > 0] >= net.threshold).mean() >= secretscan.RECALL
 
 
+def test_training_takes_every_window(spark, monkeypatch):
+    """More windows than a shard: all are dealt, copies are counted, and a round is the average of the shards' own passes."""
+    monkeypatch.setattr(secretscan, "SHARD", 100)
+    windows = [(secretscan.window(f"password=key{i}x", 9, 14 + len(str(i))), i % 2) for i in range(300)]
+    shards = secretscan.Shards(spark.createDataFrame(windows + windows[:7], "w string, y int"))
+    rows = shards.rows.toPandas()
+    held = rows[rows.w.notna()]
+    assert shards.many == 3 and set(rows.shard) == {0, 1, 2} and set(zip(held.w, held.y.astype(int))) == set(windows) and len(held) == 300 and held.n.sum() == 307
+    begun = secretscan.Network().begun()
+    own = [secretscan._passed(i, rows[rows.shard == i], begun, 0, False) for i in range(3)]
+    assert sum(n for _, n in own) == (~held.kept.astype(bool)).sum() + sum((np.random.default_rng(i).random(4000) >= 1 / 4).sum() for i in range(3))
+    assert np.allclose(shards.round(begun, 0, False)[:-1], (sum(n * s for s, n in own) / sum(n for _, n in own))[:-1])
+    assert shards.counts(secretscan.Network()).n.sum() == 2 * (held.n[held.kept.astype(bool)].sum() + 12000 - sum((np.random.default_rng(i).random(4000) >= 1 / 4).sum() for i in range(3)))
+
+
 def test_every_part_of_a_long_token_is_seen():
     token = "".join(chr(97 + i % 26) + str(i % 10) for i in range(100))
     got = secretscan.windows(f"x {token} y", 2, 202)
