@@ -297,7 +297,8 @@ def table_regions(lines: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFr
     kept = lines.withColumn("_small", small).filter("not _small").drop("_small")
     block = block_boxes(kept).withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
     inside = in_band(block.withColumnsRenamed({"by0": "y0", "by1": "y1"}), bands, page).select(*region, "block_no", "left", "bottom", F.col("y0").alias("by0"), F.col("y1").alias("by1"))
-    rows = kept.join(inside, [*page, "block_no"])
+    inside = materialize(inside, "layout-inside")
+    rows = materialize(kept.join(inside, [*page, "block_no"]), "layout-table-lines")
     starts = rows.select(*region, F.bround("x0", 0).alias("x")).distinct()
     w = Window.partitionBy(*region).orderBy("x")
     gaps = starts.withColumn("next", F.lead("x").over(w)).filter("next is not null").withColumn("gap", F.col("next") - F.col("x"))
@@ -317,6 +318,7 @@ def table_regions(lines: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFr
     glyph = F.col("marker").isin("bullet", "subbullet") & (F.row_number().over(cw) > 1)
     rows = rows.withColumn("glyph", F.coalesce(glyph, F.lit(False)))
     rows = rows.withColumn("glued", F.col("is_left") & F.coalesce(F.max("glyph").over(cw.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    rows = materialize(rows, "layout-cell-lines")  # labels, items and regions are all read off these
     cell_keys = [*region, "block_no", "cell"]
     cells = rows.groupBy(*cell_keys, "is_left").agg(F.min("y0").alias("cy0"), F.max("y1").alias("cy1"), F.max("glued").alias("bulleted"), F.array_sort(F.collect_list(F.when(~F.col("glued"), F.struct("line_no", "marker", "text")))).alias("l"))
     rw = Window.partitionBy(*region).orderBy("block_no", "cell")
@@ -328,7 +330,7 @@ def table_regions(lines: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFr
     items = list_items(rows.filter(~F.col("is_left") | F.col("glued")), cell_keys)
     items = items.select(*region, at(F.col("block_no"), F.col("cell"), F.col("item").cast("bigint")).alias("seq"), "kind", "text")
     elements = labels.unionByName(items)
-    regions = top.join(elements.select(*region).distinct(), region, "left_semi")
+    regions = top.join(rows.select(*region).distinct(), region, "left_semi")  # each line lies in a label or an item
     return regions.select(*region, "x0", "top", "bottom"), elements
 
 

@@ -115,3 +115,15 @@ def test_a_tree_is_written_and_read(spark, tmp_path):
     written, skipped = files.report(out.cache())
     assert {r.path for r in written.collect()} == {"pilot/unit-05.md", "pilot/unit-13A.md"} and skipped.first().unit_id == "6"
     assert {r.path.rsplit("/", 1)[1]: r.content for r in files.read_markdown_tree(spark, root).collect()} == {"unit-05.md": "a\n", "unit-13A.md": "b — é\n"}
+
+
+def test_the_lines_of_tables_are_worked_out_once(spark):
+    """Regions and elements are read off written rows: neither goes back to the lines."""
+    from passagelake.plans import booklets
+
+    folder = "/root/testdata/sf0.001"
+    regions, elements = layout.table_regions(booklets._marked(spark, folder), booklets._boxes(spark, folder))
+    for out in (regions, elements):
+        files = out.inputFiles()
+        assert files and all("layout-" in f for f in files) and not any("supplier" in f for f in files)
+    assert regions.count() == elements.select("source", "page_idx", "box_no").distinct().count() > 0
