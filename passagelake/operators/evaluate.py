@@ -93,11 +93,11 @@ def ablation(items: DataFrame, gold: DataFrame, queries: DataFrame, vectors: Dat
     that fails, an empty table, before the error goes on.
     """
     tracer, facts, points = tracer or NoTracer(), [], []
-    scores = None
+    scores, searched = None, {}  # steps share their searches
     for step in steps:
         tracer.start(step)
         try:
-            passages = retrieved_passages(step, queries, vectors, texts, parents, **how)
+            passages = retrieved_passages(step, queries, vectors, texts, parents, held=searched, **how)
             answers = materialize(answer(queries.select("query_id", F.col("text").alias("question")), passages, completer), "ablation-answers")
             seen = Observation(f"scores-{step}")
             held = score_step(step, items, gold, passages, answers, judge, k).observe(seen, *_sums())

@@ -7,7 +7,7 @@ A search keeps the best n of each query within each task, so what is shuffled is
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -316,16 +316,26 @@ def query_vectors(queries: DataFrame, embedder) -> DataFrame:
 STEPS = ("vector", "hybrid", "hybrid_rerank")
 
 
-def retrieve(step: str, vectors: DataFrame, texts: DataFrame, queries: DataFrame, parents: DataFrame, n: int = CHILDREN, p: int = PARENTS, where: Column | None = None, reranker=None, embedder=None) -> DataFrame:
+def retrieve(step: str, vectors: DataFrame, texts: DataFrame, queries: DataFrame, parents: DataFrame, n: int = CHILDREN, p: int = PARENTS, where: Column | None = None, reranker=None, embedder=None, held: dict | None = None) -> DataFrame:
     """One retrieval step for all queries (query_id, text, and embedding unless an embedder makes it) -> parents with
-    their columns and rank."""
+    their columns and rank. held: a dict for steps over the same inputs and settings; what a step searches is written and kept there, and others read it."""
     if step not in STEPS:
         raise ValueError(f"unknown retrieval step {step!r}")
+
+    def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if held is None:
+            return make()
+        if name not in held:
+            held[name] = materialize(make(), f"hits-{name}")
+        return held[name]
+
     if embedder is not None:
-        queries = materialize(query_vectors(queries, embedder), "query-vectors")
-    hits = knn(vectors, queries, n, where)
+        asked = queries
+        queries = once("queries", lambda: query_vectors(asked, embedder)) if held is not None else materialize(query_vectors(asked, embedder), "query-vectors")
+    hits = once("vector", lambda: knn(vectors, queries, n, where))
     if step != "vector":
-        hits = fuse(hits, bm25(texts, queries, n, where), n)
+        found = hits
+        hits = once("fused", lambda: fuse(found, bm25(texts, queries, n, where), n))
     ranks = expand(hits, vectors)
     if step == "hybrid_rerank":
         return rerank(fetch(ranks, parents), queries, p, reranker)

@@ -110,3 +110,14 @@ def test_an_index_of_deltas(spark, tmp_path, monkeypatch):
         index.write(docs, spark.createDataFrame([(r[0],) for r in rows] + [(gone,)], "id string"))
         assert {r.id: r.n for r in index.read().collect()} == want
     assert [v for v, _ in index._versions()] == [4, 5, 6, 7, 8, 9, 10][-len(index._versions()):] and index._versions()[0][0] > 1
+
+
+def test_an_ablation_searches_once_a_channel(spark, monkeypatch):
+    from passagelake.plans import seams
+
+    asked = []
+    for name in ("knn", "bm25"):
+        real = getattr(search, name)
+        monkeypatch.setattr(search, name, lambda *a, _name=name, _real=real, **k: asked.append(_name) or _real(*a, **k))
+    got = seams.ablation_seam(spark, "/root/testdata/sf0.001")
+    assert asked == ["knn", "bm25"] and [r.step for r in got.orderBy("pos").collect()] == list(search.STEPS)
