@@ -129,3 +129,24 @@ def test_shortcuts_of_line_patterns_change_nothing(spark):
     begin = F.substring("s", 1, 2).rlike(chunking.LIST_BEGIN) & F.col("s").rlike(chunking.LIST_LINE)
     got = rows.select("s", (t.lines(F.col("s")) == full).alias("lines"), (t.rstrip(F.col("s")) == F.regexp_replace("s", f"[{t.SPACE}]+$", "")).alias("rstrip"), (begin == F.col("s").rlike(chunking.LIST_LINE)).alias("list"))
     assert [tuple(r) for r in got.filter("not (lines and rstrip and list)").collect()] == []
+
+
+def test_words_of_lists_are_counted_in_python_and_only_lines_go_there(spark):
+    """Counting words by a pattern was nine tenths of list_split_nested; whole lines went to Python and back."""
+    from passagelake.functions import text as t
+
+    odd = ["- a b", "  - c\u2003d\x85e\x1ff\u3000", "    \xa0", "\u200bg \x00h~ é\u1680語", "- i", "", "j k\x0bl"]
+    rows = spark.createDataFrame([(odd,), (None,), ([],)], "l array<string>").repartition(1)
+    body = F.transform("l", lambda x: F.struct(x.alias("line"), F.lit("1").alias("page"), F.lit(False).alias("blank")))
+    got = rows.select("l", chunking.split_places("l", 4).alias("places"), chunking.split_pieces(body, 4).alias("pieces"), F.transform("l", t.word_count).alias("words"), chunking.words_of(body).alias("all"))
+    for r in got.collect():
+        if r.l is None:
+            assert r.places is None and r.pieces is None
+            continue
+        assert r.words == [len(x.split()) for x in r.l] and r.all == sum(r.words)
+        assert [[x.line for x in p] for p in r.pieces] == [[r.l[i] for i in p["at"]] for p in r.places] == [[e[0] for e in p] for p in split_list([(x,) for x in r.l], 4)]
+        assert [p.words for p in r.places] == [sum(r.words[i] for i in p["at"]) for p in r.places]
+    from passagelake.plans import chunks
+
+    for query in (chunks.list_split_nested, chunks.list_split_500):
+        assert "regexp_extract_all" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
