@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ WORD_BLOCK = 20_000
 DIGITS = 6
 #: Scores, and term counts, that are worked on at once in a task: rows are cut so that a table of them has no more.
 CELLS = 1 << 22
+#: Bytes up to which ranks are sent to all tasks.
+BROADCAST = 64 << 20
 _TOKEN, _SINGLE = regex.compile(TOKEN), regex.compile(f"([{SINGLE}])")
 
 
@@ -141,58 +145,74 @@ def bm25(docs: DataFrame, queries: DataFrame, n: int = CHILDREN, where: Column |
     """docs (id, text, ...), queries (query_id, text) -> (query_id, id, score, rank).
 
     Distinct query terms, any of which suffices. Statistics come from all documents with a text; `where`
-    filters afterwards which can be hits. Texts are cut into terms natively, once, into a table that all blocks of queries
-    read. Scores are summed inside a task: postings are never shuffled. A block's statistics come to the driver as a row a term,
-    WORD_BLOCK or so, and what a task gets is a block's terms and, for each query, the places of its own. For many queries over one
-    corpus, textindex.TextIndex reads the queries' own terms only.
+    filters afterwards which can be hits. Texts are cut into terms natively, once: for more than one block of queries, into a table
+    that all blocks read. A block's own terms are looked up in each text and written as places and counts, so that its statistics and
+    scores come of numbers, not words. Scores are summed inside a task: postings are never shuffled. A block's statistics come to the
+    driver as a row a term, WORD_BLOCK or so, and what a task gets is a block's terms and, for each query, the places of its own. For
+    many queries over one corpus, textindex.TextIndex reads the queries' own terms only.
     """
     small_batches(docs.sparkSession)
     rows = docs.withColumn("_hit", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)).select("id", "text", "_hit").filter("text is not null")
-    rows = materialize(spread(rows).select("id", "_hit", tokens(F.col("text")).alias("w")), "bm25-terms")
+    rows = spread(rows).select("id", "_hit", tokens(F.col("text")).alias("w"))
+    kind = docs.schema["id"].dataType.simpleString()
     out, sizes = None, None
-    for block in _word_blocks(queries):
-        if sizes is None:
-            sizes = rows.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("size")).first()
+    blocks = _word_blocks(queries)
+    block, after = next(blocks, None), next(blocks, None)
+    if after:
+        rows = materialize(rows, "bm25-terms")
+    while block:
         terms = pd.Index(sorted({t for _, words in block for t in words}))
         asked = np.array([q for q, _ in block], dtype=object if isinstance(block[0][0], str) else None)
         first = np.cumsum([0, *(len(words) for _, words in block)])[:-1]
         places = terms.get_indexer([t for _, words in block for t in words])
+        counted = materialize(rows.mapInArrow(_counts(terms), f"id {kind}, _hit boolean, size int, at array<int>, tf array<int>"), "bm25-counts")
 
-        wanted = queries.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "w string, term int")  # WORD_BLOCK rows or so
-        held = rows.select(F.explode(F.array_distinct("w")).alias("w")).join(F.broadcast(wanted), "w").groupBy("term").agg(F.count("*").alias("df")).collect()  # a row a term
+        if sizes is None:
+            sizes = counted.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+        held = counted.select(F.explode("at").alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()  # a row a term
         df = np.zeros(len(terms))
         df[[r.term for r in held]] = [r.df for r in held]
         idf = np.log(1 + (sizes.n - df + 0.5) / (df + 0.5))
         mean = sizes["size"] / sizes.n if sizes["size"] else 1.0
 
-        def score(batches: Iterator[pd.DataFrame], terms=terms, places=places, first=first, idf=idf, mean=mean, asked=asked) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], places=places, first=first, idf=idf, mean=mean, asked=asked) -> Iterator[pd.DataFrame]:
             held: dict = {}
             for b in batches:
-                b = b[b["_hit"]]
+                b = b[b["_hit"] & (b["at"].map(len) > 0)]
                 for cut in _cuts(len(b), len(places)):
                     part = b.iloc[cut]
-                    at, row = _found(part["w"], terms)
-                    tf = np.bincount(row * len(terms) + at, minlength=len(part) * len(terms)).reshape(len(part), len(terms))
-                    length = part["w"].map(len).to_numpy()[:, None]
-                    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)) * idf
+                    row = np.repeat(np.arange(len(part)), part["at"].map(len))
+                    at, tf = np.concatenate(part["at"].to_list()), np.concatenate(part["tf"].to_list())
+                    impact = np.zeros((len(part), len(idf)))
+                    impact[row, at] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * part["size"].to_numpy()[row] / mean)) * idf[at]
                     s = np.round(np.add.reduceat(impact[:, places], first, axis=1), DIGITS)
                     _top(held, asked, part["id"].to_numpy(), np.where(s > 0, s, -np.inf), n)
             yield _emit(held)
 
-        part = rows.mapInPandas(score, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double")
+        part = counted.mapInPandas(score, f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {kind}, score double")
         out = part if out is None else out.unionByName(part)
+        block, after = after, next(blocks, None)
     if out is None:
         out = rows.limit(0).join(queries.select("query_id").limit(0)).select("query_id", "id", F.lit(0.0).alias("score"))
     return ranked(out, n)
 
 
-def _found(words: pd.Series, terms: pd.Index) -> tuple[np.ndarray, np.ndarray]:
-    """(term, row) of each occurrence of a term in rows of words."""
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = terms.get_indexer(np.concatenate(words.to_list()))
-    row = np.repeat(np.arange(len(words)), words.map(len))
-    return at[at >= 0], row[at >= 0]
+def _counts(terms: pd.Index) -> Callable:
+    """A map of rows (id, _hit, w) to (id, _hit, size, at, tf): their words, and the places of the terms they hold with their counts."""
+    known, many = pa.array(terms, pa.string()), len(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("w")
+            size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+            place = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            own = place >= 0
+            key, tf = np.unique(np.repeat(np.arange(len(size), dtype=np.int64), size)[own] * many + place[own], return_counts=True)
+            ends = pa.array(np.cumsum([0, *np.bincount(key // many, minlength=len(size))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % many, tf)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("_hit"), pa.array(size), *lists], ["id", "_hit", "size", "at", "tf"])
+
+    return count
 
 
 def _word_blocks(queries: DataFrame) -> Iterator[list]:
@@ -232,8 +252,11 @@ def expand(hits: DataFrame, parents: DataFrame | None = None, p: int | None = No
 
 
 def fetch(ranks: DataFrame, parents: DataFrame) -> DataFrame:
-    """Ranked parent ids with the parents' columns (id, ...); ids without a row are dropped, order stays."""
-    return ranks.join(parents.withColumnRenamed("id", "parent_id"), "parent_id")
+    """Ranked parent ids with the parents' columns (id, ...); ids without a row are dropped, order stays. The ranks are written
+    first: while they are few, they are sent to the parents, whose texts then don't move."""
+    ranks = materialize(ranks, "ranks")
+    size = ranks.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in ("query_id", "parent_id")), F.lit(64)))).first()[0] or 0
+    return (F.broadcast(ranks) if size <= BROADCAST else ranks).join(parents.withColumnRenamed("id", "parent_id"), "parent_id")
 
 
 def overlap_scores(candidates: DataFrame, queries: DataFrame) -> DataFrame:
@@ -259,6 +282,8 @@ def rerank(candidates: DataFrame, queries: DataFrame, p: int = PARENTS, reranker
 def rerank_function(reranker, p: int = PARENTS):
     """A table function over rows (query_id, rank, text, _query, ...): of each query's rows the reranker's best p, with a new
     rank and without _query. It asks for its rows by query, in order of rank; a query has as many as a channel's width.
+    Its key has a second part, a hash, so that no join by query below can stand in for its own exchange: an adaptive plan may
+    turn that join into a broadcast and leave a query's rows in several tasks.
 
     SQL calls it once it is registered (spark.udtf.register): SELECT * FROM name(TABLE(candidates)).
     """
@@ -270,7 +295,7 @@ def rerank_function(reranker, p: int = PARENTS):
             from pyspark.sql.udtf import AnalyzeResult, OrderingColumn, PartitioningColumn
 
             fields = [T.StructField(f.name, T.LongType()) if f.name == "rank" else f for f in rows.dataType.fields if f.name != "_query"]
-            return AnalyzeResult(schema=T.StructType(fields), partitionBy=[PartitioningColumn("query_id")], orderBy=[OrderingColumn("rank")])
+            return AnalyzeResult(schema=T.StructType(fields), partitionBy=[PartitioningColumn("query_id"), PartitioningColumn("xxhash64(query_id)")], orderBy=[OrderingColumn("rank")])
 
         def __init__(self):
             self.rows = []

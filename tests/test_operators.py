@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from passagelake.functions.text import tokens
 from passagelake.operators import answers, evaluate, questions, search, sync, textcheck
 from passagelake.ports import AgreeingJudge, HashEmbedder, OverlapReranker, QuotingCompleter
 from passagelake.sources import files
@@ -228,3 +230,53 @@ def test_searches_take_small_batches(spark):
             assert int(spark.conf.get(key)) <= 1000
     finally:
         spark.conf.set(key, was)
+
+
+def test_a_reranker_gets_all_rows_of_a_query_at_once(spark):
+    """Below a join by query that an adaptive plan makes a broadcast, a query's rows lie in several tasks; each gave its own best."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 400, 1, 8).select((F.col("id") % 20).alias("query_id"), F.col("id").alias("parent_id"), F.floor(F.col("id") / 20 + 1).alias("rank"), F.when(F.col("id") >= 340, "red kite").otherwise(F.repeat(F.lit("x "), 50)).alias("text"))
+        asked = spark.range(20).select(F.col("id").alias("query_id"), F.lit("red kite").alias("text"))
+        got = search.rerank(rows, asked, 2, OverlapReranker()).select("query_id", "parent_id", "rank").collect()
+        assert sorted(map(tuple, got)) == [(q, 340 + q + 20 * (n - 1), n) for q in range(20) for n in (1, 2)]
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_fetching_parents_does_not_move_their_texts(spark):
+    ranks = spark.createDataFrame([(1, "b", 1), (1, "none", 2), (2, "b", 1)], "query_id int, parent_id string, rank long")
+    parents = spark.range(100).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("t"), 9).alias("text")).union(spark.createDataFrame([("b", "body")], "id string, text string"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = search.fetch(ranks, parents)
+        assert sorted((r.query_id, r.parent_id, r.rank, r.text) for r in got.collect()) == [(1, "b", 1, "body"), (2, "b", 1, "body")]
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_bm25_writes_places_and_counts_not_words(spark, monkeypatch):
+    made = []
+    real = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: made.append((name, df.dtypes)) or real(df, name))
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c d"), (3, None), (4, "")], "id long, text string")
+    asked = spark.createDataFrame([(7, "A d"), (8, "c a"), (9, "nothing")], "query_id long, text string")
+    one = sorted(map(tuple, search.bm25(docs, asked).collect()))
+    assert [(q, i) for q, i, *_ in one] == [(7, 1), (7, 2), (8, 1), (8, 2)]
+    assert made and all("string" not in kind for _, dtypes in made for _, kind in dtypes)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 1)
+    assert sorted(map(tuple, search.bm25(docs, asked).collect())) == one
+
+
+def test_the_analyzer_in_java_is_the_analyzer(spark):
+    rng = random.Random(5)
+    signs = "aZé1٣½_.,:;'’·- 語カあ́⺀\U00020000#"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(2000)] + ["a" * 100_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    assert [r.t for r in rows.select("t", tokens(F.col("t")).alias("w")).collect() if r.w != search.analyze(r.t)] == []
