@@ -9,11 +9,12 @@ elements, the first |A| - c + k elements of A and those of B share k. With the r
 - Light sets, of `boundary` elements or fewer, enumerate the subsets of k = 2 elements of their signature. (The subsets of c elements of
   the whole set, as in the paper, are too many at this similarity.)
 - Heavy sets read the inverted lists of their signature for k = 1. The lists hold sets large enough to link with a heavy one.
-- A light set of n costs its subsets; a heavy one its signature and the lists it reads, of the median length in the
-  counts below. Sums by size class tell the boundary at which both together are least; the driver sees a row a class.
+- A light set of n costs its subsets; a heavy one its signature and the lists it reads, whose length the counts below
+  tell. Sums by size class tell the boundary at which both together are least; the driver sees a row a class.
 
-Rarity is read off SLOTS counters of hashed elements, of a fixed size whatever the corpus: an order need not be exact, only the same
-everywhere. Equal sets are one node. A subset or a list is a bucket. Entries (bucket, node) are moved once, packed by shares of the keys,
+Rarity is read off counters of hashed elements, SLOTS and more for a larger corpus, up to MOST: an order need not be exact, only the same
+everywhere. A counter holds many elements, so what it counts is no list's length: a list of the rarest is as much longer than one entry as their
+counters are above the least ones. Equal sets are one node. A subset or a list is a bucket. Entries (bucket, node) are moved once, packed by shares of the keys,
 and where they arrive those that are alone in their bucket, most of them, go. First a node meets the least node of all its buckets. Where the links
 found leave a bucket apart, each set then meets its most alike set of another component, and at last all sets of different
 components that may link meet, in parts of PART sets. So no link that joins two components is lost, and a bucket of copies
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,8 +45,10 @@ from .simhash import BROADCAST, _groups
 SHINGLE = 5
 PERCENT = 80
 SEED = 42
-#: Counters of elements, a power of two.
-SLOTS = 1 << 20
+#: Counters of elements, a power of two: doubled while more than LOAD words come to one, up to MOST.
+SLOTS, LOAD, MOST = 1 << 20, 32, 1 << 24
+#: Bytes of a word with the white space after it, for an estimate of the words.
+WORD_BYTES = 6
 #: Sets of a bucket that one task compares with as many others.
 PART = 1024
 #: Bits of a small set's sketch, and of a larger one's fold: a power of two.
@@ -57,50 +59,90 @@ READ = 0.05
 ENTRIES = 1 << 17
 #: Shares of the keys: the entries of a share are sorted in one place, some 270,000 of 6 GB of texts.
 DEALT = 1024
-#: Words whose hash a worker remembers.
-KNOWN = 500_000
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-
-def shingle_sets(texts: list[bytes | None], of: dict, shingle: int = SHINGLE) -> list[np.ndarray]:
+#: Bytes whose words are hashed at once.
+SPAN = 1 << 16
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A number for each byte, A-Z as a-z, white space as 0, and an odd base: a word's hash is its polynomial modulo 2 ** 64, mixed.
+_LETTER = mix(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64), SEED)
+_LETTER[_SPACE] = 0
+_BASE = 0x9E3779B97F4A7C15
+_STEP = np.uint64(_BASE)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
+
+
+_POWERS, _INVERSE = _powers(_BASE, SPAN), _powers(pow(_BASE, -1, 1 << 64), SPAN)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of these bytes starts, and its hash, in which A-Z count as a-z."""
+    word = ~_SPACE[data]
+    start = np.flatnonzero(word & np.append(True, ~word[:-1])) if len(data) else np.zeros(0, np.int64)
+    out, at = np.zeros(len(start), np.uint64), 0
+    while at < len(start):  # the words that start within SPAN bytes; the last one may be longer
+        first = start[at]
+        upto = int(np.searchsorted(start, first + SPAN))
+        last = start[upto] if upto < len(start) else len(data)
+        if last - first > SPAN and upto - at > 1:
+            upto -= 1
+            last = start[upto]
+        powers = _POWERS[: last - first] if last - first <= SPAN else _powers(_BASE, last - first)
+        own = start[at:upto] - first
+        out[at:upto] = np.add.reduceat(_LETTER[data[first:last]] * powers, own) * _INVERSE[own]
+        at = upto
+    return start, mix(out)
+
+
+def shingle_sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
     """The hashes of each text's distinct shingles, sorted; a text of fewer words is one shingle, one without words none."""
-    each = [(t or b"").translate(_LOWER).split() for t in texts]
-    h = np.fromiter(map(of.__getitem__, chain.from_iterable(each)), np.uint64, sum(map(len, each)))
+    texts = [t or b"" for t in texts]
+    start, h = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    ends = np.searchsorted(start, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)).tolist()
     factors = mix(np.arange(1, shingle + 1, dtype=np.uint64)) | np.uint64(1)
     rolled = np.zeros(max(0, len(h) - shingle + 1), np.uint64)
     for c in range(shingle):
         rolled += factors[c] * h[c : c + len(rolled)]
     rolled = mix(rolled)
     out, at = [], 0
-    for words in each:
-        n = len(words)
+    for end in ends:
+        n = end - at
         if n >= shingle:
-            s = np.sort(rolled[at : at + n - shingle + 1])
+            s = np.sort(rolled[at : end - shingle + 1])
             out.append(s[np.append(True, s[1:] != s[:-1])])
         else:
-            out.append(mix((factors[:n] * h[at : at + n]).sum(keepdims=True, dtype=np.uint64), n) if n else np.zeros(0, np.uint64))
-        at += n
+            out.append(mix((factors[:n] * h[at:end]).sum(keepdims=True, dtype=np.uint64), n) if n else np.zeros(0, np.uint64))
+        at = end
     return out
 
 
-def slot(elements: np.ndarray) -> np.ndarray:
-    return (elements >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+def slot(elements: np.ndarray, slots: int) -> np.ndarray:
+    return (elements >> np.uint64(64 - (slots.bit_length() - 1))).astype(np.int64)
+
+
+def counters(size: int) -> int:
+    """How many counters texts of so many bytes get."""
+    slots = SLOTS
+    while size > LOAD * WORD_BYTES * slots and slots < MOST:
+        slots *= 2
+    return slots
+
+
+def list_length(counted: np.ndarray) -> float:
+    """How many entries the inverted list of an element of a signature holds, the rarest fifth of a set, from the counters. The least
+    ones, at a hundredth, hold what comes to any counter by chance."""
+    least, rare = np.quantile(counted, [0.01, 0.1])
+    return 1 + float(rare - least)
 
 
 def signature(elements: np.ndarray, counts: np.ndarray, percent: int, k: int) -> np.ndarray:
     """The rarest elements of a set, of which any set that links with it holds k among its own."""
     n = len(elements)
     least = -(-percent * n // 100)
-    rare = counts[slot(elements)].astype(np.uint64) << np.uint64(32) | elements & np.uint64(0xFFFFFFFF)
+    rare = counts[slot(elements, len(counts))].astype(np.uint64) << np.uint64(32) | elements & np.uint64(0xFFFFFFFF)
     return elements[np.argsort(rare, kind="stable")[: min(n, n - least + k)]]  # elements come sorted: ties are the same everywhere
 
 
@@ -155,9 +197,8 @@ def boundary(classes: list[tuple[int, int]], entries: float, percent: int = PERC
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each batch, whose last column is the text, with its texts' sets."""
-    of = _Words()
     for b in batches:
-        yield b, shingle_sets(b.column(b.num_columns - 1).to_pylist(), of, shingle)
+        yield b, shingle_sets(b.column(b.num_columns - 1).to_pylist(), shingle)
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -171,13 +212,13 @@ def node_of(elements: np.ndarray) -> int:
 _SIZED = "doc_id long, text_key long, node long, size long, chunk int, at binary, n binary"
 
 
-def _sized(docs: DataFrame, shingle: int) -> DataFrame:
+def _sized(docs: DataFrame, shingle: int, slots: int) -> DataFrame:
     """A row for each row of docs (doc_id, text_key, node, size), and rows (chunk, at, n) of each task's counts of elements by slot."""
 
     def size_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, names = np.zeros(SLOTS, np.int64), _SIZED.replace(",", "").split()[::2]
+        total, names = np.zeros(slots, np.uint32), _SIZED.replace(",", "").split()[::2]
         for b, sets in _sets(batches, shingle):
-            total += np.bincount(slot(np.concatenate([np.zeros(0, np.uint64), *sets])), minlength=SLOTS)
+            np.add.at(total, slot(np.concatenate([np.zeros(0, np.uint64), *sets]), slots), np.uint32(1))
             own = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
             none = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own, *none], names)
@@ -264,13 +305,14 @@ def _met(members: DataFrame, known: DataFrame, percent: int, nearest: bool, part
     """members (key, node, label, many) -> distinct (a, b) of a bucket's sets of different components that may link.
 
     nearest: for each set only the one whose sketch is most alike. A bucket of more than `part` sets is dealt into
-    parts, and each pair of parts is met in one place: only sizes and sketches go there.
+    parts, and each pair of parts is met in one place: only sizes and sketches go there. Rows come by size, and only those
+    of sizes that may link are paired.
     """
     wide = members.join(known.select("node", "size", "sketch"), "node").withColumn("parts", F.ceil(F.col("many") / part).cast("long"))
     dealt = wide.withColumn("i", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = dealt.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"), "node", "size", "sketch", "label")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "size")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for now, group in _groups(batches, ["key", "x", "y"]):
@@ -278,15 +320,13 @@ def _met(members: DataFrame, known: DataFrame, percent: int, nearest: bool, part
             _, node = np.unique(now["node"].to_numpy(), return_inverse=True)
             first = np.zeros(node.max() + 1, np.int64)
             first[node] = np.arange(len(node))  # a row of each node
-            same = now["x"].to_numpy() == now["y"].to_numpy()
-            bits, size, name = _bits(now["sketch"].iloc[first].to_list()), now["size"].to_numpy()[first], now["node"].to_numpy()[first]
-            seen, best = np.zeros(0, np.uint64), {}
-            for i, j in _crossed(group, left, same):
+            same, sizes = now["x"].to_numpy() == now["y"].to_numpy(), now["size"].to_numpy()
+            bits, size, name = _bits(now["sketch"].iloc[first].to_list()), sizes[first], now["node"].to_numpy()[first]
+            best: dict = {}
+            for i, j in _crossed(group, left, same, sizes, percent):
                 apart = label[i] != label[j]
                 a, b = node[i[apart]].astype(np.uint64), node[j[apart]].astype(np.uint64)
                 pair = np.unique(np.maximum(a, b) << np.uint64(32) | np.minimum(a, b))  # met in many buckets, compared once
-                pair = pair[~np.isin(pair, seen)]
-                seen = np.concatenate([seen, pair]) if len(seen) < 1 << 20 else pair
                 a, b = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
                 ok = may_link(size[a], size[b], differ, percent)
@@ -309,12 +349,14 @@ def _named(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
-def _crossed(group: np.ndarray, left: np.ndarray, same: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _crossed(group: np.ndarray, left: np.ndarray, same: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of rows that meet in each group, some ENTRIES at a time: all of a group of one part (same), else left rows with the others.
 
-    group: dense numbers, rising. Each row is paired with the rows of its group that come after it, in blocks of rows.
+    group: dense numbers, rising; size: rising in each group. Each row is paired with the rows of its group that come after it and
+    are not too large to link with it, in blocks of rows.
     """
-    ends = np.searchsorted(group, group, side="right")
+    at_size = group.astype(np.int64) << 40 | size
+    ends = np.searchsorted(at_size, group.astype(np.int64) << 40 | 100 * size // percent, side="right")
     many = ends - np.arange(len(group)) - 1
     upto, at = np.cumsum(many), 0
     while at < len(group):
@@ -341,17 +383,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    sized = materialize(_sized(docs, shingle), "jaccard-rows")
+    slots = counters(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    sized = materialize(_sized(docs, shingle, slots), "jaccard-rows")
     own = sized.filter("chunk is null").select("doc_id", "text_key", "node", "size")
-    counted = np.zeros(SLOTS, np.int64)  # of a fixed size
-    for r in tree_sum(sized.filter("chunk is not null").select("chunk", "at", "n"), CHUNK).collect():
+    counted = np.zeros(slots, np.uint16)  # MOST at most
+    for r in materialize(tree_sum(sized.filter("chunk is not null").select("chunk", "at", "n"), CHUNK), "jaccard-counts").toLocalIterator():
         at, n = unpacked(bytes(r.at), bytes(r.n))
-        counted[r.chunk * CHUNK + at] = n
-    counts = spark.sparkContext.broadcast(np.minimum(counted, np.iinfo(np.uint32).max).astype(np.uint32))
+        counted[r.chunk * CHUNK + at] = np.minimum(n, np.iinfo(np.uint16).max)
+    counts = spark.sparkContext.broadcast(counted)
     full = own.filter("size > 0")
     if light is None:
         classes = full.groupBy(F.floor(F.log2(F.col("size").cast("double")) * 6).alias("c")).agg(F.count_distinct("node").alias("n"))
-        light = boundary([(r.c, r.n) for r in classes.collect()], float(np.median(counted)), percent)
+        light = boundary([(r.c, r.n) for r in classes.collect()], list_length(counted), percent)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = -(-percent * (light + 1) // 100)  # of a set that links with a heavy one

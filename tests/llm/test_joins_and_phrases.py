@@ -252,3 +252,32 @@ def test_jaccard_entries_alone_in_their_bucket_go():
         held[k].append(n)
     assert got == sorted((k, n, min(ns)) for k, ns in held.items() if len(set(ns)) > 1 for n in ns)
     assert list(jaccard._shared(iter([]))) == []
+
+
+def test_jaccard_words_are_hashed_by_bytes():
+    """Equal words have equal hashes wherever they stand, A-Z as a-z; others, of any length, have others."""
+    r = np.random.default_rng(5)
+    texts = [bytes(r.choice(list(b"abAB\xe6\x00\x1c  \t\n"), n).tolist()) for n in (0, 1, 7, 3000, 100_000)]
+    texts += [None, b"x" * 200_000, b"A" * 70_000 + b" b " + b"c" * jaccard.SPAN + b" d" + b" " * 200_000 + b"e F g", b" " * 70_000]
+    words = [w.translate(bytes.maketrans(b"AB", b"ab")).replace(b"F", b"f") for t in texts for w in (t or b"").split()]
+    start, hashed = jaccard.word_hashes(np.frombuffer(b" ".join(t or b"" for t in texts), np.uint8))
+    assert len(start) == len(words) and len(set(words)) == len(set(hashed.tolist())) == len(set(zip(words, hashed.tolist())))
+    assert [len(s) for s in jaccard.shingle_sets([b"a b c d e f", b"A b", b"", None, b"a b c d e a b c d e"])] == [2, 1, 0, 0, 5]
+
+
+def test_jaccard_boundary_stays_as_the_corpus_grows():
+    """Counters that more elements share don't make light sets of large ones: their subsets grow with the square of the size."""
+    r = np.random.default_rng(6)
+    for load in (1, 24, 113, 1400):
+        assert jaccard.boundary([(c, 1000) for c in range(80)], jaccard.list_length(r.poisson(load, 1 << 20)), 80) <= 20
+    assert jaccard.counters(0) == jaccard.SLOTS < jaccard.counters(1 << 30) < jaccard.counters(1 << 50) == jaccard.MOST
+
+
+def test_jaccard_pairs_rows_of_sizes_that_may_link():
+    r = np.random.default_rng(7)
+    group, size = np.repeat(np.arange(5), [1, 300, 0, 40, 700]), r.integers(1, 2000, 1041)
+    group, size = group[order := np.lexsort((size, group))], size[order]
+    left, same = r.random(1041) < 0.5, group != 3
+    met = [p for i, j in jaccard._crossed(group, left, same, size, 80) for p in zip(i.tolist(), j.tolist())]
+    want = {(i, j) for i in range(1041) for j in range(i + 1, 1041) if group[i] == group[j] and 100 * size[i] >= 80 * size[j] and (same[i] or left[i] != left[j])}
+    assert len(met) == len(want) and set(met) == want
