@@ -147,7 +147,7 @@ class VectorIndex(Segments):
         gone = vectors.select("id") if touched is None else vectors.select("id").union(touched.select("id"))
         dead = materialize(self._dead(gone.filter("id is not null").distinct(), [r.segment for r in live]), "ivf-dead") if live else None
         self._put(rows, number)
-        (dead if dead is not None else rows.select(F.lit(0).cast("long").alias("of"), "list", "id").limit(0)).write.mode("overwrite").parquet(self.at(number, "dead"))
+        self.put(dead if dead is not None else rows.select(F.lit(0).cast("long").alias("of"), "list", "id").limit(0), number, "dead")
         n = rows.count()
         self.commit([tuple(r) for r in live] + [(number, n, n - (dead.count() if dead is not None else 0), 0)])
         due = self.smallest()
@@ -161,10 +161,10 @@ class VectorIndex(Segments):
         def cosine(lists: pd.Series, vectors: pd.Series) -> pd.Series:
             return pd.Series((_matrix(vectors) * centers[lists.to_numpy()]).sum(1) if len(lists) else [], dtype=float)
 
-        rows.groupBy("list").agg(F.min(cosine("list", "embedding")).alias("least")).coalesce(1).write.mode("overwrite").parquet(self.at(number, "reach"))
-        rows.hint("rebalance", "list").sortWithinPartitions("list", "id").write.mode("overwrite").partitionBy("list").parquet(self.at(number, "lists"))
+        self.put(rows.groupBy("list").agg(F.min(cosine("list", "embedding")).alias("least")).coalesce(1), number, "reach")
+        self.put(rows.hint("rebalance", "list").sortWithinPartitions("list", "id"), number, "lists", "list")
         places = rows.select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket"), "id", F.col("list").alias("place"))
-        places.repartition("bucket").sortWithinPartitions("bucket", "id").write.mode("overwrite").partitionBy("bucket").parquet(self.at(number, "places"))
+        self.put(places.repartition("bucket").sortWithinPartitions("bucket", "id"), number, "places", "bucket")
 
     def _dead(self, ids: DataFrame, segments: list[int]) -> DataFrame:
         ids = ids.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
@@ -186,7 +186,7 @@ class VectorIndex(Segments):
         held = self.read("lists", segments=segments).withColumnRenamed("segment", "of").join(dead.filter(own), ["of", "list", "id"], "left_anti")
         rows = materialize(held.select("list", "id", "embedding"), "ivf-merged")
         self._put(rows, number)
-        self.read("dead", segments=segments).select("of", "list", "id").filter(~own).write.mode("overwrite").parquet(self.at(number, "dead"))
+        self.put(self.read("dead", segments=segments).select("of", "list", "id").filter(~own), number, "dead")
         self.commit([tuple(r) for r in live if r.segment not in segments] + [(number, rows.count(), sum(r.n for r in live if r.segment in segments), 0)])
 
     def search(self, queries: DataFrame, n: int = CHILDREN, allowed: DataFrame | None = None, probes: int | None = None) -> DataFrame:

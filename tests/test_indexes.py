@@ -1,13 +1,16 @@
 """Written indexes: pruned reads, segments and tombstones, merges, failed writes; approximate kNN's recall."""
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from passagelake.operators import search
+from passagelake.operators import search, textindex
 from passagelake.operators.textindex import TextIndex
 from passagelake.operators.vectorindex import VectorIndex
-from passagelake.scratch import scratch_path
+from passagelake.scratch import freed, scratch_path
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -162,3 +165,40 @@ def test_untrained_on_nothing(spark):
     index.train(none)
     index.write(none)
     assert index.search(none.select(F.col("id").alias("query_id"), "embedding")).count() == 0
+
+
+def test_merged_segments_go_after_the_next_commit(spark, queries):
+    docs = corpus(spark, 300)
+    index = TextIndex(spark, scratch_path(spark, "t"))
+    for i in range(2):
+        index.write(docs.filter(F.crc32(F.col("id").cast("binary")) % 2 == i))
+    want, before = hits(search.bm25(docs, queries, 70)), index.search(queries, 70)
+    index.merge([1, 2])
+    close(hits(before), want)  # the version before stays readable
+    assert index._segments() == [1, 2, 3]
+    index.write(docs.limit(0), docs.filter("id = 'd00007'").select("id"))
+    assert index._segments() == [3, 4] and index._numbers("manifests") == [3, 4]
+    close(hits(index.search(queries, 70)), hits(search.bm25(docs.filter("id <> 'd00007'"), queries, 70)))
+
+
+def test_blocks_are_dealt_packed():
+    """Batches that part a window, several shares: each posting comes back once, in the block of its term and window."""
+    r = np.random.default_rng(2)
+    rows = sorted((int(r.integers(0, 6)), f"d{i:03d}", int(r.integers(1, 90)), {f"w{x}é": int(r.integers(1, 1 << 20)) for x in r.integers(0, 40, r.integers(0, 20))}) for i in range(300))
+    table = pa.table({"id": [x[1] for x in rows], "window": pa.array([x[0] for x in rows], pa.int32()), "length": pa.array([x[2] for x in rows], pa.int32()), "terms": pa.array([list(x[3]) for x in rows], pa.list_(pa.string())), "counts": pa.array([list(x[3].values()) for x in rows], pa.list_(pa.int32()))})
+    packed = list(textindex._packed_blocks(iter(table.to_batches(max_chunksize=70)), 64))
+    assert {b.num_rows for b in packed} == {1}
+    blocks = [b for x in textindex._blocks(iter(packed)) for b in x.to_pylist()]
+    assert len({(b["term"], b["window"]) for b in blocks}) == len(blocks)
+    assert all(b["part"] == zlib.crc32(b["term"].encode()) % textindex.PARTS and b["n"] == len(b["ids"]) and b["most"] == max(b["tfs"]) and b["least"] == min(b["lengths"]) and b["ids"] == sorted(b["ids"]) for b in blocks)
+    got = sorted((b["window"], i, length, b["term"], tf) for b in blocks for i, tf, length in zip(b["ids"], b["tfs"], b["lengths"]))
+    assert got == sorted((w, i, n, t, tf) for w, i, n, terms in rows for t, tf in terms.items())
+
+
+def test_freed_shuffles(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    with pytest.raises(ValueError), freed(spark):
+        assert spark.conf.get(key) == "true"
+        raise ValueError
+    assert spark.conf.get(key) == was == "false"
