@@ -202,3 +202,13 @@ def test_freed_shuffles(spark):
         assert spark.conf.get(key) == "true"
         raise ValueError
     assert spark.conf.get(key) == was == "false"
+
+
+def test_a_folder_holds_its_windows_whole(spark):
+    for many in (0, 1, 257, 8192, 8193, 300_000):
+        n = textindex._windows(many)
+        assert n * textindex.WINDOW >= many and (n % textindex.BUCKETS == 0 or textindex.BUCKETS % n == 0)
+    index = TextIndex(spark, scratch_path(spark, "t"))
+    index.write(spark.range(9000).select("id", F.concat(F.lit("w"), F.col("id") % 7).alias("text")))
+    assert index.read("documents").groupBy("window").agg(F.count_distinct("bucket").alias("n")).filter("n > 1").count() == 0
+    assert index.read("blocks").agg(F.sum("n")).first()[0] == 9000
